@@ -65,3 +65,36 @@ FROM events
 def with_ctes(body: str, **ctes: str) -> str:
     parts = ",\n".join(f"{name} AS ({sql})" for name, sql in ctes.items())
     return f"WITH {parts}\n{body}" if ctes else body
+
+
+# --------------------------------------------------------------------------- file paths
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages.url without scheme, query, fragment and trailing slashes."""
+    u = F.col("url")
+    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z]+://", ""), r"[?#].*$", ""), r"/+$", "")
+    return read_table(spark, sf_dir, "pages").select("page_id", p.alias("path"))
+
+
+PATHS_SQL = r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z]+://', ''), '[?#].*$', ''), '/+$', '') AS path
+FROM pages
+"""
+PATH_SPLIT_SQL = r"""
+SELECT page_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory,
+       regexp_extract(path, '([^/]*)$', 1) AS filename
+FROM paths
+"""
+
+# --------------------------------------------------------------------------- file titles
+# Fixed values of the adapter: suffix chosen by p_partkey mod 5.
+PART_SUFFIXES = [".mid", ".MP3", ".mkv", ".txt", ".wav"]
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in PART_SUFFIXES]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return part.select("p_partkey", F.concat("p_name", suffix).alias("filename"))
+
+
+PART_FILES_SQL = ("SELECT p_partkey, p_name || (['" + "', '".join(PART_SUFFIXES)
+                  + "'])[CAST(p_partkey % 5 AS INTEGER) + 1] AS filename FROM part")

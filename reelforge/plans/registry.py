@@ -15,6 +15,7 @@ _ORACLE: dict[str, str] = {}
 
 _MODULES = (
     "reelforge.plans.q_segments",
+    "reelforge.plans.q_text",
 )
 
 
