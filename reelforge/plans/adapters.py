@@ -98,3 +98,28 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PART_FILES_SQL = ("SELECT p_partkey, p_name || (['" + "', '".join(PART_SUFFIXES)
                   + "'])[CAST(p_partkey % 5 AS INTEGER) + 1] AS filename FROM part")
+
+
+# --------------------------------------------------------------------------- events with k
+def events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events plus ``k`` = integer of ``$.k`` in props."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.withColumn("k", F.get_json_object("props", "$.k").try_cast("int"))
+
+
+EVENTS_K_SQL = "SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"
+
+
+def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles (x, y, w, h) with w, h >= 1, one per event."""
+    e = events_k(spark, sf_dir)
+    fv = F.floor("value")
+    return e.select("event_id", "user_id", "ts", F.struct(
+        (F.col("k") % 50).cast("double").alias("x"), (fv % 40).cast("double").alias("y"),
+        (1 + F.col("k") % 17).cast("double").alias("w"), (1 + fv % 13).cast("double").alias("h")).alias("rect"))
+
+
+RECTS_SQL = """SELECT event_id, user_id, ts,
+  CAST(k % 50 AS DOUBLE) AS x, CAST(CAST(floor(value) AS BIGINT) % 40 AS DOUBLE) AS y,
+  CAST(1 + k % 17 AS DOUBLE) AS w, CAST(1 + CAST(floor(value) AS BIGINT) % 13 AS DOUBLE) AS h
+FROM events_k"""

@@ -16,6 +16,7 @@ _ORACLE: dict[str, str] = {}
 _MODULES = (
     "reelforge.plans.q_segments",
     "reelforge.plans.q_text",
+    "reelforge.plans.q_scalar",
 )
 
 
