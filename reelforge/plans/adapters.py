@@ -123,3 +123,73 @@ RECTS_SQL = """SELECT event_id, user_id, ts,
   CAST(k % 50 AS DOUBLE) AS x, CAST(CAST(floor(value) AS BIGINT) % 40 AS DOUBLE) AS y,
   CAST(1 + k % 17 AS DOUBLE) AS w, CAST(1 + CAST(floor(value) AS BIGINT) % 13 AS DOUBLE) AS h
 FROM events_k"""
+
+
+# --------------------------------------------------------------------------- star schema
+# match -> clip -> pair -> files: vm = lineitem, clip = orders, video = customer,
+# audio = part, midi = supplier; real = (l_returnflag <> 'R').
+URGENT = ["1-URGENT", "2-HIGH"]
+
+
+def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    r = lambda n: read_table(spark, sf_dir, n)
+    li, o = r("lineitem"), r("orders")
+    vm = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                   F.col("l_partkey").alias("djv_song_id"),
+                   F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("invalid_mode"),
+                   F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("real"),
+                   F.col("l_orderkey").alias("clip_id"))
+    vcc = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"),
+                   ((F.col("o_orderkey") % 97) * 5000).alias("start"),
+                   ((F.col("o_orderkey") % 97) * 5000 + 15000 + (F.col("o_orderkey") % 13) * 5000).alias("end"),
+                   F.lit("mp4").alias("video_type"))
+    mam = (li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("index_midi"))
+           .select(F.concat(F.lit("M"), F.col("index_midi").cast("string"), F.lit("A"),
+                            F.col("l_partkey").cast("string")).alias("pair_id"),
+                   "index_midi", F.col("l_partkey").alias("index_audio"), F.col("l_partkey").alias("djv_song_id")))
+    ac = r("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/audio/"), "p_brand").alias("directory"),
+                          F.concat("p_name", F.lit(".mp3")).alias("filename"), F.col("p_name").alias("title"))
+    mc = r("supplier").select(F.col("s_suppkey").alias("id"),
+                              F.concat(F.lit("/midi/"), F.col("s_nationkey").cast("string")).alias("directory"),
+                              F.concat("s_name", F.lit(".mid")).alias("filename"))
+    vc = r("customer").select(F.col("c_custkey").alias("id"),
+                              F.concat(F.lit("/video/"), "c_mktsegment").alias("directory"),
+                              F.concat("c_name", F.lit(".mp4")).alias("filename"), F.col("c_name").alias("title"))
+    cur = r("labels").select((F.col("doc_id") * 8 + 1 + F.col("doc_id") % 4).alias("audio_video_match_id"),
+                             F.col("quality").alias("correct"))
+    af = li.groupBy(F.col("l_partkey").alias("audio_id")).agg(
+        F.round(F.avg("l_quantity"), 6).alias("af_qty_mean"),
+        F.round(F.stddev_pop("l_extendedprice"), 6).alias("af_price_std"),
+        F.max("l_discount").alias("af_disc_max"))
+    sfe = li.groupBy(F.col("l_suppkey").alias("midi_id")).agg(
+        F.round(F.avg("l_quantity"), 6).alias("sf_qty_mean"), F.round(F.avg("l_tax"), 6).alias("sf_tax_mean"))
+    urgent = o.filter(F.col("o_orderpriority").isin(*URGENT)).select(F.col("o_orderkey").alias("l_orderkey"))
+    vf = (li.join(urgent, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("clip_id"))
+          .agg(F.count(F.lit(1)).alias("vf_lines"), F.round(F.sum("l_extendedprice"), 6).alias("vf_price_sum")))
+    songs = mam.join(r("part"), mam["index_audio"] == F.col("p_partkey")).select(
+        F.col("djv_song_id").alias("song_id"), F.concat("pair_id", F.lit("_"), "p_name").alias("song_name"))
+    return dict(vm=vm, vcc=vcc, mam=mam, ac=ac, mc=mc, vc=vc, cur=cur, af=af, sfe=sfe, vf=vf, songs=songs)
+
+
+STAR_SQL = dict(
+    vm="""SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS djv_song_id,
+  CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS invalid_mode,
+  CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS real, l_orderkey AS clip_id FROM lineitem""",
+    vcc="""SELECT o_orderkey AS id, o_custkey AS video_id, (o_orderkey % 97) * 5000 AS start,
+  (o_orderkey % 97) * 5000 + 15000 + (o_orderkey % 13) * 5000 AS "end", 'mp4' AS video_type FROM orders""",
+    mam="""SELECT 'M' || min(l_suppkey) || 'A' || l_partkey AS pair_id, min(l_suppkey) AS index_midi,
+  l_partkey AS index_audio, l_partkey AS djv_song_id FROM lineitem GROUP BY l_partkey""",
+    ac="SELECT p_partkey AS id, '/audio/' || p_brand AS directory, p_name || '.mp3' AS filename, p_name AS title FROM part",
+    mc="SELECT s_suppkey AS id, '/midi/' || s_nationkey AS directory, s_name || '.mid' AS filename FROM supplier",
+    vc="""SELECT c_custkey AS id, '/video/' || c_mktsegment AS directory, c_name || '.mp4' AS filename,
+  c_name AS title FROM customer""",
+    cur="SELECT doc_id * 8 + 1 + doc_id % 4 AS audio_video_match_id, quality AS correct FROM labels",
+    af="""SELECT l_partkey AS audio_id, round(avg(l_quantity), 6) AS af_qty_mean,
+  round(stddev_pop(l_extendedprice), 6) AS af_price_std, max(l_discount) AS af_disc_max FROM lineitem GROUP BY 1""",
+    sfe="""SELECT l_suppkey AS midi_id, round(avg(l_quantity), 6) AS sf_qty_mean, round(avg(l_tax), 6) AS sf_tax_mean
+  FROM lineitem GROUP BY 1""",
+    vf="""SELECT l_orderkey AS clip_id, count(*) AS vf_lines, round(sum(l_extendedprice), 6) AS vf_price_sum
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+  GROUP BY 1""",
+    songs="SELECT m.djv_song_id AS song_id, m.pair_id || '_' || p.p_name AS song_name FROM mam m JOIN part p ON m.index_audio = p.p_partkey",
+)

@@ -17,6 +17,7 @@ _MODULES = (
     "reelforge.plans.q_segments",
     "reelforge.plans.q_text",
     "reelforge.plans.q_scalar",
+    "reelforge.plans.q_matching",
 )
 
 
