@@ -36,6 +36,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def r6(x) -> Column:
+    """Round to 6 decimals as ``floor(x * 1e6 + 0.5) / 1e6``: plain IEEE steps,
+    so equal inputs round equally on any engine (no half-way disagreements)."""
+    return F.floor(_c(x) * 1e6 + 0.5) / 1e6
+
+
 def clip_length_s(start_ms, end_ms) -> Column:
     """``round(end/1000 - start/1000)`` with half-even rounding (NumPy)."""
     return F.bround(_c(end_ms) / 1000 - _c(start_ms) / 1000, 0)

@@ -18,6 +18,7 @@ _MODULES = (
     "reelforge.plans.q_text",
     "reelforge.plans.q_scalar",
     "reelforge.plans.q_matching",
+    "reelforge.plans.q_frames",
 )
 
 
