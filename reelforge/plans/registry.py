@@ -19,6 +19,7 @@ _MODULES = (
     "reelforge.plans.q_scalar",
     "reelforge.plans.q_matching",
     "reelforge.plans.q_frames",
+    "reelforge.plans.q_fingerprint",
 )
 
 
