@@ -20,6 +20,7 @@ _MODULES = (
     "reelforge.plans.q_matching",
     "reelforge.plans.q_frames",
     "reelforge.plans.q_fingerprint",
+    "reelforge.plans.q_timeline",
 )
 
 
