@@ -25,12 +25,12 @@ def _q(body, **extra):
 @register("w16_mid_term_pool", _q(f"""
 SELECT video_id, feature, {_r6('avg(m)')} AS mean_of_means, {_r6('avg(s)')} AS mean_of_stds, count(*) AS n_windows
 FROM (SELECT video_id, win, feature, avg(v) AS m, stddev_pop(v) AS s FROM (
-        SELECT video_id, win, 'value' AS feature, value AS v FROM x UNION ALL
+        SELECT video_id, win, 'value' AS feature, sqrt(value) AS v FROM x UNION ALL
         SELECT video_id, win, 'k', CAST(k AS DOUBLE) FROM x) GROUP BY 1, 2, 3)
 GROUP BY 1, 2""", x="""SELECT * FROM (SELECT video_id, value, k, unnest([r * 50 // 1000, r * 50 // 1000 - 1]) AS win
   FROM seq) WHERE win >= 0"""))
 def w16_mid_term_pool(spark, sf):
-    s = _seq(spark, sf).select("video_id", (F.col("r") * 50).alias("ts_ms"), "value", "k")
+    s = _seq(spark, sf).select("video_id", (F.col("r") * 50).alias("ts_ms"), F.sqrt("value").alias("value"), "k")
     return TL.mid_term_pool(s, ["video_id"], "ts_ms", ["value", "k"], 2000, 1000)
 
 
