@@ -21,6 +21,7 @@ _MODULES = (
     "reelforge.plans.q_frames",
     "reelforge.plans.q_fingerprint",
     "reelforge.plans.q_timeline",
+    "reelforge.plans.q_nested",
 )
 
 
