@@ -46,14 +46,16 @@ def split_camel(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Whitespace tokens (Python ``str.split()`` without arguments)."""
-    return F.split(F.regexp_replace(_c(c), r"^\s+|\s+$", ""), r"\s+")
+    """Whitespace tokens (Python ``str.split()`` without arguments): split on
+    whitespace runs and drop the empty strings a leading / trailing run leaves."""
+    return F.array_remove(F.split(_c(c), r"\s+"), "")
 
 
 def remove_stopwords(c, stopwords=None) -> Column:
     """T5: drop listed tokens, re-join with single spaces."""
-    stop = F.array(*[F.lit(w) for w in (FILENAME_STOPWORDS if stopwords is None else stopwords)])
-    kept = F.filter(tokens(c), lambda w: ~F.array_contains(stop, w) & (w != F.lit("")))
+    stop = list(FILENAME_STOPWORDS if stopwords is None else stopwords)
+    # isin over > 10 literals becomes a hash-set lookup (InSet), not a scan per token
+    kept = F.filter(tokens(c), lambda w: ~w.isin(stop) & (w != F.lit("")))
     return F.array_join(kept, " ")
 
 

@@ -15,37 +15,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelforge.functions.text import tokens
+from reelforge.plans.parallel import spread
 
 SEP = "\u0001"
 
 
-def _pairs(toks: Column, fan_out: int, chunk: int | None) -> Column:
-    n = F.size(toks)
-    pos = F.sequence(F.lit(0), n - 1)
-
-    # One-argument lambdas only: Spark passes (element, index) to two-argument ones.
-    def keep(d):
-        def ok(i):
-            c = (i + d) < n
-            if chunk:
-                c = c & (F.floor(i / chunk) == F.floor((i + d) / chunk))
-            return c
-        return ok
-
-    def pair(d):
-        return lambda i: F.struct(i.cast("long").alias("pos"), F.lit(d).alias("d"),
-                                  F.concat_ws(SEP, F.get(toks, i), F.get(toks, i + d), F.lit(str(d))).alias("key"))
-
-    parts = [F.transform(F.filter(pos, keep(d)), pair(d)) for d in range(1, fan_out + 1)]
-    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
-
-
-def landmarks(df: DataFrame, id_col: str, text_col: str, fan_out: int = 2, chunk: int | None = None) -> DataFrame:
-    """(id, pos, d, key, hash) for every symbol pair within ``fan_out``
-    positions (and within the same ``chunk`` of positions when given)."""
-    t = df.select(id_col, tokens(text_col).alias("_t"))
-    out = t.select(id_col, F.explode(_pairs(F.col("_t"), fan_out, chunk)).alias("p")).select(id_col, "p.*")
-    return out.withColumn("hash", F.xxhash64("key"))
+def landmarks(df: DataFrame, id_col: str, text_col: str, fan_out: int = 2, chunk: int | None = None,
+              with_key: bool = True) -> DataFrame:
+    """(id, pos, d, a, b, hash[, key]) for every symbol pair (a, b) within
+    ``fan_out`` positions (and within the same ``chunk`` when given).
+
+    Pairs come from zipping the token array with its shifted slices and one
+    ``posexplode`` (built-in functions only, no per-element lambdas); the
+    hash is taken over (a, b, d) directly and the printable ``key`` is
+    optional."""
+    t = spread(df.select(id_col, tokens(text_col).alias("_t")))
+    n = F.size("_t")
+    shifted = [F.slice("_t", F.lit(d + 1), F.greatest(n - d, F.lit(1))) for d in range(1, fan_out + 1)]
+    z = F.arrays_zip(F.col("_t").alias("a"), *[c.alias(f"b{d}") for d, c in zip(range(1, fan_out + 1), shifted)])
+    rows = t.select(id_col, F.posexplode(z).alias("pos", "_z"))
+    pairs = rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.col("_z.a").alias("a"),
+                        F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"_z.b{d}").alias("b"))
+                                            for d in range(1, fan_out + 1)])).alias("_p"))
+    out = pairs.select(id_col, "pos", "_p.d", "a", "_p.b").filter(F.col("b").isNotNull())
+    if chunk:
+        out = out.filter(F.floor(F.col("pos") / chunk) == F.floor((F.col("pos") + F.col("d")) / chunk))
+    out = out.withColumn("hash", F.xxhash64("a", "b", "d"))
+    if with_key:
+        out = out.withColumn("key", F.concat_ws(SEP, "a", "b", F.col("d").cast("string")))
+    return out
 
 
 def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text", fan_out: int = 2) -> DataFrame:
@@ -75,17 +73,25 @@ def recognise(queries: DataFrame, index: DataFrame, query_id: str, text_col: str
     best item per chunk (most votes, then lowest item id, then lowest
     offset).  confidence = votes / query pairs of the chunk; chunks without
     a result or under ``min_confidence`` keep an all-null match."""
-    q = landmarks(queries, query_id, text_col, fan_out, chunk).withColumn("chunk", F.floor(F.col("pos") / chunk))
-    n_q = q.groupBy(query_id, "chunk").agg(F.count(F.lit(1)).alias("n_hashes"))
-    idx = index.select("hash", "key", "item_id", F.col("pos").alias("item_pos"))
-    votes = (q.select(query_id, "chunk", "pos", "hash", "key").join(idx, ["hash", "key"])
+    q = (landmarks(queries, query_id, text_col, fan_out, chunk, with_key=False)
+         .withColumn("chunk", F.floor(F.col("pos") / chunk)))
+    idx = index.select("hash", F.col("a").alias("_ia"), F.col("b").alias("_ib"), F.col("d").alias("_id"),
+                       "item_id", F.col("pos").alias("item_pos"))
+    # equi-join on the 64-bit hash, then an exact check of the pair (no collisions survive)
+    votes = (q.select(query_id, "chunk", "pos", "hash", "a", "b", "d").join(idx, "hash")
+             .filter((F.col("a") == F.col("_ia")) & (F.col("b") == F.col("_ib")) & (F.col("d") == F.col("_id")))
              .groupBy(query_id, "chunk", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
              .agg(F.count(F.lit(1)).alias("votes")))
     w = Window.partitionBy(query_id, "chunk").orderBy(F.col("votes").desc(), "item_id", "offset")
     best = votes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    chunks = (queries.select(query_id, F.size(tokens(text_col)).alias("_n"))
-              .select(query_id, F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))).alias("chunk")))
-    j = chunks.join(n_q, [query_id, "chunk"], "left").join(best, [query_id, "chunk"], "left")
+    # pairs per chunk follow from the chunk's symbol count m: sum over d of max(m - d, 0)
+    n_tok = F.size(tokens(text_col))
+    chunks = (queries.select(query_id, n_tok.alias("_n")).filter(F.col("_n") > 0)
+              .select(query_id, "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))).alias("chunk")))
+    m = F.least(F.lit(chunk), F.col("_n") - F.col("chunk") * chunk)
+    n_pairs = sum(F.greatest(m - d, F.lit(0)) for d in range(1, fan_out + 1))
+    chunks = chunks.select(query_id, "chunk", n_pairs.cast("long").alias("n_hashes"))
+    j = chunks.join(best, [query_id, "chunk"], "left")
     conf = F.col("votes") / F.col("n_hashes")
     ok = F.coalesce(conf >= min_confidence, F.lit(False))
     return j.select(query_id, F.col("chunk").cast("long").alias("chunk"),

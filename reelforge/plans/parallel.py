@@ -1,0 +1,20 @@
+"""Parallelism guard for small, heavy inputs.
+
+A table stored as one large file with few row groups is read into fewer
+partitions than the cluster has cores, which leaves cores idle when the
+per-row work (tokenising, pair generation) dominates.  ``spread`` then adds a
+round-robin repartition; when the input already has enough partitions (any
+large table) it is a no-op and adds no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(target)
+    return df

@@ -9,6 +9,7 @@ from reelforge.functions import text as T
 from reelforge.operators import matching as M
 from reelforge.operators import training as TR
 from reelforge.plans.adapters import (CHUNKS_SQL, PART_FILES_SQL, STAR_SQL, chunks, part_files, star, with_ctes)
+from reelforge.plans.parallel import spread
 from reelforge.plans.q_text import _clean_sql
 from reelforge.plans.registry import register
 from reelforge.session import read_table
@@ -178,7 +179,7 @@ SELECT film, doc_id FROM (
   FROM films f JOIN playlists p ON regexp_matches(p.clean_name, '.*(' || f.film || ').*(soundtrack|film)')
   WHERE f.film <> '') WHERE rn = 1""", playlists=_PL_SQL, films=_FILMS_SQL))
 def j08_first_pattern_match(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     n = read_table(spark, sf, "nation")
     suffix = (F.when(F.col("doc_id") % 3 == 0, F.lit(" Original Soundtrack"))
               .when(F.col("doc_id") % 3 == 1, F.lit(" film music")).otherwise(F.lit("")))
