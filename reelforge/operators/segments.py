@@ -176,18 +176,67 @@ def tag_chunks(chunks: DataFrame, keys: Sequence[str] = ("video_id",), order: Se
     return segment_ids(df, keys, order)
 
 
+def _smooth(pl, cl, nl, po, co, no, offset_mode):
+    needs = eq(pl, nl) & ~eq(pl, cl)
+    new_off = (no - po) / 2 if offset_mode == "half_diff" else (no + po) / 2
+    return F.when(needs, pl).otherwise(cl), F.when(needs, new_off).otherwise(co)
+
+
+def tag_chunks_blocked(chunks: DataFrame, keys: Sequence[str] = ("video_id",), start: str = "start",
+                       label: str = "song_id", offset: str = "offset_seconds", offset_mode: str = "half_diff",
+                       span: int = 5000 * (1 << 14), block_rows: int = 1 << 20) -> DataFrame:
+    """Skew-safe W1-W6: same rows and values as :func:`tag_chunks`, but no
+    step sends all rows of one timeline to one task.
+
+    1. dense positions per timeline (numbered per ``span`` of ``start``);
+    2. the raw values at positions -2..+2 of every row, from 5 copies grouped
+       by (timeline, position) - enough to smooth the row and both neighbours
+       and to tag it;
+    3. segment ids as a running count of B rows per block of positions with
+       carried block totals."""
+    from reelforge.operators.sequence import blocked_running_sum, neighbour_context, sequence_index
+    k = list(keys)
+    idx = sequence_index(chunks, k, [start], F.floor(F.col(start) / span))
+    ctx = neighbour_context(idx, k, "idx", [label, offset], 2, keep=[start, "end"])
+    L = lambda s: F.col(f"{label}{s}")
+    O = lambda s: F.col(f"{offset}{s}")
+    l_m1, o_m1 = _smooth(L("_m2"), L("_m1"), L(""), O("_m2"), O("_m1"), O(""), offset_mode)
+    l_0, o_0 = _smooth(L("_m1"), L(""), L("_p1"), O("_m1"), O(""), O("_p1"), offset_mode)
+    l_p1, _ = _smooth(L(""), L("_p1"), L("_p2"), O(""), O("_p1"), O("_p2"), offset_mode)
+    tag = (F.when(~eq(l_m1, l_0) & eq(l_0, l_p1), F.lit(TAG_B))
+           .when(eq(l_m1, l_0) & eq(l_0, l_p1), F.lit(TAG_I))
+           .when(eq(l_m1, l_0) & ~eq(l_0, l_p1), F.lit(TAG_E))
+           .otherwise(F.lit(TAG_O)))
+    rows = ctx.select(*k, "idx", start, "end", l_0.alias(label), o_0.alias(offset), o_m1.alias("_po"),
+                      tag.alias("match_tag"))
+    rows = rows.withColumn("offset_diff", F.when(F.col("match_tag").isin(TAG_I, TAG_E),
+                                                 F.bround(F.col(offset) - F.col("_po"), 0))).drop("_po")
+    rows = blocked_running_sum(rows, k, "idx", F.when(F.col("match_tag") == TAG_B, 1).otherwise(0), "_run",
+                               block_rows)
+    return (rows.withColumn("match_id", F.when(F.col("match_tag").isin(TAG_B, TAG_I, TAG_E), F.col("_run")))
+            .drop("_run", "idx"))
+
+
 def segment_timeline(chunks: DataFrame, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("start",),
                      label: str = "song_id", offset: str = "offset_seconds", min_chunks: int = 3,
-                     offset_mode: str = "half_diff") -> DataFrame:
+                     offset_mode: str = "half_diff", strategy: str = "window", **blocked_args) -> DataFrame:
     """The whole segmentation pipeline, one plan over every timeline.
 
     Returns one row per kept segment:
     ``keys..., match_id, <label>, start, end, invalid_mode``.
 
-    Row-level data is shuffled exactly once (hash on ``keys``, shared by every
-    window); all segment statistics come from one partial aggregation of it.
+    ``strategy='window'``: row-level data is shuffled exactly once (hash on
+    ``keys``, shared by every window); fastest while one timeline fits a task.
+    ``strategy='blocked'``: :func:`tag_chunks_blocked`, for timelines too long
+    for one task (a hot key).  Either way all segment statistics come from one
+    partial aggregation of the tagged rows.
     """
-    rows = tag_chunks(chunks, keys, order, label, offset, offset_mode)
+    if strategy == "blocked":
+        rows = tag_chunks_blocked(chunks, keys, order[0], label, offset, offset_mode, **blocked_args)
+    elif strategy == "window":
+        rows = tag_chunks(chunks, keys, order, label, offset, offset_mode)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     st = segment_stats(segment_value_counts(rows, keys, "match_id", label, "offset_diff"),
                        keys, "match_id", label, "offset_diff", min_chunks)
     return (st.filter(F.col("too_small") == 0)

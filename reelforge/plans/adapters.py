@@ -35,12 +35,30 @@ def seq_index(keys, order) -> "F.Column":
 
 
 # --------------------------------------------------------------------------- chunks
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+# One timeline with more rows than this no longer fits one task comfortably:
+# the skew-safe (blocked) sequence plans are used instead of per-key windows.
+HOT_KEY_ROWS = 2_000_000
+
+
+def sequence_strategy(spark: SparkSession, sf_dir: str, table: str = "events", key: str = "user_id") -> str:
+    """'window' or 'blocked' from the largest key's row count (a column-pruned
+    partial aggregate over the source table)."""
+    from reelforge.operators.sequence import max_rows_per_key
+    n = max_rows_per_key(read_table(spark, sf_dir, table).select(key), [key])
+    return "blocked" if n > HOT_KEY_ROWS else "window"
+
+
+def chunks(spark: SparkSession, sf_dir: str, strategy: str = "window") -> DataFrame:
     """Chunk-match sequence: one 5 s chunk per event, per user ("video")."""
     ev = (read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
           .withColumnRenamed("user_id", "video_id"))
-    # Window on the output key name, so later windows by video_id reuse this exchange.
-    idx = seq_index(["video_id"], ["ts", "event_id"])
+    if strategy == "blocked":
+        from reelforge.operators.sequence import sequence_index
+        ev = sequence_index(ev, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="_idx")
+        idx = F.col("_idx")
+    else:
+        # Window on the output key name, so later windows by video_id reuse this exchange.
+        idx = seq_index(["video_id"], ["ts", "event_id"])
     label = _label_expr()
     return ev.select(
         "video_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelforge.operators import segments as seg
-from reelforge.plans.adapters import CHUNKS_SQL, chunks, with_ctes
+from reelforge.plans.adapters import CHUNKS_SQL, chunks, sequence_strategy, with_ctes
 from reelforge.plans.registry import register
 
 K, O = ["video_id"], ["start"]
@@ -139,4 +139,13 @@ WHERE s.n >= 3""", "df", segrows=_SEGROWS, modes=_MODES)
 
 @register("w08_segmentation", W08_SQL)
 def w08_segmentation(spark, sf):
-    return seg.segment_timeline(chunks(spark, sf), K, O)
+    """Picks the per-key window plan or the skew-safe plan from the largest timeline."""
+    strategy = sequence_strategy(spark, sf)
+    return seg.segment_timeline(chunks(spark, sf, strategy), K, O, strategy=strategy)
+
+
+@register("w08_segmentation_blocked", W08_SQL)
+def w08_segmentation_blocked(spark, sf):
+    """The skew-safe plan forced (small spans and blocks so every path is exercised)."""
+    return seg.segment_timeline(chunks(spark, sf, "blocked"), K, O, strategy="blocked",
+                                span=5000 * 16, block_rows=32)

@@ -67,3 +67,18 @@ def test_w8_single_exchange(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_blocked_segmentation_equals_window_on_a_hot_timeline(spark):
+    """One timeline holding every chunk (a hot key): the skew-safe plan, with
+    tiny spans and blocks, equals the per-key window plan."""
+    from reelforge.operators import segments as SEG
+    ch = chunks(spark, SF)
+    hot = ch.select(F.lit(0).cast("long").alias("video_id"),
+                    (F.col("video_id") * 10_000_000 + F.col("start")).alias("start"),
+                    (F.col("video_id") * 10_000_000 + F.col("end")).alias("end"), "song_id", "offset_seconds")
+    both = ch.unionByName(hot.withColumn("video_id", F.lit(-1).cast("long")))
+    a = SEG.segment_timeline(both, strategy="window").collect()
+    b = SEG.segment_timeline(both, strategy="blocked", span=5000 * 8, block_rows=16).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert len(a) > 0
