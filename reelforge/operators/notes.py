@@ -121,3 +121,172 @@ def measure_pitch_weights(notes: DataFrame, piece: str = "piece_id", measure: st
     low = F.min("pitch").over(Window.partitionBy(*g))
     return (wts.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("lowest", low)
             .filter(F.col("rank") <= top).withColumn("weight", r6("weight")))
+
+
+# ---------------------------------------------------------------- fixed values
+# Published key profiles (Krumhansl & Kessler), pitch class 0 = tonic.
+KK_MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
+KK_MINOR = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
+# Chord types as root-relative pitch-class sets.
+CHORDS = {
+    "MajorTriad": [0, 4, 7], "MinorTriad": [0, 3, 7], "DiminishedTriad": [0, 3, 6], "AugmentedTriad": [0, 4, 8],
+    "DominantSeventh": [0, 4, 7, 10], "DiminishedSeventh": [0, 3, 6, 9],
+}
+# --------------------------------------------------------------------------------
+
+
+def interval_histogram(iv: DataFrame, piece: str = "piece_id") -> DataFrame:
+    """M2 histogram: count and share of every absolute melodic interval."""
+    a = iv.filter(F.col("delta").isNotNull()).select(piece, F.abs("delta").alias("interval"))
+    h = a.groupBy(piece, "interval").agg(F.count(F.lit(1)).alias("count"))
+    return h.withColumn("share", r6(F.col("count") / F.sum("count").over(Window.partitionBy(piece))))
+
+
+def interval_features(iv: DataFrame, piece: str = "piece_id") -> DataFrame:
+    """M2: most common melodic interval, its share, the distance to and the
+    relative strength of the second, and the number of common intervals."""
+    a = iv.filter(F.col("delta").isNotNull()).select(piece, F.abs("delta").alias("v"))
+    t = top_two(a, piece, "v", "X")
+    return t.select(piece, F.col("MostCommonX").alias("MostCommonMelodicInterval"),
+                    F.col("MostCommonXPrevalence").alias("MostCommonMelodicIntervalPrevalence"),
+                    F.col("IntervalBetweenStrongestXs").alias("DistanceBetweenMostCommonMelodicIntervals"),
+                    F.col("RelativeStrengthOfTopXs").alias("RelativeStrengthOfMostCommonIntervals"),
+                    F.col("NumberOfCommonXs").alias("NumberOfCommonMelodicIntervals"))
+
+
+def melodic_arcs(iv: DataFrame, piece: str = "piece_id", part: str = "part",
+                 order: Sequence[str] = ("onset", "note_id")) -> DataFrame:
+    """M4: an arc is a run of same-direction (non-zero) intervals of one part,
+    between a turning point and the next; DurationOfMelodicArcs = mean
+    intervals per arc, SizeOfMelodicArcs = mean semitones spanned."""
+    d = iv.filter(F.col("delta").isNotNull() & (F.col("delta") != 0)).withColumn("_sg", F.signum("delta"))
+    w = Window.partitionBy(piece, part).orderBy(*order)
+    turn = F.when(F.lag("_sg").over(w).isNull() | (F.lag("_sg").over(w) != F.col("_sg")), 1).otherwise(0)
+    d = d.withColumn("_arc", F.sum(turn).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    arcs = d.groupBy(piece, part, "_arc").agg(F.count(F.lit(1)).alias("_n"), F.abs(F.sum("delta")).alias("_size"))
+    return arcs.groupBy(piece).agg(r6(F.avg("_n")).alias("DurationOfMelodicArcs"),
+                                   r6(F.avg("_size")).alias("SizeOfMelodicArcs"))
+
+
+def attack_spacing(notes: DataFrame, piece: str = "piece_id", part: str = "part") -> DataFrame:
+    """M9: mean / population std of the time between distinct attacks, for the
+    whole piece and per voice (then averaged over voices)."""
+    def gaps(keys):
+        o = notes.select(*keys, "onset").distinct()
+        w = Window.partitionBy(*keys).orderBy("onset")
+        return o.select(*keys, (F.col("onset") - F.lag("onset").over(w)).alias("_g")).filter(F.col("_g").isNotNull())
+    whole = gaps([piece]).groupBy(piece).agg(r6(F.avg("_g")).alias("AverageTimeBetweenAttacks"),
+                                             r6(F.stddev_pop("_g")).alias("VariabilityOfTimeBetweenAttacks"))
+    voice = (gaps([piece, part]).groupBy(piece, part).agg(F.avg("_g").alias("_a"), F.stddev_pop("_g").alias("_s"))
+             .groupBy(piece).agg(r6(F.avg("_a")).alias("AverageTimeBetweenAttacksForEachVoice"),
+                                 r6(F.avg("_s")).alias("AverageVariabilityOfTimeBetweenAttacksForEachVoice")))
+    return whole.join(voice, piece, "full")
+
+
+def voice_counts(notes: DataFrame, piece: str = "piece_id", part: str = "part") -> DataFrame:
+    """Number of parts sounding at once.  Each part's notes are merged
+    into sounding spans (gaps and islands), span starts / ends become +1 / -1
+    events netted per time, and a running sum gives the voice count between
+    events: maximum, time-weighted mean and time-weighted std."""
+    end = F.col("onset") + F.col("dur")
+    w = Window.partitionBy(piece, part).orderBy("onset", "note_id")
+    prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    n = notes.withColumn("_new", F.when(prev_end.isNull() | (F.col("onset") > prev_end), 1).otherwise(0))
+    n = n.withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = n.groupBy(piece, part, "_isl").agg(F.min("onset").alias("_s"), F.max(end).alias("_e"))
+    ev = spans.select(piece, F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit(1).alias("d")),
+                                               F.struct(F.col("_e").alias("t"), F.lit(-1).alias("d")))).alias("_x"))
+    net = ev.groupBy(piece, F.col("_x.t").alias("t")).agg(F.sum("_x.d").alias("_d"))
+    wt = Window.partitionBy(piece).orderBy("t")
+    steps = net.select(piece, "t", F.sum("_d").over(wt.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                       .alias("_v"), (F.lead("t").over(wt) - F.col("t")).alias("_len"))
+    steps = steps.filter(F.col("_len").isNotNull())
+    mean = F.sum(F.col("_v") * F.col("_len")).over(Window.partitionBy(piece)) / F.sum("_len").over(
+        Window.partitionBy(piece))
+    steps = steps.withColumn("_m", mean)
+    return steps.groupBy(piece).agg(
+        F.max("_v").alias("MaximumNumberOfIndependentVoices"), r6(F.max("_m")).alias("AverageNumberOfIndependentVoices"),
+        r6(F.sqrt(F.sum(F.col("_len") * (F.col("_v") - F.col("_m")) ** 2) / F.sum("_len")))
+        .alias("VariabilityOfNumberOfIndependentVoices"))
+
+
+def meter_features(meta: DataFrame, piece: str = "piece_id") -> DataFrame:
+    """M11 over meta events ``(piece, onset, event_id, kind, bpm, num, den)``:
+    first tempo, first time signature (num / den, null on a zero
+    denominator), compound (num >= 6 and divisible by 3), triple (num = 3),
+    quintuple (num = 5) and whether the signature ever changes."""
+    order = F.struct("onset", "event_id")
+    tempo = meta.filter(F.col("kind") == "tempo").groupBy(piece).agg(F.min_by("bpm", order).alias("InitialTempo"))
+    ts = meta.filter(F.col("kind") == "timesig")
+    first = ts.groupBy(piece).agg(F.min_by(F.struct("num", "den"), order).alias("_f"),
+                                  F.count_distinct("num", "den").alias("_k"))
+    num, den = F.col("_f.num"), F.col("_f.den")
+    sig = first.select(piece, r6(F.try_divide(num.cast("double"), den.cast("double"))).alias("InitialTimeSignature"),
+                       F.when((num >= 6) & (num % 3 == 0), 1).otherwise(0).alias("CompoundOrSimpleMeter"),
+                       F.when(num == 3, 1).otherwise(0).alias("TripleMeter"),
+                       F.when(num == 5, 1).otherwise(0).alias("QuintupleMeter"),
+                       F.when(F.col("_k") > 1, 1).otherwise(0).alias("ChangesOfMeter"))
+    return tempo.join(sig, piece, "full")
+
+
+def _tclass(pcs: Column) -> Column:
+    """Transposition class: smallest sorted transposition of a pitch-class set."""
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(11)),
+                                   lambda t: F.array_sort(F.transform(pcs, lambda p: F.pmod(p + t, F.lit(12))))))
+
+
+def _set_class(pcs: Column) -> Column:
+    """Set class: smallest of the transposition classes of the set and its inversion."""
+    inv = F.transform(pcs, lambda p: F.pmod(-p, F.lit(12)))
+    return F.array_min(F.array(_tclass(pcs), _tclass(inv)))
+
+
+def simultaneities(notes: DataFrame, slice_col: str, piece: str = "piece_id") -> DataFrame:
+    """M13 / M14 input: the sorted pitch-class set of every slice (at most 12
+    values per slice, so the per-slice set is bounded) with its set class and
+    transposition class."""
+    s = notes.groupBy(piece, slice_col).agg(F.array_sort(F.collect_set(F.pmod("pitch", F.lit(12)))).alias("pcs"))
+    return s.withColumn("set_class", _set_class(F.col("pcs"))).withColumn("t_class", _tclass(F.col("pcs")))
+
+
+def simultaneity_features(sl: DataFrame, piece: str = "piece_id") -> DataFrame:
+    """M13 + M14 from :func:`simultaneities`."""
+    def top_share(col):
+        c = sl.groupBy(piece, col).agg(F.count(F.lit(1)).alias("_c"))
+        return c.groupBy(piece).agg(F.count(F.lit(1)).alias("_u"), F.max("_c").alias("_m"), F.sum("_c").alias("_t"))
+    pc, sc = top_share("pcs"), top_share("set_class")
+    base = (pc.select(piece, F.col("_u").alias("UniquePitchClassSetSimultaneities"),
+                      r6(F.col("_m") / F.col("_t")).alias("MostCommonPitchClassSetSimultaneityPrevalence"))
+            .join(sc.select(piece, F.col("_u").alias("UniqueSetClassSimultaneities"),
+                            r6(F.col("_m") / F.col("_t")).alias("MostCommonSetClassSimultaneityPrevalence")), piece))
+    # transposition classes of the chord types (constant-folded by Catalyst)
+    classes = {name: _tclass(F.array(*[F.lit(x) for x in v])) for name, v in CHORDS.items()}
+    tc = F.col("t_class")
+    aggs = [r6(F.avg(F.when(tc == classes[n], 1.0).otherwise(0.0))).alias(f"{n}SimultaneityPrevalence")
+            for n in ("MajorTriad", "MinorTriad", "DominantSeventh", "DiminishedTriad", "DiminishedSeventh")]
+    triad = F.when(tc.isin(*[classes[n] for n in ("MajorTriad", "MinorTriad", "DiminishedTriad", "AugmentedTriad")]),
+                   1.0).otherwise(0.0)
+    aggs.append(r6(F.avg(triad)).alias("TriadSimultaneityPrevalence"))
+    return base.join(sl.groupBy(piece).agg(*aggs), piece)
+
+
+def key_profile_table(spark) -> DataFrame:
+    """The 24 keys x 12 pitch classes profile table (288 rows, built by rotation)."""
+    rows = [(mode * 12 + tonic, mode, tonic, pc, prof[(pc - tonic) % 12])
+            for mode, prof in enumerate((KK_MAJOR, KK_MINOR)) for tonic in range(12) for pc in range(12)]
+    return spark.createDataFrame(rows, "key int, mode int, tonic int, pc int, weight double")
+
+
+def key_features(notes: DataFrame, piece: str = "piece_id") -> DataFrame:
+    """Duration per pitch class (12 bins, 0 when absent) correlated with
+    the 24 rotated key profiles (a fixed 288-row table, broadcast); the best
+    key (ties to the lowest key id) gives QualityFeature (0 major, 1 minor)
+    and TonalCertainty (its correlation)."""
+    bins = notes.groupBy(piece, F.pmod("pitch", F.lit(12)).alias("pc")).agg(F.sum("dur").alias("_d"))
+    grid = notes.select(piece).distinct().withColumn("pc", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    vec = grid.join(bins, [piece, "pc"], "left").fillna(0.0, subset=["_d"])
+    prof = F.broadcast(key_profile_table(notes.sparkSession))
+    c = vec.join(prof, "pc").groupBy(piece, "key", "mode").agg(F.corr("_d", "weight").alias("_r"))
+    best = c.filter(F.col("_r").isNotNull()).groupBy(piece).agg(
+        F.max_by(F.struct("mode", "_r"), F.struct(F.col("_r"), -F.col("key"))).alias("_b"))
+    return best.select(piece, F.col("_b.mode").alias("QualityFeature"), r6("_b._r").alias("TonalCertainty"))

@@ -68,7 +68,7 @@ def a05_column_stats_embeddings(spark, sf):
 # ---- A6 / A7 histograms --------------------------------------------------------------------
 def _hist_sql(src: str, g: str, v: str, lo: float, width: float, nbins: int) -> str:
     hi = lo + width * nbins
-    return f"""SELECT grid.{g}, grid.bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+    return f"""SELECT grid.{g}, CAST(grid.bin AS INTEGER) AS bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
   round(coalesce(c.cnt, 0) / grid.t, 6) AS share
 FROM (SELECT {g}, t, unnest(range({nbins})) AS bin FROM
       (SELECT {g}, count(*) AS t FROM {src} WHERE {v} >= {lo} AND {v} <= {hi} GROUP BY 1)) grid
@@ -334,7 +334,7 @@ def _r6(x: str) -> str:
 
 
 @register("a08_object_features", _q(f"""
-SELECT g.video_id, g.category, {_r6("coalesce(c.cnt, 0) / g.n_frames")} AS labels_freq,
+SELECT g.video_id, CAST(g.category AS INTEGER) AS category, {_r6("coalesce(c.cnt, 0) / g.n_frames")} AS labels_freq,
   {_r6("coalesce(c.sc / c.cnt, 0.0)")} AS labels_avg_confidence,
   {_r6("coalesce(c.sa, 0) / 90000.0::DOUBLE / g.n_frames")} AS labels_area_ratio
 FROM (SELECT video_id, n - {W} + 1 AS n_frames, unnest(range(1, 13)) AS category FROM nf WHERE n >= {W}) g
@@ -348,7 +348,7 @@ def a08_object_features(spark, sf):
 
 
 @register("a09_object_features_per_frame", _q(f"""
-SELECT g.video_id, g.group_start, g.category, CAST(coalesce(c.cnt, 0) AS BIGINT) AS freq,
+SELECT g.video_id, g.group_start, CAST(g.category AS INTEGER) AS category, CAST(coalesce(c.cnt, 0) AS BIGINT) AS freq,
   {_r6("coalesce(c.sc / c.cnt, 0.0)")} AS avg_confidence, {_r6("coalesce(c.sa, 0) / 90000.0::DOUBLE")} AS area_ratio
 FROM (SELECT video_id, unnest(range(0, n - {W} + 1)) AS group_start FROM nf WHERE n >= {W}) f,
      LATERAL (SELECT f.video_id, f.group_start, unnest(range(1, 13)) AS category) g

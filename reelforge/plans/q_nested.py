@@ -115,7 +115,8 @@ def _s8_sql() -> str:
     a08 = _ORACLE["a08_object_features"]
     cols = ", ".join(f"max(CASE WHEN category = {i} THEN v END) AS \"{n}\""
                      for i, n in enumerate(SUPER_CATEGORY_NAMES, start=1))
-    body = a08.replace("\nSELECT g.video_id, g.category,", "\n, a8 AS (SELECT g.video_id, g.category,", 1)
+    body = a08.replace("\nSELECT g.video_id, CAST(g.category AS INTEGER) AS category,",
+                       "\n, a8 AS (SELECT g.video_id, CAST(g.category AS INTEGER) AS category,", 1)
     return (body + f""")
 SELECT video_id, metric, {cols} FROM (
   SELECT video_id, category, 'labels_freq' AS metric, labels_freq AS v FROM a8 UNION ALL

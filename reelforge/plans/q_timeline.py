@@ -194,3 +194,155 @@ WHERE rank <= 4"""))
 def a14_measure_pitch_weights(spark, sf):
     n = _notes(spark, sf).withColumn("measure", F.floor("onset"))
     return N.measure_pitch_weights(n, "piece_id", "measure", 4)
+
+
+# ---- M2 / M4 / M9 / M10 / M11 / M13 / M14 / M15 -------------------------------------------------
+@register("m02_interval_histogram", _n(f"""SELECT piece_id, abs(delta) AS interval, count(*) AS count,
+  {_r6('count(*) / sum(count(*)) OVER (PARTITION BY piece_id)')} AS share FROM iv WHERE delta IS NOT NULL
+GROUP BY 1, 2""", iv=_IV_SQL))
+def m02_interval_histogram(spark, sf):
+    return N.interval_histogram(N.with_intervals(_notes(spark, sf)))
+
+
+@register("m02_interval_features", _n(f"""SELECT piece_id, max(CASE WHEN rn = 1 THEN v END) AS MostCommonMelodicInterval,
+  {_r6('max(CASE WHEN rn = 1 THEN c / t END)')} AS MostCommonMelodicIntervalPrevalence,
+  abs(max(CASE WHEN rn = 1 THEN v END) - max(CASE WHEN rn = 2 THEN v END)) AS DistanceBetweenMostCommonMelodicIntervals,
+  {_r6('max(CASE WHEN rn = 2 THEN c END) / max(CASE WHEN rn = 1 THEN c END)')} AS RelativeStrengthOfMostCommonIntervals,
+  count(*) FILTER (WHERE c / t >= {N.COMMON_SHARE}) AS NumberOfCommonMelodicIntervals
+FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY c DESC, v) AS rn, sum(c) OVER (PARTITION BY piece_id) AS t
+      FROM (SELECT piece_id, abs(delta) AS v, count(*) AS c FROM iv WHERE delta IS NOT NULL GROUP BY 1, 2)) GROUP BY 1""",
+                                          iv=_IV_SQL))
+def m02_interval_features(spark, sf):
+    return N.interval_features(N.with_intervals(_notes(spark, sf)))
+
+
+@register("m04_melodic_arcs", _n(f"""SELECT piece_id, {_r6('avg(n)')} AS DurationOfMelodicArcs,
+  {_r6('avg(size)')} AS SizeOfMelodicArcs FROM (
+  SELECT piece_id, part, arc, count(*) AS n, abs(sum(delta)) AS size FROM (
+    SELECT *, sum(turn) OVER (PARTITION BY piece_id, part ORDER BY onset, note_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS arc FROM (
+      SELECT *, CASE WHEN lag(sg) OVER w IS NULL OR lag(sg) OVER w <> sg THEN 1 ELSE 0 END AS turn FROM (
+        SELECT *, sign(delta) AS sg FROM iv WHERE delta IS NOT NULL AND delta <> 0)
+      WINDOW w AS (PARTITION BY piece_id, part ORDER BY onset, note_id)))
+  GROUP BY 1, 2, 3) GROUP BY 1""", iv=_IV_SQL))
+def m04_melodic_arcs(spark, sf):
+    return N.melodic_arcs(N.with_intervals(_notes(spark, sf)))
+
+
+@register("m09_attack_spacing", _n(f"""SELECT piece_id, w.AverageTimeBetweenAttacks, w.VariabilityOfTimeBetweenAttacks,
+  v.AverageTimeBetweenAttacksForEachVoice, v.AverageVariabilityOfTimeBetweenAttacksForEachVoice
+FROM (SELECT piece_id, {_r6('avg(g)')} AS AverageTimeBetweenAttacks, {_r6('stddev_pop(g)')} AS VariabilityOfTimeBetweenAttacks
+      FROM (SELECT piece_id, onset - lag(onset) OVER (PARTITION BY piece_id ORDER BY onset) AS g
+            FROM (SELECT DISTINCT piece_id, onset FROM notes)) WHERE g IS NOT NULL GROUP BY 1) w
+FULL JOIN (SELECT piece_id, {_r6('avg(a)')} AS AverageTimeBetweenAttacksForEachVoice,
+                  {_r6('avg(s)')} AS AverageVariabilityOfTimeBetweenAttacksForEachVoice
+           FROM (SELECT piece_id, part, avg(g) AS a, stddev_pop(g) AS s
+                 FROM (SELECT piece_id, part, onset - lag(onset) OVER (PARTITION BY piece_id, part ORDER BY onset) AS g
+                       FROM (SELECT DISTINCT piece_id, part, onset FROM notes)) WHERE g IS NOT NULL GROUP BY 1, 2)
+           GROUP BY 1) v USING (piece_id)"""))
+def m09_attack_spacing(spark, sf):
+    return N.attack_spacing(_notes(spark, sf))
+
+
+@register("m10_voice_counts", _n(f"""SELECT piece_id, CAST(max(v) AS BIGINT) AS MaximumNumberOfIndependentVoices,
+  {_r6('max(m)')} AS AverageNumberOfIndependentVoices,
+  {_r6('sqrt(sum(len * pow(v - m, 2)) / sum(len))')} AS VariabilityOfNumberOfIndependentVoices
+FROM (SELECT *, sum(v * len) OVER (PARTITION BY piece_id) / sum(len) OVER (PARTITION BY piece_id) AS m FROM (
+  SELECT piece_id, t, sum(d) OVER (PARTITION BY piece_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v,
+         lead(t) OVER (PARTITION BY piece_id ORDER BY t) - t AS len
+  FROM (SELECT piece_id, t, sum(d) AS d FROM (
+          SELECT piece_id, s AS t, 1 AS d FROM sp UNION ALL SELECT piece_id, e, -1 FROM sp) GROUP BY 1, 2))
+  WHERE len IS NOT NULL)
+GROUP BY 1""", n1="""SELECT *, onset + dur AS e, max(onset + dur) OVER (PARTITION BY piece_id, part ORDER BY onset, note_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM notes""",
+                                    n2="""SELECT *, sum(CASE WHEN pe IS NULL OR onset > pe THEN 1 ELSE 0 END) OVER (
+  PARTITION BY piece_id, part ORDER BY onset, note_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM n1""",
+                                    sp="SELECT piece_id, part, isl, min(onset) AS s, max(e) AS e FROM n2 GROUP BY 1, 2, 3"))
+def m10_voice_counts(spark, sf):
+    return N.voice_counts(_notes(spark, sf))
+
+
+def _meta(spark, sf):
+    e = events_k(spark, sf)
+    first = F.min("ts").over(Window.partitionBy("user_id"))
+    k = F.col("k")
+    return e.select(F.col("user_id").alias("piece_id"), "event_id",
+                    (F.timestamp_diff("MICROSECOND", first, F.col("ts")) / 3.6e9).alias("onset"),
+                    F.when(F.col("event_type") == "signup", "tempo").when(F.col("event_type") == "purchase", "timesig")
+                    .alias("kind"), (60 + k % 120).alias("bpm"), (2 + k % 6).alias("num"),
+                    F.when(k % 7 == 0, 0).when(k % 2 == 0, 4).otherwise(8).alias("den"))
+
+
+_META_SQL = """SELECT user_id AS piece_id, event_id, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 3.6e9 AS onset,
+  CASE WHEN event_type = 'signup' THEN 'tempo' WHEN event_type = 'purchase' THEN 'timesig' END AS kind,
+  60 + k % 120 AS bpm, 2 + k % 6 AS num, CASE WHEN k % 7 = 0 THEN 0 WHEN k % 2 = 0 THEN 4 ELSE 8 END AS den FROM events_k"""
+
+
+@register("m11_meter", with_ctes(f"""SELECT piece_id, tp.InitialTempo, sig.InitialTimeSignature, sig.CompoundOrSimpleMeter,
+  sig.TripleMeter, sig.QuintupleMeter, sig.ChangesOfMeter
+FROM (SELECT piece_id, bpm AS InitialTempo FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, event_id)
+      AS rn FROM meta WHERE kind = 'tempo') WHERE rn = 1) tp
+FULL JOIN (SELECT f.piece_id, {_r6('CASE WHEN f.den = 0 THEN NULL ELSE f.num / f.den END')} AS InitialTimeSignature,
+      CASE WHEN f.num >= 6 AND f.num % 3 = 0 THEN 1 ELSE 0 END AS CompoundOrSimpleMeter,
+      CASE WHEN f.num = 3 THEN 1 ELSE 0 END AS TripleMeter, CASE WHEN f.num = 5 THEN 1 ELSE 0 END AS QuintupleMeter,
+      CASE WHEN c.nk > 1 THEN 1 ELSE 0 END AS ChangesOfMeter
+    FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, event_id) AS rn
+          FROM meta WHERE kind = 'timesig') WHERE rn = 1) f
+    JOIN (SELECT piece_id, count(DISTINCT (num, den)) AS nk FROM meta WHERE kind = 'timesig' GROUP BY 1) c
+    USING (piece_id)) sig USING (piece_id)""", events_k=EVENTS_K_SQL, meta=_META_SQL))
+def m11_meter(spark, sf):
+    return N.meter_features(_meta(spark, sf))
+
+
+_TCLASS_SQL = "list_min(list_transform(range(12), lambda t: list_sort(list_transform({x}, lambda p: (p + t) % 12))))"
+_SLICES_SQL = f"""SELECT piece_id, slice, pcs, {_TCLASS_SQL.format(x='pcs')} AS t_class,
+  CAST(list_min([{_TCLASS_SQL.format(x="pcs")}, {_TCLASS_SQL.format(x="list_transform(pcs, lambda p: (12 - p) % 12)")}]) AS INTEGER[]) AS set_class
+FROM (SELECT piece_id, CAST(floor(onset / 24) AS BIGINT) AS slice, list_sort(list_distinct(list(pitch % 12))) AS pcs
+      FROM notes GROUP BY 1, 2)"""
+
+
+def _chord_sql(name):
+    lit = "[" + ", ".join(map(str, N.CHORDS[name])) + "]"
+    return _TCLASS_SQL.format(x=lit)
+
+
+@register("m13_simultaneities", _n(f"""SELECT piece_id, a.u1 AS UniquePitchClassSetSimultaneities,
+  {_r6('a.m1 / a.t1')} AS MostCommonPitchClassSetSimultaneityPrevalence,
+  b.u2 AS UniqueSetClassSimultaneities, {_r6('b.m2 / b.t2')} AS MostCommonSetClassSimultaneityPrevalence,
+  {_r6("avg(CASE WHEN t_class = " + _chord_sql('MajorTriad') + " THEN 1.0 ELSE 0.0 END)")} AS MajorTriadSimultaneityPrevalence,
+  {_r6("avg(CASE WHEN t_class = " + _chord_sql('MinorTriad') + " THEN 1.0 ELSE 0.0 END)")} AS MinorTriadSimultaneityPrevalence,
+  {_r6("avg(CASE WHEN t_class = " + _chord_sql('DominantSeventh') + " THEN 1.0 ELSE 0.0 END)")} AS DominantSeventhSimultaneityPrevalence,
+  {_r6("avg(CASE WHEN t_class = " + _chord_sql('DiminishedTriad') + " THEN 1.0 ELSE 0.0 END)")} AS DiminishedTriadSimultaneityPrevalence,
+  {_r6("avg(CASE WHEN t_class = " + _chord_sql('DiminishedSeventh') + " THEN 1.0 ELSE 0.0 END)")} AS DiminishedSeventhSimultaneityPrevalence,
+  {_r6("avg(CASE WHEN t_class IN (" + ", ".join(_chord_sql(n) for n in ('MajorTriad', 'MinorTriad', 'DiminishedTriad', 'AugmentedTriad')) + ") THEN 1.0 ELSE 0.0 END)")} AS TriadSimultaneityPrevalence
+FROM sl JOIN (SELECT piece_id, count(*) AS u1, max(c) AS m1, sum(c) AS t1 FROM
+              (SELECT piece_id, pcs, count(*) AS c FROM sl GROUP BY 1, 2) GROUP BY 1) a USING (piece_id)
+JOIN (SELECT piece_id, count(*) AS u2, max(c) AS m2, sum(c) AS t2 FROM
+      (SELECT piece_id, set_class, count(*) AS c FROM sl GROUP BY 1, 2) GROUP BY 1) b USING (piece_id)
+GROUP BY piece_id, a.u1, a.m1, a.t1, b.u2, b.m2, b.t2""", sl=_SLICES_SQL))
+def m13_simultaneities(spark, sf):
+    n = _notes(spark, sf).withColumn("slice", F.floor(F.col("onset") / 24))  # one slice per day
+    return N.simultaneity_features(N.simultaneities(n, "slice"))
+
+
+@register("m13_slice_sets", _n("SELECT piece_id, slice, pcs, set_class FROM sl", sl=_SLICES_SQL))
+def m13_slice_sets(spark, sf):
+    n = _notes(spark, sf).withColumn("slice", F.floor(F.col("onset") / 24))
+    return N.simultaneities(n, "slice").select("piece_id", "slice", "pcs", "set_class")
+
+
+_PROF_SQL = ("SELECT CAST(mode * 12 + tonic AS INTEGER) AS key, CAST(mode AS INTEGER) AS mode, pc, CASE WHEN mode = 0 THEN "
+             + "(" + "[" + ", ".join(map(str, N.KK_MAJOR)) + "]::DOUBLE[])" + "[((pc - tonic + 12) % 12) + 1] ELSE "
+             + "(" + "[" + ", ".join(map(str, N.KK_MINOR)) + "]::DOUBLE[])" + "[((pc - tonic + 12) % 12) + 1] END AS weight "
+             + "FROM range(2) m(mode), range(12) t(tonic), range(12) p(pc)")
+
+
+@register("m15_key_profiles", _n(f"""SELECT piece_id, mode AS QualityFeature, {_r6('r')} AS TonalCertainty FROM (
+  SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY r DESC, key) AS rn FROM (
+    SELECT v.piece_id, p.key, p.mode, corr(v.d, p.weight) AS r
+    FROM (SELECT g.piece_id, g.pc, coalesce(b.d, 0.0) AS d
+          FROM (SELECT DISTINCT piece_id, unnest(range(12)) AS pc FROM notes) g
+          LEFT JOIN (SELECT piece_id, pitch % 12 AS pc, sum(dur) AS d FROM notes GROUP BY 1, 2) b USING (piece_id, pc)) v
+    JOIN prof p USING (pc) GROUP BY 1, 2, 3) WHERE r IS NOT NULL) WHERE rn = 1""", prof=_PROF_SQL))
+def m15_key_profiles(spark, sf):
+    return N.key_features(_notes(spark, sf))
