@@ -63,11 +63,12 @@ def melodic_features(iv: DataFrame, piece: str = "piece_id") -> DataFrame:
         r6(F.try_divide(F.count(F.when(d > 0, 1)), F.count(F.when(d != 0, 1)))).alias("DirectionOfMotion"))
 
 
-def top_two(values: DataFrame, piece: str, value: str, prefix: str) -> DataFrame:
+def top_two(values: DataFrame, piece: str, value: str, prefix: str, plural: str | None = None) -> DataFrame:
     """M5 / M6 / M12 pattern: histogram of ``value`` per piece, most common
     (ties to the lowest value), its prevalence, second-to-first strength,
     distance of the two strongest, number of values with share >= 0.09 and
     the variety (distinct values).  Two small aggregates, no collect."""
+    pl = plural or prefix + "s"
     h = values.groupBy(piece, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(piece).orderBy(F.col("_c").desc(), F.col(value))
     r = h.withColumn("_r", F.row_number().over(w)).withColumn("_t", F.sum("_c").over(Window.partitionBy(piece)))
@@ -75,10 +76,10 @@ def top_two(values: DataFrame, piece: str, value: str, prefix: str) -> DataFrame
         F.max(F.when(F.col("_r") == 1, F.col(value))).alias(f"MostCommon{prefix}"),
         r6(F.max(F.when(F.col("_r") == 1, F.col("_c") / F.col("_t")))).alias(f"MostCommon{prefix}Prevalence"),
         r6(F.max(F.when(F.col("_r") == 2, F.col("_c"))) / F.max(F.when(F.col("_r") == 1, F.col("_c"))))
-        .alias(f"RelativeStrengthOfTop{prefix}s"),
+        .alias(f"RelativeStrengthOfTop{pl}"),
         F.abs(F.max(F.when(F.col("_r") == 1, F.col(value))) - F.max(F.when(F.col("_r") == 2, F.col(value))))
-        .alias(f"IntervalBetweenStrongest{prefix}s"),
-        F.count(F.when(F.col("_c") / F.col("_t") >= COMMON_SHARE, 1)).alias(f"NumberOfCommon{prefix}s"),
+        .alias(f"IntervalBetweenStrongest{pl}"),
+        F.count(F.when(F.col("_c") / F.col("_t") >= COMMON_SHARE, 1)).alias(f"NumberOfCommon{pl}"),
         F.count(F.lit(1)).alias(f"{prefix}Variety"))
 
 
@@ -290,3 +291,40 @@ def key_features(notes: DataFrame, piece: str = "piece_id") -> DataFrame:
     best = c.filter(F.col("_r").isNotNull()).groupBy(piece).agg(
         F.max_by(F.struct("mode", "_r"), F.struct(F.col("_r"), -F.col("key"))).alias("_b"))
     return best.select(piece, F.col("_b.mode").alias("QualityFeature"), r6("_b._r").alias("TonalCertainty"))
+
+
+def feature_source(name: str) -> str | None:
+    """Column of the M operators that feeds a symbolic feature name (None for
+    the names that are not built: they stay null columns)."""
+    from reelforge.functions.names import SYMBOLIC_NOT_BUILT
+    if name in SYMBOLIC_NOT_BUILT:
+        return None
+    if name.endswith("Feature") and name != "QualityFeature":
+        return name[: -len("Feature")]
+    return name
+
+
+def symbolic_feature_table(notes: DataFrame, meta: DataFrame, slice_col: str = "slice", piece: str = "piece_id",
+                           drop: str | None = None) -> DataFrame:
+    """The symbolic feature table: one row per piece, the 73 named features
+    in their fixed order (F9 select list; ``drop`` removes one name), every
+    M operator joined on the piece id (all inputs are one row per piece),
+    null columns for the features that are not built."""
+    from reelforge.functions.names import symbolic_feature_names
+    iv = with_intervals(notes, piece)
+    parts = [melodic_features(iv, piece), interval_features(iv, piece), melodic_arcs(iv, piece),
+             top_two(notes.select(piece, F.col("pitch").alias("v")), piece, "v", "Pitch", "Pitches"),
+             top_two(notes.select(piece, F.pmod("pitch", F.lit(12)).alias("v")), piece, "v", "PitchClass",
+                     "PitchClasses"),
+             register_features(notes, piece), duration_features(notes, piece), attack_spacing(notes, piece),
+             voice_counts(notes, piece), meter_features(meta, piece), quarter_length_features(notes, piece),
+             simultaneity_features(simultaneities(notes, slice_col, piece), piece), key_features(notes, piece)]
+    out = notes.select(piece).distinct()
+    for p in parts:
+        out = out.join(p, piece, "left")
+    cols = []
+    for name in symbolic_feature_names(drop):
+        src = feature_source(name)
+        c = F.col(f"`{src}`").cast("double") if src is not None else F.lit(None).cast("double")
+        cols.append(c.alias(name))
+    return out.select(piece, *cols)

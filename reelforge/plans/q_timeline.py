@@ -138,26 +138,38 @@ def m01_melodic_intervals(spark, sf):
     return N.melodic_features(N.with_intervals(_notes(spark, sf)))
 
 
-def _top_sql(v: str, p: str) -> str:
+def _top_sql(v: str, p: str, pl: str) -> str:
     return _n(f"""SELECT piece_id, max(CASE WHEN rn = 1 THEN v END) AS MostCommon{p},
   {_r6('max(CASE WHEN rn = 1 THEN c / t END)')} AS MostCommon{p}Prevalence,
-  {_r6('max(CASE WHEN rn = 2 THEN c END) / max(CASE WHEN rn = 1 THEN c END)')} AS RelativeStrengthOfTop{p}s,
-  abs(max(CASE WHEN rn = 1 THEN v END) - max(CASE WHEN rn = 2 THEN v END)) AS IntervalBetweenStrongest{p}s,
-  count(*) FILTER (WHERE c / t >= {N.COMMON_SHARE}) AS NumberOfCommon{p}s, count(*) AS {p}Variety
+  {_r6('max(CASE WHEN rn = 2 THEN c END) / max(CASE WHEN rn = 1 THEN c END)')} AS RelativeStrengthOfTop{pl},
+  abs(max(CASE WHEN rn = 1 THEN v END) - max(CASE WHEN rn = 2 THEN v END)) AS IntervalBetweenStrongest{pl},
+  count(*) FILTER (WHERE c / t >= {N.COMMON_SHARE}) AS NumberOfCommon{pl}, count(*) AS {p}Variety
 FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY c DESC, v) AS rn,
              sum(c) OVER (PARTITION BY piece_id) AS t
       FROM (SELECT piece_id, {v} AS v, count(*) AS c FROM notes GROUP BY 1, 2)) GROUP BY 1""")
 
 
-@register("m05_pitch_stats", _top_sql("pitch", "Pitch"))
+@register("m05_pitch_stats", _top_sql("pitch", "Pitch", "Pitches"))
 def m05_pitch_stats(spark, sf):
-    return N.top_two(_notes(spark, sf).select("piece_id", F.col("pitch").alias("v")), "piece_id", "v", "Pitch")
+    return N.top_two(_notes(spark, sf).select("piece_id", F.col("pitch").alias("v")), "piece_id", "v", "Pitch",
+                     "Pitches")
 
 
-@register("m06_pitch_class_stats", _top_sql("pitch % 12", "PitchClass"))
+@register("m06_pitch_class_stats", _top_sql("pitch % 12", "PitchClass", "PitchClasses"))
 def m06_pitch_class_stats(spark, sf):
     n = _notes(spark, sf).select("piece_id", F.pmod("pitch", F.lit(12)).alias("v"))
-    return N.top_two(n, "piece_id", "v", "PitchClass")
+    return N.top_two(n, "piece_id", "v", "PitchClass", "PitchClasses")
+
+
+@register("m12_quarter_lengths", _n(f"""SELECT piece_id, t.UniqueNoteQuarterLengths, t.MostCommonNoteQuarterLength,
+  t.MostCommonNoteQuarterLengthPrevalence, r.RangeOfNoteQuarterLengths
+FROM (SELECT piece_id, count(*) AS UniqueNoteQuarterLengths, max(CASE WHEN rn = 1 THEN v END) AS MostCommonNoteQuarterLength,
+             {_r6('max(CASE WHEN rn = 1 THEN c / t END)')} AS MostCommonNoteQuarterLengthPrevalence
+      FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY c DESC, v) AS rn, sum(c) OVER (PARTITION BY piece_id) AS t
+            FROM (SELECT piece_id, ql AS v, count(*) AS c FROM notes GROUP BY 1, 2)) GROUP BY 1) t
+JOIN (SELECT piece_id, max(ql) - min(ql) AS RangeOfNoteQuarterLengths FROM notes GROUP BY 1) r USING (piece_id)"""))
+def m12_quarter_lengths(spark, sf):
+    return N.quarter_length_features(_notes(spark, sf))
 
 
 @register("m07_register", _n(f"""SELECT piece_id, max(pitch) - min(pitch) AS Range, {_r6('avg(pitch)')} AS PrimaryRegister,
@@ -346,3 +358,34 @@ _PROF_SQL = ("SELECT CAST(mode * 12 + tonic AS INTEGER) AS key, CAST(mode AS INT
     JOIN prof p USING (pc) GROUP BY 1, 2, 3) WHERE r IS NOT NULL) WHERE rn = 1""", prof=_PROF_SQL))
 def m15_key_profiles(spark, sf):
     return N.key_features(_notes(spark, sf))
+
+
+# ---- symbolic feature table (M1-M16 assembled) and F9 --------------------------------------------
+_PARTS = ["m01_melodic_intervals", "m02_interval_features", "m04_melodic_arcs", "m05_pitch_stats",
+          "m06_pitch_class_stats", "m07_register", "m08_durations", "m09_attack_spacing", "m10_voice_counts",
+          "m11_meter", "m12_quarter_lengths", "m13_simultaneities", "m15_key_profiles"]
+
+
+def _symbolic_sql(drop: str | None = None) -> str:
+    from reelforge.functions.names import symbolic_feature_names
+    from reelforge.plans.registry import _ORACLE
+    sel = ", ".join(
+        (f'CAST("{N.feature_source(n)}" AS DOUBLE)' if N.feature_source(n) else "CAST(NULL AS DOUBLE)") + f' AS "{n}"'
+        for n in symbolic_feature_names(drop))
+    joins = " ".join(f"LEFT JOIN ({_ORACLE[k]}) {k} USING (piece_id)" for k in _PARTS)
+    return f"SELECT piece_id, {sel} FROM (SELECT DISTINCT user_id AS piece_id FROM events) b {joins}"
+
+
+@register("m00_symbolic_feature_table", _symbolic_sql())
+def m00_symbolic_feature_table(spark, sf):
+    n = _notes(spark, sf).withColumn("slice", F.floor(F.col("onset") / 24))
+    return N.symbolic_feature_table(n, _meta(spark, sf), "slice")
+
+
+F09_DROP = "TonalCertainty"
+
+
+@register("f09_allowed_features", _symbolic_sql(F09_DROP))
+def f09_allowed_features(spark, sf):
+    n = _notes(spark, sf).withColumn("slice", F.floor(F.col("onset") / 24))
+    return N.symbolic_feature_table(n, _meta(spark, sf), "slice", drop=F09_DROP)
