@@ -17,18 +17,27 @@ from pyspark.sql import functions as F
 from reelforge.functions.scalar import angle_diff, r6
 
 
-def column_stats(long: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
+def column_stats(long: DataFrame, group: Sequence[str], value: str = "value", strategy: str = "window") -> DataFrame:
     """A5: per group (e.g. video x feature): mean, population std,
     std / (median + 0.0001) and the mean of the top 10 % values
     (``k = floor(n / 10)``, all rows when ``k = 0``, as the original).
 
-    The exact median and the top-k share one sort-based window pass (spills
-    to disk, never materialises a group in memory); the rest are partial
-    aggregates."""
+    The exact median and the top-k need each value's rank in its group:
+    ``strategy='window'`` ranks with one sort-based window per group (spills,
+    never holds a group in memory, but a group is one task);
+    ``strategy='range'`` ranks with :func:`~reelforge.operators.sequence.exact_ranks`,
+    which splits a hot group over many tasks.  Everything else is a partial
+    aggregate."""
     g = list(group)
-    w = Window.partitionBy(*g).orderBy(F.col(value))
-    ranked = long.select(*g, value, F.row_number().over(w).alias("_r"),
-                         F.count(F.lit(1)).over(Window.partitionBy(*g)).alias("_n"))
+    if strategy == "range":
+        from reelforge.operators.sequence import exact_ranks
+        ranked = exact_ranks(long.select(*g, value), g, value)
+    elif strategy == "window":
+        w = Window.partitionBy(*g).orderBy(F.col(value))
+        ranked = long.select(*g, value, F.row_number().over(w).alias("_r"),
+                             F.count(F.lit(1)).over(Window.partitionBy(*g)).alias("_n"))
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     n, r = F.col("_n"), F.col("_r")
     k = F.floor(n / 10)
     k = F.when(k == 0, n).otherwise(k)

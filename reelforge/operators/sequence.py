@@ -75,3 +75,23 @@ def blocked_running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: Col
         Window.partitionBy(*k).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"))
     return (d.withColumn("_loc", local).join(carry, [*k, "_blk"])
             .withColumn(out, (F.col("_c") + F.col("_loc")).cast("long")).drop("_v", "_blk", "_loc", "_c"))
+
+
+def exact_ranks(df: DataFrame, group: Sequence[str], value: str, out: str = "_r", n_out: str = "_n",
+                partitions: int | None = None) -> DataFrame:
+    """Exact 1-based rank of ``value`` inside its group (ties broken
+    arbitrarily but consistently) and the group size, without sorting a
+    group in one task: rows are range-partitioned on (group, value), so a
+    hot group spans many partitions; ranks are local ranks plus the counts
+    of the same group in earlier partitions (a small table)."""
+    g = list(group)
+    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 2, 2)
+    d = df.repartitionByRange(n, *g, value).withColumn("_pid", F.spark_partition_id())
+    local = F.row_number().over(Window.partitionBy("_pid", *g).orderBy(value))
+    counts = d.groupBy(*g, "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    wg = Window.partitionBy(*g)
+    offs = counts.select(*g, "_pid", F.coalesce(F.sum("_c").over(
+        wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_c").over(wg).alias(n_out))
+    return (d.withColumn("_l", local).join(offs, [*g, "_pid"])
+            .withColumn(out, (F.col("_off") + F.col("_l")).cast("long")).drop("_pid", "_l", "_off"))

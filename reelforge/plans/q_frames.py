@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelforge.functions import scalar as X
 from reelforge.operators import frames as FR
 from reelforge.operators import objects as OB
-from reelforge.plans.adapters import EVENTS_K_SQL, RECTS_SQL, events_k, rects, with_ctes
+from reelforge.plans.adapters import EVENTS_K_SQL, RECTS_SQL, events_k, rects, sequence_strategy, with_ctes
 from reelforge.plans.registry import register
 from reelforge.session import read_table
 
@@ -52,7 +52,23 @@ def a05_column_stats_frames(spark, sf):
         F.struct(F.lit("pixel").alias("feature"), F.pmod(F.floor("value"), F.lit(256)).cast("double").alias("value")),
         F.struct(F.lit("k").alias("feature"), F.col("k").cast("double").alias("value"))))
     long = s.select("video_id", feats.alias("f")).select("video_id", "f.feature", "f.value")
-    return FR.column_stats(long, ["video_id", "feature"])
+    strategy = "range" if sequence_strategy(spark, sf) == "blocked" else "window"
+    return FR.column_stats(long, ["video_id", "feature"], strategy=strategy)
+
+
+@register("a05_column_stats_frames_range", _q(_A5_SQL.format(g="video_id, feature"), long="""
+SELECT video_id, 'value' AS feature, sqrt(value) AS value FROM seq
+UNION ALL SELECT video_id, 'pixel', CAST(CAST(floor(value) AS BIGINT) % 256 AS DOUBLE) FROM seq
+UNION ALL SELECT video_id, 'k', CAST(k AS DOUBLE) FROM seq"""))
+def a05_column_stats_frames_range(spark, sf):
+    """A5 with the skew-safe ranking forced."""
+    s = _seq(spark, sf)
+    feats = F.explode(F.array(
+        F.struct(F.lit("value").alias("feature"), F.sqrt("value").alias("value")),
+        F.struct(F.lit("pixel").alias("feature"), F.pmod(F.floor("value"), F.lit(256)).cast("double").alias("value")),
+        F.struct(F.lit("k").alias("feature"), F.col("k").cast("double").alias("value"))))
+    long = s.select("video_id", feats.alias("f")).select("video_id", "f.feature", "f.value")
+    return FR.column_stats(long, ["video_id", "feature"], strategy="range")
 
 
 @register("a05_column_stats_embeddings", with_ctes(_A5_SQL.format(g="label, dim"), long="""
@@ -62,7 +78,8 @@ def a05_column_stats_embeddings(spark, sf):
     e = read_table(spark, sf, "embeddings")
     long = e.select("label", F.posexplode("embedding").alias("dim", "value")).withColumn(
         "value", F.col("value").cast("double"))
-    return FR.column_stats(long, ["label", "dim"])
+    # few labels, so each (label, dim) group is large: rank with range partitioning
+    return FR.column_stats(long, ["label", "dim"], strategy="range")
 
 
 # ---- A6 / A7 histograms --------------------------------------------------------------------

@@ -82,3 +82,14 @@ def test_blocked_segmentation_equals_window_on_a_hot_timeline(spark):
     b = SEG.segment_timeline(both, strategy="blocked", span=5000 * 8, block_rows=16).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len(a) > 0
+
+
+def test_range_ranks_equal_window_ranks_with_a_hot_group(spark):
+    from reelforge.operators.sequence import exact_ranks
+    df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("g"),
+                                  (F.col("id") * 7919 % 1013).cast("double").alias("v"))
+    r = exact_ranks(df, ["g"], "v", partitions=16)
+    got = {(x.g, x._r): x.v for x in r.collect()}
+    w = df.withColumn("rk", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+    want = {(x.g, x.rk): x.v for x in w.collect()}
+    assert got == want
