@@ -81,3 +81,10 @@ def test_chunk_name_parse(spark):
     rows = df.select(s.alias("s"), e.alias("e")).collect()
     assert (rows[0].s, rows[0].e) == (5000, 10000)
     assert rows[1].s is None
+
+
+def test_named_extractor(spark):
+    from reelforge.operators.extract import extract_with
+    df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 2.0)], "item_id long, x double")
+    got = {r.item_id: (r.n, r.energy) for r in extract_with(df, "item_id", "sample_energy").collect()}
+    assert got == {1: (2, 5.0), 2: (1, 4.0)}
