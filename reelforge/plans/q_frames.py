@@ -219,9 +219,12 @@ _ACC_SQL = """SELECT video_id, min(ts_ms) AS ts_ms FROM cand WHERE ts_ms > 1100
   GROUP BY c.video_id"""
 
 
-def _accepted(spark, sf):
+def _accepted(spark, sf, strategy=None):
     fr = _shot_frames(spark, sf)
     cand = fr.filter(FR.shot_votes(fr))
+    strategy = strategy or ("doubling" if sequence_strategy(spark, sf) == "blocked" else "group")
+    if strategy == "doubling":
+        return fr, FR.accept_with_gap_doubling(cand, ["video_id"], "ts_ms", 1100)
     return fr, FR.accept_with_gap(cand, ["video_id"], "ts_ms", 1100)
 
 
@@ -232,6 +235,14 @@ def w11_shot_changes(spark, sf):
     return _accepted(spark, sf)[1]
 
 
+@register("w11_shot_changes_doubling", "WITH RECURSIVE " + ",\n".join([
+    f"events_k AS ({EVENTS_K_SQL})", f"seq AS ({SEQ_SQL})", f"shotf AS ({_SHOT_SQL})", f"cand AS ({_CAND_SQL})",
+    f"acc(video_id, ts_ms) AS ({_ACC_SQL})"]) + "\nSELECT video_id, ts_ms FROM acc")
+def w11_shot_changes_doubling(spark, sf):
+    """W11 with the skew-safe pointer-doubling plan forced."""
+    return _accepted(spark, sf, "doubling")[1]
+
+
 @register("w12_shot_durations", "WITH RECURSIVE " + ",\n".join([
     f"events_k AS ({EVENTS_K_SQL})", f"seq AS ({SEQ_SQL})", f"shotf AS ({_SHOT_SQL})", f"cand AS ({_CAND_SQL})",
     f"acc(video_id, ts_ms) AS ({_ACC_SQL})"]) + """

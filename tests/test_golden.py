@@ -110,3 +110,19 @@ def test_file_titles_drop_unmatched(spark):
 def test_prefix_before_underscore(spark):
     df = spark.createDataFrame([("M1A2_song",), ("nounderscore",)], "s string")
     assert [r[0] for r in df.select(T.prefix_before("s")).collect()] == ["M1A2", ""]
+
+
+def test_g3_greedy_gap_pointer_doubling(spark):
+    times = [400, 1000, 1200, 2000, 2400, 3400, 3600]
+    c = spark.createDataFrame([(1, t) for t in times] + [(2, 5000)], "video_id long, ts_ms long")
+    acc = sorted(map(tuple, FR.accept_with_gap_doubling(c, ["video_id"], "ts_ms", 1100, span=1000).collect()))
+    assert acc == [(1, 1200), (1, 2400), (1, 3600), (2, 5000)]
+
+
+def test_greedy_gap_doubling_equals_scan_on_a_hot_video(spark):
+    from pyspark.sql import functions as F
+    c = spark.range(3000).select(F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(0).alias("video_id"),
+                                 (F.col("id") * 200 + (F.col("id") * 7919) % 3 * 200).alias("ts_ms")).distinct()
+    a = sorted(map(tuple, FR.accept_with_gap(c, ["video_id"], "ts_ms", 1100).collect()))
+    b = sorted(map(tuple, FR.accept_with_gap_doubling(c, ["video_id"], "ts_ms", 1100, span=5000).collect()))
+    assert a == b and len(a) > 100
