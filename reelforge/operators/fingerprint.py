@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.scalar import r6
+
 from reelforge.functions.text import tokens
 from reelforge.plans.parallel import spread
 
@@ -96,6 +98,6 @@ def recognise(queries: DataFrame, index: DataFrame, query_id: str, text_col: str
     ok = F.coalesce(conf >= min_confidence, F.lit(False))
     return j.select(query_id, F.col("chunk").cast("long").alias("chunk"),
                     F.when(ok, F.col("item_id")).alias("item_id"),
-                    F.when(ok, F.round(conf, 6)).alias("input_confidence"),
+                    F.when(ok, r6(conf)).alias("input_confidence"),
                     F.when(ok, F.col("offset")).alias("offset"),
                     F.when(ok, F.col("votes")).alias("votes"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.scalar import r6
+
 from reelforge.functions.scalar import angle_diff, r6
 
 
@@ -67,7 +69,7 @@ def histogram(df: DataFrame, group: Sequence[str], value: str, lo: float, width:
     grid = totals.select(*g, "_t", F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("bin"))
     out = grid.join(counted, [*g, "bin"], "left").fillna(0, subset=["count"])
     return out.select(*g, "bin", F.col("count").cast("long").alias("count"),
-                      F.round(F.col("count") / F.col("_t"), 6).alias("share"))
+                      r6(F.col("count") / F.col("_t")).alias("share"))
 
 
 def faces_per_frame(frames: DataFrame, faces: DataFrame, keys: Sequence[str], frame_area: float) -> DataFrame:
@@ -77,7 +79,7 @@ def faces_per_frame(frames: DataFrame, faces: DataFrame, keys: Sequence[str], fr
                               F.avg(F.col("w") * F.col("h") / frame_area).alias("_r"))
     out = frames.select(*k).join(f, k, "left")
     return out.select(*k, F.coalesce("faces_num", F.lit(0)).cast("double").alias("faces_num"),
-                      F.round(F.coalesce("_r", F.lit(0.0)), 6).alias("faces_ratio"))
+                      r6(F.coalesce("_r", F.lit(0.0))).alias("faces_ratio"))
 
 
 def flow_stats(vectors: DataFrame, keys: Sequence[str], diag: float) -> DataFrame:
@@ -97,9 +99,9 @@ def flow_stats(vectors: DataFrame, keys: Sequence[str], diag: float) -> DataFram
     agg = v.groupBy(*k).agg(
         F.avg("mag").alias("mag_mu"), F.stddev_pop("mag").alias("mag_std"), F.max("mu").alias("mu"),
         F.sqrt(F.avg(F.pow(angle_diff(F.col("angle"), F.col("mu")), 2))).alias("angle_std"))
-    return agg.select(*k, F.round("mag_mu", 6).alias("mag_mu"), F.round("mag_std", 6).alias("mag_std"),
-                      F.round("mu", 6).alias("angle_mu"), F.round("angle_std", 6).alias("angle_std"),
-                      F.round(F.col("mag_mu") / F.sqrt(F.col("angle_std") + 1e-8), 6).alias("tilt_pan_confidence"))
+    return agg.select(*k, r6("mag_mu").alias("mag_mu"), r6("mag_std").alias("mag_std"),
+                      r6("mu").alias("angle_mu"), r6("angle_std").alias("angle_std"),
+                      r6(F.col("mag_mu") / F.sqrt(F.col("angle_std") + 1e-8)).alias("tilt_pan_confidence"))
 
 
 def colour_ratios(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -120,7 +122,7 @@ def vector_frame_diff(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     prev = F.lag(vec).over(Window.partitionBy(*keys).orderBy(*order))
     d = F.aggregate(F.zip_with(F.col(vec), prev, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: acc + x)
     return df.withColumn("frame_diff", F.when(prev.isNull(), F.lit(0.0))
-                         .otherwise(F.round(d / F.size(F.col(vec)), 6)))
+                         .otherwise(r6(d / F.size(F.col(vec)))))
 
 
 def grey_change(pixels: DataFrame, keys: Sequence[str], frame: str, pixel: str, grey: str,
@@ -134,7 +136,7 @@ def grey_change(pixels: DataFrame, keys: Sequence[str], frame: str, pixel: str,
     t = F.when(d < 50, 0).when(d > 50, 1).otherwise(50 if strict else 0)
     per = pixels.select(*keys, frame, prev.isNotNull().alias("_has"), t.alias("_t"))
     return (per.filter("_has").groupBy(*keys, frame)
-            .agg(F.round(F.sum("_t") / F.count(F.lit(1)), 6).alias("gray_diff")))
+            .agg(r6(F.sum("_t") / F.count(F.lit(1))).alias("gray_diff")))
 
 
 def shot_votes(frames: DataFrame, mag: str = "mag_mu", gray: str = "gray_diff", fdiff: str = "f_diff") -> Column:
@@ -174,8 +176,8 @@ def shot_durations(frames: DataFrame, keys: Sequence[str], order: str, change: s
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     shot = F.coalesce(F.sum(F.col(change).cast("int")).over(w), F.lit(0))
     s = frames.withColumn("shot_id", shot.cast("long"))
-    return s.withColumn("shot_duration", F.round(F.count(F.lit(1)).over(Window.partitionBy(*keys, "shot_id"))
-                                                 * step_s, 6))
+    return s.withColumn("shot_duration", r6(F.count(F.lit(1)).over(Window.partitionBy(*keys, "shot_id"))
+                                                 * step_s))
 
 
 def downsample(frames: DataFrame, keys: Sequence[str], ts_ms: str, step_ms: int = 200) -> DataFrame:

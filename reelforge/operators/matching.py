@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.scalar import r6
+
 from reelforge.functions import text as T
 
 
@@ -59,7 +61,7 @@ def resolve_best(queries: DataFrame, refs: DataFrame, q_id: str, q_text: str, r_
     scored = shared.withColumn("score", F.col("_s") / (F.col("_qn") + F.col("_rn") - F.col("_s")))
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(r_id))
     return (scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-            .select(q_id, r_id, F.round("score", 6).alias("score"), "rank"))
+            .select(q_id, r_id, r6("score").alias("score"), "rank"))
 
 
 def append_new(new: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -154,4 +156,4 @@ def match_rate(df: DataFrame, matched: Column, distinct_cols: Sequence[str] | No
         num = F.count(F.when(matched, 1))
     out = df.agg(num.alias("matched"), F.count(F.lit(1)).alias("total"))
     rate = F.try_divide(100.0 * F.col("matched"), F.col("total"))
-    return out.select("matched", "total", F.round(rate, 6).alias("rate"), F.floor(rate).alias("rate_int"))
+    return out.select("matched", "total", r6(rate).alias("rate"), F.floor(rate).alias("rate_int"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.scalar import r6
+
 from reelforge.session import read_table
 
 # Event type -> label code (error = no recognised label).
@@ -176,14 +178,14 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     cur = r("labels").select((F.col("doc_id") * 8 + 1 + F.col("doc_id") % 4).alias("audio_video_match_id"),
                              F.col("quality").alias("correct"))
     af = li.groupBy(F.col("l_partkey").alias("audio_id")).agg(
-        F.round(F.avg("l_quantity"), 6).alias("af_qty_mean"),
-        F.round(F.stddev_pop("l_extendedprice"), 6).alias("af_price_std"),
+        r6(F.avg("l_quantity")).alias("af_qty_mean"),
+        r6(F.stddev_pop("l_extendedprice")).alias("af_price_std"),
         F.max("l_discount").alias("af_disc_max"))
     sfe = li.groupBy(F.col("l_suppkey").alias("midi_id")).agg(
-        F.round(F.avg("l_quantity"), 6).alias("sf_qty_mean"), F.round(F.avg("l_tax"), 6).alias("sf_tax_mean"))
+        r6(F.avg("l_quantity")).alias("sf_qty_mean"), r6(F.avg("l_tax")).alias("sf_tax_mean"))
     urgent = o.filter(F.col("o_orderpriority").isin(*URGENT)).select(F.col("o_orderkey").alias("l_orderkey"))
     vf = (li.join(urgent, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("clip_id"))
-          .agg(F.count(F.lit(1)).alias("vf_lines"), F.round(F.sum("l_extendedprice"), 6).alias("vf_price_sum")))
+          .agg(F.count(F.lit(1)).alias("vf_lines"), r6(F.sum("l_extendedprice")).alias("vf_price_sum")))
     songs = mam.join(r("part"), mam["index_audio"] == F.col("p_partkey")).select(
         F.col("djv_song_id").alias("song_id"), F.concat("pair_id", F.lit("_"), "p_name").alias("song_name"))
     return dict(vm=vm, vcc=vcc, mam=mam, ac=ac, mc=mc, vc=vc, cur=cur, af=af, sfe=sfe, vf=vf, songs=songs)
@@ -202,11 +204,11 @@ STAR_SQL = dict(
     vc="""SELECT c_custkey AS id, '/video/' || c_mktsegment AS directory, c_name || '.mp4' AS filename,
   c_name AS title FROM customer""",
     cur="SELECT doc_id * 8 + 1 + doc_id % 4 AS audio_video_match_id, quality AS correct FROM labels",
-    af="""SELECT l_partkey AS audio_id, round(avg(l_quantity), 6) AS af_qty_mean,
-  round(stddev_pop(l_extendedprice), 6) AS af_price_std, max(l_discount) AS af_disc_max FROM lineitem GROUP BY 1""",
-    sfe="""SELECT l_suppkey AS midi_id, round(avg(l_quantity), 6) AS sf_qty_mean, round(avg(l_tax), 6) AS sf_tax_mean
+    af="""SELECT l_partkey AS audio_id, floor((avg(l_quantity)) * 1e6 + 0.5) / 1e6 AS af_qty_mean,
+  floor((stddev_pop(l_extendedprice)) * 1e6 + 0.5) / 1e6 AS af_price_std, max(l_discount) AS af_disc_max FROM lineitem GROUP BY 1""",
+    sfe="""SELECT l_suppkey AS midi_id, floor((avg(l_quantity)) * 1e6 + 0.5) / 1e6 AS sf_qty_mean, floor((avg(l_tax)) * 1e6 + 0.5) / 1e6 AS sf_tax_mean
   FROM lineitem GROUP BY 1""",
-    vf="""SELECT l_orderkey AS clip_id, count(*) AS vf_lines, round(sum(l_extendedprice), 6) AS vf_price_sum
+    vf="""SELECT l_orderkey AS clip_id, count(*) AS vf_lines, floor((sum(l_extendedprice)) * 1e6 + 0.5) / 1e6 AS vf_price_sum
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
   GROUP BY 1""",
     songs="SELECT m.djv_song_id AS song_id, m.pair_id || '_' || p.p_name AS song_name FROM mam m JOIN part p ON m.index_audio = p.p_partkey",

@@ -36,7 +36,7 @@ def r01_build_index(spark, sf):
 
 
 @register("r02_recognise_chunks", _REC_SQL + """SELECT doc_id, chunk, CASE WHEN ok THEN item_id END AS item_id,
-  CASE WHEN ok THEN round(votes / n, 6) END AS input_confidence, CASE WHEN ok THEN "offset" END AS "offset",
+  CASE WHEN ok THEN floor((votes / n) * 1e6 + 0.5) / 1e6 END AS input_confidence, CASE WHEN ok THEN "offset" END AS "offset",
   CASE WHEN ok THEN votes END AS votes FROM res""")
 def r02_recognise_chunks(spark, sf):
     idx = FP.build_index(read_table(spark, sf, "benchmark"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.scalar import r6
+
 from reelforge.functions import scalar as X
 from reelforge.operators import frames as FR
 from reelforge.operators import objects as OB
@@ -86,7 +88,7 @@ def a05_column_stats_embeddings(spark, sf):
 def _hist_sql(src: str, g: str, v: str, lo: float, width: float, nbins: int) -> str:
     hi = lo + width * nbins
     return f"""SELECT grid.{g}, CAST(grid.bin AS INTEGER) AS bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
-  round(coalesce(c.cnt, 0) / grid.t, 6) AS share
+  floor((coalesce(c.cnt, 0) / grid.t) * 1e6 + 0.5) / 1e6 AS share
 FROM (SELECT {g}, t, unnest(range({nbins})) AS bin FROM
       (SELECT {g}, count(*) AS t FROM {src} WHERE {v} >= {lo} AND {v} <= {hi} GROUP BY 1)) grid
 LEFT JOIN (SELECT {g}, CAST(least(floor(({v} - ({lo})) / {width}), {nbins - 1}) AS INTEGER) AS bin, count(*) AS cnt
@@ -110,7 +112,7 @@ def a07_hue_histogram(spark, sf):
 
 # ---- A11 faces, A12 flow, A13 colour -------------------------------------------------------
 @register("a11_faces_per_frame", _q(f"""
-SELECT f.video_id, f.frame, CAST(coalesce(c.n, 0) AS DOUBLE) AS faces_num, round(coalesce(c.r, 0.0), 6) AS faces_ratio
+SELECT f.video_id, f.frame, CAST(coalesce(c.n, 0) AS DOUBLE) AS faces_num, floor((coalesce(c.r, 0.0)) * 1e6 + 0.5) / 1e6 AS faces_ratio
 FROM (SELECT DISTINCT video_id, r // 4 AS frame FROM seq) f
 LEFT JOIN (SELECT video_id, r // 4 AS frame, count(*) AS n,
                   avg((10 + k % 40) * (10 + CAST(floor(value) AS BIGINT) % 30) / {float(FRAME_W * FRAME_H)}) AS r
@@ -124,11 +126,11 @@ def a11_faces_per_frame(spark, sf):
 
 
 @register("a12_flow_stats", _q(f"""
-SELECT video_id, frame, round(avg(mag), 6) AS mag_mu, round(stddev_pop(mag), 6) AS mag_std, round(max(mu), 6) AS angle_mu,
-  round(sqrt(avg(pow(CASE WHEN abs(mu - angle) > 180 THEN abs(mu - angle) - 360 ELSE abs(mu - angle) END, 2))), 6)
+SELECT video_id, frame, floor((avg(mag)) * 1e6 + 0.5) / 1e6 AS mag_mu, floor((stddev_pop(mag)) * 1e6 + 0.5) / 1e6 AS mag_std, floor((max(mu)) * 1e6 + 0.5) / 1e6 AS angle_mu,
+  floor((sqrt(avg(pow(CASE WHEN abs(mu - angle) > 180 THEN abs(mu - angle) - 360 ELSE abs(mu - angle) END, 2)))) * 1e6 + 0.5) / 1e6
     AS angle_std,
-  round(avg(mag) / sqrt(sqrt(avg(pow(CASE WHEN abs(mu - angle) > 180 THEN abs(mu - angle) - 360
-                                          ELSE abs(mu - angle) END, 2))) + 1e-8), 6) AS tilt_pan_confidence
+  floor((avg(mag) / sqrt(sqrt(avg(pow(CASE WHEN abs(mu - angle) > 180 THEN abs(mu - angle) - 360
+                                          ELSE abs(mu - angle) END, 2))) + 1e-8)) * 1e6 + 0.5) / 1e6 AS tilt_pan_confidence
 FROM (SELECT *, CASE WHEN dy < 0 THEN abs(degrees(atan2(dy, dx))) ELSE 360.0 - degrees(atan2(dy, dx)) END AS angle,
         sqrt(dx * dx + dy * dy) / {DIAG!r} AS mag,
         CASE WHEN avg(dy) OVER w < 0
@@ -181,8 +183,8 @@ def a13_value_norm_histogram(spark, sf):
 
 # ---- W9 / W10 -------------------------------------------------------------------------------
 @register("w09_vector_frame_diff", """
-SELECT vec_id, label, CASE WHEN p IS NULL THEN 0.0 ELSE round(list_sum(list_transform(range(1, len(e) + 1),
-  lambda i: abs(CAST(e[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)))) / len(e), 6) END AS frame_diff
+SELECT vec_id, label, CASE WHEN p IS NULL THEN 0.0 ELSE floor((list_sum(list_transform(range(1, len(e) + 1),
+  lambda i: abs(CAST(e[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)))) / len(e)) * 1e6 + 0.5) / 1e6 END AS frame_diff
 FROM (SELECT vec_id, label, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)""")
 def w09_vector_frame_diff(spark, sf):
     e = read_table(spark, sf, "embeddings").select(
@@ -191,7 +193,7 @@ def w09_vector_frame_diff(spark, sf):
 
 
 @register("w10_grey_change", _q("""
-SELECT video_id, frame, round(sum(t) / count(*), 6) AS gray_diff FROM (
+SELECT video_id, frame, floor((sum(t) / count(*)) * 1e6 + 0.5) / 1e6 AS gray_diff FROM (
   SELECT video_id, frame, CASE WHEN d < 50 THEN 0 WHEN d > 50 THEN 1 ELSE 50 END AS t FROM (
     SELECT video_id, r // 4 AS frame, ((lag(g) OVER (PARTITION BY video_id, r % 4 ORDER BY r // 4) - g) % 256 + 256) % 256 AS d
     FROM (SELECT *, CAST(floor(value) AS BIGINT) % 256 AS g FROM seq)) WHERE d IS NOT NULL)
@@ -246,7 +248,7 @@ def w11_shot_changes_doubling(spark, sf):
 @register("w12_shot_durations", "WITH RECURSIVE " + ",\n".join([
     f"events_k AS ({EVENTS_K_SQL})", f"seq AS ({SEQ_SQL})", f"shotf AS ({_SHOT_SQL})", f"cand AS ({_CAND_SQL})",
     f"acc(video_id, ts_ms) AS ({_ACC_SQL})"]) + """
-SELECT video_id, ts_ms, shot_id, round(count(*) OVER (PARTITION BY video_id, shot_id) * 0.2::DOUBLE, 6) AS shot_duration
+SELECT video_id, ts_ms, shot_id, floor((count(*) OVER (PARTITION BY video_id, shot_id) * 0.2::DOUBLE) * 1e6 + 0.5) / 1e6 AS shot_duration
 FROM (SELECT f.video_id, f.ts_ms, CAST(coalesce(sum(CASE WHEN a.ts_ms IS NOT NULL THEN 1 ELSE 0 END) OVER (
         PARTITION BY f.video_id ORDER BY f.ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shot_id
       FROM shotf f LEFT JOIN acc a USING (video_id, ts_ms))""")
@@ -307,7 +309,7 @@ _SMOOTH_SQL = dict(
   SELECT a.video_id, a.frame, a.det, a.label, f.frame, f.det, f.bl, f.bb, f.br, f.bt, f.conf
   FROM anc a JOIN dets f ON f.video_id = a.video_id AND f.label = a.label AND f.frame BETWEEN a.frame + 1 AND a.frame + {W - 1}
   WHERE {_OV} BETWEEN 0.8 AND 1""",
-    sm=f"""SELECT video_id, group_start, a_det, label, round(mconf, 6) AS conf, mconf AS conf_raw, bl AS box_l, bb AS box_b, br AS box_r,
+    sm=f"""SELECT video_id, group_start, a_det, label, floor((mconf) * 1e6 + 0.5) / 1e6 AS conf, mconf AS conf_raw, bl AS box_l, bb AS box_b, br AS box_r,
   bt AS box_t FROM (SELECT *, row_number() OVER g2 AS rn, count(*) OVER g AS n_rows, avg(conf) OVER g AS mconf FROM tr
   WINDOW g AS (PARTITION BY video_id, group_start, a_det), g2 AS (PARTITION BY video_id, group_start, a_det
   ORDER BY bl * bb * br * bt, frame, det)) WHERE rn = 1 AND n_rows >= {W} AND mconf >= 0.5""")
@@ -318,7 +320,7 @@ def _smoothed(spark, sf):
 
 
 def _flat(df):
-    return df.select("video_id", "group_start", "a_det", "label", F.round("conf", 6).alias("conf"),
+    return df.select("video_id", "group_start", "a_det", "label", r6("conf").alias("conf"),
                      F.col("box.l").alias("box_l"),
                      F.col("box.b").alias("box_b"), F.col("box.r").alias("box_r"), F.col("box.t").alias("box_t"))
 
@@ -348,7 +350,7 @@ def w15_object_smoothing(spark, sf):
 
 @register("a10_smooth_confidences", _q("SELECT video_id, group_start, a_det, label, conf FROM sm", **_SMOOTH_SQL))
 def a10_smooth_confidences(spark, sf):
-    return _smoothed(spark, sf).select("video_id", "group_start", "a_det", "label", F.round("conf", 6).alias("conf"))
+    return _smoothed(spark, sf).select("video_id", "group_start", "a_det", "label", r6("conf").alias("conf"))
 
 
 _SUPER_SQL = ("CASE " + " ".join(

@@ -91,7 +91,7 @@ def j01_title_enrichment(spark, sf):
 
 
 @register("a01_match_rate", with_ctes("""
-SELECT count(r.song_id) AS matched, count(*) AS total, round(100.0 * count(r.song_id) / count(*), 6) AS rate,
+SELECT count(r.song_id) AS matched, count(*) AS total, floor((100.0 * count(r.song_id) / count(*)) * 1e6 + 0.5) / 1e6 AS rate,
        CAST(floor(100.0 * count(r.song_id) / count(*)) AS BIGINT) AS rate_int
 FROM titles t LEFT JOIN refs r ON t.title = r.clean_title""", files=PART_FILES_SQL, titles=_TITLES_SQL,
                                       refs=_REFS_SQL))
@@ -102,7 +102,7 @@ def a01_match_rate(spark, sf):
 
 @register("a01_recognition_rate", with_ctes("""
 SELECT count(DISTINCT CASE WHEN song_id IS NOT NULL THEN video_id END) AS matched, count(*) AS total,
-       round(100.0 * count(DISTINCT CASE WHEN song_id IS NOT NULL THEN video_id END) / count(*), 6) AS rate,
+       floor((100.0 * count(DISTINCT CASE WHEN song_id IS NOT NULL THEN video_id END) / count(*)) * 1e6 + 0.5) / 1e6 AS rate,
        CAST(floor(100.0 * count(DISTINCT CASE WHEN song_id IS NOT NULL THEN video_id END) / count(*)) AS BIGINT)
        AS rate_int FROM chunks""", chunks=CHUNKS_SQL))
 def a01_recognition_rate(spark, sf):
@@ -118,7 +118,7 @@ qe AS (SELECT qid, len(toks) AS qn, unnest(toks) AS tok FROM q),
 re AS (SELECT rid, len(toks) AS rn, unnest(toks) AS tok FROM r),
 sc AS (SELECT qid, rid, count(*) * 1.0 / (max(qn) + max(rn) - count(*)) AS score
        FROM qe JOIN re USING (tok) GROUP BY qid, rid)
-SELECT qid AS p_partkey, rid AS song_id, round(score, 6) AS score, rank FROM (
+SELECT qid AS p_partkey, rid AS song_id, floor((score) * 1e6 + 0.5) / 1e6 AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rank FROM sc) WHERE rank <= {k}"""
 _Q_TEXT = "p_name || ' ' || p_type"
 _R_TEXT = "p_name"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.scalar import r6
+
 from reelforge.functions import scalar as X
 from reelforge.functions import text as T
 from reelforge.plans.adapters import (CHUNKS_SQL, EVENTS_K_SQL, RECTS_SQL, chunks, events_k, rects, with_ctes)
@@ -128,16 +130,16 @@ def t24_rect_area(spark, sf):
 
 
 @register("t25_overlap_ratio", with_ctes("""SELECT event_id,
-  round(2.0 * CASE WHEN least(x + w, px + pw) - greatest(x, px) > 0 AND least(y + h, py + ph) - greatest(y, py) > 0
+  floor((2.0 * CASE WHEN least(x + w, px + pw) - greatest(x, px) > 0 AND least(y + h, py + ph) - greatest(y, py) > 0
     THEN (least(x + w, px + pw) - greatest(x, px)) * (least(y + h, py + ph) - greatest(y, py)) ELSE 0.0 END
-    / (w * h + pw * ph), 6) AS overlap
+    / (w * h + pw * ph)) * 1e6 + 0.5) / 1e6 AS overlap
 FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(w) OVER w AS pw, lag(h) OVER w AS ph
       FROM rects WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""",
                                          events_k=EVENTS_K_SQL, rects=RECTS_SQL))
 def t25_overlap_ratio(spark, sf):
     r = rects(spark, sf)
     prev = F.lag("rect").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return r.select("event_id", F.round(X.overlap_ratio("rect", prev), 6).alias("overlap"))
+    return r.select("event_id", r6(X.overlap_ratio("rect", prev)).alias("overlap"))
 
 
 @register("t26_angle_diff", with_ctes("""SELECT event_id,
