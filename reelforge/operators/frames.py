@@ -117,12 +117,32 @@ def colour_ratios(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
                          (255.0 * F.col("s") / F.max(F.col("s") + 1.0).over(w)).alias("s_norm"))
 
 
-def vector_frame_diff(df: DataFrame, keys: Sequence[str], order: Sequence[str], vec: str) -> DataFrame:
+def _previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+              strategy: str = "window", bucket: Column | None = None) -> DataFrame:
+    """``prev_<c>`` = value of the previous row of the same key: a ``lag``
+    window, or (``strategy='blocked'``, for hot keys) dense positions plus a
+    neighbour context grouped by (key, position)."""
+    k = list(keys)
+    if strategy == "window":
+        w = Window.partitionBy(*k).orderBy(*order)
+        return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})
+    if strategy != "blocked" or bucket is None:
+        raise ValueError("strategy must be 'window', or 'blocked' with a bucket column")
+    from reelforge.operators.sequence import neighbour_context, sequence_index
+    rest = [c for c in df.columns if c not in k and c not in cols]
+    idx = sequence_index(df, k, order, bucket, out="_pos")
+    ctx = neighbour_context(idx, k, "_pos", list(cols), 1, keep=rest)
+    return ctx.select(*k, *rest, *cols, *[F.col(f"{c}_m1").alias(f"prev_{c}") for c in cols])
+
+
+def vector_frame_diff(df: DataFrame, keys: Sequence[str], order: Sequence[str], vec: str,
+                      strategy: str = "window", bucket: Column | None = None) -> DataFrame:
     """Mean absolute difference of a vector with the previous frame's; 0 first."""
-    prev = F.lag(vec).over(Window.partitionBy(*keys).orderBy(*order))
+    df = _previous(df, keys, order, [vec], strategy, bucket)
+    prev = F.col(f"prev_{vec}")
     d = F.aggregate(F.zip_with(F.col(vec), prev, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: acc + x)
     return df.withColumn("frame_diff", F.when(prev.isNull(), F.lit(0.0))
-                         .otherwise(r6(d / F.size(F.col(vec)))))
+                         .otherwise(r6(d / F.size(F.col(vec))))).drop(f"prev_{vec}")
 
 
 def grey_change(pixels: DataFrame, keys: Sequence[str], frame: str, pixel: str, grey: str,
@@ -170,10 +190,21 @@ def accept_with_gap(candidates: DataFrame, keys: Sequence[str], ts: str, min_gap
 
 
 def shot_durations(frames: DataFrame, keys: Sequence[str], order: str, change: str,
-                   step_s: float = 0.2) -> DataFrame:
+                   step_s: float = 0.2, strategy: str = "window", bucket: Column | None = None) -> DataFrame:
     """Shot id = number of accepted changes in *preceding* frames (the
-    trigger frame closes the old shot, N17); duration = frames in the shot x step."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    trigger frame closes the old shot, N17); duration = frames in the shot x step.
+    ``strategy='blocked'`` counts with dense positions and a blocked running sum."""
+    k = list(keys)
+    if strategy == "blocked":
+        from reelforge.operators.sequence import blocked_running_sum, sequence_index
+        if bucket is None:
+            raise ValueError("the blocked strategy needs a bucket column")
+        idx = sequence_index(frames, k, [order], bucket, out="_pos")
+        s = blocked_running_sum(idx, k, "_pos", F.col(change).cast("int"), "_run")
+        s = s.withColumn("shot_id", (F.col("_run") - F.col(change).cast("int")).cast("long")).drop("_run", "_pos")
+        sizes = s.groupBy(*k, "shot_id").agg(F.count(F.lit(1)).alias("_n"))
+        return s.join(sizes, [*k, "shot_id"]).withColumn("shot_duration", r6(F.col("_n") * step_s)).drop("_n")
+    w = Window.partitionBy(*k).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     shot = F.coalesce(F.sum(F.col(change).cast("int")).over(w), F.lit(0))
     s = frames.withColumn("shot_id", shot.cast("long"))
     return s.withColumn("shot_duration", r6(F.count(F.lit(1)).over(Window.partitionBy(*keys, "shot_id"))
@@ -187,8 +218,16 @@ def downsample(frames: DataFrame, keys: Sequence[str], ts_ms: str, step_ms: int
     return frames.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def frame_counter(frames: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Processed-frame counter (1-based) per video."""
+def frame_counter(frames: DataFrame, keys: Sequence[str], ts: str, strategy: str = "window",
+                  bucket: Column | None = None) -> DataFrame:
+    """Processed-frame counter (1-based) per video (``strategy='blocked'``:
+    bucketed dense numbering, for hot videos)."""
+    if strategy == "blocked":
+        from reelforge.operators.sequence import sequence_index
+        if bucket is None:
+            raise ValueError("the blocked strategy needs a bucket column")
+        return sequence_index(frames, keys, [ts], bucket, out="_p").withColumn(
+            "count_process", F.col("_p") + 1).drop("_p")
     return frames.withColumn("count_process",
                              F.row_number().over(Window.partitionBy(*keys).orderBy(ts)).cast("long"))
 

@@ -69,10 +69,14 @@ def mid_term_pool(frames: DataFrame, keys: Sequence[str], ts_ms: str, features:
                  F.count(F.lit(1)).alias("n_windows")))
 
 
-def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """``delta <c>`` = value minus previous short frame's, 0 on the first."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"delta {c}": F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) for c in cols})
+def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+           strategy: str = "window", bucket: Column | None = None) -> DataFrame:
+    """``delta <c>`` = value minus previous short frame's, 0 on the first
+    (``strategy='blocked'`` finds the previous frame without a per-key window)."""
+    from reelforge.operators.frames import _previous
+    d = _previous(df, keys, order, cols, strategy, bucket)
+    d = d.withColumns({f"delta {c}": F.coalesce(F.col(c) - F.col(f"prev_{c}"), F.lit(0.0)) for c in cols})
+    return d.drop(*[f"prev_{c}" for c in cols])
 
 
 def short_frame_features(samples: DataFrame, keys: Sequence[str], frame: str, pos: str, x: str,

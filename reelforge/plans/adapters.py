@@ -39,15 +39,20 @@ def seq_index(keys, order) -> "F.Column":
 # --------------------------------------------------------------------------- chunks
 # One timeline with more rows than this no longer fits one task comfortably:
 # the skew-safe (blocked) sequence plans are used instead of per-key windows.
+# Session conf ``spark.reelforge.hotKeyRows`` overrides it.
 HOT_KEY_ROWS = 2_000_000
 
 
+def hot_key_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.reelforge.hotKeyRows", str(HOT_KEY_ROWS)))
+
+
 def sequence_strategy(spark: SparkSession, sf_dir: str, table: str = "events", key: str = "user_id") -> str:
     """'window' or 'blocked' from the largest key's row count (a column-pruned
     partial aggregate over the source table)."""
     from reelforge.operators.sequence import max_rows_per_key
     n = max_rows_per_key(read_table(spark, sf_dir, table).select(key), [key])
-    return "blocked" if n > HOT_KEY_ROWS else "window"
+    return "blocked" if n > hot_key_rows(spark) else "window"
 
 
 def chunks(spark: SparkSession, sf_dir: str, strategy: str = "window") -> DataFrame:

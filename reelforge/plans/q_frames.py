@@ -20,13 +20,20 @@ FRAME_W, FRAME_H = 500, 280
 DIAG = math.sqrt(FRAME_W ** 2 + FRAME_H ** 2)
 
 
-def _seq(spark, sf):
-    """events_k plus r = 0-based position in the user's sequence."""
+def _seq(spark, sf, strategy: str = "window"):
+    """events_k plus r = 0-based position in the user's sequence (bucketed
+    dense numbering when one user is too large for a per-key window)."""
     e = events_k(spark, sf).withColumnRenamed("user_id", "video_id")
+    if strategy == "blocked":
+        from reelforge.operators.sequence import sequence_index
+        return sequence_index(e, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="r")
     r = (F.row_number().over(Window.partitionBy("video_id").orderBy("ts", "event_id")) - 1).cast("long")
     return e.withColumn("r", r)
 
 
+POS_BUCKET = 1 << 12  # positions per bucket in the skew-safe sequence plans
+
+
 SEQ_SQL = """SELECT user_id AS video_id, event_id, ts, event_type, value, k,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events_k"""
 
@@ -187,9 +194,14 @@ SELECT vec_id, label, CASE WHEN p IS NULL THEN 0.0 ELSE floor((list_sum(list_tra
   lambda i: abs(CAST(e[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)))) / len(e)) * 1e6 + 0.5) / 1e6 END AS frame_diff
 FROM (SELECT vec_id, label, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)""")
 def w09_vector_frame_diff(spark, sf):
+    from reelforge.operators.sequence import max_rows_per_key
+    from reelforge.plans.adapters import hot_key_rows
     e = read_table(spark, sf, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return FR.vector_frame_diff(e, ["label"], ["vec_id"], "embedding").select("vec_id", "label", "frame_diff")
+    # few labels: every label is a large key, so check before choosing a per-key window
+    strategy = "blocked" if max_rows_per_key(e.select("label"), ["label"]) > hot_key_rows(spark) else "window"
+    return FR.vector_frame_diff(e, ["label"], ["vec_id"], "embedding", strategy,
+                                F.floor(F.col("vec_id") / POS_BUCKET)).select("vec_id", "label", "frame_diff")
 
 
 @register("w10_grey_change", _q("""
@@ -205,8 +217,8 @@ def w10_grey_change(spark, sf):
 
 
 # ---- W11 / W12 / W13 / W22 ----------------------------------------------------------------------
-def _shot_frames(spark, sf):
-    s = _seq(spark, sf)
+def _shot_frames(spark, sf, strategy="window"):
+    s = _seq(spark, sf, strategy)
     return s.select("video_id", (F.col("r") * 200).alias("ts_ms"), (F.col("value") / 500).alias("mag_mu"),
                     ((F.col("k") % 100) / 100).alias("gray_diff"), ((F.col("event_id") % 7) / 100).alias("f_diff"))
 
@@ -222,9 +234,9 @@ _ACC_SQL = """SELECT video_id, min(ts_ms) AS ts_ms FROM cand WHERE ts_ms > 1100
 
 
 def _accepted(spark, sf, strategy=None):
-    fr = _shot_frames(spark, sf)
-    cand = fr.filter(FR.shot_votes(fr))
     strategy = strategy or ("doubling" if sequence_strategy(spark, sf) == "blocked" else "group")
+    fr = _shot_frames(spark, sf, "blocked" if strategy == "doubling" else "window")
+    cand = fr.filter(FR.shot_votes(fr))
     if strategy == "doubling":
         return fr, FR.accept_with_gap_doubling(cand, ["video_id"], "ts_ms", 1100)
     return fr, FR.accept_with_gap(cand, ["video_id"], "ts_ms", 1100)
@@ -256,8 +268,10 @@ def w12_shot_durations(spark, sf):
     fr, acc = _accepted(spark, sf)
     marked = fr.select("video_id", "ts_ms").join(acc.withColumn("change", F.lit(True)), ["video_id", "ts_ms"], "left")
     marked = marked.withColumn("change", F.coalesce("change", F.lit(False)))
-    return FR.shot_durations(marked, ["video_id"], "ts_ms", "change").select("video_id", "ts_ms", "shot_id",
-                                                                           "shot_duration")
+    strategy = "blocked" if sequence_strategy(spark, sf) == "blocked" else "window"
+    return FR.shot_durations(marked, ["video_id"], "ts_ms", "change", strategy=strategy,
+                             bucket=F.floor(F.col("ts_ms") / (200 * POS_BUCKET))).select(
+        "video_id", "ts_ms", "shot_id", "shot_duration")
 
 
 _TS25 = "r * 40 + (event_id % 3) * 13"
@@ -276,8 +290,10 @@ def w13_downsample(spark, sf):
   SELECT video_id, {_TS25} AS ts_ms, row_number() OVER (PARTITION BY video_id, floor(({_TS25}) / 200)
     ORDER BY {_TS25}) AS rn FROM seq) WHERE rn = 1"""))
 def w22_frame_counter(spark, sf):
-    s = _seq(spark, sf).select("video_id", (F.col("r") * 40 + (F.col("event_id") % 3) * 13).alias("ts_ms"))
-    return FR.frame_counter(FR.downsample(s, ["video_id"], "ts_ms", 200), ["video_id"], "ts_ms")
+    strategy = sequence_strategy(spark, sf)
+    s = _seq(spark, sf, strategy).select("video_id", (F.col("r") * 40 + (F.col("event_id") % 3) * 13).alias("ts_ms"))
+    return FR.frame_counter(FR.downsample(s, ["video_id"], "ts_ms", 200), ["video_id"], "ts_ms", strategy,
+                            F.floor(F.col("ts_ms") / (40 * POS_BUCKET)))
 
 
 # ---- W14 / J14 / A10 / W15 / A8 / A9 -----------------------------------------------------------

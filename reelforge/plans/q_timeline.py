@@ -37,8 +37,12 @@ def w16_mid_term_pool(spark, sf):
 @register("w17_deltas", _q("""SELECT video_id, event_id,
   coalesce(value - lag(value) OVER (PARTITION BY video_id ORDER BY r), 0.0) AS "delta value" FROM seq"""))
 def w17_deltas(spark, sf):
-    s = _seq(spark, sf)
-    return TL.deltas(s, ["video_id"], ["r"], ["value"]).select("video_id", "event_id", "delta value")
+    from reelforge.plans.adapters import sequence_strategy
+    from reelforge.plans.q_frames import POS_BUCKET
+    strategy = sequence_strategy(spark, sf)
+    s = _seq(spark, sf, strategy)
+    return TL.deltas(s, ["video_id"], ["r"], ["value"], strategy, F.floor(F.col("r") / POS_BUCKET)).select(
+        "video_id", "event_id", "delta value")
 
 
 @register("w18_short_frame_features", _q(f"""

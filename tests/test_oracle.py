@@ -48,3 +48,22 @@ def test_query_matches_oracle(spark, con, key):
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _bag(df.columns, rows) == _bag(dcols, cur.fetchall())
+
+
+SKEW_SAFE_KEYS = ["w08_segmentation", "w09_vector_frame_diff", "w11_shot_changes", "w12_shot_durations",
+                  "w17_deltas", "w22_frame_counter", "a05_column_stats_frames"]
+
+
+@pytest.mark.parametrize("key", SKEW_SAFE_KEYS)
+def test_skew_safe_plans_match_oracle(spark, con, key):
+    """With the hot-key threshold forced to 10 rows every auto-switched query
+    takes its skew-safe plan; results must not change."""
+    spark.conf.set("spark.reelforge.hotKeyRows", "10")
+    try:
+        df = E.queries()[key](spark, SF)
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.reelforge.hotKeyRows")
+    cur = con.execute(E.oracle_sql()[key])
+    dcols = [d[0] for d in cur.description]
+    assert _bag(df.columns, rows) == _bag(dcols, cur.fetchall())
