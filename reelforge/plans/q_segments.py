@@ -10,6 +10,22 @@ from reelforge.plans.registry import register
 
 K, O = ["video_id"], ["start"]
 
+
+def _chunks_and_strategy(spark, sf):
+    strategy = sequence_strategy(spark, sf)
+    return chunks(spark, sf, strategy), strategy
+
+
+def _tagged(spark, sf):
+    """W1-W6 rows with the per-key window plan or, for hot videos, the skew-safe plan."""
+    ch, strategy = _chunks_and_strategy(spark, sf)
+    return seg.tag_chunks_blocked(ch, K) if strategy == "blocked" else seg.tag_chunks(ch, K, O)
+
+
+def _neighbours(spark, sf):
+    ch, strategy = _chunks_and_strategy(spark, sf)
+    return seg.with_neighbours(ch, ["song_id", "offset_seconds"], K, O, strategy)
+
 # ---- oracle building blocks (DuckDB SQL) -----------------------------------
 _N1 = """SELECT *, lag(song_id) OVER w AS p_id, lead(song_id) OVER w AS n_id,
        lag(offset_seconds) OVER w AS p_off, lead(offset_seconds) OVER w AS n_off
@@ -61,7 +77,7 @@ _SEGROWS = "SELECT * FROM df WHERE match_id IS NOT NULL"
   p_id AS prev_song_id, n_id AS next_song_id, p_off AS prev_offset_seconds, n_off AS next_offset_seconds
 FROM n1""", "n1"))
 def w01_prev_next(spark, sf):
-    df = seg.with_neighbours(chunks(spark, sf), ["song_id", "offset_seconds"], K, O)
+    df = _neighbours(spark, sf)
     return df.select("video_id", "start", "song_id", "offset_seconds", "prev_song_id", "next_song_id",
                      "prev_offset_seconds", "next_offset_seconds")
 
@@ -69,8 +85,7 @@ def w01_prev_next(spark, sf):
 # ---- W2 / W3 -------------------------------------------------------------------
 @register("w02_smooth_labels", _sql("SELECT video_id, start, song_id FROM sm", "sm"))
 def w02_smooth_labels(spark, sf):
-    df = seg.with_neighbours(chunks(spark, sf), ["song_id", "offset_seconds"], K, O)
-    return seg.smooth_labels(df).select("video_id", "start", "song_id")
+    return seg.smooth_labels(_neighbours(spark, sf)).select("video_id", "start", "song_id")
 
 
 @register("w03_smooth_offset", _sql(f"""SELECT video_id, start,
@@ -78,7 +93,7 @@ def w02_smooth_labels(spark, sf):
   CASE WHEN {_NEEDS} THEN (n_off + p_off) / 2 ELSE offset_seconds END AS offset_mean
 FROM n1""", "n1"))
 def w03_smooth_offset(spark, sf):
-    df = seg.with_neighbours(chunks(spark, sf), ["song_id", "offset_seconds"], K, O)
+    df = _neighbours(spark, sf)
     half = seg.smooth_labels(df, offset_mode="half_diff").select("video_id", "start",
                                                                  F.col("offset_seconds").alias("offset_half_diff"))
     mean = seg.smooth_labels(df, offset_mode="mean").select("video_id", "start",
@@ -89,17 +104,17 @@ def w03_smooth_offset(spark, sf):
 # ---- W4 / W5 / W6 --------------------------------------------------------------
 @register("w04_bieo_tags", _sql("SELECT video_id, start, song_id, match_tag FROM tg", "tg"))
 def w04_bieo_tags(spark, sf):
-    return seg.tag_chunks(chunks(spark, sf), K, O).select("video_id", "start", "song_id", "match_tag")
+    return _tagged(spark, sf).select("video_id", "start", "song_id", "match_tag")
 
 
 @register("w05_offset_step", _sql("SELECT video_id, start, match_tag, offset_diff FROM df", "df"))
 def w05_offset_step(spark, sf):
-    return seg.tag_chunks(chunks(spark, sf), K, O).select("video_id", "start", "match_tag", "offset_diff")
+    return _tagged(spark, sf).select("video_id", "start", "match_tag", "offset_diff")
 
 
 @register("w06_segment_ids", _sql("SELECT video_id, start, match_tag, match_id FROM df", "df"))
 def w06_segment_ids(spark, sf):
-    return seg.tag_chunks(chunks(spark, sf), K, O).select("video_id", "start", "match_tag", "match_id")
+    return _tagged(spark, sf).select("video_id", "start", "match_tag", "match_id")
 
 
 # ---- W7 / A2 / A3 / A4 ---------------------------------------------------------
@@ -107,7 +122,7 @@ def w06_segment_ids(spark, sf):
 FROM segrows r JOIN sizes s USING (video_id, match_id) JOIN modes m USING (video_id, match_id)""", "df",
                                     segrows=_SEGROWS, sizes=_SIZES, modes=_MODES))
 def w07_flag_segments(spark, sf):
-    rows = seg.tag_chunks(chunks(spark, sf), K, O)
+    rows = _tagged(spark, sf)
     return seg.flag_segments(rows, K).select("video_id", "match_id", "start", "too_small", "invalid_mode")
 
 
@@ -115,18 +130,18 @@ def w07_flag_segments(spark, sf):
   max(r."end") AS "end", CAST(max(m.invalid_mode) AS INTEGER) AS invalid_mode
 FROM segrows r JOIN modes m USING (video_id, match_id) GROUP BY 1, 2, 3""", "df", segrows=_SEGROWS, modes=_MODES))
 def a02_segment_rollup(spark, sf):
-    rows = seg.flag_segments(seg.tag_chunks(chunks(spark, sf), K, O), K, min_chunks=0)
+    rows = seg.flag_segments(_tagged(spark, sf), K, min_chunks=0)
     return seg.rollup_segments(rows, K)
 
 
 @register("a03_segment_size", _sql("SELECT * FROM sizes", "df", segrows=_SEGROWS, sizes=_SIZES))
 def a03_segment_size(spark, sf):
-    return seg.segment_sizes(seg.tag_chunks(chunks(spark, sf), K, O), K)
+    return seg.segment_sizes(_tagged(spark, sf), K)
 
 
 @register("a04_unique_mode", _sql("SELECT * FROM modes", "df", segrows=_SEGROWS, modes=_MODES))
 def a04_unique_mode(spark, sf):
-    return seg.mode_flags(seg.tag_chunks(chunks(spark, sf), K, O), K)
+    return seg.mode_flags(_tagged(spark, sf), K)
 
 
 # ---- W8 flagship ---------------------------------------------------------------

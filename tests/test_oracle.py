@@ -50,7 +50,8 @@ def test_query_matches_oracle(spark, con, key):
     assert _bag(df.columns, rows) == _bag(dcols, cur.fetchall())
 
 
-SKEW_SAFE_KEYS = ["w08_segmentation", "w09_vector_frame_diff", "w11_shot_changes", "w12_shot_durations",
+SKEW_SAFE_KEYS = ["w01_prev_next", "w03_smooth_offset", "w06_segment_ids", "w07_flag_segments",
+                  "a04_unique_mode", "w08_segmentation", "w09_vector_frame_diff", "w11_shot_changes", "w12_shot_durations",
                   "w17_deltas", "w22_frame_counter", "a05_column_stats_frames"]
 
 
