@@ -46,22 +46,41 @@ def enrich_titles(catalog: DataFrame, refs: DataFrame, title: str = "title", ref
 
 
 def resolve_best(queries: DataFrame, refs: DataFrame, q_id: str, q_text: str, r_id: str, r_text: str,
-                 k: int = 1) -> DataFrame:
-    """Best ``k`` references per query title by token Jaccard score,
-    ties by reference id.  Titles are first reduced to distinct token sets,
-    candidates come from an equi-join on shared tokens (no cross join) and
-    the shared-token count is a partial aggregate."""
-    def toks(df, idc, txt):
-        t = df.select(idc, F.array_distinct(F.filter(T.tokens(F.lower(txt)), lambda w: w != "")).alias("_t"))
-        return t.select(idc, F.size("_t").alias("_n"), F.explode("_t").alias("_tok"))
-    q = toks(queries, q_id, q_text).withColumnRenamed("_n", "_qn")
-    r = toks(refs, r_id, r_text).withColumnRenamed("_n", "_rn")
-    shared = (q.join(r, "_tok").groupBy(q_id, r_id)
-              .agg(F.count(F.lit(1)).alias("_s"), F.max("_qn").alias("_qn"), F.max("_rn").alias("_rn")))
-    scored = shared.withColumn("score", F.col("_s") / (F.col("_qn") + F.col("_rn") - F.col("_s")))
-    w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(r_id))
+                 k: int = 1, min_score: float = 0.25) -> DataFrame:
+    """Best ``k`` references per query title by token Jaccard score
+    (at least ``min_score``), ties by reference id.
+
+    Candidates come from prefix filtering, which is exact for a Jaccard
+    threshold t: two token sets with J >= t share a token among the first
+    ``n - ceil(t * n) + 1`` tokens of each set in any fixed global order.
+    The order is rarest-first (reference document frequency, then token), so
+    frequent tokens sit at the end of the sets and rarely create candidates;
+    every candidate's score is then computed exactly from the two token sets.
+    """
+    if not 0 < min_score <= 1:
+        raise ValueError("min_score must be in (0, 1]")
+
+    def sets(df, idc, txt):
+        return df.select(F.col(idc).alias("_id"),
+                         F.array_distinct(F.filter(T.tokens(F.lower(txt)), lambda w: w != "")).alias("_t"))
+    qs, rs = sets(queries, q_id, q_text), sets(refs, r_id, r_text)
+    freq = rs.select(F.explode("_t").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+
+    def prefixes(ts):
+        e = ts.select("_id", F.size("_t").alias("_n"), F.explode("_t").alias("_tok"))
+        e = e.join(freq, "_tok", "left").fillna(0, subset=["_df"])
+        w = Window.partitionBy("_id").orderBy("_df", "_tok")
+        p = F.col("_n") - F.ceil(F.col("_n") * min_score) + 1
+        return e.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= p).select("_id", "_tok")
+    cand = (prefixes(qs).withColumnRenamed("_id", "_q").join(prefixes(rs).withColumnRenamed("_id", "_r"), "_tok")
+            .select("_q", "_r").distinct())
+    scored = (cand.join(qs.withColumnRenamed("_id", "_q").withColumnRenamed("_t", "_qt"), "_q")
+              .join(rs.withColumnRenamed("_id", "_r").withColumnRenamed("_t", "_rt"), "_r")
+              .withColumn("score", F.size(F.array_intersect("_qt", "_rt")) / F.size(F.array_union("_qt", "_rt")))
+              .filter(F.col("score") >= min_score))
+    w = Window.partitionBy("_q").orderBy(F.col("score").desc(), F.col("_r"))
     return (scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-            .select(q_id, r_id, r6("score").alias("score"), "rank"))
+            .select(F.col("_q").alias(q_id), F.col("_r").alias(r_id), r6("score").alias("score"), "rank"))
 
 
 def append_new(new: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:

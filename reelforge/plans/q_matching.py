@@ -116,22 +116,25 @@ q AS (SELECT p_partkey AS qid, {qt} AS toks FROM part),
 r AS (SELECT min(p_partkey) AS rid, {rt} AS toks FROM part GROUP BY p_name),
 qe AS (SELECT qid, len(toks) AS qn, unnest(toks) AS tok FROM q),
 re AS (SELECT rid, len(toks) AS rn, unnest(toks) AS tok FROM r),
-sc AS (SELECT qid, rid, count(*) * 1.0 / (max(qn) + max(rn) - count(*)) AS score
-       FROM qe JOIN re USING (tok) GROUP BY qid, rid)
+sc AS (SELECT * FROM (SELECT qid, rid, count(*) * 1.0 / (max(qn) + max(rn) - count(*)) AS score
+       FROM qe JOIN re USING (tok) GROUP BY qid, rid) WHERE score >= {t})
 SELECT qid AS p_partkey, rid AS song_id, floor((score) * 1e6 + 0.5) / 1e6 AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rank FROM sc) WHERE rank <= {k}"""
 _Q_TEXT = "p_name || ' ' || p_type"
 _R_TEXT = "p_name"
 
 
+J23_MIN_SCORE = 0.25
+
+
 def _j23(spark, sf, k):
     q = read_table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("qt"))
     r = read_table(spark, sf, "part").groupBy(F.col("p_name").alias("rt")).agg(F.min("p_partkey").alias("song_id"))
-    return M.resolve_best(q, r, "p_partkey", "qt", "song_id", "rt", k)
+    return M.resolve_best(q, r, "p_partkey", "qt", "song_id", "rt", k, J23_MIN_SCORE)
 
 
 def _j23_sql(k):
-    return "WITH " + _J23_SQL.format(qt=_TOK.format(x=_Q_TEXT), rt=_TOK.format(x=_R_TEXT), k=k)
+    return "WITH " + _J23_SQL.format(qt=_TOK.format(x=_Q_TEXT), rt=_TOK.format(x=_R_TEXT), k=k, t=J23_MIN_SCORE)
 
 
 @register("j02_resolve_best", _j23_sql(1))

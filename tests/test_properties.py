@@ -109,3 +109,21 @@ def test_blocked_frame_sequences_equal_windows(spark):
     same(TL.deltas(df, ["v"], ["ts"], ["x"]), TL.deltas(df, ["v"], ["ts"], ["x"], "blocked", b))
     same(FR.frame_counter(df, ["v"], "ts"), FR.frame_counter(df, ["v"], "ts", "blocked", b))
     same(FR.shot_durations(df, ["v"], "ts", "chg"), FR.shot_durations(df, ["v"], "ts", "chg", strategy="blocked", bucket=b))
+
+
+def test_prefix_filtered_resolution_equals_brute_force(spark):
+    """Every title carries the hot token 'the'; prefix filtering must still
+    find exactly the pairs a brute-force scorer finds above the threshold."""
+    words = ["red", "blue", "green", "gold", "rain", "fire", "moon", "sun"]
+    qrows = [(i, f"the {words[i % 8]} {words[(i * 3) % 8]} {words[(i * 5 + 1) % 8]}") for i in range(60)]
+    rrows = [(100 + j, f"the {words[j % 8]} {words[(j * 7 + 2) % 8]}") for j in range(40)]
+    q = spark.createDataFrame(qrows, "qid long, qt string")
+    r = spark.createDataFrame(rrows, "rid long, rt string")
+    got = {(x.qid, x.rid, x.score, x.rank) for x in M.resolve_best(q, r, "qid", "qt", "rid", "rt", 3, 0.4).collect()}
+    want = set()
+    for qi, qt in qrows:
+        a = set(qt.split())
+        sc = sorted(((len(a & set(rt.split())) / len(a | set(rt.split())), ri) for ri, rt in rrows), key=lambda t: (-t[0], t[1]))
+        sc = [t for t in sc if t[0] >= 0.4][:3]
+        want |= {(qi, ri, round(s, 6), n + 1) for n, (s, ri) in enumerate(sc)}
+    assert {(a, b, round(c, 6), d) for a, b, c, d in got} == want
