@@ -127,3 +127,14 @@ def test_prefix_filtered_resolution_equals_brute_force(spark):
         sc = [t for t in sc if t[0] >= 0.4][:3]
         want |= {(qi, ri, round(s, 6), n + 1) for n, (s, ri) in enumerate(sc)}
     assert {(a, b, round(c, 6), d) for a, b, c, d in got} == want
+
+
+def test_pattern_join_blocked_path_equals_broadcast(spark):
+    films = spark.createDataFrame([("top gun",), ("grease",), ("up",), ("x",)], "film string")
+    texts = spark.createDataFrame([
+        (1, "stop gun original soundtrack"), (2, "grease film hits"), (3, "the grease"), (4, "top gun film"),
+        (5, "cup of soundtrack"), (6, "x soundtrack")], "doc_id long, clean_name string")
+    a = M.first_pattern_match(films, texts, "film", "clean_name", "doc_id").select("film", "doc_id").collect()
+    b = M.first_pattern_match(films, texts, "film", "clean_name", "doc_id", max_broadcast_rows=0).select(
+        "film", "doc_id").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) == [("grease", 2), ("top gun", 1), ("up", 5), ("x", 6)]
