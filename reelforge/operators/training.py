@@ -157,3 +157,26 @@ def append_negatives(matches: DataFrame, negatives: DataFrame, order: Sequence[s
     neg = negatives.withColumn("_one", F.lit(1)).join(F.broadcast(max_id), "_one").drop("_one")
     neg = assign_ids(neg, order, bucket, start=F.col("_m") + 1).drop("_m")
     return matches.unionByName(neg, allowMissingColumns=True)
+
+
+def store_segments(segments: DataFrame, keys: Sequence[str] = ("video_id",), video_type: Column | None = None,
+                   existing_clips: DataFrame | None = None, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """N9 (the intent of the segment finder's tail): distinct clips of the
+    kept segments not stored yet (J4) get surrogate ids after the current
+    maximum (Q7); matches are joined back to their clip on (video, start)
+    (J9) with ``real = 1``.  Returns (new_clips, new_matches)."""
+    k = list(keys)
+    vt = video_type if video_type is not None else F.lit("mp4")
+    clips = segments.select(*k, "start", "end", vt.alias("video_type")).distinct()
+    if existing_clips is not None:
+        clips = clips.join(existing_clips.select(*k, "start"), [*k, "start"], "left_anti")
+        start = existing_clips.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m")).withColumn("_one", F.lit(1))
+        clips = clips.withColumn("_one", F.lit(1)).join(F.broadcast(start), "_one").drop("_one")
+        first = F.col("_m") + 1
+    else:
+        first = F.lit(1)
+    b = bucket if bucket is not None else F.floor(F.col(k[0]) / 1024)
+    clips = assign_ids(clips.withColumn("_first", first), [*k, "start"], b, start=F.col("_first")).drop("_first", "_m")
+    matches = (segments.join(clips.select(F.col("id").alias("clip_id"), *k, "start"), [*k, "start"])
+               .select(F.col("song_id").alias("djv_song_id"), "invalid_mode", F.lit(1).alias("real"), "clip_id"))
+    return clips, matches
