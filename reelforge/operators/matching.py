@@ -176,3 +176,17 @@ def match_rate(df: DataFrame, matched: Column, distinct_cols: Sequence[str] | No
     out = df.agg(num.alias("matched"), F.count(F.lit(1)).alias("total"))
     rate = F.try_divide(100.0 * F.col("matched"), F.col("total"))
     return out.select("matched", "total", r6(rate).alias("rate"), F.floor(rate).alias("rate_int"))
+
+
+def catalog_new_files(paths: DataFrame, path_col: str, modality: str, refs: DataFrame, existing: DataFrame,
+                      allow_numbers: bool = True, except_dir=(), except_file: str = "") -> DataFrame:
+    """The catalog flow as one plan: split paths into directory /
+    file name (S1), prune directories and files (S2, S3), keep files of the
+    modality with their cleaned titles (T1, T4), attach the resolved
+    reference song (J1), full-row distinct (O3) and keep only file names not
+    stored yet (J4)."""
+    from reelforge.sources.files import catalog_from_paths, prune_catalog
+    cat = prune_catalog(catalog_from_paths(paths, path_col), except_dir, except_file)
+    titled = T.cleanup_file_titles(cat.select("directory", "filename"), modality, allow_numbers)
+    enriched = enrich_titles(titled, refs).distinct()
+    return append_new(enriched, existing.select("filename"), "filename")

@@ -440,3 +440,32 @@ def o06_append_negatives(spark, sf):
                                                F.lit(2).alias("invalid_mode"), F.lit(0).alias("real"), "clip_id")
     out = TR.append_negatives(pos, neg, ["clip_id", "djv_song_id", "_src"], F.floor(F.col("clip_id") / 256))
     return out.drop("_src")
+
+
+# ---- E1: catalog flow ---------------------------------------------------------------------------
+E1_EXCEPT_DIRS = ["Brand#13"]
+E1_EXCEPT_FILE = "^small"
+_E1_SQL = f"""WITH files AS ({PART_FILES_SQL}),
+paths AS (SELECT f.p_partkey, '/music/' || p.p_brand || '/' || f.filename AS path FROM files f JOIN part p USING (p_partkey)),
+cat AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp_extract(path, '([^/]*)$', 1) AS filename
+        FROM paths),
+pruned AS (SELECT * FROM cat WHERE NOT list_has_any(string_split(directory, '/'), ['Brand#13'])
+           AND NOT regexp_matches(filename, '{E1_EXCEPT_FILE}')),
+titled AS (SELECT * FROM (SELECT directory, filename,
+    {_clean_sql("regexp_extract(filename, '" + T.SUFFIX_PATTERNS['midi'] + "', 1)", True)} AS title,
+    regexp_replace(regexp_extract(filename, '{T.SUFFIX_PATTERNS['midi']}', 2), '^\\.+|\\.+$', '', 'g') AS file_type
+    FROM pruned) WHERE title <> ''),
+refs AS ({_REFS_SQL}),
+enriched AS (SELECT DISTINCT t.directory, t.filename, t.title, t.file_type, r.song_id, r.spotify_artist, r.spotify_URL
+             FROM titled t LEFT JOIN refs r ON t.title = r.clean_title)
+SELECT * FROM enriched WHERE filename NOT IN (SELECT filename FROM files WHERE p_partkey % 3 = 0 AND filename IS NOT NULL)"""
+
+
+@register("j04_catalog_new_files", _E1_SQL)
+def j04_catalog_new_files(spark, sf):
+    files = part_files(spark, sf)
+    brand = read_table(spark, sf, "part").select("p_partkey", "p_brand")
+    paths = files.join(brand, "p_partkey").select(
+        F.concat(F.lit("/music/"), "p_brand", F.lit("/"), "filename").alias("path"))
+    existing = files.filter(F.col("p_partkey") % 3 == 0)
+    return M.catalog_new_files(paths, "path", "midi", _refs(spark, sf), existing, True, E1_EXCEPT_DIRS, E1_EXCEPT_FILE)
