@@ -195,20 +195,27 @@ def _smooth(pl, cl, nl, po, co, no, offset_mode):
 
 def tag_chunks_blocked(chunks: DataFrame, keys: Sequence[str] = ("video_id",), start: str = "start",
                        label: str = "song_id", offset: str = "offset_seconds", offset_mode: str = "half_diff",
-                       span: int = 5000 * (1 << 14), block_rows: int = 1 << 20) -> DataFrame:
+                       span: int = 5000 * (1 << 14), block_rows: int = 1 << 16,
+                       dense_position: Column | None = None) -> DataFrame:
     """Skew-safe W1-W6: same rows and values as :func:`tag_chunks`, but no
     step sends all rows of one timeline to one task.
 
-    1. dense positions per timeline (numbered per ``span`` of ``start``);
-    2. the raw values at positions -2..+2 of every row, from 5 copies grouped
-       by (timeline, position) - enough to smooth the row and both neighbours
-       and to tag it;
-    3. segment ids as a running count of B rows per block of positions with
-       carried block totals."""
-    from reelforge.operators.sequence import blocked_running_sum, neighbour_context, sequence_index
+    1. dense positions per timeline (numbered per ``span`` of ``start``), or
+       ``dense_position`` when the caller knows one (chunks on a fixed grid
+       without gaps, e.g. ``start / chunk_ms``);
+    2. the raw values at positions -2..+2 of every row, from windows over
+       (timeline, block of positions) with 2 halo rows copied across each
+       block edge - enough to smooth the row and both neighbours and to tag it;
+    3. segment ids as a running count of B rows on the same (timeline, block)
+       partitioning with carried block totals."""
+    from reelforge.operators.sequence import neighbour_window, sequence_index
     k = list(keys)
-    idx = sequence_index(chunks, k, [start], F.floor(F.col(start) / span))
-    ctx = neighbour_context(idx, k, "idx", [label, offset], 2, keep=[start, "end"])
+    base = chunks.select(*k, start, "end", label, offset)
+    if dense_position is not None:
+        idx = base.withColumn("idx", dense_position.cast("long"))
+    else:
+        idx = sequence_index(base, k, [start], F.floor(F.col(start) / span))
+    ctx = neighbour_window(idx, k, "idx", [label, offset], 2, block_rows)
     L = lambda s: F.col(f"{label}{s}")
     O = lambda s: F.col(f"{offset}{s}")
     l_m1, o_m1 = _smooth(L("_m2"), L("_m1"), L(""), O("_m2"), O("_m1"), O(""), offset_mode)
@@ -218,14 +225,21 @@ def tag_chunks_blocked(chunks: DataFrame, keys: Sequence[str] = ("video_id",), s
            .when(eq(l_m1, l_0) & eq(l_0, l_p1), F.lit(TAG_I))
            .when(eq(l_m1, l_0) & ~eq(l_0, l_p1), F.lit(TAG_E))
            .otherwise(F.lit(TAG_O)))
-    rows = ctx.select(*k, "idx", start, "end", l_0.alias(label), o_0.alias(offset), o_m1.alias("_po"),
+    rows = ctx.select(*k, "_blk", "idx", start, "end", l_0.alias(label), o_0.alias(offset), o_m1.alias("_po"),
                       tag.alias("match_tag"))
     rows = rows.withColumn("offset_diff", F.when(F.col("match_tag").isin(TAG_I, TAG_E),
                                                  F.bround(F.col(offset) - F.col("_po"), 0))).drop("_po")
-    rows = blocked_running_sum(rows, k, "idx", F.when(F.col("match_tag") == TAG_B, 1).otherwise(0), "_run",
-                               block_rows)
+    # running B-count: a window on the same (key, block) partitioning (no new exchange)
+    # plus the carried totals of earlier blocks (one row per block)
+    isb = F.when(F.col("match_tag") == TAG_B, 1).otherwise(0)
+    w = Window.partitionBy(*k, "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_b1", isb).withColumn("_loc", F.sum("_b1").over(w))
+    tot = rows.groupBy(*k, "_blk").agg(F.sum("_b1").alias("_tot"))
+    carry = tot.select(*k, "_blk", F.coalesce(F.sum("_tot").over(
+        Window.partitionBy(*k).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"))
+    rows = rows.join(carry, [*k, "_blk"]).withColumn("_run", (F.col("_c") + F.col("_loc")).cast("long"))
     return (rows.withColumn("match_id", F.when(F.col("match_tag").isin(TAG_B, TAG_I, TAG_E), F.col("_run")))
-            .drop("_run", "idx"))
+            .drop("_run", "_b1", "_loc", "_c", "_blk", "idx"))
 
 
 def segment_timeline(chunks: DataFrame, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("start",),

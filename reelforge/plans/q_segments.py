@@ -19,7 +19,9 @@ def _chunks_and_strategy(spark, sf):
 def _tagged(spark, sf):
     """W1-W6 rows with the per-key window plan or, for hot videos, the skew-safe plan."""
     ch, strategy = _chunks_and_strategy(spark, sf)
-    return seg.tag_chunks_blocked(ch, K) if strategy == "blocked" else seg.tag_chunks(ch, K, O)
+    # the chunk adapter numbers chunks densely on the 5 s grid: start / 5000 is the position
+    return (seg.tag_chunks_blocked(ch, K, dense_position=F.col("start") / 5000) if strategy == "blocked"
+            else seg.tag_chunks(ch, K, O))
 
 
 def _neighbours(spark, sf):
@@ -156,7 +158,8 @@ WHERE s.n >= 3""", "df", segrows=_SEGROWS, modes=_MODES)
 def w08_segmentation(spark, sf):
     """Picks the per-key window plan or the skew-safe plan from the largest timeline."""
     strategy = sequence_strategy(spark, sf)
-    return seg.segment_timeline(chunks(spark, sf, strategy), K, O, strategy=strategy)
+    extra = {"dense_position": F.col("start") / 5000} if strategy == "blocked" else {}
+    return seg.segment_timeline(chunks(spark, sf, strategy), K, O, strategy=strategy, **extra)
 
 
 @register("w08_segmentation_blocked", W08_SQL)
