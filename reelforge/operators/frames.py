@@ -128,10 +128,10 @@ def _previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Se
         return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})
     if strategy != "blocked" or bucket is None:
         raise ValueError("strategy must be 'window', or 'blocked' with a bucket column")
-    from reelforge.operators.sequence import neighbour_context, sequence_index
+    from reelforge.operators.sequence import neighbour_window, sequence_index
     rest = [c for c in df.columns if c not in k and c not in cols]
     idx = sequence_index(df, k, order, bucket, out="_pos")
-    ctx = neighbour_context(idx, k, "_pos", list(cols), 1, keep=rest)
+    ctx = neighbour_window(idx, k, "_pos", list(cols), 1)
     return ctx.select(*k, *rest, *cols, *[F.col(f"{c}_m1").alias(f"prev_{c}") for c in cols])
 
 

@@ -41,12 +41,12 @@ def with_neighbours(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("
     """``prev_<c>`` / ``next_<c>`` = value of the previous / next row
     (``strategy='blocked'``: dense positions + neighbour context, no per-key window)."""
     if strategy == "blocked":
-        from reelforge.operators.sequence import neighbour_context, sequence_index
+        from reelforge.operators.sequence import neighbour_window, sequence_index
         k = list(keys)
         cs = [c for c in cols if c in df.columns]
         rest = [c for c in df.columns if c not in k and c not in cs]
         b = bucket if bucket is not None else F.floor(F.col(order[0]) / (5000 * (1 << 14)))
-        ctx = neighbour_context(sequence_index(df, k, order, b, out="_pos"), k, "_pos", cs, 1, keep=rest)
+        ctx = neighbour_window(sequence_index(df, k, order, b, out="_pos"), k, "_pos", cs, 1)
         return ctx.select(*k, *rest, *cs, *[F.col(f"{c}_m1").alias(f"prev_{c}") for c in cs],
                           *[F.col(f"{c}_p1").alias(f"next_{c}") for c in cs])
     w = _window(keys, order)
