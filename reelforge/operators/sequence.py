@@ -6,9 +6,11 @@ work.  These helpers give the same answers with work split below the key:
 
 * :func:`sequence_index` - dense 0-based position per key, numbered inside
   (key, bucket) groups plus a prefix sum over the small per-bucket counts.
-* :func:`neighbour_context` - values of the rows at positions ``-r..+r``
-  around each row, from an explode of ``2r+1`` copies grouped by (key,
-  position): every group has at most ``2r+1`` rows.
+* :func:`neighbour_window` - values of the rows at positions ``-r..+r``
+  around each row, from ``lag`` / ``lead`` over (key, block of positions)
+  windows with ``r`` halo rows copied across every block edge.
+* :func:`exact_ranks` - exact value ranks inside a group via range
+  partitioning on (group, value) plus per-partition count prefix sums.
 * :func:`blocked_running_sum` - running sum over positions per key, computed
   per (key, block) with carried block totals.
 """
@@ -41,27 +43,6 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buc
             .withColumn(out, (F.col("_off") + F.col("_l")).cast("long")).drop("_b", "_l", "_off"))
 
 
-def neighbour_context(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], radius: int,
-                      keep: Sequence[str] = ()) -> DataFrame:
-    """One row per position with ``<c>_m<j>`` / ``<c>_p<j>`` = value of ``c``
-    at position ``idx - j`` / ``idx + j`` (null beyond the ends) for
-    ``j <= radius``, plus ``<c>`` itself and the ``keep`` columns of the row."""
-    k = list(keys)
-    shifts = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_s")
-    copies = df.select(*k, idx, *cols, *keep, shifts)
-    # the copy of row j sent to target t = j + s sits at relative position -s
-    copies = copies.withColumn("_t", F.col(idx) + F.col("_s")).withColumn("_rel", -F.col("_s"))
-    aggs = [F.max(F.when(F.col("_rel") == 0, 1)).alias("_self")]
-    for c in [*cols, *keep]:
-        aggs.append(F.max(F.when(F.col("_rel") == 0, F.col(c))).alias(c))
-    for c in cols:
-        for j in range(1, radius + 1):
-            aggs.append(F.max(F.when(F.col("_rel") == -j, F.col(c))).alias(f"{c}_m{j}"))
-            aggs.append(F.max(F.when(F.col("_rel") == j, F.col(c))).alias(f"{c}_p{j}"))
-    g = copies.groupBy(*k, "_t").agg(*aggs)
-    return g.filter(F.col("_self").isNotNull()).drop("_self").withColumnRenamed("_t", idx)
-
-
 def blocked_running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: Column, out: str,
                         block_rows: int = 1 << 20) -> DataFrame:
     """``out`` = sum of ``value`` over positions ``<= idx`` of the same key,
@@ -99,8 +80,9 @@ def exact_ranks(df: DataFrame, group: Sequence[str], value: str, out: str = "_r"
 
 def neighbour_window(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], radius: int,
                      block_rows: int = 1 << 16) -> DataFrame:
-    """Same result as :func:`neighbour_context` with about one copy of the data:
-    dense positions are cut into blocks of ``block_rows``; the ``radius``
+    """Values of the rows ``1..radius`` positions before / after each row
+    (``<c>_m<j>`` / ``<c>_p<j>``, null beyond the ends) with about one copy
+    of the data: dense positions are cut into blocks of ``block_rows``; the ``radius``
     edge rows of every block are also sent to the adjacent block as halo
     rows, so ``lag`` / ``lead`` inside (key, block) windows see across block
     edges.  Halo rows are dropped afterwards; the result keeps the column

@@ -124,7 +124,9 @@ def assign_ids(df: DataFrame, order: Sequence[str], bucket: Column, start: Colum
     without a single-partition window.
 
     ``bucket`` must be non-decreasing in ``order`` (e.g. a coarse prefix of the
-    leading order column).  Rows are numbered inside their bucket (one window
+    leading order column) and coarse enough that the bucket-count table (one
+    row per bucket, prefix-summed in one window) stays small - say at most a
+    few million buckets.  Rows are numbered inside their bucket (one window
     per bucket, spread over all tasks); bucket offsets come from a prefix sum
     over the per-bucket counts, a table with one row per bucket.
     """

@@ -384,7 +384,7 @@ def q07_surrogate_ids(spark, sf):
                      "o_orderkey")
     mx = o.agg(F.max("o_orderkey").alias("_m")).withColumn("_one", F.lit(1))
     c = clips.withColumn("_one", F.lit(1)).join(F.broadcast(mx), "_one").drop("_one")
-    return TR.assign_ids(c, ["video_id", "start", "o_orderkey"], F.floor(F.col("video_id") / 64),
+    return TR.assign_ids(c, ["video_id", "start", "o_orderkey"], F.floor(F.col("video_id") / (1 << 16)),
                          start=F.col("_m") + 1).drop("_m")
 
 
@@ -438,7 +438,7 @@ def o06_append_negatives(spark, sf):
     pos = vm.filter(F.col("real") == 1)
     neg = vm.filter(F.col("real") == 0).select(F.col("id").alias("_src"), "djv_song_id",
                                                F.lit(2).alias("invalid_mode"), F.lit(0).alias("real"), "clip_id")
-    out = TR.append_negatives(pos, neg, ["clip_id", "djv_song_id", "_src"], F.floor(F.col("clip_id") / 256))
+    out = TR.append_negatives(pos, neg, ["clip_id", "djv_song_id", "_src"], F.floor(F.col("clip_id") / (1 << 20)))
     return out.drop("_src")
 
 

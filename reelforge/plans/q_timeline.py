@@ -93,7 +93,7 @@ def w20_full_chunks(spark, sf):
   AS batch FROM orders""")
 def w21_batches(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey")
-    return TL.batches(o, ["o_orderkey"], F.floor(F.col("o_orderkey") / 4096), 200).select("o_orderkey", "batch")
+    return TL.batches(o, ["o_orderkey"], F.floor(F.col("o_orderkey") / (1 << 20)), 200).select("o_orderkey", "batch")
 
 
 # ---- notes ------------------------------------------------------------------------------------
