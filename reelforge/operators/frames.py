@@ -91,10 +91,19 @@ def flow_stats(vectors: DataFrame, keys: Sequence[str], diag: float) -> DataFram
     deg = F.degrees(F.atan2(dy, dx))
     ang = F.when(dy < 0, F.abs(deg)).otherwise(360.0 - deg)
     w = Window.partitionBy(*k)
-    mdx, mdy = F.avg(dx).over(w), F.avg(dy).over(w)
-    # the original truncates the mean dx, dy to int before atan2
-    mdeg = F.degrees(F.atan2(mdy.cast("int").cast("double"), mdx.cast("int").cast("double")))
-    mu = F.when(mdy < 0, -mdeg).otherwise(360.0 - mdeg)
+    # The original truncates the mean dx, dy to int before atan2.  A float mean
+    # that is exactly an integer would truncate by summation order, so the
+    # means are taken over integer micro-units: exact and order-independent.
+    n = F.count(F.lit(1)).over(w)
+
+    def trunc_mean(c):
+        s = F.sum(F.round(c * 1e6).cast("long")).over(w)
+        d = n * 1_000_000
+        return F.when(s >= 0, F.floor(s / d)).otherwise(-F.floor(-s / d)).cast("long")
+    tdx, tdy = trunc_mean(dx), trunc_mean(dy)
+    neg = F.sum(F.round(dy * 1e6).cast("long")).over(w) < 0
+    mdeg = F.degrees(F.atan2(tdy.cast("double"), tdx.cast("double")))
+    mu = F.when(neg, -mdeg).otherwise(360.0 - mdeg)
     v = vectors.select(*k, ang.alias("angle"), (F.sqrt(dx * dx + dy * dy) / diag).alias("mag"), mu.alias("mu"))
     agg = v.groupBy(*k).agg(
         F.avg("mag").alias("mag_mu"), F.stddev_pop("mag").alias("mag_std"), F.max("mu").alias("mu"),

@@ -132,6 +132,12 @@ def a11_faces_per_frame(spark, sf):
                               float(FRAME_W * FRAME_H))
 
 
+# truncated mean over integer micro-units (exact, order-independent)
+_TM = ("CAST(CASE WHEN sum(CAST(round({c} * 1e6) AS BIGINT)) OVER w >= 0 "
+       "THEN floor(sum(CAST(round({c} * 1e6) AS BIGINT)) OVER w / (count(*) OVER w * 1000000)) "
+       "ELSE -floor(-sum(CAST(round({c} * 1e6) AS BIGINT)) OVER w / (count(*) OVER w * 1000000)) END AS BIGINT)")
+
+
 @register("a12_flow_stats", _q(f"""
 SELECT video_id, frame, floor((avg(mag)) * 1e6 + 0.5) / 1e6 AS mag_mu, floor((stddev_pop(mag)) * 1e6 + 0.5) / 1e6 AS mag_std, floor((max(mu)) * 1e6 + 0.5) / 1e6 AS angle_mu,
   floor((sqrt(avg(pow(CASE WHEN abs(mu - angle) > 180 THEN abs(mu - angle) - 360 ELSE abs(mu - angle) END, 2)))) * 1e6 + 0.5) / 1e6
@@ -140,9 +146,9 @@ SELECT video_id, frame, floor((avg(mag)) * 1e6 + 0.5) / 1e6 AS mag_mu, floor((st
                                           ELSE abs(mu - angle) END, 2))) + 1e-8)) * 1e6 + 0.5) / 1e6 AS tilt_pan_confidence
 FROM (SELECT *, CASE WHEN dy < 0 THEN abs(degrees(atan2(dy, dx))) ELSE 360.0 - degrees(atan2(dy, dx)) END AS angle,
         sqrt(dx * dx + dy * dy) / {DIAG!r} AS mag,
-        CASE WHEN avg(dy) OVER w < 0
-             THEN -degrees(atan2(CAST(trunc(avg(dy) OVER w) AS BIGINT), CAST(trunc(avg(dx) OVER w) AS BIGINT)))
-             ELSE 360.0 - degrees(atan2(CAST(trunc(avg(dy) OVER w) AS BIGINT), CAST(trunc(avg(dx) OVER w) AS BIGINT)))
+        CASE WHEN sum(CAST(round(dy * 1e6) AS BIGINT)) OVER w < 0
+             THEN -degrees(atan2({_TM.format(c='dy')}, {_TM.format(c='dx')}))
+             ELSE 360.0 - degrees(atan2({_TM.format(c='dy')}, {_TM.format(c='dx')}))
         END AS mu
       FROM (SELECT video_id, r // 4 AS frame, CAST(k - 50 AS DOUBLE) AS dx, value - 50.0 AS dy FROM seq)
       WINDOW w AS (PARTITION BY video_id, frame))
