@@ -11,13 +11,13 @@ item, offset difference) and a best-per-chunk pick.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelforge.functions.scalar import r6
 
 from reelforge.functions.text import tokens
-from reelforge.plans.parallel import spread
+from reelforge.operators.parallel import spread
 
 SEP = "\u0001"
 

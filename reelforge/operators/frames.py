@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.functions.scalar import r6
-
 from reelforge.functions.scalar import angle_diff, r6
 
 

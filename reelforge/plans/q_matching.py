@@ -9,7 +9,7 @@ from reelforge.functions import text as T
 from reelforge.operators import matching as M
 from reelforge.operators import training as TR
 from reelforge.plans.adapters import (CHUNKS_SQL, PART_FILES_SQL, STAR_SQL, chunks, part_files, star, with_ctes)
-from reelforge.plans.parallel import spread
+from reelforge.operators.parallel import spread
 from reelforge.plans.q_text import _clean_sql
 from reelforge.plans.registry import register
 from reelforge.session import read_table

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reelforge.functions.scalar import r6
 
 from reelforge.functions import scalar as X
-from reelforge.functions import text as T
 from reelforge.plans.adapters import (CHUNKS_SQL, EVENTS_K_SQL, RECTS_SQL, chunks, events_k, rects, with_ctes)
 from reelforge.plans.registry import register
 from reelforge.session import read_table

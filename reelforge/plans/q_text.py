@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelforge.functions import text as T
-from reelforge.plans.parallel import spread
+from reelforge.operators.parallel import spread
 from reelforge.plans.adapters import (CHUNKS_SQL, PART_FILES_SQL, PATH_SPLIT_SQL, PATHS_SQL, chunks, part_files,
                                       paths, with_ctes)
 from reelforge.plans.registry import register

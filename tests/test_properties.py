@@ -1,6 +1,5 @@
 """Properties of the operators on the sf0.001 tables."""
 
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

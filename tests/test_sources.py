@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from reelforge.functions import names as NM
