@@ -97,12 +97,14 @@ def shot_change_stream(candidates: DataFrame, key: str = "video_id", ts: str = "
 
 
 # ---- X5: exact incremental segmentation ------------------------------------------------------
-def segment_upsert(chunks_path: str, segments_path: str, keys: Sequence[str] = ("video_id",), min_chunks: int = 3):
+def segment_upsert(chunks_path: str, segments_path: str, keys: Sequence[str] = ("video_id",), min_chunks: int = 3,
+                   strategy: str = "window"):
     """X5 sink for ``foreachBatch``: store the new chunks, then recompute the
     W8 segments of exactly the videos touched by the batch from their stored
     chunks and replace those videos' segments (dynamic partition overwrite),
     so the streamed result always equals the batch result and a replayed
-    batch is idempotent."""
+    batch is idempotent.  ``strategy='blocked'`` re-segments with the
+    skew-safe plan (for very long timelines)."""
     k = list(keys)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
@@ -110,7 +112,7 @@ def segment_upsert(chunks_path: str, segments_path: str, keys: Sequence[str] = (
         batch.write.mode("append").partitionBy(*k).parquet(chunks_path)
         touched = batch.select(*k).distinct()
         hist = spark.read.parquet(chunks_path).join(touched, k, "left_semi").dropDuplicates([*k, "start"])
-        seg = SEG.segment_timeline(hist, k, ["start"], min_chunks=min_chunks)
+        seg = SEG.segment_timeline(hist, k, ["start"], min_chunks=min_chunks, strategy=strategy)
         (seg.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*k).parquet(segments_path))
     return sink

@@ -3,6 +3,8 @@
 import os
 import shutil
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from reelforge.operators import frames as FR
@@ -53,13 +55,14 @@ def test_x4_shot_changes(spark, scratch):
     assert got == batch == [(1, 1200), (1, 2400), (1, 3600), (2, 1500), (2, 2700)]
 
 
-def test_x5_incremental_segments(spark, scratch):
+@pytest.mark.parametrize("strategy", ["window", "blocked"])
+def test_x5_incremental_segments(spark, scratch, strategy):
     src = os.path.join(scratch, "chunks_in")
     ch = chunks(spark, SF)
     ch.write.parquet(src)
     stream = spark.readStream.schema(ch.schema).option("maxFilesPerTrigger", 1).parquet(src)
     cp, hist, out = (os.path.join(scratch, n) for n in ("cp5", "hist5", "seg5"))
-    q = (stream.writeStream.foreachBatch(X.segment_upsert(hist, out)).option("checkpointLocation", cp)
+    q = (stream.writeStream.foreachBatch(X.segment_upsert(hist, out, strategy=strategy)).option("checkpointLocation", cp)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.read.parquet(out).select("video_id", "match_id", "song_id", "start", "end", "invalid_mode")
