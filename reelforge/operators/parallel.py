@@ -12,9 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def default_parallelism(spark) -> int:
+    """Cores of the cluster (classic sessions) or the shuffle-partition
+    setting (sessions without a SparkContext, e.g. Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(target)
-    return df
+    cores = default_parallelism(df.sparkSession)
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  no RDD API: leave the plan as it is
+        return df
+    return df.repartition(cores * factor) if n < cores else df

@@ -66,7 +66,8 @@ def exact_ranks(df: DataFrame, group: Sequence[str], value: str, out: str = "_r"
     hot group spans many partitions; ranks are local ranks plus the counts
     of the same group in earlier partitions (a small table)."""
     g = list(group)
-    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 2, 2)
+    from reelforge.operators.parallel import default_parallelism
+    n = partitions or max(default_parallelism(df.sparkSession) * 2, 2)
     d = df.repartitionByRange(n, *g, value).withColumn("_pid", F.spark_partition_id())
     local = F.row_number().over(Window.partitionBy("_pid", *g).orderBy(value))
     counts = d.groupBy(*g, "_pid").agg(F.count(F.lit(1)).alias("_c"))
