@@ -5,15 +5,17 @@ null) recognised label and an offset, e.g. the chunk-match table
 
     video_id, start, end, song_id, offset_seconds
 
-The pipeline smooths one-chunk glitches, tags every chunk B / I / E / O,
-numbers the runs, flags runs that are too short or whose offset steps have no
-unique mode, and rolls each run up to one (start, end) segment.
-
-Plan shape: every window below uses the same ``partitionBy(keys)
-.orderBy(order)`` spec, so Catalyst plans ONE hash exchange on the keys and
-one sort; the later per-segment aggregates group by (keys, match_id), which
-the existing hash partitioning on ``keys`` already satisfies, so no further
-exchange of row-level data happens.
+The operators smooth one-chunk glitches, tag every chunk B / I / E / O,
+number the runs, flag runs that are too short or whose offset steps have no
+unique mode, and roll each run up to one (start, end) segment.
+
+Plan shape (``strategy='window'``): every window uses the same
+``partitionBy(keys).orderBy(order)`` spec, so Catalyst plans ONE hash
+exchange on the keys and one sort; the per-segment aggregates group by
+(keys, match_id), which that hash partitioning already satisfies, so no
+further exchange of row-level data happens.  ``strategy='blocked'``
+(:func:`tag_chunks_blocked`) gives the same rows without any task holding a
+whole timeline, for keys too large for one task.
 """
 
 from __future__ import annotations
@@ -245,7 +247,7 @@ def tag_chunks_blocked(chunks: DataFrame, keys: Sequence[str] = ("video_id",), s
 def segment_timeline(chunks: DataFrame, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("start",),
                      label: str = "song_id", offset: str = "offset_seconds", min_chunks: int = 3,
                      offset_mode: str = "half_diff", strategy: str = "window", **blocked_args) -> DataFrame:
-    """The whole segmentation pipeline, one plan over every timeline.
+    """The whole segmentation (W1-W7 + A2), one plan over every timeline.
 
     Returns one row per kept segment:
     ``keys..., match_id, <label>, start, end, invalid_mode``.
