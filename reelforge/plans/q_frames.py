@@ -117,6 +117,14 @@ def a07_hue_histogram(spark, sf):
     return FR.histogram(px, ["video_id"], "hue", 0, 1, 179)
 
 
+@register("a07_saturation_histogram", _q(_hist_sql("px", "video_id", "sat", 0, 1, 255),
+                                         px="SELECT video_id, (k * 7) % 256 AS sat FROM seq"))
+def a07_saturation_histogram(spark, sf):
+    """A7 with 255 unit bins (saturation / value): 255 falls in the last, closed bin."""
+    px = _seq(spark, sf).select("video_id", F.pmod(F.col("k") * 7, F.lit(256)).alias("sat"))
+    return FR.histogram(px, ["video_id"], "sat", 0, 1, 255)
+
+
 # ---- A11 faces, A12 flow, A13 colour -------------------------------------------------------
 @register("a11_faces_per_frame", _q(f"""
 SELECT f.video_id, f.frame, CAST(coalesce(c.n, 0) AS DOUBLE) AS faces_num, floor((coalesce(c.r, 0.0)) * 1e6 + 0.5) / 1e6 AS faces_ratio
