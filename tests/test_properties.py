@@ -137,3 +137,21 @@ def test_pattern_join_blocked_path_equals_broadcast(spark):
     b = M.first_pattern_match(films, texts, "film", "clean_name", "doc_id", max_broadcast_rows=0).select(
         "film", "doc_id").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) == [("grease", 2), ("top gun", 1), ("up", 5), ("x", 6)]
+
+
+def test_first_per_key_on_a_hot_key(spark):
+    df = spark.range(20000).select(F.when(F.col("id") % 4 == 0, F.col("id") % 50).otherwise(0).alias("k"),
+                                   ((F.col("id") * 7919) % 20011).alias("o"), F.col("id").alias("payload"))
+    got = {r.k: (r.o, r.payload) for r in M.first_per_key(df, "k", ["o", "payload"]).collect()}
+    w = Window.partitionBy("k").orderBy("o", "payload")
+    want = {r.k: (r.o, r.payload) for r in df.withColumn("rn", F.row_number().over(w)).filter("rn = 1").collect()}
+    assert got == want
+
+
+def test_assign_ids_dense_across_buckets(spark):
+    from reelforge.operators.training import assign_ids
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("key"),
+                                  F.col("id").alias("tie"))
+    out = assign_ids(df, ["key", "tie"], F.floor(F.col("key") / 256), start=10).collect()
+    got = sorted((r.key, r.tie, r.id) for r in out)
+    assert [x[2] for x in got] == list(range(10, 5010))
