@@ -122,3 +122,15 @@ def j09_segment_matches(spark, sf):
     from reelforge.operators.training import store_segments
     _, matches = store_segments(SEG.segment_timeline(_recognised_chunks(spark, sf)))
     return matches
+
+
+@register("t19_recognition_fields", _REC_SQL + """SELECT r.doc_id, r.chunk, r.item_id, decode(encode(b.text)) AS song_name,
+  floor((r.votes / r.n) * 1e6 + 0.5) / 1e6 AS input_confidence, r."offset"
+FROM res r JOIN benchmark b ON b.item_id = r.item_id WHERE r.ok""")
+def t19_recognition_fields(spark, sf):
+    """T19 on recognition results: pick the fields and decode the item name from its UTF-8 bytes."""
+    from reelforge.functions.scalar import decode_utf8
+    rec = r02_recognise_chunks(spark, sf).filter(F.col("item_id").isNotNull())
+    names = read_table(spark, sf, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("name_bytes"))
+    return rec.join(names, "item_id").select("doc_id", "chunk", "item_id", decode_utf8("name_bytes").alias("song_name"),
+                                             "input_confidence", "offset")
