@@ -10,8 +10,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = mixing.curriculum(docs.select("doc_id", "text", "source"), keep=["doc_id"])
     first = F.round(F.get(F.col("_mx_turns.position"), F.lit(0)), 6)
-    return (mixed.repartitionByRange(F.get(F.col("_mx_turns.position"), F.lit(0)))
-            .sortWithinPartitions(F.get(F.col("_mx_turns.position"), F.lit(0)))
+    # Documents that are not taken have no position; their ids deal them out.
+    order = [F.get(F.col("_mx_turns.position"), F.lit(0)), F.col("doc_id")]
+    return (mixed.repartitionByRange(*order).sortWithinPartitions(*order)
             .select("doc_id", F.col("_mx_size").alias("size"), F.col("_mx_words").alias("source_size"),
                     F.round("_mx_target", 6).alias("target"),
                     F.aggregate("_mx_turns.words", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
