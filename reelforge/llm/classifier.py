@@ -30,32 +30,35 @@ from pyspark.sql import types as T
 
 from reelforge.llm.textstats import Texts
 
-SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.2, 0.1, 1e-3
+SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.6, 0.1, 1e-3
 THRESHOLD = 0.3
 
 
+#: Words, characters and lines added to every denominator (20 words of five
+#: characters on ten lines), so that one odd word in a short text says little.
+PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 20, 100, 10
+
+
 def features(t: Texts) -> np.ndarray:
-    """Transformed statistics, one row per text.  They are shares and
-    logarithms, so a long clean text looks like a short clean one."""
-    words = t.n_words()
-    chars, upper, lower = t.word_chars(), t.n_of(bytes(range(65, 91))), t.n_of(bytes(range(97, 123)))
-    w, c = np.maximum(words, 1), np.maximum(chars, 1)
+    """Transformed statistics, one row per text.  They are smoothed shares
+    and logarithms, so a long clean text looks like a short clean one."""
+    words, upper, lower = t.n_words(), t.n_of(bytes(range(65, 91))), t.n_of(bytes(range(97, 123)))
+    w, c, n = words + PRIOR_WORDS, t.word_chars() + PRIOR_CHARS, t.n_lines() + PRIOR_LINES
     return np.column_stack([
         np.log1p(words) / 4,
-        np.log1p(c / w),
+        np.log(c / w),
         np.sqrt(t.n_symbols() / c),
         np.sqrt(t.n_of(b"!?") / c),
-        np.sqrt(upper / np.maximum(upper + lower, 1)),
+        upper / (upper + lower + PRIOR_CHARS),
         np.sqrt(t.n_echo_words() / w),
-        np.sqrt(t.n_repeat_words() / w),
-        np.sqrt(t.n_dup_lines() / np.maximum(t.n_lines(), 1)),
-        np.log((t.n_distinct_words() + 1) / (w + 1)) / np.log(w + 2),
+        t.n_repeat_words() / w,
+        t.n_dup_lines() / n,
+        np.log((t.n_distinct_words() + PRIOR_WORDS) / w) / np.log(w),
         np.sqrt(t.n_of(b"0123456789") / c),
-        np.sqrt(t.n_of(b".,;:") / c),
     ])
 
 
-N_FEATURES = 11
+N_FEATURES = 10
 
 
 @dataclass
@@ -72,7 +75,7 @@ class Discriminant:
             return np.full(len(x), self.constant)
         logs = [o - 0.5 * (((x - m) @ f.T) ** 2).sum(1)
                 for m, f, o in zip(self.means, self.factors, self.offsets)]
-        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
