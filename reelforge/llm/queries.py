@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import q_classifier, q_mixing, q_rules
+from reelforge.llm import q_classifier, q_mixing, q_packing, q_rules
 
-_MODULES = (q_mixing, q_rules, q_classifier)
+_MODULES = (q_mixing, q_packing, q_rules, q_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
