@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from reelforge.llm.textstats import Texts
 
-SAMPLE_ROWS = 512
+SAMPLE_ROWS, SAMPLE_CHARS = 512, 100_000
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 MEASURES: dict[str, Callable[[Texts], np.ndarray]] = {
@@ -100,36 +100,29 @@ def passed(texts: Texts, rules, known: dict[str, np.ndarray] | None = None) -> n
 
 
 def order_rules(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, estimated on at most ``sample_rows`` rows.
-
-    A rule's cost counts what it needs on a fresh slice.  The sample comes
-    back as one row per rule and text (``sample_rows`` times the number of
-    rules at most)."""
-    by_name = {r.name: r for r in rules}
-
-    def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, texts in Texts.of(batch.column(0)):
-                for rule in by_name.values():
-                    fresh = Texts(texts.data, texts.offsets)
-                    began = time.process_time()
-                    verdict = rule.rejects(*[MEASURES[n](fresh) for n in rule.needs])
-                    cost = (time.process_time() - began) / max(1, hi - lo)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([rule.name]), pa.array([cost]), pa.array([verdict.tolist()], pa.list_(pa.bool_()))],
-                        names=["rule", "cost", "rejected"])
-
-    rows = (docs.select(F.col(text_col).cast("string")).limit(sample_rows)
-            .mapInArrow(trial, "rule string, cost double, rejected array<boolean>").collect())
-    cost = {n: 1e-9 + sum(r.cost * len(r.rejected) for r in rows if r.rule == n) for n in by_name}
-    verdict = {n: np.array([x for r in rows if r.rule == n for x in r.rejected], bool) for n in by_name}
-    left = np.ones(len(next(iter(verdict.values()), [])), bool)
-    order: list[Rule] = []
-    while len(order) < len(by_name):
-        todo = [n for n in by_name if by_name[n] not in order]
-        best = max(todo, key=lambda n: ((verdict[n] & left).sum() / cost[n], -cost[n]))
-        left &= ~verdict[best]
-        order.append(by_name[best])
+    """The rules by rejection per cost, estimated on at most ``sample_rows``
+    texts of at most ``SAMPLE_CHARS`` characters, which come to the driver
+    (the read stops as soon as it has them).  A rule's cost counts what it
+    needs on a fresh slice."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sample = docs.select(text.alias("t")).where(F.length("t") <= SAMPLE_CHARS).limit(sample_rows).collect()
+    texts = [x for _, _, x in Texts.of(pa.array([r.t for r in sample], pa.string()))]
+    cost: dict[str, float] = {}
+    verdict: dict[str, np.ndarray] = {}
+    for rule in rules:
+        began, parts = time.process_time(), []
+        for t in texts:
+            fresh = Texts(t.data, t.offsets)
+            parts.append(rule.rejects(*[MEASURES[n](fresh) for n in rule.needs]))
+        cost[rule.name] = time.process_time() - began + 1e-9
+        verdict[rule.name] = np.concatenate([np.empty(0, bool), *parts])
+    left = np.ones(len(sample), bool)
+    todo, order = list(rules), []
+    while todo:
+        best = max(todo, key=lambda r: ((verdict[r.name] & left).sum() / cost[r.name], -cost[r.name]))
+        left &= ~verdict[best.name]
+        order.append(best)
+        todo.remove(best)
     return order
 
 
