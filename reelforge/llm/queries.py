@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import q_classifier, q_mixing, q_neardup, q_packing, q_ppm, q_rules, q_warc
+from reelforge.llm import q_classifier, q_licenses, q_mixing, q_neardup, q_packing, q_ppm, q_rules, q_warc
 
-_MODULES = (q_mixing, q_ppm, q_neardup, q_packing, q_warc, q_rules, q_classifier)
+_MODULES = (q_mixing, q_ppm, q_neardup, q_packing, q_warc, q_rules, q_licenses, q_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
