@@ -46,8 +46,8 @@ SHINGLE, SKETCH, PERCENT = 5, 64, 75
 LEAST_SHARE = 0.5
 #: Lists of at most SHORT members are joined with themselves, longer ones are
 #: compared in blocks, on the WIDE smallest hashes; at a similarity of 0.75 a
-#: pair shares 0.62 of them but for about one in a million.
-SHORT, BLOCK, WIDE, WIDE_SHARE = 16, 256, 256, 0.62
+#: pair shares 0.7 of them but for less than one in a million.
+SHORT, BLOCK, WIDE, WIDE_SHARE = 16, 256, 2048, 0.7
 
 
 # --- shingles ---------------------------------------------------------------
@@ -179,8 +179,9 @@ def block_pairs(rest: DataFrame, sketches: DataFrame, sets: DataFrame, folder: s
 
     Short lists are joined with themselves and use the sketches.  A longer
     list is cut into blocks of about BLOCK members; a task compares two
-    blocks on the WIDE smallest hashes of the full sets (for a smaller set
-    that is the whole set) and only passing pairs leave it."""
+    blocks on the WIDE smallest hashes of the full sets.  For sets up to that
+    size the comparison is exact, and one link for two components leaves the
+    task; for larger sets all pairs that pass the estimate do."""
     rows = stored(unresolved(rest), folder, "unresolved")
     size = (rows.groupBy("value").agg(F.count("*").alias("m"), F.sum(F.col("lacks").cast("long")).alias("u"),
                                       F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -227,8 +228,13 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     most = np.maximum(counts[left][:, None], counts[right][None])
     total = size[left][:, None] + size[right][None]
     whole = (size[left][:, None] <= WIDE) & (size[right][None] <= WIDE)
-    passing = np.where(whole, 100 * shared >= PERCENT * (total - shared), shared >= WIDE_SHARE * most)
-    p, q = np.nonzero(passing & (root[left][:, None] != root[right][None]))
+    apart = root[left][:, None] != root[right][None]
+    exact = whole & apart & (100 * shared >= PERCENT * (total - shared))
+    p, q = np.nonzero(exact)
+    # These are links already; one is enough to join two components.
+    first = np.unique(np.column_stack([root[left[p]], root[right[q]]]), axis=0, return_index=True)[1]
+    more = np.nonzero(~whole & apart & (shared >= WIDE_SHARE * most))
+    p, q = np.concatenate([p[first], more[0]]), np.concatenate([q[first], more[1]])
     return pa.table({"a": pa.array([node[i] for i in left[p]], pa.binary()),
                      "b": pa.array([node[i] for i in right[q]], pa.binary())})
 
