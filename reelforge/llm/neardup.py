@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,9 +265,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component): one row per document; the component is
-    the smallest id of all documents that links connect to it."""
+def linked_classes(docs: DataFrame, folder: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, node) of every document and (node, root) of every
+    class that is linked with another."""
     marked = stored(marks(docs, id_col, text_col), folder, "marks")
     classes = (marked.where("node IS NOT NULL").groupBy("node")
                .agg(F.min("id").alias("rep"), F.any_value("sketch").alias("sketch")))
@@ -313,16 +313,47 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
             sets = with_sets(rest.select("node"), sets, "rest")
             more, sets = linked(block_pairs(rest, sketches, sets, folder), sets, "block")
             found = components(links.union(more), folder, "three")
-    return labelled(marked, reps, found)
+    return marked.select("id", "n_shingles", "node"), found
+
 
+def _classes(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, rep, root): the smallest id and the component of every class."""
+    return (marked.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
+            .join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
-def labelled(marked: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Every document with the smallest id of its component."""
-    own = marked.select("id", "n_shingles", "node")
-    first = (own.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
-             .join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component): one row per document; the component is
+    the smallest id of all documents that links connect to it."""
+    own, found = linked_classes(docs, folder, id_col, text_col)
+    first = _classes(own, found)
     smallest = first.groupBy("root").agg(F.min("rep").alias("component"))
     named = first.join(smallest, "root").select("node", "component")
     return (own.join(named, "node", "left")
             .select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
                     .alias("component")))
+
+
+def one_of_each(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near-duplicates, with all their columns: of every
+    component one document stays, that with the smallest id (null last; one
+    row of it if rows repeat).  Documents without words all stay."""
+    own, found = linked_classes(docs, folder, id_col, text_col)
+    chosen = (_classes(own, found).groupBy("root")
+              .agg(F.min_by("node", F.struct(F.col("rep").isNull(), "rep", "node")).alias("_nd_key"))
+              .select("_nd_key", F.lit(True).alias("_nd_first")))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_class_key(h) if len(h) else None for h in shingle_sets(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())],
+                                             names=[*batch.schema.names, "_nd_node"])
+
+    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_nd_node", T.BinaryType())]))
+    # A document without words is a class of its own.  Copies go before the shuffle.
+    alone = F.encode(F.monotonically_increasing_id().cast("string"), "utf-8")
+    first = Window.partitionBy("_nd_key").orderBy(F.col(id_col).asc_nulls_last())
+    return (keyed.withColumn("_nd_key", F.coalesce("_nd_node", alone))
+            .withColumn("_nd_at", F.row_number().over(first)).where("_nd_at = 1")
+            .join(chosen, "_nd_key", "left").where("_nd_first OR _nd_node IS NULL").select(*docs.columns))
