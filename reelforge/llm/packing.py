@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,8 +179,7 @@ def packed(examples: DataFrame, id_col: str, parts_col: str, limits: Limits = Li
             for lo in range(0, batch.num_rows, 256):
                 block = batch.slice(lo, 256)
                 for example, ids, loss in encoded(enc, block, end_id):
-                    counts = np.concatenate([[0], np.cumsum(loss)])
-                    for sequence in packer.add(Piece(example, len(ids), 0, ids, counts)):
+                    for sequence in packer.add(Piece(example, len(ids), 0, ids, loss)):
                         put(sequence)
                     if held >= OUT_IDS:
                         yield out()
@@ -195,10 +195,12 @@ def packed(examples: DataFrame, id_col: str, parts_col: str, limits: Limits = Li
 
 
 def encoded(enc, block: pa.RecordBatch, end_id: int) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-    """(id, ids with the end id, loss flags) of every example of a block."""
-    lists = [[((p or {}).get("text") or "", bool((p or {}).get("loss"))) for p in x or []]
-             for x in block.column(1).to_pylist()]
-    flat = [text for parts in lists for text, _ in parts]
+    """(id, ids with the end id, loss-bearing ids up to each place) of every example of a block."""
+    parts = block.column(1)
+    flat_parts = parts.flatten()
+    counts = pc.fill_null(pc.list_value_length(parts), 0).to_pylist()
+    flat = pc.fill_null(pc.struct_field(flat_parts, "text"), "").to_pylist()
+    losses = pc.fill_null(pc.struct_field(flat_parts, "loss"), False).to_pylist()
     ids: list[np.ndarray] = []
     begin = size = 0
     for i, text in enumerate(flat):  # groups of bounded size
@@ -207,12 +209,14 @@ def encoded(enc, block: pa.RecordBatch, end_id: int) -> Iterator[tuple[object, n
             ids += enc.encode(flat[begin:i + 1])
             begin, size = i + 1, 0
     ids += enc.encode(flat[begin:])
-    at = iter(ids)
-    end = np.array([end_id], np.uint32)
-    for example, parts in zip(block.column(0).to_pylist(), lists):
-        own = [(next(at), loss) for _, loss in parts]
-        flags = [np.full(len(x), loss) for x, loss in own] + [np.array([own[-1][1] if own else True])]
-        yield example, np.concatenate([x for x, _ in own] + [end]), np.concatenate(flags)
+    end, at = np.array([end_id], np.uint32), 0
+    for example, n in zip(block.column(0).to_pylist(), counts):
+        own, flags = ids[at:at + n], losses[at:at + n]
+        at += n
+        sizes = [len(x) for x in own]
+        loss = np.zeros(sum(sizes) + 2, np.int64)
+        np.cumsum(np.repeat([*flags, flags[-1] if flags else True], [*sizes, 1]), out=loss[1:])
+        yield example, np.concatenate([*own, end]), loss
 
 
 def document_parts(text: Column) -> Column:

@@ -17,36 +17,61 @@ import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_PIECES = 200_000
+#: Pre-tokens whose ids a worker keeps; frequent ones come early and stay.
+CACHE_PIECES = 400_000
+#: White space as the vocabulary's own splitter has it (Unicode White_Space).
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = (public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")
+           .replace(r"\S", f"[^{SPACE}]"))
 
 
 class Encoder:
+    """Ids of pre-tokens are kept in one flat array; a pre-token is a number
+    that gives its place there, so a text is a gather, not a loop over ids."""
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = regex.compile(PATTERN).findall
         special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, special))).search if special else (lambda _: None)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.number: dict[str, int] = {}
+        self.flat, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character of a byte-level token is one byte
+            self.id_bytes[i] = len(token)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, begins) of new pre-tokens, encoded as one split text."""
+        if not pieces:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        encoded = self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+        flat = np.array(encoded.ids, np.uint32)
+        ends = np.cumsum(self.id_bytes[flat])
+        sizes = np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces))
+        return flat, np.concatenate([[0], np.searchsorted(ends, np.cumsum(sizes)) + 1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every whole text, as ``tokenizers`` gives them without
         added special tokens (a special token's string in a text is its id)."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        pieces: list[list[str]] = []
-        for i, text in enumerate(texts):
-            if self.special(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                pieces.append([])
-            else:
-                pieces.append(self.split(text))
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list({p for ps in pieces for p in ps if p not in self.cache})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.cache[p] = tuple(e.ids)
-        get = self.cache.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, ps)), np.uint32) if x is None else x
-                for x, ps in zip(out, pieces)]
+        special = [self.special(t) is not None for t in texts]
+        pieces = [[] if x else self.split(t) for t, x in zip(texts, special)]
+        known, kept = self.number, len(self.number)
+        new = list({p for ps in pieces for p in ps if p not in known})
+        flat, begin = self._ids(new)
+        known.update(zip(new, range(kept, kept + len(new))))
+        all_flat, all_begin = np.concatenate([self.flat, flat]), np.concatenate([self.begin, self.begin[-1] + begin[1:]])
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        for p in new[max(0, CACHE_PIECES - kept):]:  # beyond the room: for this call only
+            del known[p]
+        self.flat, self.begin = all_flat[:all_begin[len(known)]], all_begin[:len(known) + 1]
+        size = np.diff(all_begin)[at]
+        ends = np.cumsum(size)
+        ids = all_flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(all_begin[at] - (ends - size), size)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if x else ids[a:b]
+                for t, x, a, b in zip(texts, special, cuts[:-1], cuts[1:])]
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.encode(texts)]
