@@ -250,24 +250,31 @@ def pretrained_scores(docs: DataFrame, training: Column, folder: str, id_col: st
     known = totals.where("key < 0 AND n > 0").agg(F.sum("n"), F.count("*")).first()
     n_train, n_kinds = int(known[0] or 0), int(known[1])
     values = stored(model_values(totals), folder, "values")
-    needed = keys.select("block", "key").join(values, "key")
+    # A word whose training places are all in this block needs no exchange.
+    needed = keys.join(values, "key").where("key >= 0 OR n <> value").select("block", "key", "value")
     id_type = docs.schema[id_col].dataType
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = pd.Index(right["key"].to_numpy())
-        value = right["value"].to_numpy()
-
-        def of(k: np.ndarray) -> np.ndarray:
+        text = left["text"].combine_chunks()
+        own: list[np.ndarray] = []
+        for _, _, part in _parts(text.filter(left["train"].combine_chunks())):
+            own.append(part.words()[0])
+        own_keys, own_n = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_counts=True)
+        # Values from elsewhere come first; a block read by two tasks has some of them twice.
+        keys, first = np.unique(np.concatenate([right["key"].to_numpy(), own_keys]), return_index=True)
+        value = np.concatenate([right["value"].to_numpy(), own_n.astype(float)])[first]
+        table = pd.Index(keys)
+
+        def of(k: np.ndarray, missing: float | None = None) -> np.ndarray:
             at = table.get_indexer(k)
-            if len(at) and at.min() < 0:
-                raise ValueError("a key of the block has no value")
-            return value[at]
+            if missing is None and len(at) and at.min() < 0:
+                raise ValueError("a gram of the block has no value")
+            return np.where(at < 0, 0.0 if missing is None else missing, value[at])
 
-        text = left["text"].combine_chunks()
         tokens, hits, base, score = [], [], [], []
         for _, _, part in _parts(text):
             k, first = part.words()
-            c = of(k)
+            c = of(k, 0.0)
             tokens.append(part.n_tokens)
             hits.append(np.add.reduceat((c > 0).astype(np.int64), first[:-1]))
             share = (c + 0.5) / (n_train + 0.5 * (n_kinds + 1))
