@@ -211,17 +211,21 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             yield done()
 
     kind = pages.schema[id_col].dataType.simpleString()
-    index = rows.mapInArrow(run, f"`{id_col}` {kind}, bundle string, frame long, offset long, length long")
+    index = rows.mapInArrow(run, _index_schema(id_col, kind))
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
 
 
+def _index_schema(id_col: str, kind: str) -> str:
+    return f"`{id_col}` {kind}, bundle string, frame long, offset long, length long"
+
+
 def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the bundles that the index lists: ``record_id``, ``type``,
     ``url``, ``digest``, ``refers_to`` (ids as text), ``payload_bytes`` and
     ``payload`` (null for a revisit).  A payload that does not have its
     digest or length is an error."""
-    names = spark.read.parquet(f"{folder}/index").select("bundle").distinct()
+    names = spark.read.schema("bundle string").parquet(f"{folder}/index").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +240,8 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 def fetch(ids: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
     """The records of the ids, each by its frame and offset alone."""
-    index = ids.sparkSession.read.parquet(f"{folder}/index")
+    kind = ids.schema[id_col].dataType.simpleString()
+    index = ids.sparkSession.read.schema(_index_schema(id_col, kind)).parquet(f"{folder}/index")
     places = (index.join(ids.select(id_col).distinct(), id_col).select("bundle", "frame", "offset", "length")
               .repartition("bundle").sortWithinPartitions("bundle", "frame"))
 
