@@ -57,7 +57,8 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class BundleWriter:
     """Frames of whole records and a footer with their seek table."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes = frame_bytes
         self.fs, self.folder = file_system(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.name = f"bundle-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
@@ -68,7 +69,7 @@ class BundleWriter:
 
     def add(self, record: bytes) -> tuple[int, int, int]:
         """(frame, offset in the plain frame, length) of the record."""
-        if self.plain and len(self.plain) + len(record) > FRAME_BYTES:
+        if self.plain and len(self.plain) + len(record) > self.frame_bytes:
             self._frame()
         at = len(self.frames), len(self.plain), len(record)
         self.plain += record
@@ -178,7 +179,7 @@ def first_records(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
-                  payload_col: str = "html") -> DataFrame:
+                  payload_col: str = "html", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write every row as a record; the stored index: id, bundle, frame,
     offset, length."""
     rows = first_records(pages.select(id_col, url_col, payload_col), id_col, payload_col).select(
@@ -201,7 +202,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             kind = batch.schema.field(0).type
             for lo in range(0, batch.num_rows, 256):
                 for page_id, url, payload, digest, first in zip(*[c.to_pylist() for c in batch.slice(lo, 256).columns]):
-                    writer = writer or BundleWriter(f"{folder}/bundles")
+                    writer = writer or BundleWriter(f"{folder}/bundles", frame_bytes)
                     place = writer.add(record(page_id, url, (payload or "").encode(), digest, first))
                     out.append((page_id, place))
                     if writer.size >= BUNDLE_BYTES:
