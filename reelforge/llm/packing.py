@@ -74,7 +74,7 @@ class Packer:
         self.limits = limits
         self.full = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.pool: list[Piece] = []
-        self.demands = np.empty((0, 3))
+        self.demands = np.empty((2 * POOL, 3))  # of the pool's pieces, as shares of the limits
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         while True:
@@ -85,7 +85,7 @@ class Packer:
             yield [head]
             if not len(piece.ids):
                 return
-        self._pend([piece])
+        self._pend(piece)
         if len(self.pool) >= POOL:
             yield self._fill()
 
@@ -93,31 +93,34 @@ class Packer:
         while self.pool:
             yield self._fill()
 
-    def _pend(self, pieces: list[Piece]) -> None:
-        self.pool += pieces
-        self.demands = np.vstack([self.demands, [p.demand() for p in pieces]])
+    def _pend(self, piece: Piece) -> None:
+        self.demands[len(self.pool)] = piece.demand()
+        self.demands[len(self.pool)] /= self.full
+        self.pool.append(piece)
 
     def _take(self, i: int) -> Piece:
         piece, last = self.pool[i], self.pool.pop()
         if i < len(self.pool):
-            self.pool[i], self.demands[i] = last, self.demands[-1]
-        self.demands = self.demands[:-1]
+            self.pool[i], self.demands[i] = last, self.demands[len(self.pool)]
         return piece
 
     def _fill(self) -> list[Piece]:
         room, out = self.full.copy(), []
         while self.pool and room[0] > 0 and room[1] > 0:
-            score = (self.demands / self.full) @ (room / self.full)
-            fits = (self.demands <= room).all(1)
-            if fits.any():
-                piece = self._take(int(np.argmax(np.where(fits, score, -1.0))))
+            share = room / self.full
+            demands = self.demands[:len(self.pool)]
+            score = demands @ share
+            over = demands > share + 1e-12
+            best = int(np.argmax(np.where(over[:, 0] | over[:, 1] | over[:, 2], -1.0, score)))
+            if not over[best].any():
+                piece = self._take(best)
             else:
                 i = int(np.argmax(score))
                 n = self.pool[i].fitting(int(room[0]), int(room[2]))
                 if n <= 0:
                     break
                 piece, rest = self._take(i).cut(n)
-                self._pend([rest])
+                self._pend(rest)
             out.append(piece)
             room -= piece.demand()
         return out

@@ -20,7 +20,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens whose ids a worker keeps; frequent ones come early and stay.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 #: White space as the vocabulary's own splitter has it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")

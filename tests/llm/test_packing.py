@@ -98,7 +98,8 @@ def test_dot_product_choice():
     packer = packing.Packer(packing.Limits(100, 10, 50))
     def piece(name, n, loss):
         return packing.Piece(name, n, 0, np.zeros(n, np.uint32), np.concatenate([[0], np.cumsum(np.arange(n) < loss)]))
-    packer._pend([piece("a", 60, 0), piece("b", 40, 40), piece("c", 40, 0)])
+    for p in (piece("a", 60, 0), piece("b", 40, 40), piece("c", 40, 0)):
+        packer._pend(p)
     assert [p.example for p in packer._fill()] == ["b", "a"]
 
 
