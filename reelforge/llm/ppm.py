@@ -96,7 +96,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, Block]]:
     """Blocks of bounded size over a string column."""
     _, offsets = utf8(column)
-    for lo, hi in slices(offsets, 4 << 20):
+    for lo, hi in slices(offsets, 1 << 20):
         yield lo, hi, Block(_texts(column.slice(lo, hi - lo)))
 
 
@@ -116,30 +116,37 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, training: Column, folder:
         F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
 
 
+class Counts:
+    """Adds up counts of keys, piece by piece, in bounded memory."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, count: bool = True) -> None:
+        if len(keys):
+            u, n = np.unique(keys, return_counts=True)
+            self.held.append((u, n if count else np.zeros_like(n)))
+            if len(self.held) >= 32:
+                self.held = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, n = np.concatenate([k for k, _ in self.held]), np.concatenate([x for _, x in self.held])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
+
+
 def block_keys(rows: DataFrame) -> DataFrame:
     """(block, key, n): the distinct grams and words of every block with
     their counts in training documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at = None
-
-        def add(keys: np.ndarray, train: bool) -> None:
-            if len(keys):
-                u, n = np.unique(keys, return_counts=True)
-                held.append((u, n if train else np.zeros_like(n)))
-                if len(held) >= 16:
-                    held[:] = [merged()]
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], np.add.reduceat(n, first)
+        counts, at = Counts(), None
 
         def out() -> pa.RecordBatch:
-            keys, n = merged()
-            held.clear()
+            keys, n = counts.merged()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), at)), pa.array(keys), pa.array(n)],
                                               names=["block", "key", "n"])
 
@@ -149,16 +156,17 @@ def block_keys(rows: DataFrame) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
-                if held and blocks[a] != at:
+                if counts.held and blocks[a] != at:
                     yield out()
+                    counts = Counts()
                 at = blocks[a]
                 part = batch.slice(a, b - a)
                 for train in (True, False):
                     rows = part.filter(pa.array(part.column(1).to_numpy(zero_copy_only=False) == train))
                     for _, _, texts in _parts(rows.column(0)):
-                        add(texts.grams()[0], train)
-                        add(texts.words()[0], train)
-        if held:
+                        counts.add(texts.grams()[0], train)
+                        counts.add(texts.words()[0], train)
+        if counts.held:
             yield out()
 
     return rows.select("text", "train", "block").mapInArrow(run, "block long, key long, n long")
@@ -256,13 +264,14 @@ def pretrained_scores(docs: DataFrame, training: Column, folder: str, id_col: st
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         text = left["text"].combine_chunks()
-        own: list[np.ndarray] = []
+        own = Counts()
         for _, _, part in _parts(text.filter(left["train"].combine_chunks())):
-            own.append(part.words()[0])
-        own_keys, own_n = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_counts=True)
+            own.add(part.words()[0])
+        own_keys, own_n = own.merged()
         # Values from elsewhere come first; a block read by two tasks has some of them twice.
         keys, first = np.unique(np.concatenate([right["key"].to_numpy(), own_keys]), return_index=True)
         value = np.concatenate([right["value"].to_numpy(), own_n.astype(float)])[first]
+        del first, own_keys, own_n
         table = pd.Index(keys)
 
         def of(k: np.ndarray, missing: float | None = None) -> np.ndarray:
