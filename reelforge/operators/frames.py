@@ -17,36 +17,28 @@ from pyspark.sql import functions as F
 from reelforge.functions.scalar import angle_diff, r6
 
 
-def column_stats(long: DataFrame, group: Sequence[str], value: str = "value", strategy: str = "window") -> DataFrame:
+def column_stats(long: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
     """A5: per group (e.g. video x feature): mean, population std,
     std / (median + 0.0001) and the mean of the top 10 % values
     (``k = floor(n / 10)``, all rows when ``k = 0``, as the original).
 
-    The exact median and the top-k need each value's rank in its group:
-    ``strategy='window'`` ranks with one sort-based window per group (spills,
-    never holds a group in memory, but a group is one task);
-    ``strategy='range'`` ranks with :func:`~reelforge.operators.sequence.exact_ranks`,
-    which splits a hot group over many tasks.  Everything else is a partial
-    aggregate."""
+    The exact median and the top k come from the ranks of the distinct values
+    (:func:`~reelforge.operators.sequence.ranked_values`), each weighted by
+    the copies that fall into the wanted ranks."""
+    from reelforge.operators.sequence import ranked_values
     g = list(group)
-    if strategy == "range":
-        from reelforge.operators.sequence import exact_ranks
-        ranked = exact_ranks(long.select(*g, value), g, value)
-    elif strategy == "window":
-        w = Window.partitionBy(*g).orderBy(F.col(value))
-        ranked = long.select(*g, value, F.row_number().over(w).alias("_r"),
-                             F.count(F.lit(1)).over(Window.partitionBy(*g)).alias("_n"))
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    n, r = F.col("_n"), F.col("_r")
+    n, v, c, before = F.col("_n"), F.col(value), F.col("_c"), F.col("_before")
     k = F.floor(n / 10)
     k = F.when(k == 0, n).otherwise(k)
-    lo, hi = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
-    v = F.col(value)
-    agg = ranked.groupBy(*g).agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        (F.sum(F.when((r == lo) | (r == hi), v)) / F.sum(F.when((r == lo) | (r == hi), 1))).alias("median"),
-        F.avg(F.when(r > n - k, v)).alias("mean_top10"))
+
+    def copies(lo, hi):
+        """Copies of the value among the ranks lo .. hi (1-based)."""
+        return F.greatest(F.lit(0), F.least(before + c, hi) - F.greatest(before + 1, lo) + 1)
+
+    mid = copies(F.floor((n + 1) / 2), F.ceil((n + 1) / 2))
+    top = copies(n - k + 1, n)
+    agg = ranked_values(long, g, value).groupBy(*g, "mean", "std").agg(
+        (F.sum(v * mid) / F.sum(mid)).alias("median"), (F.sum(v * top) / F.sum(top)).alias("mean_top10"))
     return agg.select(*g, r6("mean").alias("mean"), r6("std").alias("std"),
                       r6(F.col("std") / (F.col("median") + 0.0001)).alias("stdmean"),
                       r6("mean_top10").alias("mean_top10"))
@@ -89,17 +81,18 @@ def flow_stats(vectors: DataFrame, keys: Sequence[str], diag: float) -> DataFram
     deg = F.degrees(F.atan2(dy, dx))
     ang = F.when(dy < 0, F.abs(deg)).otherwise(360.0 - deg)
     w = Window.partitionBy(*k)
-    # The original truncates the mean dx, dy to int before atan2.  A float mean
-    # that is exactly an integer would truncate by summation order, so the
-    # means are taken over integer micro-units: exact and order-independent.
+    # The original truncates the mean dx, dy to int before atan2.  Decimal sums
+    # are exact, so a mean that is an integer does not depend on the order.
     n = F.count(F.lit(1)).over(w)
 
+    def total(c):
+        return F.sum(c.cast("decimal(30,15)")).over(w)
+
     def trunc_mean(c):
-        s = F.sum(F.round(c * 1e6).cast("long")).over(w)
-        d = n * 1_000_000
-        return F.when(s >= 0, F.floor(s / d)).otherwise(-F.floor(-s / d)).cast("long")
+        s = total(c)
+        return F.when(s >= 0, F.floor(s / n)).otherwise(-F.floor(-s / n)).cast("long")
     tdx, tdy = trunc_mean(dx), trunc_mean(dy)
-    neg = F.sum(F.round(dy * 1e6).cast("long")).over(w) < 0
+    neg = total(dy) < 0
     mdeg = F.degrees(F.atan2(tdy.cast("double"), tdx.cast("double")))
     mu = F.when(neg, -mdeg).otherwise(360.0 - mdeg)
     v = vectors.select(*k, ang.alias("angle"), (F.sqrt(dx * dx + dy * dy) / diag).alias("mag"), mu.alias("mu"))
@@ -221,8 +214,9 @@ def shot_durations(frames: DataFrame, keys: Sequence[str], order: str, change: s
 def downsample(frames: DataFrame, keys: Sequence[str], ts_ms: str, step_ms: int = 200) -> DataFrame:
     """Keep the first frame of every ``step_ms`` slot (fps >= 1000/step_ms)."""
     slot = F.floor(F.col(ts_ms) / step_ms)
-    w = Window.partitionBy(*keys, slot).orderBy(ts_ms)
-    return frames.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in frames.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(ts_ms, *[c for c in rest if c != ts_ms]))
+    return frames.groupBy(*keys, slot.alias("_slot")).agg(first.alias("_f")).select(*keys, "_f.*").select(*frames.columns)
 
 
 def frame_counter(frames: DataFrame, keys: Sequence[str], ts: str, strategy: str = "window",

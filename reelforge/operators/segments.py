@@ -70,15 +70,20 @@ def smooth_labels(df: DataFrame, label: str = "song_id", offset: str = "offset_s
     if offset_mode not in ("half_diff", "mean"):
         raise ValueError(f"unknown offset_mode {offset_mode!r}")
     p, n, c = F.col(f"prev_{label}"), F.col(f"next_{label}"), F.col(label)
-    po, no = F.col(f"prev_{offset}"), F.col(f"next_{offset}")
-    needs = eq(p, n) & ~eq(p, c)
-    new_off = (no - po) / 2 if offset_mode == "half_diff" else (no + po) / 2
     return df.withColumns({
-        label: F.when(needs, p).otherwise(c),
-        offset: F.when(needs, new_off).otherwise(F.col(offset)),
+        label: F.when(eq(p, n) & ~eq(p, c), p).otherwise(c),
+        offset: smoothed_offset(label, offset, offset_mode),
     })
 
 
+def smoothed_offset(label: str, offset: str, offset_mode: str) -> Column:
+    """A chunk's offset after smoothing.  Needs W1 columns."""
+    p, n = F.col(f"prev_{label}"), F.col(f"next_{label}")
+    po, no = F.col(f"prev_{offset}"), F.col(f"next_{offset}")
+    new_off = (no - po) / 2 if offset_mode == "half_diff" else (no + po) / 2
+    return F.when(eq(p, n) & ~eq(p, F.col(label)), new_off).otherwise(F.col(offset))
+
+
 def tag_bieo(df: DataFrame, label: str = "song_id", tag: str = "match_tag") -> DataFrame:
     """B = run start, I = inside, E = run end, O = singleton or null."""
     p, c, n = F.col(f"prev_{label}"), F.col(label), F.col(f"next_{label}")

@@ -9,8 +9,8 @@ work.  These helpers give the same answers with work split below the key:
 * :func:`neighbour_window` - values of the rows at positions ``-r..+r``
   around each row, from ``lag`` / ``lead`` over (key, block of positions)
   windows with ``r`` halo rows copied across every block edge.
-* :func:`exact_ranks` - exact value ranks inside a group via range
-  partitioning on (group, value) plus per-partition count prefix sums.
+* :func:`ranked_values` - exact value ranks inside a group from value counts
+  and prefix sums over cells of the group's range.
 * :func:`blocked_running_sum` - running sum over positions per key, computed
   per (key, block) with carried block totals.
 """
@@ -23,12 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def max_rows_per_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Largest number of rows of one key (a partial aggregate + a tiny max)."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
-    return int(r or 0)
-
-
 def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                    out: str = "idx") -> DataFrame:
     """Dense 0-based position of each row in its key's order.  ``bucket``
@@ -58,25 +52,31 @@ def blocked_running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: Col
             .withColumn(out, (F.col("_c") + F.col("_loc")).cast("long")).drop("_v", "_blk", "_loc", "_c"))
 
 
-def exact_ranks(df: DataFrame, group: Sequence[str], value: str, out: str = "_r", n_out: str = "_n",
-                partitions: int | None = None) -> DataFrame:
-    """Exact 1-based rank of ``value`` inside its group (ties broken
-    arbitrarily but consistently) and the group size, without sorting a
-    group in one task: rows are range-partitioned on (group, value), so a
-    hot group spans many partitions; ranks are local ranks plus the counts
-    of the same group in earlier partitions (a small table)."""
+def ranked_values(df: DataFrame, group: Sequence[str], value: str, cells: int = 4096) -> DataFrame:
+    """One row per distinct (group, value) with its count ``_c``, the number
+    of smaller values of the group ``_before`` and the group's statistics
+    (``_n``, ``mean``, ``std``), nulls left out.
+
+    Counting comes first, so a value that fills a group is combined inside
+    the map tasks.  The values of a group are then dealt over ``cells`` equal
+    spans of its range, a function of (value, min, max) that every task
+    computes alike; a running count inside (group, cell) plus the counts of
+    the cells before it ranks each value, and no task holds a group."""
     g = list(group)
-    from reelforge.operators.parallel import default_parallelism
-    n = partitions or max(default_parallelism(df.sparkSession) * 2, 2)
-    d = df.repartitionByRange(n, *g, value).withColumn("_pid", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_pid", *g).orderBy(value))
-    counts = d.groupBy(*g, "_pid").agg(F.count(F.lit(1)).alias("_c"))
-    wg = Window.partitionBy(*g)
-    offs = counts.select(*g, "_pid", F.coalesce(F.sum("_c").over(
-        wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_c").over(wg).alias(n_out))
-    return (d.withColumn("_l", local).join(offs, [*g, "_pid"])
-            .withColumn(out, (F.col("_off") + F.col("_l")).cast("long")).drop("_pid", "_l", "_off"))
+    v = F.col(value)
+    known = df.where(v.isNotNull()).select(*g, value)
+    stats = known.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+                                  F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    counts = known.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    part = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    dealt = (counts.join(stats, g).withColumn("_cell", F.coalesce(
+        F.least(F.floor(part * cells), F.lit(cells - 1)), F.lit(0)).cast("int")))
+    totals = dealt.groupBy(*g, "_cell").agg(F.sum("_c").alias("_t"))
+    upto = Window.partitionBy(*g).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = totals.select(*g, "_cell", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*g, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("_l", F.coalesce(F.sum("_c").over(local), F.lit(0))).join(first, [*g, "_cell"])
+            .withColumn("_before", F.col("_off") + F.col("_l")).drop("_l", "_off", "_cell", "_lo", "_hi"))
 
 
 def neighbour_window(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], radius: int,

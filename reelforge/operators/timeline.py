@@ -40,11 +40,11 @@ def full_chunks(df: DataFrame, length_s: str, chunk_s: str | Column, start_ms: s
     return out
 
 
-def batches(df: DataFrame, order: Sequence[str], bucket: Column, size: int = 200) -> DataFrame:
+def batches(df: DataFrame, order: Sequence[str], size: int = 200) -> DataFrame:
     """Fixed-size batches in listing order: ``batch = (position - 1) div size``.
-    Positions come from the bucketed dense numbering (no one-partition window)."""
+    Positions come from the dense numbering of range buckets (no one-partition window)."""
     from reelforge.operators.training import assign_ids
-    return assign_ids(df, order, bucket, start=1, out="_pos").withColumn(
+    return assign_ids(df, order, start=1, out="_pos").withColumn(
         "batch", F.floor((F.col("_pos") - 1) / size)).drop("_pos")
 
 

@@ -118,19 +118,26 @@ def fk_violations(child: DataFrame, parent: DataFrame, child_key: str, parent_ke
     return child.filter(F.col(child_key).isNotNull()).join(p, child_key, "left_anti")
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], bucket: Column, start: Column | int = 1,
-               out: str = "id") -> DataFrame:
+EDGES, COARSE = 1023, 32
+
+
+def assign_ids(df: DataFrame, order: Sequence[str], start: Column | int = 1, out: str = "id") -> DataFrame:
     """Dense ids ``start, start+1, ...`` in a deterministic order
-    without a single-partition window.
-
-    ``bucket`` must be non-decreasing in ``order`` (e.g. a coarse prefix of the
-    leading order column) and coarse enough that the bucket-count table (one
-    row per bucket, prefix-summed in one window) stays small - say at most a
-    few million buckets.  Rows are numbered inside their bucket (one window
-    per bucket, spread over all tasks); bucket offsets come from a prefix sum
-    over the per-bucket counts, a table with one row per bucket.
-    """
-    d = df.withColumn("_b", bucket)
+    (any sortable column types) without a single-partition window.
+
+    The order keys with the smallest hashes are a sample that every run and
+    every partitioning draws alike; sorted, these EDGES keys cut the table
+    into ranges.  Rows are numbered inside their range and get the counts of
+    the ranges before it, a table of at most EDGES + 1 rows."""
+    key = F.struct(*[F.col(c) for c in order])
+    edges = (df.select(key.alias("_e")).orderBy(F.xxhash64("_e"), "_e").limit(EDGES)
+             .agg(F.array_sort(F.array_distinct(F.collect_list("_e"))).alias("_e")))
+    upto = lambda part: F.size(F.filter(part, lambda e: e <= key))
+    coarse = F.filter("_e", lambda e, i: (i + 1) % COARSE == 0)
+    # One row of at most EDGES keys meets every row.
+    d = (df.join(F.broadcast(edges)).withColumn("_i", upto(coarse))
+         .withColumn("_b", F.col("_i") * COARSE + upto(F.slice("_e", F.col("_i") * COARSE + 1, F.lit(COARSE - 1))))
+         .drop("_e", "_i"))
     local = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
@@ -152,17 +159,17 @@ def set_equality(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
             .withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0)))
 
 
-def append_negatives(matches: DataFrame, negatives: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def append_negatives(matches: DataFrame, negatives: DataFrame, order: Sequence[str]) -> DataFrame:
     """Negatives get fresh ids after the current max id (Q7) and are
     appended under the positives with ``unionByName``."""
     max_id = matches.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m")).withColumn("_one", F.lit(1))
     neg = negatives.withColumn("_one", F.lit(1)).join(F.broadcast(max_id), "_one").drop("_one")
-    neg = assign_ids(neg, order, bucket, start=F.col("_m") + 1).drop("_m")
+    neg = assign_ids(neg, order, start=F.col("_m") + 1).drop("_m")
     return matches.unionByName(neg, allowMissingColumns=True)
 
 
 def store_segments(segments: DataFrame, keys: Sequence[str] = ("video_id",), video_type: Column | None = None,
-                   existing_clips: DataFrame | None = None, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                   existing_clips: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """N9 (the intent of the segment finder's tail): distinct clips of the
     kept segments not stored yet (J4) get surrogate ids after the current
     maximum (Q7); matches are joined back to their clip on (video, start)
@@ -177,8 +184,7 @@ def store_segments(segments: DataFrame, keys: Sequence[str] = ("video_id",), vid
         first = F.col("_m") + 1
     else:
         first = F.lit(1)
-    b = bucket if bucket is not None else F.floor(F.col(k[0]) / 1024)
-    clips = assign_ids(clips.withColumn("_first", first), [*k, "start"], b, start=F.col("_first")).drop("_first", "_m")
+    clips = assign_ids(clips.withColumn("_first", first), [*k, "start"], start=F.col("_first")).drop("_first", "_m")
     matches = (segments.join(clips.select(F.col("id").alias("clip_id"), *k, "start"), [*k, "start"])
                .select(F.col("song_id").alias("djv_song_id"), "invalid_mode", F.lit(1).alias("real"), "clip_id"))
     return clips, matches

@@ -8,11 +8,12 @@ All adapters read whole tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelforge.functions.scalar import r6
 
+from reelforge.operators.sequence import sequence_index
 from reelforge.session import read_table
 
 # Event type -> label code (error = no recognised label).
@@ -31,41 +32,15 @@ _LABEL_SQL = ("CAST(CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v
               + " END AS INTEGER)")
 
 
-def seq_index(keys, order) -> "F.Column":
-    """0-based position of a row in its ordered sequence."""
-    return (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
-
-
 # --------------------------------------------------------------------------- chunks
-# One timeline with more rows than this no longer fits one task comfortably:
-# the skew-safe (blocked) sequence plans are used instead of per-key windows.
-# Session conf ``spark.reelforge.hotKeyRows`` overrides it.
-HOT_KEY_ROWS = 2_000_000
-
-
-def hot_key_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.reelforge.hotKeyRows", str(HOT_KEY_ROWS)))
-
-
-def sequence_strategy(spark: SparkSession, sf_dir: str, table: str = "events", key: str = "user_id") -> str:
-    """'window' or 'blocked' from the largest key's row count (a column-pruned
-    partial aggregate over the source table)."""
-    from reelforge.operators.sequence import max_rows_per_key
-    n = max_rows_per_key(read_table(spark, sf_dir, table).select(key), [key])
-    return "blocked" if n > hot_key_rows(spark) else "window"
-
-
-def chunks(spark: SparkSession, sf_dir: str, strategy: str = "window") -> DataFrame:
-    """Chunk-match sequence: one 5 s chunk per event, per user ("video")."""
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk-match sequence: one 5 s chunk per event, per user ("video").
+    Positions are numbered per (user, hour) with carried counts, so no task
+    holds a whole user."""
     ev = (read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
           .withColumnRenamed("user_id", "video_id"))
-    if strategy == "blocked":
-        from reelforge.operators.sequence import sequence_index
-        ev = sequence_index(ev, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="_idx")
-        idx = F.col("_idx")
-    else:
-        # Window on the output key name, so later windows by video_id reuse this exchange.
-        idx = seq_index(["video_id"], ["ts", "event_id"])
+    ev = sequence_index(ev, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="_idx")
+    idx = F.col("_idx")
     label = _label_expr()
     return ev.select(
         "video_id",

@@ -12,7 +12,8 @@ from reelforge.functions.scalar import r6
 from reelforge.functions import scalar as X
 from reelforge.operators import frames as FR
 from reelforge.operators import objects as OB
-from reelforge.plans.adapters import EVENTS_K_SQL, RECTS_SQL, events_k, rects, sequence_strategy, with_ctes
+from reelforge.plans.adapters import EVENTS_K_SQL, RECTS_SQL, events_k, rects, with_ctes
+from reelforge.operators.sequence import sequence_index
 from reelforge.plans.registry import register
 from reelforge.session import read_table
 
@@ -20,15 +21,11 @@ FRAME_W, FRAME_H = 500, 280
 DIAG = math.sqrt(FRAME_W ** 2 + FRAME_H ** 2)
 
 
-def _seq(spark, sf, strategy: str = "window"):
-    """events_k plus r = 0-based position in the user's sequence (bucketed
-    dense numbering when one user is too large for a per-key window)."""
+def _seq(spark, sf):
+    """events_k plus r = 0-based position in the user's sequence, numbered per
+    (user, hour) with carried counts, so no task holds a whole user."""
     e = events_k(spark, sf).withColumnRenamed("user_id", "video_id")
-    if strategy == "blocked":
-        from reelforge.operators.sequence import sequence_index
-        return sequence_index(e, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="r")
-    r = (F.row_number().over(Window.partitionBy("video_id").orderBy("ts", "event_id")) - 1).cast("long")
-    return e.withColumn("r", r)
+    return sequence_index(e, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="r")
 
 
 POS_BUCKET = 1 << 12  # positions per bucket in the skew-safe sequence plans
@@ -42,6 +39,16 @@ def _q(body, **extra):
     return with_ctes(body, events_k=EVENTS_K_SQL, seq=SEQ_SQL, **extra)
 
 
+def _frame_values(spark, sf):
+    """(video_id, feature, value): three features per frame."""
+    e = events_k(spark, sf).withColumnRenamed("user_id", "video_id")
+    feats = F.explode(F.array(
+        F.struct(F.lit("value").alias("feature"), F.sqrt("value").alias("value")),
+        F.struct(F.lit("pixel").alias("feature"), F.pmod(F.floor("value"), F.lit(256)).cast("double").alias("value")),
+        F.struct(F.lit("k").alias("feature"), F.col("k").cast("double").alias("value"))))
+    return e.select("video_id", feats.alias("f")).select("video_id", "f.feature", "f.value")
+
+
 # ---- A5 column statistics ----------------------------------------------------------------
 _A5_SQL = """SELECT {g}, floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean, floor(stddev_pop(value) * 1e6 + 0.5) / 1e6 AS std,
   floor(stddev_pop(value) / (quantile_cont(value, 0.5) + 0.0001) * 1e6 + 0.5) / 1e6 AS stdmean,
@@ -55,29 +62,16 @@ SELECT video_id, 'value' AS feature, sqrt(value) AS value FROM seq
 UNION ALL SELECT video_id, 'pixel', CAST(CAST(floor(value) AS BIGINT) % 256 AS DOUBLE) FROM seq
 UNION ALL SELECT video_id, 'k', CAST(k AS DOUBLE) FROM seq"""))
 def a05_column_stats_frames(spark, sf):
-    s = _seq(spark, sf)
-    feats = F.explode(F.array(
-        F.struct(F.lit("value").alias("feature"), F.sqrt("value").alias("value")),
-        F.struct(F.lit("pixel").alias("feature"), F.pmod(F.floor("value"), F.lit(256)).cast("double").alias("value")),
-        F.struct(F.lit("k").alias("feature"), F.col("k").cast("double").alias("value"))))
-    long = s.select("video_id", feats.alias("f")).select("video_id", "f.feature", "f.value")
-    strategy = "range" if sequence_strategy(spark, sf) == "blocked" else "window"
-    return FR.column_stats(long, ["video_id", "feature"], strategy=strategy)
+    return FR.column_stats(_frame_values(spark, sf), ["video_id", "feature"])
 
 
-@register("a05_column_stats_frames_range", _q(_A5_SQL.format(g="video_id, feature"), long="""
-SELECT video_id, 'value' AS feature, sqrt(value) AS value FROM seq
-UNION ALL SELECT video_id, 'pixel', CAST(CAST(floor(value) AS BIGINT) % 256 AS DOUBLE) FROM seq
-UNION ALL SELECT video_id, 'k', CAST(k AS DOUBLE) FROM seq"""))
+@register("a05_column_stats_frames_range", with_ctes(_A5_SQL.format(g="feature"), events_k=EVENTS_K_SQL, long="""
+SELECT 'value' AS feature, sqrt(value) AS value FROM events_k
+UNION ALL SELECT 'pixel', CAST(CAST(floor(value) AS BIGINT) % 256 AS DOUBLE) FROM events_k
+UNION ALL SELECT 'k', CAST(k AS DOUBLE) FROM events_k"""))
 def a05_column_stats_frames_range(spark, sf):
-    """A5 with the skew-safe ranking forced."""
-    s = _seq(spark, sf)
-    feats = F.explode(F.array(
-        F.struct(F.lit("value").alias("feature"), F.sqrt("value").alias("value")),
-        F.struct(F.lit("pixel").alias("feature"), F.pmod(F.floor("value"), F.lit(256)).cast("double").alias("value")),
-        F.struct(F.lit("k").alias("feature"), F.col("k").cast("double").alias("value"))))
-    long = s.select("video_id", feats.alias("f")).select("video_id", "f.feature", "f.value")
-    return FR.column_stats(long, ["video_id", "feature"], strategy="range")
+    """A5 of a feature over all videos: each group is a third of all values."""
+    return FR.column_stats(_frame_values(spark, sf).drop("video_id"), ["feature"])
 
 
 @register("a05_column_stats_embeddings", with_ctes(_A5_SQL.format(g="label, dim"), long="""
@@ -87,8 +81,7 @@ def a05_column_stats_embeddings(spark, sf):
     e = read_table(spark, sf, "embeddings")
     long = e.select("label", F.posexplode("embedding").alias("dim", "value")).withColumn(
         "value", F.col("value").cast("double"))
-    # few labels, so each (label, dim) group is large: rank with range partitioning
-    return FR.column_stats(long, ["label", "dim"], strategy="range")
+    return FR.column_stats(long, ["label", "dim"])
 
 
 # ---- A6 / A7 histograms --------------------------------------------------------------------
@@ -140,10 +133,8 @@ def a11_faces_per_frame(spark, sf):
                               float(FRAME_W * FRAME_H))
 
 
-# truncated mean over integer micro-units (exact, order-independent)
-_TM = ("CAST(CASE WHEN sum(CAST(round({c} * 1e6) AS BIGINT)) OVER w >= 0 "
-       "THEN floor(sum(CAST(round({c} * 1e6) AS BIGINT)) OVER w / (count(*) OVER w * 1000000)) "
-       "ELSE -floor(-sum(CAST(round({c} * 1e6) AS BIGINT)) OVER w / (count(*) OVER w * 1000000)) END AS BIGINT)")
+# truncated mean, as the original: exact sums, then towards zero
+_TM = "CAST(trunc(sum(CAST({c} AS DECIMAL(30,15))) OVER w / count(*) OVER w) AS BIGINT)"
 
 
 @register("a12_flow_stats", _q(f"""
@@ -154,7 +145,7 @@ SELECT video_id, frame, floor((avg(mag)) * 1e6 + 0.5) / 1e6 AS mag_mu, floor((st
                                           ELSE abs(mu - angle) END, 2))) + 1e-8)) * 1e6 + 0.5) / 1e6 AS tilt_pan_confidence
 FROM (SELECT *, CASE WHEN dy < 0 THEN abs(degrees(atan2(dy, dx))) ELSE 360.0 - degrees(atan2(dy, dx)) END AS angle,
         sqrt(dx * dx + dy * dy) / {DIAG!r} AS mag,
-        CASE WHEN sum(CAST(round(dy * 1e6) AS BIGINT)) OVER w < 0
+        CASE WHEN sum(CAST(dy AS DECIMAL(30,15))) OVER w < 0
              THEN -degrees(atan2({_TM.format(c='dy')}, {_TM.format(c='dx')}))
              ELSE 360.0 - degrees(atan2({_TM.format(c='dy')}, {_TM.format(c='dx')}))
         END AS mu
@@ -208,13 +199,9 @@ SELECT vec_id, label, CASE WHEN p IS NULL THEN 0.0 ELSE floor((list_sum(list_tra
   lambda i: abs(CAST(e[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)))) / len(e)) * 1e6 + 0.5) / 1e6 END AS frame_diff
 FROM (SELECT vec_id, label, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)""")
 def w09_vector_frame_diff(spark, sf):
-    from reelforge.operators.sequence import max_rows_per_key
-    from reelforge.plans.adapters import hot_key_rows
     e = read_table(spark, sf, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    # few labels: every label is a large key, so check before choosing a per-key window
-    strategy = "blocked" if max_rows_per_key(e.select("label"), ["label"]) > hot_key_rows(spark) else "window"
-    return FR.vector_frame_diff(e, ["label"], ["vec_id"], "embedding", strategy,
+    return FR.vector_frame_diff(e, ["label"], ["vec_id"], "embedding", "blocked",
                                 F.floor(F.col("vec_id") / POS_BUCKET)).select("vec_id", "label", "frame_diff")
 
 
@@ -231,8 +218,8 @@ def w10_grey_change(spark, sf):
 
 
 # ---- W11 / W12 / W13 / W22 ----------------------------------------------------------------------
-def _shot_frames(spark, sf, strategy="window"):
-    s = _seq(spark, sf, strategy)
+def _shot_frames(spark, sf):
+    s = _seq(spark, sf)
     return s.select("video_id", (F.col("r") * 200).alias("ts_ms"), (F.col("value") / 500).alias("mag_mu"),
                     ((F.col("k") % 100) / 100).alias("gray_diff"), ((F.col("event_id") % 7) / 100).alias("f_diff"))
 
@@ -247,13 +234,9 @@ _ACC_SQL = """SELECT video_id, min(ts_ms) AS ts_ms FROM cand WHERE ts_ms > 1100
   GROUP BY c.video_id"""
 
 
-def _accepted(spark, sf, strategy=None):
-    strategy = strategy or ("doubling" if sequence_strategy(spark, sf) == "blocked" else "group")
-    fr = _shot_frames(spark, sf, "blocked" if strategy == "doubling" else "window")
-    cand = fr.filter(FR.shot_votes(fr))
-    if strategy == "doubling":
-        return fr, FR.accept_with_gap_doubling(cand, ["video_id"], "ts_ms", 1100)
-    return fr, FR.accept_with_gap(cand, ["video_id"], "ts_ms", 1100)
+def _accepted(spark, sf):
+    fr = _shot_frames(spark, sf)
+    return fr, FR.accept_with_gap_doubling(fr.filter(FR.shot_votes(fr)), ["video_id"], "ts_ms", 1100)
 
 
 @register("w11_shot_changes", "WITH RECURSIVE " + ",\n".join([
@@ -267,8 +250,8 @@ def w11_shot_changes(spark, sf):
     f"events_k AS ({EVENTS_K_SQL})", f"seq AS ({SEQ_SQL})", f"shotf AS ({_SHOT_SQL})", f"cand AS ({_CAND_SQL})",
     f"acc(video_id, ts_ms) AS ({_ACC_SQL})"]) + "\nSELECT video_id, ts_ms FROM acc")
 def w11_shot_changes_doubling(spark, sf):
-    """W11 with the skew-safe pointer-doubling plan forced."""
-    return _accepted(spark, sf, "doubling")[1]
+    """W11 under its second key (the pointer-doubling plan is the only one)."""
+    return _accepted(spark, sf)[1]
 
 
 @register("w12_shot_durations", "WITH RECURSIVE " + ",\n".join([
@@ -282,8 +265,7 @@ def w12_shot_durations(spark, sf):
     fr, acc = _accepted(spark, sf)
     marked = fr.select("video_id", "ts_ms").join(acc.withColumn("change", F.lit(True)), ["video_id", "ts_ms"], "left")
     marked = marked.withColumn("change", F.coalesce("change", F.lit(False)))
-    strategy = "blocked" if sequence_strategy(spark, sf) == "blocked" else "window"
-    return FR.shot_durations(marked, ["video_id"], "ts_ms", "change", strategy=strategy,
+    return FR.shot_durations(marked, ["video_id"], "ts_ms", "change", strategy="blocked",
                              bucket=F.floor(F.col("ts_ms") / (200 * POS_BUCKET))).select(
         "video_id", "ts_ms", "shot_id", "shot_duration")
 
@@ -304,9 +286,8 @@ def w13_downsample(spark, sf):
   SELECT video_id, {_TS25} AS ts_ms, row_number() OVER (PARTITION BY video_id, floor(({_TS25}) / 200)
     ORDER BY {_TS25}) AS rn FROM seq) WHERE rn = 1"""))
 def w22_frame_counter(spark, sf):
-    strategy = sequence_strategy(spark, sf)
-    s = _seq(spark, sf, strategy).select("video_id", (F.col("r") * 40 + (F.col("event_id") % 3) * 13).alias("ts_ms"))
-    return FR.frame_counter(FR.downsample(s, ["video_id"], "ts_ms", 200), ["video_id"], "ts_ms", strategy,
+    s = _seq(spark, sf).select("video_id", (F.col("r") * 40 + (F.col("event_id") % 3) * 13).alias("ts_ms"))
+    return FR.frame_counter(FR.downsample(s, ["video_id"], "ts_ms", 200), ["video_id"], "ts_ms", "blocked",
                             F.floor(F.col("ts_ms") / (40 * POS_BUCKET)))
 
 
@@ -434,7 +415,7 @@ SELECT video_id, frame, idx FROM rr a WHERE NOT EXISTS (
   (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 4 AS idx FROM rects"""))
 def j15_remove_overlaps(spark, sf):
     r = rects(spark, sf).withColumnRenamed("user_id", "video_id")
-    pos = (F.row_number().over(Window.partitionBy("video_id").orderBy("ts", "event_id")) - 1).cast("long")
-    r = r.withColumn("_p", pos).select("video_id", F.floor(F.col("_p") / 4).alias("frame"),
+    r = sequence_index(r, ["video_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="_p")
+    r = r.select("video_id", F.floor(F.col("_p") / 4).alias("frame"),
                                        (F.col("_p") % 4).alias("idx"), "rect")
     return OB.remove_overlaps(r, ["video_id", "frame"], "idx", "rect", 0.3).select("video_id", "frame", "idx")

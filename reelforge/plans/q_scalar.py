@@ -9,6 +9,7 @@ from reelforge.functions.scalar import r6
 
 from reelforge.functions import scalar as X
 from reelforge.plans.adapters import (CHUNKS_SQL, EVENTS_K_SQL, RECTS_SQL, chunks, events_k, rects, with_ctes)
+from reelforge.operators.sequence import neighbour_window, sequence_index
 from reelforge.plans.registry import register
 from reelforge.session import read_table
 
@@ -136,9 +137,9 @@ FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(w) OVER w AS pw, l
       FROM rects WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""",
                                          events_k=EVENTS_K_SQL, rects=RECTS_SQL))
 def t25_overlap_ratio(spark, sf):
-    r = rects(spark, sf)
-    prev = F.lag("rect").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return r.select("event_id", r6(X.overlap_ratio("rect", prev)).alias("overlap"))
+    r = sequence_index(rects(spark, sf), ["user_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), out="_p")
+    r = neighbour_window(r, ["user_id"], "_p", ["rect"], 1)
+    return r.select("event_id", r6(X.overlap_ratio("rect", F.col("rect_m1"))).alias("overlap"))
 
 
 @register("t26_angle_diff", with_ctes("""SELECT event_id,

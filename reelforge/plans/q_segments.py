@@ -5,28 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelforge.operators import segments as seg
-from reelforge.plans.adapters import CHUNKS_SQL, chunks, sequence_strategy, with_ctes
+from reelforge.plans.adapters import CHUNKS_SQL, chunks, with_ctes
 from reelforge.plans.registry import register
 
 K, O = ["video_id"], ["start"]
 
 
-def _chunks_and_strategy(spark, sf):
-    strategy = sequence_strategy(spark, sf)
-    return chunks(spark, sf, strategy), strategy
+DENSE = F.col("start") / 5000  # chunks lie densely on the 5 s grid
 
 
 def _tagged(spark, sf):
-    """W1-W6 rows with the per-key window plan or, for hot videos, the skew-safe plan."""
-    ch, strategy = _chunks_and_strategy(spark, sf)
-    # the chunk adapter numbers chunks densely on the 5 s grid: start / 5000 is the position
-    return (seg.tag_chunks_blocked(ch, K, dense_position=F.col("start") / 5000) if strategy == "blocked"
-            else seg.tag_chunks(ch, K, O))
+    """W1-W6 rows; timelines are cut into blocks of positions."""
+    return seg.tag_chunks_blocked(chunks(spark, sf), K, dense_position=DENSE)
 
 
 def _neighbours(spark, sf):
-    ch, strategy = _chunks_and_strategy(spark, sf)
-    return seg.with_neighbours(ch, ["song_id", "offset_seconds"], K, O, strategy)
+    return seg.with_neighbours(chunks(spark, sf), ["song_id", "offset_seconds"], K, O, "blocked")
+
 
 # ---- oracle building blocks (DuckDB SQL) -----------------------------------
 _N1 = """SELECT *, lag(song_id) OVER w AS p_id, lead(song_id) OVER w AS n_id,
@@ -96,11 +91,8 @@ def w02_smooth_labels(spark, sf):
 FROM n1""", "n1"))
 def w03_smooth_offset(spark, sf):
     df = _neighbours(spark, sf)
-    half = seg.smooth_labels(df, offset_mode="half_diff").select("video_id", "start",
-                                                                 F.col("offset_seconds").alias("offset_half_diff"))
-    mean = seg.smooth_labels(df, offset_mode="mean").select("video_id", "start",
-                                                            F.col("offset_seconds").alias("offset_mean"))
-    return half.join(mean, ["video_id", "start"])
+    both = {mode: seg.smoothed_offset("song_id", "offset_seconds", mode) for mode in ("half_diff", "mean")}
+    return df.select("video_id", "start", *[c.alias(f"offset_{mode}") for mode, c in both.items()])
 
 
 # ---- W4 / W5 / W6 --------------------------------------------------------------
@@ -156,14 +148,12 @@ WHERE s.n >= 3""", "df", segrows=_SEGROWS, modes=_MODES)
 
 @register("w08_segmentation", W08_SQL)
 def w08_segmentation(spark, sf):
-    """Picks the per-key window plan or the skew-safe plan from the largest timeline."""
-    strategy = sequence_strategy(spark, sf)
-    extra = {"dense_position": F.col("start") / 5000} if strategy == "blocked" else {}
-    return seg.segment_timeline(chunks(spark, sf, strategy), K, O, strategy=strategy, **extra)
+    """Timelines in blocks of positions: no task holds a whole timeline."""
+    return seg.segment_timeline(chunks(spark, sf), K, O, strategy="blocked", dense_position=DENSE)
 
 
 @register("w08_segmentation_blocked", W08_SQL)
 def w08_segmentation_blocked(spark, sf):
-    """The skew-safe plan forced (small spans and blocks so every path is exercised)."""
-    return seg.segment_timeline(chunks(spark, sf, "blocked"), K, O, strategy="blocked",
+    """W8 with positions numbered by spans and tiny blocks, so every path is exercised."""
+    return seg.segment_timeline(chunks(spark, sf), K, O, strategy="blocked",
                                 span=5000 * 16, block_rows=32)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelforge.operators import notes as N
 from reelforge.operators import timeline as TL
 from reelforge.plans.adapters import EVENTS_K_SQL, events_k, with_ctes
-from reelforge.plans.q_frames import SEQ_SQL, _seq
+from reelforge.plans.q_frames import POS_BUCKET, SEQ_SQL, _seq
 from reelforge.plans.registry import register
 from reelforge.session import read_table
 
@@ -37,11 +37,8 @@ def w16_mid_term_pool(spark, sf):
 @register("w17_deltas", _q("""SELECT video_id, event_id,
   coalesce(value - lag(value) OVER (PARTITION BY video_id ORDER BY r), 0.0) AS "delta value" FROM seq"""))
 def w17_deltas(spark, sf):
-    from reelforge.plans.adapters import sequence_strategy
-    from reelforge.plans.q_frames import POS_BUCKET
-    strategy = sequence_strategy(spark, sf)
-    s = _seq(spark, sf, strategy)
-    return TL.deltas(s, ["video_id"], ["r"], ["value"], strategy, F.floor(F.col("r") / POS_BUCKET)).select(
+    s = _seq(spark, sf)
+    return TL.deltas(s, ["video_id"], ["r"], ["value"], "blocked", F.floor(F.col("r") / POS_BUCKET)).select(
         "video_id", "event_id", "delta value")
 
 
@@ -93,14 +90,18 @@ def w20_full_chunks(spark, sf):
   AS batch FROM orders""")
 def w21_batches(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey")
-    return TL.batches(o, ["o_orderkey"], F.floor(F.col("o_orderkey") / (1 << 20)), 200).select("o_orderkey", "batch")
+    return TL.batches(o, ["o_orderkey"], 200).select("o_orderkey", "batch")
 
 
 # ---- notes ------------------------------------------------------------------------------------
+def _with_first(events):
+    """Events with the first time of their piece, by a partial aggregate joined back."""
+    return events.join(events.groupBy("user_id").agg(F.min("ts").alias("_first")), "user_id")
+
+
 def _notes(spark, sf):
-    e = events_k(spark, sf)
-    first = F.min("ts").over(Window.partitionBy("user_id"))
-    onset = F.timestamp_diff("MICROSECOND", first, F.col("ts")) / 3.6e9
+    e = _with_first(events_k(spark, sf))
+    onset = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("ts")) / 3.6e9
     dur = 0.05 + F.col("value") / 100
     return e.select(F.col("user_id").alias("piece_id"), F.col("event_type").alias("part"),
                     F.col("event_id").alias("note_id"), onset.alias("onset"), dur.alias("dur"),
@@ -279,11 +280,10 @@ def m10_voice_counts(spark, sf):
 
 
 def _meta(spark, sf):
-    e = events_k(spark, sf)
-    first = F.min("ts").over(Window.partitionBy("user_id"))
+    e = _with_first(events_k(spark, sf))
     k = F.col("k")
     return e.select(F.col("user_id").alias("piece_id"), "event_id",
-                    (F.timestamp_diff("MICROSECOND", first, F.col("ts")) / 3.6e9).alias("onset"),
+                    (F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("ts")) / 3.6e9).alias("onset"),
                     F.when(F.col("event_type") == "signup", "tempo").when(F.col("event_type") == "purchase", "timesig")
                     .alias("kind"), (60 + k % 120).alias("bpm"), (2 + k % 6).alias("num"),
                     F.when(k % 7 == 0, 0).when(k % 2 == 0, 4).otherwise(8).alias("den"))

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from reelforge.plans import registry as E
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -50,21 +50,13 @@ def test_query_matches_oracle(spark, con, key):
     assert _bag(df.columns, rows) == _bag(dcols, cur.fetchall())
 
 
-SKEW_SAFE_KEYS = ["w01_prev_next", "w03_smooth_offset", "w06_segment_ids", "w07_flag_segments",
-                  "a04_unique_mode", "w08_segmentation", "w09_vector_frame_diff", "w11_shot_changes", "w12_shot_durations",
-                  "w17_deltas", "w22_frame_counter", "a05_column_stats_frames"]
-
-
-@pytest.mark.parametrize("key", SKEW_SAFE_KEYS)
-def test_skew_safe_plans_match_oracle(spark, con, key):
-    """With the hot-key threshold forced to 10 rows every auto-switched query
-    takes its skew-safe plan; results must not change."""
-    spark.conf.set("spark.reelforge.hotKeyRows", "10")
+@pytest.mark.parametrize("key", ["a05_column_stats_frames", "a05_column_stats_embeddings"])
+def test_column_stats_do_not_need_exchange_reuse(spark, con, key):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
     try:
         df = E.queries()[key](spark, SF)
         rows = df.collect()
     finally:
-        spark.conf.unset("spark.reelforge.hotKeyRows")
+        spark.conf.unset("spark.sql.exchange.reuse")
     cur = con.execute(E.oracle_sql()[key])
-    dcols = [d[0] for d in cur.description]
-    assert _bag(df.columns, rows) == _bag(dcols, cur.fetchall())
+    assert _bag(df.columns, rows) == _bag([d[0] for d in cur.description], cur.fetchall())

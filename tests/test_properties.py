@@ -58,10 +58,14 @@ def test_surrogate_ids_dense_and_unique(spark):
 
 
 def test_w8_single_exchange(spark):
-    """Every window and segment aggregate of W8 shares one hash exchange."""
+    """With the window strategy every window and aggregate of W8 shares one hash exchange."""
+    from reelforge.operators import segments as SEG
+    ch = spark.read.parquet(f"{SF}/events.parquet").select(
+        F.col("user_id").alias("video_id"), F.col("event_id").alias("start"), F.col("event_id").alias("end"),
+        (F.col("event_id") % 3).alias("song_id"), F.col("value").alias("offset_seconds"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        df = E.queries()["w08_segmentation"](spark, SF)
+        df = SEG.segment_timeline(ch)
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -83,15 +87,34 @@ def test_blocked_segmentation_equals_window_on_a_hot_timeline(spark):
     assert len(a) > 0
 
 
-def test_range_ranks_equal_window_ranks_with_a_hot_group(spark):
-    from reelforge.operators.sequence import exact_ranks
+def test_ranked_values_with_a_dominant_value(spark):
+    from reelforge.operators.sequence import ranked_values
     df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("g"),
-                                  (F.col("id") * 7919 % 1013).cast("double").alias("v"))
-    r = exact_ranks(df, ["g"], "v", partitions=16)
-    got = {(x.g, x._r): x.v for x in r.collect()}
-    w = df.withColumn("rk", F.row_number().over(Window.partitionBy("g").orderBy("v")))
-    want = {(x.g, x.rk): x.v for x in w.collect()}
-    assert got == want
+                                  F.when(F.col("id") % 3 > 0, 5.0).otherwise((F.col("id") * 7919 % 1013).cast("double")).alias("v"))
+    got = {(x.g, x.v): (x._c, x._before, x._n) for x in ranked_values(df, ["g"], "v", cells=16).collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.g, []).append(r.v)
+    assert got == {(g, v): (vs.count(v), sum(x < v for x in vs), len(vs)) for g, vs in by.items() for v in set(vs)}
+
+
+def test_dominant_value_is_counted_in_more_than_one_task(spark):
+    from reelforge.operators.sequence import ranked_values
+    df = spark.range(0, 200_000, 1, 16).select(F.lit(1).alias("g"), F.lit(2.0).alias("v"))
+    plan = ranked_values(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "rangepartitioning" not in plan
+    assert [(r._c, r._before) for r in ranked_values(df, ["g"], "v").collect()] == [(200_000, 0)]
+
+
+def test_no_sequence_query_has_a_window_on_the_bare_user(spark):
+    import re
+    for key in ("w01_prev_next", "w08_segmentation", "a12_flow_stats", "w14_window_starts", "t25_overlap_ratio", "j15_remove_overlaps",
+                "t02_quantize", "w22_frame_counter"):
+        plan = E.queries()[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", plan):
+            by = [x for x in spec.split(", ") if not re.search("ASC|DESC|specified", x)]
+            carried = re.search(r"\b(_b|_blk|_cell)#\d+L? ASC", spec)  # counts per block, not rows
+            assert len(by) != 1 or carried or not re.match(r"(user_id|video_id|piece_id)#", by[0]), (key, spec)
 
 
 def test_blocked_frame_sequences_equal_windows(spark):
@@ -152,6 +175,16 @@ def test_assign_ids_dense_across_buckets(spark):
     from reelforge.operators.training import assign_ids
     df = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("key"),
                                   F.col("id").alias("tie"))
-    out = assign_ids(df, ["key", "tie"], F.floor(F.col("key") / 256), start=10).collect()
+    out = assign_ids(df, ["key", "tie"], start=10).collect()
     got = sorted((r.key, r.tie, r.id) for r in out)
     assert [x[2] for x in got] == list(range(10, 5010))
+
+
+def test_assign_ids_takes_string_keys_and_uses_many_ranges(spark):
+    from reelforge.operators.training import assign_ids
+    df = spark.range(3000).select(F.concat(F.lit("k"), F.pmod(F.col("id") * 7919, F.lit(3000)).cast("string")).alias("key"))
+    out = assign_ids(df, ["key"])
+    rows = sorted((r.key, r.id) for r in out.collect())
+    assert [i for _, i in rows] == list(range(1, 3001))
+    assert assign_ids(df.limit(0), ["key"]).collect() == []
+    assert sorted(r.id for r in assign_ids(df.limit(1), ["key"]).collect()) == [1]
