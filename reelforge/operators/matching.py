@@ -6,9 +6,7 @@ Scale notes
 * Lookup tables are never force-broadcast; the planner broadcasts a side only
   when its measured size is under ``spark.sql.autoBroadcastJoinThreshold``
   and AQE re-plans at run time from actual sizes.
-* The pattern join (J8) broadcasts the pattern side only after counting it
-  against ``max_broadcast_rows``; above that it switches to an exact
-  trigram-blocked equi-join.
+* The pattern join (J8) is an equi-join on the grams that begin a pattern.
 """
 
 from __future__ import annotations
@@ -45,42 +43,66 @@ def enrich_titles(catalog: DataFrame, refs: DataFrame, title: str = "title", ref
     return catalog.join(one, catalog[title] == one[ref_key], "left").drop(ref_key)
 
 
+#: Scores tried first, from high to low; what they cannot settle is scored in full.
+RESOLVE_STEPS = (0.6, 0.3)
+
+
 def resolve_best(queries: DataFrame, refs: DataFrame, q_id: str, q_text: str, r_id: str, r_text: str,
-                 k: int = 1, min_score: float = 0.25) -> DataFrame:
-    """Best ``k`` references per query title by token Jaccard score
-    (at least ``min_score``), ties by reference id.
-
-    Candidates come from prefix filtering, which is exact for a Jaccard
-    threshold t: two token sets with J >= t share a token among the first
-    ``n - ceil(t * n) + 1`` tokens of each set in any fixed global order.
-    The order is rarest-first (reference document frequency, then token), so
-    frequent tokens sit at the end of the sets and rarely create candidates;
-    every candidate's score is then computed exactly from the two token sets.
-    """
-    if not 0 < min_score <= 1:
-        raise ValueError("min_score must be in (0, 1]")
-
-    def sets(df, idc, txt):
-        return df.select(F.col(idc).alias("_id"),
-                         F.array_distinct(F.filter(T.tokens(F.lower(txt)), lambda w: w != "")).alias("_t"))
-    qs, rs = sets(queries, q_id, q_text), sets(refs, r_id, r_text)
-    freq = rs.select(F.explode("_t").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-
-    def prefixes(ts):
-        e = ts.select("_id", F.size("_t").alias("_n"), F.explode("_t").alias("_tok"))
-        e = e.join(freq, "_tok", "left").fillna(0, subset=["_df"])
-        w = Window.partitionBy("_id").orderBy("_df", "_tok")
-        p = F.col("_n") - F.ceil(F.col("_n") * min_score) + 1
-        return e.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= p).select("_id", "_tok")
-    cand = (prefixes(qs).withColumnRenamed("_id", "_q").join(prefixes(rs).withColumnRenamed("_id", "_r"), "_tok")
-            .select("_q", "_r").distinct())
-    scored = (cand.join(qs.withColumnRenamed("_id", "_q").withColumnRenamed("_t", "_qt"), "_q")
-              .join(rs.withColumnRenamed("_id", "_r").withColumnRenamed("_t", "_rt"), "_r")
-              .withColumn("score", F.size(F.array_intersect("_qt", "_rt")) / F.size(F.array_union("_qt", "_rt")))
-              .filter(F.col("score") >= min_score))
-    w = Window.partitionBy("_q").orderBy(F.col("score").desc(), F.col("_r"))
-    return (scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-            .select(F.col("_q").alias(q_id), F.col("_r").alias(r_id), r6("score").alias("score"), "rank"))
+                 k: int = 1, steps: Sequence[float] = RESOLVE_STEPS) -> DataFrame:
+    """Best ``k`` references per query title by token Jaccard score,
+    whatever the score (at least one shared token), ties by reference id.
+
+    Equal titles are resolved once, on both sides.  The thresholds of
+    ``steps`` are tried in turn: candidates come from prefix filtering, which
+    is exact for a threshold t (two sets with J >= t share a token among the
+    first ``n - ceil(t * n) + 1`` tokens of each, in a rarest-first order).  A
+    title that has ``k`` references of at least t is settled and leaves; the
+    titles left at the end meet every reference that shares a token."""
+    def sets(df, txt):
+        words = F.array_distinct(F.filter(T.tokens(F.lower("_x")), lambda w: w != ""))
+        return df.select(F.col(txt).alias("_x")).where(F.col("_x").isNotNull()).distinct().select(
+            "_x", words.alias("_t"))
+
+    qs = sets(queries, q_text)
+    rs = sets(refs, r_text).withColumnsRenamed({"_x": "_y", "_t": "_u"})
+    # The k smallest ids of a reference title are all that can be among its best k.
+    first = Window.partitionBy(r_text).orderBy(r_id)
+    ids = (refs.select(r_text, r_id).where(F.col(r_text).isNotNull()).distinct()
+           .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
+           .select(F.col(r_text).alias("_y"), F.col(r_id).alias("_id")))
+    freq = rs.select(F.explode("_u").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+
+    def ordered(ts, name, words):
+        e = ts.select(name, F.explode(words).alias("_tok")).join(freq, "_tok", "left").fillna(0, subset=["_df"])
+        return e.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_df", "_tok"))).alias("_o"))  # one title's tokens
+
+    def listed(o, name, t):
+        keep = F.size("_o") - F.ceil(F.size("_o") * t) + 1 if t else F.size("_o")
+        part = F.slice("_o", F.lit(1), F.least(F.size("_o"), keep).cast("int"))
+        return o.select(name, F.explode(part).alias("_p")).select(name, F.col("_p._tok").alias("_tok"))
+
+    qo, ro = ordered(qs, "_x", "_t"), ordered(rs, "_y", "_u")
+
+    def best(open_, t):
+        pairs = listed(qo.join(open_, "_x", "left_semi"), "_x", t).join(listed(ro, "_y", t), "_tok").select(
+            "_x", "_y").distinct()
+        common = F.size(F.array_intersect("_t", "_u"))
+        scored = (pairs.join(qs, "_x").join(rs, "_y")
+                  .select("_x", "_y", (common / (F.size("_t") + F.size("_u") - common)).alias("score"))
+                  .where(F.col("score") >= (t or 0.0)))
+        w = Window.partitionBy("_x").orderBy(F.col("score").desc(), F.col("_id"))
+        return (scored.join(ids, "_y").withColumn("rank", F.row_number().over(w).cast("long"))
+                .where(F.col("rank") <= k).select("_x", "_id", "score", "rank"))
+
+    open_, out = qs.select("_x"), None
+    for t in [*steps, 0]:
+        found = best(open_, t)
+        if t:
+            settled = found.groupBy("_x").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).select("_x")
+            found, open_ = found.join(settled, "_x", "left_semi"), open_.join(settled, "_x", "left_anti")
+        out = found if out is None else out.union(found)
+    return (queries.select(q_id, F.col(q_text).alias("_x")).join(out, "_x")
+            .select(q_id, F.col("_id").alias(r_id), r6("score").alias("score"), "rank"))
 
 
 def append_new(new: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -105,6 +127,18 @@ def match_catalogs(left: DataFrame, right: DataFrame, key: str, left_id: str = "
     return lk.join(rk, key, "inner")
 
 
+def count_matches(left: DataFrame, right: DataFrame, key: str, id_col: str = "id",
+                  names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """The equi-join of two catalogs, told per key: rows on either side,
+    pairs the join has, and the first id of each side.  Both sides are counted
+    before they meet, so a key with n and m rows costs one row, not n x m."""
+    a, b = names
+    one = left.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{a}"), F.min(id_col).alias(f"first_{a}"))
+    two = right.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{b}"), F.min(id_col).alias(f"first_{b}"))
+    return (one.join(two, key).withColumn("n_pairs", F.col(f"n_{a}") * F.col(f"n_{b}"))
+            .select(key, f"n_{a}", f"n_{b}", "n_pairs", f"first_{a}", f"first_{b}"))
+
+
 def name_join(tracks: DataFrame, catalog: DataFrame, left_on: str, right_on: str) -> DataFrame:
     """Exact-name inner join."""
     return tracks.join(catalog, tracks[left_on] == catalog[right_on], "inner")
@@ -121,23 +155,22 @@ def _grams(c: Column) -> Column:
 
 
 def first_pattern_match(patterns: DataFrame, texts: DataFrame, pat_col: str, text_col: str, text_order: str,
-                        suffix_regex: str = "(soundtrack|film)", max_broadcast_rows: int = 100_000) -> DataFrame:
+                        suffix_regex: str = "(soundtrack|film)") -> DataFrame:
     """For each pattern (a cleaned film name, used as a regex as the
     original does) the first text by ``text_order`` matching
     ``.*(<pattern>).*<suffix_regex>``.
 
-    A pattern set that counts at most ``max_broadcast_rows`` rows is broadcast
-    into a nested-loop join with a cheap ``contains`` pre-test.  Larger sets
-    use an exact blocked equi-join: a text can only match a pattern if it
-    contains the pattern's first (up to) three characters, so texts are
-    exploded to their distinct 1-, 2- and 3-grams and joined on that key."""
-    pats = patterns.filter(F.col(pat_col) != "").select(pat_col).distinct()
-    if pats.count() <= max_broadcast_rows:
-        cand = texts.join(F.broadcast(pats), F.col(text_col).contains(F.col(pat_col)))
-    else:
-        grams = texts.select(text_order, F.explode(_grams(F.col(text_col))).alias("_g"))
-        keys = pats.withColumn("_g", F.substring(F.col(pat_col), 1, 3))
-        cand = grams.join(keys, "_g").drop("_g").join(texts, text_order)
+    A text can only match a pattern if it contains the pattern's first (up
+    to) three characters.  The distinct beginnings of all patterns (clean
+    names are [a-z0-9 ], so at most 37 + 37^2 + 37^3 of them) are one row that
+    every text meets; only the grams that begin a pattern, in a text that has
+    the suffix, are exploded and joined with the patterns on that key."""
+    pats = (patterns.filter(F.col(pat_col) != "").select(pat_col).distinct()
+            .withColumn("_g", F.substring(F.col(pat_col), 1, 3)))
+    begins = pats.agg(F.collect_set("_g").alias("_b"))
+    some = texts.filter(F.regexp_like(F.col(text_col), F.lit(suffix_regex))).join(F.broadcast(begins))
+    cand = (some.withColumn("_g", F.explode(F.array_intersect(_grams(F.col(text_col)), F.col("_b")))).drop("_b")
+            .join(pats, "_g").drop("_g"))
     # ``.*(p).*(suffix)`` holds iff p occurs and the suffix occurs after the
     # end of p's first occurrence: a linear test, no regex backtracking over
     # long texts (clean names are literal [a-z0-9 ] strings).

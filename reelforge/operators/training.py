@@ -23,58 +23,76 @@ def curated_or_fake(vm: DataFrame, cur: DataFrame) -> DataFrame:
     return j.filter((F.col("correct") == 1) | (F.col("real") == 0))
 
 
+def examples(t: dict, keep: Column) -> DataFrame:
+    """The matches that ``keep`` accepts (a condition on ``real`` and
+    ``correct``) with their clip and their pair.
+
+    Curation decides first: it is one row per match and removes most matches
+    before anything wide is joined.  Then the match finds its clip, and its
+    song's pair of catalog rows."""
+    curated = t["cur"].select(F.col("audio_video_match_id").alias("id"), "correct")
+    clip = t["vcc"].select(F.col("id").alias("clip_id"), "video_id", "start", "end", "video_type")
+    pair = t["mam"].select("djv_song_id", F.col("index_audio").alias("audio_id"), F.col("index_midi").alias("midi_id"))
+    found = t["vm"].join(curated, "id", "left").where(keep)
+    return (found.select("id", "djv_song_id", "real", F.col("clip_id").alias("_clip"))
+            .join(clip, F.col("_clip") == F.col("clip_id"), "left").drop("_clip")
+            .join(pair, "djv_song_id", "left"))
+
+
+def usable() -> Column:
+    """F6 as a condition: curated as correct, or a made-up negative."""
+    return (F.col("correct") == 1) | (F.col("real") == 0)
+
+
+def _file(files: DataFrame, key: str, prefix: str, kind: bool = True) -> DataFrame:
+    """A catalog as (key, <prefix>_type, <prefix>_file_path)."""
+    path = T.path_join(F.col("directory"), F.col("filename")).alias(f"{prefix}_file_path")
+    types = [T.type_suffix(F.col("filename")).alias(f"{prefix}_type")] if kind else []
+    return files.select(F.col("id").alias(key), *types, path)
+
+
 def extraction_dirs(t: dict) -> DataFrame:
-    """6-way left-join chain match -> clip -> pair -> audio, midi, video,
-    curation, filtered by F6."""
-    vm, vcc, mam, ac, mc, vc, cur = (t[k] for k in ("vm", "vcc", "mam", "ac", "mc", "vc", "cur"))
-    j = (vm.alias("vm")
-         .join(vcc.alias("vcc"), F.col("vcc.id") == F.col("vm.clip_id"), "left")
-         .join(mam.alias("mam"), F.col("mam.djv_song_id") == F.col("vm.djv_song_id"), "left")
-         .join(ac.alias("ac"), F.col("ac.id") == F.col("mam.index_audio"), "left")
-         .join(mc.alias("mc"), F.col("mc.id") == F.col("mam.index_midi"), "left")
-         .join(vc.alias("vc"), F.col("vc.id") == F.col("vcc.video_id"), "left")
-         .join(cur.alias("cur"), F.col("cur.audio_video_match_id") == F.col("vm.id"), "left")
-         .filter((F.col("cur.correct") == 1) | (F.col("vm.real") == 0)))
-    return j.select(
-        F.col("vm.id").alias("id"), F.col("vcc.id").alias("clip_id"), F.col("mam.index_audio").alias("audio_id"),
-        F.col("mam.index_midi").alias("midi_id"), F.col("vcc.video_id").alias("video_id"),
-        F.col("vcc.start").alias("start"), F.col("vcc.end").alias("end"), F.col("vcc.video_type").alias("video_type"),
-        T.type_suffix(F.col("ac.filename")).alias("audio_type"), T.type_suffix(F.col("mc.filename")).alias("midi_type"),
-        T.path_join(F.col("ac.directory"), F.col("ac.filename")).alias("audio_file_path"),
-        T.path_join(F.col("mc.directory"), F.col("mc.filename")).alias("midi_file_path"),
-        T.path_join(F.col("vc.directory"), F.col("vc.filename")).alias("video_file_path"),
-        F.col("vm.real").alias("real"), F.col("vm.djv_song_id").alias("djv_song_id"))
+    """Every usable match with the files of its three modalities."""
+    out = (examples(t, usable()).join(_file(t["ac"], "audio_id", "audio"), "audio_id", "left")
+           .join(_file(t["mc"], "midi_id", "midi"), "midi_id", "left")
+           .join(_file(t["vc"], "video_id", "video", kind=False), "video_id", "left"))
+    # An id whose catalog row is missing stays as the pair names it.
+    return out.select("id", "clip_id", "audio_id", "midi_id", "video_id", "start", "end", "video_type", "audio_type",
+                      "midi_type", "audio_file_path", "midi_file_path", "video_file_path", "real", "djv_song_id")
 
 
 def correct_videos(t: dict) -> DataFrame:
     """Curated-correct clips with their song and video file."""
-    vm, vcc, songs, vc, cur = (t[k] for k in ("vm", "vcc", "songs", "vc", "cur"))
-    j = (vm.alias("vm")
-         .join(vcc.alias("vcc"), F.col("vm.clip_id") == F.col("vcc.id"), "left")
-         .join(songs.alias("s"), F.col("s.song_id") == F.col("vm.djv_song_id"), "left")
-         .join(vc.alias("vc"), F.col("vc.id") == F.col("vcc.video_id"), "left")
-         .join(cur.alias("cur"), F.col("cur.audio_video_match_id") == F.col("vm.id"), "left")
-         .filter(F.col("cur.correct") == 1))
-    return j.select(F.col("vcc.id").alias("id"), F.col("vcc.start").alias("start"), F.col("vcc.end").alias("end"),
-                    F.col("vcc.video_type").alias("video_type"), F.col("s.song_name").alias("song_name"),
-                    F.col("vc.title").alias("title"), F.col("vc.directory").alias("directory"),
-                    F.col("vc.filename").alias("filename"))
+    song = t["songs"].select(F.col("song_id").alias("djv_song_id"), "song_name")
+    video = t["vc"].select(F.col("id").alias("video_id"), "title", "directory", "filename")
+    curated = t["cur"].where("correct = 1").select(F.col("audio_video_match_id").alias("id"))
+    clip = t["vcc"].select(F.col("id").alias("clip_id"), "video_id", "start", "end", "video_type")
+    return (t["vm"].join(curated, "id").select(F.col("clip_id"), "djv_song_id")
+            .join(clip, "clip_id", "left").join(song, "djv_song_id", "left").join(video, "video_id", "left")
+            .select(F.when(F.col("video_id").isNotNull() | F.col("start").isNotNull(), F.col("clip_id")).alias("id"),
+                    "start", "end", "video_type", "song_name", "title", "directory", "filename"))
+
+
+def feature_join(t: dict) -> DataFrame:
+    """The three feature tables side by side for every match, usable or
+    not, null where a modality has no features."""
+    wide = examples(t, F.lit(True))
+    for name, key in (("af", "audio_id"), ("sfe", "midi_id"), ("vf", "clip_id")):
+        own = t[name]
+        wide = wide.join(own.withColumnRenamed(key, f"_{key}"), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+    values = [c for n in ("af", "sfe", "vf") for c in t[n].columns if c not in ("audio_id", "midi_id", "clip_id")]
+    return wide.select("id", "real", *values)
 
 
 def training_table(t: dict) -> DataFrame:
-    """J12 + F6 + F7 = Q8: labelled training table ``y = real`` with the three
-    feature tables side by side."""
-    vm, vcc, mam, cur, af, sfe, vf = (t[k] for k in ("vm", "vcc", "mam", "cur", "af", "sfe", "vf"))
-    j = (vm.alias("vm")
-         .join(vcc.alias("vcc"), F.col("vcc.id") == F.col("vm.clip_id"), "left")
-         .join(mam.alias("mam"), F.col("mam.djv_song_id") == F.col("vm.djv_song_id"), "left")
-         .join(cur.alias("cur"), F.col("cur.audio_video_match_id") == F.col("vm.id"), "left")
-         .join(af.alias("af"), F.col("af.audio_id") == F.col("mam.index_audio"), "left")
-         .join(sfe.alias("sf"), F.col("sf.midi_id") == F.col("mam.index_midi"), "left")
-         .join(vf.alias("vf"), F.col("vf.clip_id") == F.col("vcc.id"), "left")
-         .filter(((F.col("cur.correct") == 1) | (F.col("vm.real") == 0)) & F.col("vf.clip_id").isNotNull()))
-    return j.select(F.col("vm.id").alias("id"), F.col("vcc.video_id").alias("video_id"), F.col("vm.real").alias("y"),
-                    "af.*", "sf.*", "vf.*")
+    """J12 + F6 + F7 = Q8: labelled training table ``y = real``: usable matches
+    whose clip has video features, with the audio and symbolic ones beside."""
+    wide = examples(t, usable()).select("id", "video_id", F.col("real").alias("y"), "clip_id", "audio_id", "midi_id")
+    audio = t["af"].withColumn("_audio", F.col("audio_id"))
+    notes = t["sfe"].withColumn("_midi", F.col("midi_id"))
+    wide = wide.withColumnsRenamed({"audio_id": "_audio", "midi_id": "_midi"})
+    out = wide.join(t["vf"], "clip_id").join(audio, "_audio", "left").join(notes, "_midi", "left")
+    return out.select("id", "video_id", "y", *t["af"].columns, *t["sfe"].columns, *t["vf"].columns)
 
 
 def work_list(dirs: DataFrame, done: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:

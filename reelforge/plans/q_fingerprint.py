@@ -54,16 +54,6 @@ def f05_recognised_only(spark, sf):
     return r.filter(F.col("item_id").isNotNull()).select("doc_id", "chunk", "item_id", "offset")
 
 
-R3_MAX = 3
-
-
-@register("r03_frequent_hash_guard", f"""WITH {_IDX_SQL}
-SELECT item_id, pos, d, key FROM idx WHERE key IN (SELECT key FROM idx GROUP BY key HAVING count(*) <= {R3_MAX})""")
-def r03_frequent_hash_guard(spark, sf):
-    idx = FP.build_index(read_table(spark, sf, "benchmark"))
-    return FP.frequent_hash_guard(idx, R3_MAX).select("item_id", "pos", "d", "key")
-
-
 @register("r04_index_new_items", f"""WITH {_IDX_SQL}
 SELECT item_id, count(*) AS n_hashes FROM idx WHERE item_id % 2 = 1 GROUP BY 1""")
 def r04_index_new_items(spark, sf):

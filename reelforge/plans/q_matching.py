@@ -9,7 +9,7 @@ from reelforge.functions import text as T
 from reelforge.operators import matching as M
 from reelforge.operators import training as TR
 from reelforge.plans.adapters import (CHUNKS_SQL, PART_FILES_SQL, STAR_SQL, chunks, part_files, star, with_ctes)
-from reelforge.operators.parallel import spread
+from reelforge.operators.parallel import read_spread
 from reelforge.plans.q_text import _clean_sql
 from reelforge.plans.registry import register
 from reelforge.session import read_table
@@ -40,14 +40,12 @@ _CATS_SQL = dict(
 
 
 @register("j05_catalog_match", with_ctes("""
-SELECT m.spotify_URL, m.id AS id_midi, m.directory AS directory_midi, m.filename AS filename_midi,
-       a.id AS id_audio, a.directory AS directory_audio, a.filename AS filename_audio
-FROM (SELECT * FROM midi WHERE id IN (SELECT min(id) FROM midi GROUP BY spotify_URL)) m
-JOIN (SELECT * FROM audio WHERE id IN (SELECT min(id) FROM audio GROUP BY spotify_URL)) a USING (spotify_URL)""",
-                                         **_CATS_SQL))
+SELECT m.spotify_URL, count(DISTINCT m.id) AS n_midi, count(DISTINCT a.id) AS n_audio, count(*) AS n_pairs,
+       min(m.id) AS first_midi, min(a.id) AS first_audio
+FROM midi m JOIN audio a USING (spotify_URL) GROUP BY m.spotify_URL""", **_CATS_SQL))
 def j05_catalog_match(spark, sf):
     midi, audio = _catalogs(spark, sf)
-    return M.match_catalogs(midi, audio, "spotify_URL")
+    return M.count_matches(midi, audio, "spotify_URL", names=("midi", "audio"))
 
 
 @register("j06_catalog_match_first", with_ctes("""
@@ -117,24 +115,21 @@ r AS (SELECT min(p_partkey) AS rid, {rt} AS toks FROM part GROUP BY p_name),
 qe AS (SELECT qid, len(toks) AS qn, unnest(toks) AS tok FROM q),
 re AS (SELECT rid, len(toks) AS rn, unnest(toks) AS tok FROM r),
 sc AS (SELECT * FROM (SELECT qid, rid, count(*) * 1.0 / (max(qn) + max(rn) - count(*)) AS score
-       FROM qe JOIN re USING (tok) GROUP BY qid, rid) WHERE score >= {t})
+       FROM qe JOIN re USING (tok) GROUP BY qid, rid))
 SELECT qid AS p_partkey, rid AS song_id, floor((score) * 1e6 + 0.5) / 1e6 AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rank FROM sc) WHERE rank <= {k}"""
 _Q_TEXT = "p_name || ' ' || p_type"
 _R_TEXT = "p_name"
 
 
-J23_MIN_SCORE = 0.25
-
-
 def _j23(spark, sf, k):
     q = read_table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("qt"))
     r = read_table(spark, sf, "part").groupBy(F.col("p_name").alias("rt")).agg(F.min("p_partkey").alias("song_id"))
-    return M.resolve_best(q, r, "p_partkey", "qt", "song_id", "rt", k, J23_MIN_SCORE)
+    return M.resolve_best(q, r, "p_partkey", "qt", "song_id", "rt", k)
 
 
 def _j23_sql(k):
-    return "WITH " + _J23_SQL.format(qt=_TOK.format(x=_Q_TEXT), rt=_TOK.format(x=_R_TEXT), k=k, t=J23_MIN_SCORE)
+    return "WITH " + _J23_SQL.format(qt=_TOK.format(x=_Q_TEXT), rt=_TOK.format(x=_R_TEXT), k=k)
 
 
 @register("j02_resolve_best", _j23_sql(1))
@@ -182,7 +177,7 @@ SELECT film, doc_id FROM (
   FROM films f JOIN playlists p ON regexp_matches(p.clean_name, '.*(' || f.film || ').*(soundtrack|film)')
   WHERE f.film <> '') WHERE rn = 1""", playlists=_PL_SQL, films=_FILMS_SQL))
 def j08_first_pattern_match(spark, sf):
-    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    d = read_spread(spark, sf, "documents", ["doc_id", "text"])
     n = read_table(spark, sf, "nation")
     suffix = (F.when(F.col("doc_id") % 3 == 0, F.lit(" Original Soundtrack"))
               .when(F.col("doc_id") % 3 == 1, F.lit(" film music")).otherwise(F.lit("")))
@@ -205,18 +200,22 @@ def j09_composite_join(spark, sf):
 
 
 # ---- J10 / J11 / J12 / Q8 ----------------------------------------------------------------
-_J10_SQL = _star_sql("""
-SELECT vm.id, vcc.id AS clip_id, mam.index_audio AS audio_id, mam.index_midi AS midi_id, vcc.video_id,
-  vcc.start, vcc."end", vcc.video_type, right(ac.filename, 3) AS audio_type, right(mc.filename, 3) AS midi_type,
-  ac.directory || '/' || ac.filename AS audio_file_path, mc.directory || '/' || mc.filename AS midi_file_path,
-  vc.directory || '/' || vc.filename AS video_file_path, vm.real, vm.djv_song_id
-FROM vm LEFT JOIN vcc ON vcc.id = vm.clip_id
-LEFT JOIN mam ON mam.djv_song_id = vm.djv_song_id
-LEFT JOIN ac ON ac.id = mam.index_audio
-LEFT JOIN mc ON mc.id = mam.index_midi
-LEFT JOIN vc ON vc.id = vcc.video_id
-LEFT JOIN cur ON cur.audio_video_match_id = vm.id
-WHERE cur.correct = 1 OR vm.real = 0""", "vm", "vcc", "mam", "ac", "mc", "vc", "cur")
+# Usable matches: curated as correct, or made-up negatives.
+_USABLE = """SELECT x.id, x.clip_id AS wanted, x.real, x.djv_song_id FROM vm x
+WHERE x.real = 0 OR EXISTS (SELECT 1 FROM cur c WHERE c.audio_video_match_id = x.id AND c.correct = 1)"""
+
+_J10_SQL = _star_sql(f"""
+SELECT u.id, clip.id AS clip_id, pair.index_audio AS audio_id, pair.index_midi AS midi_id, clip.video_id, clip.start,
+  clip."end", clip.video_type, right(song.filename, 3) AS audio_type, right(score.filename, 3) AS midi_type,
+  song.directory || '/' || song.filename AS audio_file_path,
+  score.directory || '/' || score.filename AS midi_file_path,
+  film.directory || '/' || film.filename AS video_file_path, u.real, u.djv_song_id
+FROM ({_USABLE}) u
+LEFT JOIN mam pair USING (djv_song_id)
+LEFT JOIN vcc clip ON u.wanted = clip.id
+LEFT JOIN ac song ON pair.index_audio = song.id
+LEFT JOIN mc score ON pair.index_midi = score.id
+LEFT JOIN vc film ON clip.video_id = film.id""", "vm", "vcc", "mam", "ac", "mc", "vc", "cur")
 
 
 @register("j10_extraction_dirs", _J10_SQL)
@@ -233,25 +232,33 @@ def f06_curated_or_fake(spark, sf):
 
 
 @register("j11_correct_videos", _star_sql("""
-SELECT vcc.id, vcc.start, vcc."end", vcc.video_type, s.song_name, vc.title, vc.directory, vc.filename
-FROM vm LEFT JOIN vcc ON vm.clip_id = vcc.id
-LEFT JOIN songs s ON s.song_id = vm.djv_song_id
-LEFT JOIN vc ON vc.id = vcc.video_id
-LEFT JOIN cur ON cur.audio_video_match_id = vm.id
-WHERE cur.correct = 1""", "vm", "vcc", "songs", "vc", "cur"))
+SELECT clip.id, clip.start, clip."end", clip.video_type, song.song_name, film.title, film.directory, film.filename
+FROM (SELECT clip_id AS wanted, djv_song_id FROM vm
+      WHERE id IN (SELECT audio_video_match_id FROM cur WHERE correct = 1)) u
+LEFT JOIN vcc clip ON u.wanted = clip.id
+LEFT JOIN vc film ON clip.video_id = film.id
+LEFT JOIN songs song ON u.djv_song_id = song.song_id""", "vm", "vcc", "songs", "vc", "cur"))
 def j11_correct_videos(spark, sf):
     return TR.correct_videos(star(spark, sf))
 
 
-_Q8_SQL = _star_sql("""
-SELECT vm.id, vcc.video_id, vm.real AS y, af.*, sf.*, vf.*
-FROM vm LEFT JOIN vcc ON vcc.id = vm.clip_id
-LEFT JOIN mam ON mam.djv_song_id = vm.djv_song_id
-LEFT JOIN cur ON cur.audio_video_match_id = vm.id
-LEFT JOIN af ON af.audio_id = mam.index_audio
-LEFT JOIN sfe sf ON sf.midi_id = mam.index_midi
-LEFT JOIN vf ON vf.clip_id = vcc.id
-WHERE (cur.correct = 1 OR vm.real = 0) AND vf.clip_id IS NOT NULL""", "vm", "vcc", "mam", "cur", "af", "sfe", "vf")
+_Q8_SQL = _star_sql(f"""
+SELECT u.id, clip.video_id, u.real AS y, sound.*, notes.*, image.*
+FROM ({_USABLE}) u
+JOIN vf image ON u.wanted = image.clip_id
+JOIN vcc clip ON u.wanted = clip.id
+LEFT JOIN mam pair USING (djv_song_id)
+LEFT JOIN af sound ON pair.index_audio = sound.audio_id
+LEFT JOIN sfe notes ON pair.index_midi = notes.midi_id""", "vm", "vcc", "mam", "cur", "af", "sfe", "vf")
+
+_J12_SQL = _star_sql("""
+SELECT x.id, x.real, sound.* EXCLUDE (audio_id), notes.* EXCLUDE (midi_id), image.* EXCLUDE (clip_id)
+FROM vm x
+LEFT JOIN mam pair USING (djv_song_id)
+LEFT JOIN af sound ON pair.index_audio = sound.audio_id
+LEFT JOIN sfe notes ON pair.index_midi = notes.midi_id
+LEFT JOIN (SELECT image.* FROM vf image JOIN vcc clip ON image.clip_id = clip.id) image ON x.clip_id = image.clip_id
+""", "vm", "vcc", "mam", "af", "sfe", "vf")
 
 
 @register("q08_training_table", _Q8_SQL)
@@ -259,9 +266,9 @@ def q08_training_table(spark, sf):
     return TR.training_table(star(spark, sf))
 
 
-@register("j12_feature_join", _Q8_SQL.replace("AND vf.clip_id IS NOT NULL", "AND vf.clip_id IS NOT NULL"))
+@register("j12_feature_join", _J12_SQL)
 def j12_feature_join(spark, sf):
-    return TR.training_table(star(spark, sf))
+    return TR.feature_join(star(spark, sf))
 
 
 @register("f07_outer_to_inner", _star_sql("""
@@ -328,11 +335,11 @@ _Q3_VAL = ("CASE WHEN k % 10 = 0 THEN 'NaN'::DOUBLE WHEN k % 10 = 1 THEN 'inf'::
 @register("q03_quarantine", f"""
 SELECT user_id, count(*) AS n_values, count(*) FILTER (WHERE v IS NULL OR isnan(v) OR isinf(v)) AS n_bad,
   CASE WHEN count(*) FILTER (WHERE v IS NULL OR isnan(v) OR isinf(v)) > 0 THEN 'rejected' ELSE 'valid' END AS status
-FROM (SELECT user_id, event_type, {_Q3_VAL} AS v FROM
-      (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_type = 'view')
+FROM (SELECT user_id, {_Q3_VAL} AS v FROM
+      (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
 GROUP BY user_id""")
 def q03_quarantine(spark, sf):
-    e = read_table(spark, sf, "events").filter(F.col("event_type") == "view").withColumn(
+    e = read_table(spark, sf, "events").withColumn(
         "k", F.get_json_object("props", "$.k").try_cast("int"))
     k = F.col("k")
     v = (F.when(k % 10 == 0, F.lit(float("nan"))).when(k % 10 == 1, F.lit(float("inf")))

@@ -132,16 +132,16 @@ def s08_object_metric_table(spark, sf):
                            ["labels_freq", "labels_avg_confidence", "labels_area_ratio"], SUPER_CATEGORY_NAMES)
 
 
-@register("s09_whole_table_read", "SELECT * FROM nation")
+@register("s09_whole_table_read", "SELECT * FROM lineitem")
 def s09_whole_table_read(spark, sf):
-    return TB.read_table(spark, f"{sf.rstrip('/')}/nation.parquet")
+    return TB.read_table(spark, f"{sf.rstrip('/')}/lineitem.parquet")
 
 
 S10_TEXT = """SELECT o.o_orderstatus AS status, count(*) AS n_lines, sum(l.l_quantity) AS qty
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderstatus"""
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderstatus"""
 
 
-@register("s10_sql_text", S10_TEXT)
+@register("s10_sql_text", S10_TEXT.format(lineitem="lineitem", orders="orders"))
 def s10_sql_text(spark, sf):
     views = {"lineitem": read_table(spark, sf, "lineitem"), "orders": read_table(spark, sf, "orders")}
     return TB.run_sql(spark, S10_TEXT, views)

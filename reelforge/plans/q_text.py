@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelforge.functions import text as T
-from reelforge.operators.parallel import spread
+from reelforge.operators.parallel import read_spread
 from reelforge.plans.adapters import (CHUNKS_SQL, PART_FILES_SQL, PATH_SPLIT_SQL, PATHS_SQL, chunks, part_files,
                                       paths, with_ctes)
 from reelforge.plans.registry import register
@@ -98,7 +98,7 @@ register("t01_file_titles_video", _t01_sql("video", True))(_t01("video", True))
 SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') AS alnum,
        regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS alpha FROM documents""")
 def t03_replace_special(spark, sf):
-    d = spread(read_table(spark, sf, "documents"))
+    d = read_spread(spark, sf, "documents", ["doc_id", "text"])
     return d.select("doc_id", T.replace_special("text", True).alias("alnum"),
                     T.replace_special("text", False).alias("alpha"))
 
@@ -126,18 +126,18 @@ def t04_clean_customer_names(spark, sf):
 @register("t04_clean_document_text", f"""
 SELECT doc_id, {_clean_sql("text", True)} AS clean_text FROM documents""")
 def t04_clean_document_text(spark, sf):
-    d = spread(read_table(spark, sf, "documents"))
+    d = read_spread(spark, sf, "documents", ["doc_id", "text"])
     return d.select("doc_id", T.clean_title("text", True).alias("clean_text"))
 
 
 @register("t05_remove_stopwords", f"SELECT doc_id, {_rm_stop_sql('text')} AS text FROM documents")
 def t05_remove_stopwords(spark, sf):
-    return spread(read_table(spark, sf, "documents")).select("doc_id", T.remove_stopwords("text").alias("text"))
+    return read_spread(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", T.remove_stopwords("text").alias("text"))
 
 
 @register("t06_collapse_spaces", "SELECT doc_id, regexp_replace(text, '\\s\\s+', ' ', 'g') AS text FROM documents")
 def t06_collapse_spaces(spark, sf):
-    return spread(read_table(spark, sf, "documents")).select("doc_id", T.collapse_spaces("text").alias("text"))
+    return read_spread(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", T.collapse_spaces("text").alias("text"))
 
 
 T07_N = 25
@@ -147,7 +147,7 @@ T07_N = 25
 SELECT token, count(*) AS freq FROM (SELECT unnest({_tokens_sql('text')}) AS token FROM documents)
 WHERE length(token) < 4 GROUP BY token ORDER BY freq DESC, token LIMIT {T07_N}""")
 def t07_stopword_candidates(spark, sf):
-    return T.stopword_candidates(spread(read_table(spark, sf, "documents")), "text", n=T07_N)
+    return T.stopword_candidates(read_spread(spark, sf, "documents", ["doc_id", "text"]), "text", n=T07_N)
 
 
 # ---- T8-T14 ---------------------------------------------------------------------------

@@ -26,36 +26,37 @@ SCALE_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "reelforge", extra: dict | None = None) -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    b = (SparkSession.builder.master(master).appName(app_name)
+    """A session with this package's settings.  Without ``master`` the one of
+    spark-submit holds; a plain Python process gets local cores."""
+    b = (SparkSession.builder.appName(app_name)
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", os.environ.get("REELFORGE_DRIVER_MEM", "16g"))
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
+         .config("spark.ui.showConsoleProgress", "false"))
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # set by spark-submit
+        b = b.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+        b = b.config("spark.driver.memory", os.environ.get("REELFORGE_DRIVER_MEM", "16g"))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the operator of the cluster sets it to a shared (HDFS / object
-    store) folder and we use it as is.  Only when it is unset (unit tests on a
-    laptop) do we pick a private scratch folder.
-    """
+    """The folder that ``checkpoint()`` writes to: the one the caller or
+    ``spark.checkpoint.dir`` has set.  Only a local session (tests) without
+    one gets a private folder; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="reelforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001  no SparkContext (Spark Connect): the conf is used
-        pass
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -66,10 +66,9 @@ def read_table(spark: SparkSession, path_or_table: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) -> DataFrame:
-    """SQL text over named inputs (registered as temporary views)."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """SQL text over named inputs, written as ``{name}`` in the text.
+    They are bound for this text only; no view of the session is touched."""
+    return spark.sql(sql, **views)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: Sequence[str] = ()) -> None:

@@ -22,31 +22,40 @@ from reelforge.sources.files import catalog_from_paths, prune_catalog
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+#: A file is new when it was not listed before, however old it is.
+MAX_FILE_AGE = "36500d"
+
+
 # ---- X1: new-file catalog --------------------------------------------------------------
-def file_catalog_stream(spark: SparkSession, root: str, except_dir: Sequence[str] = (), except_file: str = "",
-                        watermark: str = "1 hour") -> DataFrame:
+def file_catalog_stream(spark: SparkSession, root: str, except_dir: Sequence[str] = (),
+                        except_file: str = "") -> DataFrame:
     """Streaming catalog of new files under ``root`` (path only; file
-    bodies are never read), deduplicated by file name within the watermark."""
+    bodies are never read).  The source lists each file once, whatever its
+    modification time; a file is its directory and name."""
     s = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-         .option("recursiveFileLookup", "true").load(root)
-         .select(F.regexp_replace("path", "^file:", "").alias("path"), "modificationTime"))
-    cat = prune_catalog(catalog_from_paths(s, "path"), except_dir, except_file)
-    return (cat.withWatermark("modificationTime", watermark)
-            .dropDuplicatesWithinWatermark(["filename"]).select("directory", "filename"))
+         .option("recursiveFileLookup", "true").option("maxFileAge", MAX_FILE_AGE).load(root)
+         .select(F.regexp_replace("path", "^file:", "").alias("path")))
+    return prune_catalog(catalog_from_paths(s, "path"), except_dir, except_file).select("directory", "filename")
+
+
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written there yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else None
 
 
 def append_new_files(catalog_path: str):
-    """X1 sink for ``foreachBatch``: append only file names not stored yet
-    (J4 anti-join against the catalog table), so a replayed batch appends
-    nothing twice."""
+    """X1 sink for ``foreachBatch``: append only files (directory and name)
+    not stored yet (J4 anti-join against the catalog table), so a replayed
+    batch appends nothing twice."""
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            existing = spark.read.parquet(catalog_path).select("filename")
-            new = batch.join(existing, "filename", "left_anti")
-        except Exception:  # noqa: BLE001  first batch: no table yet
-            new = batch
-        new.dropDuplicates(["filename"]).write.mode("append").parquet(catalog_path)
+        key = ["directory", "filename"]
+        new = batch.dropDuplicates(key)
+        existing = _stored(batch.sparkSession, catalog_path, batch.schema)
+        if existing is not None:
+            new = new.join(existing.select(*key), key, "left_anti")
+        new.write.mode("append").parquet(catalog_path)
     return sink
 
 
@@ -98,21 +107,44 @@ def shot_change_stream(candidates: DataFrame, key: str = "video_id", ts: str = "
 
 # ---- X5: exact incremental segmentation ------------------------------------------------------
 def segment_upsert(chunks_path: str, segments_path: str, keys: Sequence[str] = ("video_id",), min_chunks: int = 3,
-                   strategy: str = "window"):
+                   strategy: str = "window", buckets: int = 64):
     """X5 sink for ``foreachBatch``: store the new chunks, then recompute the
-    W8 segments of exactly the videos touched by the batch from their stored
-    chunks and replace those videos' segments (dynamic partition overwrite),
-    so the streamed result always equals the batch result and a replayed
-    batch is idempotent.  ``strategy='blocked'`` re-segments with the
-    skew-safe plan (for very long timelines)."""
+    W8 segments of exactly the videos touched by the batch and replace theirs,
+    so the streamed result always equals the batch result, also when late
+    chunks leave a video without segments, and a replayed batch changes nothing.
+
+    Both tables are partitioned by ``_bucket`` (a hash of the key), so a batch
+    reads and rewrites the buckets it touches: their untouched rows and the
+    new segments.  A bucket that ends up empty is written as one row without
+    a segment, which readers (``segments``) leave out."""
     k = list(keys)
+    bucket = F.pmod(F.xxhash64(*k), F.lit(buckets)).cast("int")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").partitionBy(*k).parquet(chunks_path)
-        touched = batch.select(*k).distinct()
-        hist = spark.read.parquet(chunks_path).join(touched, k, "left_semi").dropDuplicates([*k, "start"])
+        batch.withColumn("_bucket", bucket).write.mode("append").partitionBy("_bucket").parquet(chunks_path)
+        touched = batch.select(*k, bucket.alias("_bucket")).distinct()
+        used = [r["_bucket"] for r in touched.select("_bucket").distinct().collect()]  # at most ``buckets``
+        if not used:
+            return
+        hist = (spark.read.parquet(chunks_path).where(F.col("_bucket").isin(used)).drop("_bucket")
+                .join(touched.select(*k), k, "left_semi").dropDuplicates([*k, "start"]))
         seg = SEG.segment_timeline(hist, k, ["start"], min_chunks=min_chunks, strategy=strategy)
-        (seg.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*k).parquet(segments_path))
+        new = seg.withColumn("_bucket", bucket)
+        old = _stored(spark, segments_path, new.schema)
+        if old is not None:
+            new = new.unionByName(old.where(F.col("_bucket").isin(used) & F.col("match_id").isNotNull())
+                                  .join(touched.select(*k), k, "left_anti"))
+        marks = touched.select("_bucket").distinct().select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields if f.name != "_bucket"], "_bucket")
+        # The rows come partly from the folder that is overwritten: write them aside first.
+        aside = f"{segments_path.rstrip('/')}__batch"
+        new.unionByName(marks).write.mode("overwrite").parquet(aside)
+        (spark.read.schema(new.schema).parquet(aside).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(segments_path))
     return sink
+
+
+def segments(spark: SparkSession, segments_path: str) -> DataFrame:
+    """The segments stored by :func:`segment_upsert`."""
+    return spark.read.parquet(segments_path).where(F.col("match_id").isNotNull()).drop("_bucket")
