@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,8 @@ from reelforge.llm.common import slices, span_hash, spans, stored, utf8
 ORDER = 5
 END = 0xFF  # never a byte of UTF-8
 BLOCK_ROWS = 16384
+#: Bytes of text that a worker turns into arrays at once.
+SLICE = 1 << 20
 #: Words are keyed by 63-bit hashes with the sign bit set; the end token has a key of its own.
 WORD_BIT, END_KEY = np.uint64(1 << 63), np.uint64(1 << 63)
 
@@ -87,6 +90,12 @@ class Block:
         return keys.view(np.int64), first
 
 
+def utf8_offsets(column: pa.Array) -> np.ndarray:
+    """Byte offsets of the texts, without a copy of them."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     data, offsets = utf8(column)
     raw = data.tobytes()
@@ -95,8 +104,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, Block]]:
     """Blocks of bounded size over a string column."""
-    _, offsets = utf8(column)
-    for lo, hi in slices(offsets, 1 << 20):
+    for lo, hi in slices(utf8_offsets(column), SLICE):
         yield lo, hi, Block(_texts(column.slice(lo, hi - lo)))
 
 
@@ -263,10 +271,11 @@ def pretrained_scores(docs: DataFrame, training: Column, folder: str, id_col: st
     id_type = docs.schema[id_col].dataType
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        text = left["text"].combine_chunks()
         own = Counts()
-        for _, _, part in _parts(text.filter(left["train"].combine_chunks())):
-            own.add(part.words()[0])
+        for batch in left.to_batches():
+            for lo, hi in slices(utf8_offsets(batch.column("text")), SLICE):
+                part = batch.slice(lo, hi - lo)
+                own.add(Block(_texts(part.column("text").filter(part.column("train")))).words()[0])
         own_keys, own_n = own.merged()
         # Values from elsewhere come first; a block read by two tasks has some of them twice.
         keys, first = np.unique(np.concatenate([right["key"].to_numpy(), own_keys]), return_index=True)
@@ -281,7 +290,7 @@ def pretrained_scores(docs: DataFrame, training: Column, folder: str, id_col: st
             return np.where(at < 0, 0.0 if missing is None else missing, value[at])
 
         tokens, hits, base, score = [], [], [], []
-        for _, _, part in _parts(text):
+        for part in (p for batch in left.to_batches() for _, _, p in _parts(batch.column("text"))):
             k, first = part.words()
             c = of(k, 0.0)
             tokens.append(part.n_tokens)
