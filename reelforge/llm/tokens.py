@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -51,8 +51,11 @@ class Encoder:
         self.any_split = regex.compile(PATTERN).findall
         special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, special))).search if special else (lambda _: None)
+        # A kept piece is a number: its ids are flat[begin:begin + size].
         self.number: dict[str, int] = {}
-        self.flat, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat = np.empty(1 << 16, np.uint32)
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0  # ids of the kept pieces
         vocabulary = self.tokenizer.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of a byte-level token is one byte
@@ -71,24 +74,41 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         return LATIN(text) if plain_latin(text) else self.any_split(text)
 
+    def _put(self, pieces: list[str]) -> int:
+        """Ids of new pieces after those of the kept ones; how many may stay."""
+        flat, begin = self._ids(pieces)
+        kept, end = len(self.number), self.used + len(flat)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(end, len(self.flat)), np.uint32)])
+        if kept + len(pieces) > len(self.begin):
+            more = np.zeros(max(kept + len(pieces), len(self.begin)), np.int64)
+            self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        self.flat[self.used:end] = flat
+        self.begin[kept:kept + len(pieces)] = self.used + begin[:-1]
+        self.size[kept:kept + len(pieces)] = np.diff(begin)
+        return min(len(pieces), CACHE_PIECES - kept)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every whole text, as ``tokenizers`` gives them without
         added special tokens (a special token's string in a text is its id)."""
         special = [self.special(t) is not None for t in texts]
         pieces = [[] if x else self.split(t) for t, x in zip(texts, special)]
-        known, kept = self.number, len(self.number)
-        new = list(set().union(*pieces).difference(known))
-        flat, begin = self._ids(new)
-        known.update(zip(new, range(kept, kept + len(new))))
-        all_flat, all_begin = np.concatenate([self.flat, flat]), np.concatenate([self.begin, self.begin[-1] + begin[1:]])
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
-        for p in new[max(0, CACHE_PIECES - kept):]:  # beyond the room: for this call only
-            del known[p]
-        self.flat, self.begin = all_flat[:all_begin[len(known)]], all_begin[:len(known) + 1]
-        size = np.diff(all_begin)[at]
+        flat = list(chain.from_iterable(pieces))
+        known, kept = self.number, len(self.number)
+        at = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        wanted = [flat[i] for i in missing]
+        new = list(dict.fromkeys(wanted))
+        stay = self._put(new)
+        number = dict(zip(new, range(kept, kept + len(new))))
+        at[missing] = np.fromiter(map(number.__getitem__, wanted), np.int64, len(wanted))
+        begin, size = self.begin[at], self.size[at]
         ends = np.cumsum(size)
-        ids = all_flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(all_begin[at] - (ends - size), size)]
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        if stay > 0:  # the others were for this call only
+            known.update(zip(new[:stay], range(kept, kept + stay)))
+            self.used = int(self.begin[kept + stay - 1] + self.size[kept + stay - 1])
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if x else ids[a:b]
                 for t, x, a, b in zip(texts, special, cuts[:-1], cuts[1:])]
