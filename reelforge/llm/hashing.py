@@ -62,12 +62,12 @@ def masks(r: int) -> list[int]:
 
 def round_pairs(active: DataFrame, postings: DataFrame, r: int, segments: int) -> DataFrame:
     """(query, code, ids, distance) of the codes first found in round r."""
-    flips = F.array(*[F.lit(m) for m in masks(r)]) if r <= 4 else F.filter(
-        F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda m: F.bit_count(m) == r)
+    flips = F.split(F.lit(",".join(map(str, masks(r)))), ",").cast("array<int>")  # folded to one constant
     probes = (active.select("query", F.posexplode("query").alias("segment", "value"))
               .select("query", "segment", "value", F.explode(flips).alias("flip"))
               .select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).cast("int").alias("value")))
-    found = probes.join(postings, ["segment", "value"])
+    # Each query makes many probes, which the planner does not foresee: never broadcast them.
+    found = probes.join(postings.hint("merge"), ["segment", "value"])
 
     def apart(s: int) -> Column:
         return F.bit_count(F.get("query", F.lit(s)).bitwiseXOR(F.get("code", F.lit(s))))
