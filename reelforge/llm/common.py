@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes outside the ASCII blanks (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by the vectorised helpers (a longer text goes alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 # --- intermediate tables -------------------------------------------------
@@ -60,6 +60,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), offsets
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, bytes, offsets) over the rows of a string column; only one
+    slice at a time is copied."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in slices(np.concatenate([[0], np.cumsum(sizes)]), limit):
+        data, offsets = utf8(column.slice(lo, hi - lo))
+        yield lo, hi, data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [lo, hi) of at most ``limit`` bytes, one row at least."""
     lo, n = 0, len(offsets) - 1

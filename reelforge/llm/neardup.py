@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelforge.llm.common import blank, lower_ascii, slices, span_hash, spans, stored, utf8, window_hash
+from reelforge.llm.common import blank, lower_ascii, span_hash, spans, stored, text_slices, window_hash
 from reelforge.llm.components import components
 
 SHINGLE, SKETCH, PERCENT = 5, 64, 75
@@ -54,10 +54,8 @@ SHORT, BLOCK, WIDE, WIDE_SHARE = 16, 256, 2048, 0.7
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text of a column."""
-    data, offsets = utf8(column)
-    for lo, hi in slices(offsets):
-        part = lower_ascii(data[offsets[lo]:offsets[hi]])
-        at = offsets[lo:hi + 1] - offsets[lo]
+    for lo, hi, data, at in text_slices(column):
+        part = lower_ascii(data)
         starts, ends, rows = spans(~blank(part), at)
         words = span_hash(part, starts, ends)
         first, hashes = window_hash(words, rows, n)

@@ -38,18 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelforge.llm.common import slices, span_hash, spans, stored, utf8
+from reelforge.llm.common import span_hash, spans, stored, text_slices
 
 ORDER = 5
 END = 0xFF  # never a byte of UTF-8
 BLOCK_ROWS = 16384
 #: Bytes of text that a worker turns into arrays at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Words are keyed by 63-bit hashes with the sign bit set; the end token has a key of its own.
 WORD_BIT, END_KEY = np.uint64(1 << 63), np.uint64(1 << 63)
 
@@ -90,22 +89,15 @@ class Block:
         return keys.view(np.int64), first
 
 
-def utf8_offsets(column: pa.Array) -> np.ndarray:
-    """Byte offsets of the texts, without a copy of them."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-
-
-def _texts(column: pa.Array) -> list[bytes]:
-    data, offsets = utf8(column)
+def _texts(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, Block]]:
     """Blocks of bounded size over a string column."""
-    for lo, hi in slices(utf8_offsets(column), SLICE):
-        yield lo, hi, Block(_texts(column.slice(lo, hi - lo)))
+    for lo, hi, data, offsets in text_slices(column, SLICE):
+        yield lo, hi, Block(_texts(data, offsets))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, training: Column, folder: str) -> DataFrame:
@@ -273,9 +265,9 @@ def pretrained_scores(docs: DataFrame, training: Column, folder: str, id_col: st
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Counts()
         for batch in left.to_batches():
-            for lo, hi in slices(utf8_offsets(batch.column("text")), SLICE):
-                part = batch.slice(lo, hi - lo)
-                own.add(Block(_texts(part.column("text").filter(part.column("train")))).words()[0])
+            learned = batch.column("text").filter(batch.column("train"))
+            for _, _, part in _parts(learned):
+                own.add(part.words()[0])
         own_keys, own_n = own.merged()
         # Values from elsewhere come first; a block read by two tasks has some of them twice.
         keys, first = np.unique(np.concatenate([right["key"].to_numpy(), own_keys]), return_index=True)

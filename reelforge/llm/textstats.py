@@ -13,7 +13,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-from reelforge.llm.common import blank, mix64, slices, span_hash, spans, utf8, window_hash
+from reelforge.llm.common import blank, mix64, span_hash, spans, text_slices, window_hash
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -29,9 +29,8 @@ class Texts:
     @classmethod
     def of(cls, column: pa.Array) -> Iterator[tuple[int, int, "Texts"]]:
         """(lo, hi, slice) over the rows of a string column; null is ''."""
-        data, offsets = utf8(column)
-        for lo, hi in slices(offsets):
-            yield lo, hi, cls(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+        for lo, hi, data, offsets in text_slices(column):
+            yield lo, hi, cls(data, offsets)
 
     def take(self, rows: np.ndarray) -> "Texts":
         """The texts at ``rows`` only."""
