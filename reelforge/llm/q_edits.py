@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from reelforge.llm import edits
 
-EMAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Possessive runs that begin where a run begins: linear in a text of one long word.
+EMAIL = r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
