@@ -114,6 +114,37 @@ def j09_segment_matches(spark, sf):
     return matches
 
 
+def _finder_segments(spark, sf):
+    from reelforge.operators import segments as SEG
+    return SEG.segment_timeline(_recognised_chunks(spark, sf))
+
+
+@register("q07_finder_second_run", _finder_sql("""SELECT (SELECT coalesce(max(id), 0) FROM old)
+  + row_number() OVER (ORDER BY video_id, start) AS clip_id, video_id, start, "end", 'mp4' AS video_type
+FROM (SELECT * FROM clip c WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.video_id = c.video_id AND o.start = c.start))""")
+          .replace("\nSELECT (SELECT coalesce", """,
+clip AS (SELECT DISTINCT video_id, start, "end" FROM seg),
+old AS (SELECT row_number() OVER (ORDER BY video_id, start) AS id, * FROM clip WHERE video_id % 2 = 0)
+SELECT (SELECT coalesce"""))
+def q07_finder_second_run(spark, sf):
+    """The finder run again over all videos when those with even ids are
+    stored: only clips not stored yet, with ids after the stored ones."""
+    from reelforge.operators.training import store_segments
+    found = _finder_segments(spark, sf)
+    stored, _ = store_segments(found.where(F.col("video_id") % 2 == 0))
+    clips, _ = store_segments(found, existing_clips=stored)
+    return clips.select(F.col("id").alias("clip_id"), "video_id", "start", "end", "video_type")
+
+
+@register("q02_finder_processed", _finder_sql("""SELECT d.doc_id AS id, CASE WHEN d.doc_id IN (SELECT video_id FROM seg)
+  THEN 1 ELSE 0 END AS searched FROM documents d"""))
+def q02_finder_processed(spark, sf):
+    """Q2 at the end of the finder: the videos that gave a segment are marked."""
+    from reelforge.operators.training import mark_processed
+    videos = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("searched"))
+    return mark_processed(videos, _finder_segments(spark, sf).select(F.col("video_id").alias("id")), "id")
+
+
 @register("t19_recognition_fields", _REC_SQL + """SELECT r.doc_id, r.chunk, r.item_id, decode(encode(b.text)) AS song_name,
   floor((r.votes / r.n) * 1e6 + 0.5) / 1e6 AS input_confidence, r."offset"
 FROM res r JOIN benchmark b ON b.item_id = r.item_id WHERE r.ok""")

@@ -231,17 +231,36 @@ def f06_curated_or_fake(spark, sf):
     return TR.curated_or_fake(t["vm"], t["cur"]).select("id", "real", "correct")
 
 
-@register("j11_correct_videos", _star_sql("""
+_J11_SQL = _star_sql("""
 SELECT clip.id, clip.start, clip."end", clip.video_type, song.song_name, film.title, film.directory, film.filename
 FROM (SELECT clip_id AS wanted, djv_song_id FROM vm
       WHERE id IN (SELECT audio_video_match_id FROM cur WHERE correct = 1)) u
 LEFT JOIN vcc clip ON u.wanted = clip.id
 LEFT JOIN vc film ON clip.video_id = film.id
-LEFT JOIN songs song ON u.djv_song_id = song.song_id""", "vm", "vcc", "songs", "vc", "cur"))
+LEFT JOIN songs song ON u.djv_song_id = song.song_id""", "vm", "vcc", "songs", "vc", "cur")
+
+
+@register("j11_correct_videos", _J11_SQL)
 def j11_correct_videos(spark, sf):
     return TR.correct_videos(star(spark, sf))
 
 
+@register("w20_cropped_videos", f"""
+SELECT id, song_name, 'V' || id || '_' || start || '.' || video_type AS target_name, length_s, i * 15 AS chunk_index,
+  start / 1000 + i * 15 AS starting_point
+FROM (SELECT *, unnest(range(0, CAST(floor(length_s / 15) AS BIGINT))) AS i
+      FROM (SELECT *, round_even("end" / 1000 - start / 1000, 0) AS length_s FROM ({_J11_SQL}) v) l
+      WHERE length_s >= 15) p""")
+def w20_cropped_videos(spark, sf):
+    """The clip cropper as one plan: J11 -> T10 (name), T15 (length) -> W20 (whole 15 s pieces)."""
+    from reelforge.functions import scalar as X
+    from reelforge.operators import timeline as TL
+    clips = TR.correct_videos(star(spark, sf)).withColumns({
+        "target_name": T.clip_name("id", "start", F.col("video_type")), "length_s": X.clip_length_s("start", "end")})
+    return TL.full_chunks(clips, "length_s", F.lit(15), "start").select(
+        "id", "song_name", "target_name", "length_s", "chunk_index", "starting_point")
+
+
 _Q8_SQL = _star_sql(f"""
 SELECT u.id, clip.video_id, u.real AS y, sound.*, notes.*, image.*
 FROM ({_USABLE}) u

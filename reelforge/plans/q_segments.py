@@ -11,12 +11,14 @@ from reelforge.plans.registry import register
 K, O = ["video_id"], ["start"]
 
 
-DENSE = F.col("start") / 5000  # chunks lie densely on the 5 s grid
+def _dense():
+    """Chunks lie densely on the 5 s grid: the start gives the position."""
+    return F.col("start") / 5000
 
 
 def _tagged(spark, sf):
     """W1-W6 rows; timelines are cut into blocks of positions."""
-    return seg.tag_chunks_blocked(chunks(spark, sf), K, dense_position=DENSE)
+    return seg.tag_chunks_blocked(chunks(spark, sf), K, dense_position=_dense())
 
 
 def _neighbours(spark, sf):
@@ -149,7 +151,7 @@ WHERE s.n >= 3""", "df", segrows=_SEGROWS, modes=_MODES)
 @register("w08_segmentation", W08_SQL)
 def w08_segmentation(spark, sf):
     """Timelines in blocks of positions: no task holds a whole timeline."""
-    return seg.segment_timeline(chunks(spark, sf), K, O, strategy="blocked", dense_position=DENSE)
+    return seg.segment_timeline(chunks(spark, sf), K, O, strategy="blocked", dense_position=_dense())
 
 
 @register("w08_segmentation_blocked", W08_SQL)

@@ -58,3 +58,10 @@ def test_t17_minutes_are_total_minutes(spark):
     df = spark.createDataFrame([(3725.5,)], "s double")
     r = df.select(X.seconds_to_time("s").alias("t")).select("t.*").collect()[0]
     assert (r.hrs, r.mins, r.secs, r.hundredths) == (1, 62, 5, 50)
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=".").returncode == 0
