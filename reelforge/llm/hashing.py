@@ -2,17 +2,18 @@
 
 A code of ``bits`` bits is cut into S segments of 16 bits.  The index lists
 every distinct code under each of its segment values.  A search probes, in
-round r, the segment values at distance r from the query's.  A code with a
-total distance of at most S * (r + 1) - 1 has a segment at distance r or
-less, so after round r all such codes are verified; a query is finished as
-soon as its k-th verified distance is within that bound, and only unfinished
-queries go on.  The last round (r = 16) covers every code.
+round r, the segment values at distance up to r from the query's.  A code
+with a total distance of at most S * (r + 1) - 1 has a segment at distance r
+or less, so the round finds all of them; it hands on those beyond the bound
+of the round before, the others are known.  A query is finished as soon as k
+rows are within the bound, and only unfinished queries go on.  The last round
+(r = 16) covers every code.
 
 Equal codes are one entry with its k smallest ids (more cannot be among the
 k nearest), cut down before the shuffle, so a code that a third of all rows
 share costs k ids; equal query codes are searched once.  A pair that several
-probes find is kept only at its first segment of least distance, so it needs
-no deduplication.
+probes find is kept only at its first segment within r, so it needs no
+deduplication.
 
 Defined results: a vector's bit is 1 where the component is above 0 (null
 and NaN components give 0, a shorter vector's missing ones too); rows with a
@@ -55,13 +56,19 @@ def smallest_ids(rows: DataFrame, k: int) -> DataFrame:
             .groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
 
 
+def bound(r: int, segments: int) -> int:
+    """All codes up to this distance are found by radius r."""
+    return segments * (r + 1) - 1
+
+
 def masks(r: int) -> list[int]:
-    """The 16-bit values with r bits set."""
-    return [m for m in range(1 << SEGMENT) if m.bit_count() == r]
+    """The 16-bit values with at most r bits set."""
+    return [m for m in range(1 << SEGMENT) if m.bit_count() <= r]
 
 
 def round_pairs(active: DataFrame, postings: DataFrame, r: int, segments: int) -> DataFrame:
-    """(query, code, ids, distance) of the codes first found in round r."""
+    """(query, code, ids, distance) of the codes between the bounds of round
+    r - 1 and round r."""
     flips = F.split(F.lit(",".join(map(str, masks(r)))), ",").cast("array<int>")  # folded to one constant
     probes = (active.select("query", F.posexplode("query").alias("segment", "value"))
               .select("query", "segment", "value", F.explode(flips).alias("flip"))
@@ -73,9 +80,11 @@ def round_pairs(active: DataFrame, postings: DataFrame, r: int, segments: int) -
         return F.bit_count(F.get("query", F.lit(s)).bitwiseXOR(F.get("code", F.lit(s))))
 
     first = F.lit(True)
-    for s in range(segments):
-        first = first & F.when(F.col("segment") > s, apart(s) > r).otherwise(apart(s) >= r)
-    return found.where(first).select("query", "code", "ids", distance("query", "code", segments).alias("distance"))
+    for s in range(segments - 1):
+        first = first & ((F.col("segment") <= s) | (apart(s) > r))
+    far = distance("query", "code", segments)
+    return (found.where((far > bound(r - 1, segments)) & (far <= bound(r, segments)) & first)
+            .select("query", "code", "ids", far.alias("distance")))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, folder: str, bits: int = 64) -> DataFrame:
@@ -95,9 +104,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, folder: str, bits: int
         pool = new if best is None else new.union(best)
         best = stored(pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"),
                       folder, f"best-{r}")
-        covered = segments * (r + 1) - 1 if r < SEGMENT else bits
-        done = (best.where(F.col("distance") <= covered).groupBy("query").agg(F.count("*").alias("n"))
-                .where(F.col("n") >= k).select("query")) if r < SEGMENT else active
+        done = (best.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query")
+                if r < SEGMENT else active)
         out = best.join(done, "query", "left_semi")
         finished = out if finished is None else finished.union(out)
         active = stored(active.join(done, "query", "left_anti"), folder, f"active-{r + 1}")
