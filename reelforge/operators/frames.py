@@ -86,11 +86,10 @@ def flow_stats(vectors: DataFrame, keys: Sequence[str], diag: float) -> DataFram
     n = F.count(F.lit(1)).over(w)
 
     def total(c):
-        return F.sum(c.cast("decimal(30,15)")).over(w)
+        return F.sum(c.cast("decimal(30,12)")).over(w)
 
     def trunc_mean(c):
-        s = total(c)
-        return F.when(s >= 0, F.floor(s / n)).otherwise(-F.floor(-s / n)).cast("long")
+        return F.call_function("div", total(c), n.cast("decimal(20,0)")).cast("long")  # towards zero
     tdx, tdy = trunc_mean(dx), trunc_mean(dy)
     neg = total(dy) < 0
     mdeg = F.degrees(F.atan2(tdy.cast("double"), tdx.cast("double")))

@@ -134,7 +134,7 @@ def a11_faces_per_frame(spark, sf):
 
 
 # truncated mean, as the original: exact sums, then towards zero
-_TM = "CAST(trunc(sum(CAST({c} AS DECIMAL(30,15))) OVER w / count(*) OVER w) AS BIGINT)"
+_TM = "CAST(trunc(sum(CAST({c} AS DECIMAL(30,12))) OVER w / count(*) OVER w) AS BIGINT)"
 
 
 @register("a12_flow_stats", _q(f"""
@@ -145,7 +145,7 @@ SELECT video_id, frame, floor((avg(mag)) * 1e6 + 0.5) / 1e6 AS mag_mu, floor((st
                                           ELSE abs(mu - angle) END, 2))) + 1e-8)) * 1e6 + 0.5) / 1e6 AS tilt_pan_confidence
 FROM (SELECT *, CASE WHEN dy < 0 THEN abs(degrees(atan2(dy, dx))) ELSE 360.0 - degrees(atan2(dy, dx)) END AS angle,
         sqrt(dx * dx + dy * dy) / {DIAG!r} AS mag,
-        CASE WHEN sum(CAST(dy AS DECIMAL(30,15))) OVER w < 0
+        CASE WHEN sum(CAST(dy AS DECIMAL(30,12))) OVER w < 0
              THEN -degrees(atan2({_TM.format(c='dy')}, {_TM.format(c='dx')}))
              ELSE 360.0 - degrees(atan2({_TM.format(c='dy')}, {_TM.format(c='dx')}))
         END AS mu
