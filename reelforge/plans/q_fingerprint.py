@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelforge.operators import fingerprint as FP
+from reelforge.operators.parallel import read_spread
 from reelforge.plans.registry import register
 from reelforge.session import read_table
 
@@ -45,7 +46,7 @@ def r01_build_index(spark, sf):
   CASE WHEN ok THEN votes END AS votes FROM res""")
 def r02_recognise_chunks(spark, sf):
     idx = FP.build_index(read_table(spark, sf, "benchmark"))
-    return FP.recognise(read_table(spark, sf, "documents").select("doc_id", "text"), idx, "doc_id", "text", CHUNK)
+    return FP.recognise(read_spread(spark, sf, "documents", ["doc_id", "text"]), idx, "doc_id", "text", CHUNK)
 
 
 @register("f05_recognised_only", _REC_SQL + """SELECT doc_id, chunk, item_id, "offset" FROM res WHERE ok""")
@@ -69,7 +70,7 @@ FINDER_CHUNK = 16
 
 def _recognised_chunks(spark, sf):
     idx = FP.build_index(read_table(spark, sf, "benchmark"))
-    rec = FP.recognise(read_table(spark, sf, "documents").select("doc_id", "text"), idx, "doc_id", "text", FINDER_CHUNK)
+    rec = FP.recognise(read_spread(spark, sf, "documents", ["doc_id", "text"]), idx, "doc_id", "text", FINDER_CHUNK)
     return rec.select(F.col("doc_id").alias("video_id"), (F.col("chunk") * 5000).alias("start"),
                       ((F.col("chunk") + 1) * 5000).alias("end"), F.col("item_id").cast("int").alias("song_id"),
                       F.col("offset").cast("double").alias("offset_seconds"))
