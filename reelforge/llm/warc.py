@@ -5,7 +5,9 @@ into independent Zstandard frames of about ``FRAME_BYTES``; a footer holds
 the seek table of the public seekable format (a skippable frame with the
 compressed and plain size of every frame).  The index maps a record id to its
 bundle, frame and the offset inside the plain frame.  Reading one record
-opens the bundle, reads the footer, then decompresses one frame.
+opens the bundle, reads the footer, then decompresses one frame.  Readers get
+frames, not bundles: the frames are dealt over as many tasks as their plain
+sizes in the index ask for (an explicit number, which AQE does not coalesce).
 
 Repeated payloads: of the records with equal payloads of at least
 ``MIN_SHARED`` bytes the one with the smallest id is a response, the others
@@ -42,6 +44,8 @@ from pyspark.sql import functions as F
 
 MIN_SHARED, SALTS = 100, 64
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Plain bytes of frames that a reading task gets.
+TASK_BYTES = 32 << 20
 #: Magic numbers of the public Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LENGTH_FIELD = "X-Payload-Length"
@@ -226,25 +230,38 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     ``url``, ``digest``, ``refers_to`` (ids as text), ``payload_bytes`` and
     ``payload`` (null for a revisit).  A payload that does not have its
     digest or length is an error."""
-    names = spark.read.schema("bundle string").parquet(f"{folder}/index").distinct()
+    index = spark.read.schema("bundle string, frame long, length long").parquet(f"{folder}/index")
+    frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, reader = None, None
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                reader = BundleReader(f"{folder}/bundles", name)
-                for i in range(len(reader)):
-                    yield _rows(records(reader.frame(i)))
-                reader.close()
+            for name, frame in zip(*[c.to_pylist() for c in batch.columns]):
+                if held != name:
+                    if reader:
+                        reader.close()
+                    held, reader = name, BundleReader(f"{folder}/bundles", name)
+                yield _rows(records(reader.frame(frame)))
+        if reader:
+            reader.close()
+
+    return _dealt(frames, frames).select("bundle", "frame").mapInArrow(run, _RECORD)
+
 
-    return names.mapInArrow(run, _RECORD)
+def _dealt(places: DataFrame, frames: DataFrame) -> DataFrame:
+    """The places by frame, in tasks of about TASK_BYTES of the frames."""
+    total = frames.agg(F.sum("bytes")).first()[0] or 0
+    return (places.repartition(max(1, -(-total // TASK_BYTES)), "bundle", "frame")
+            .sortWithinPartitions("bundle", "frame"))
 
 
 def fetch(ids: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
     """The records of the ids, each by its frame and offset alone."""
     kind = ids.schema[id_col].dataType.simpleString()
     index = ids.sparkSession.read.schema(_index_schema(id_col, kind)).parquet(f"{folder}/index")
-    places = (index.join(ids.select(id_col).distinct(), id_col).select("bundle", "frame", "offset", "length")
-              .repartition("bundle").sortWithinPartitions("bundle", "frame"))
+    places = index.join(ids.select(id_col).distinct(), id_col).select("bundle", "frame", "offset", "length")
+    wanted = (index.groupBy("bundle", "frame").agg(F.sum("length").alias("bytes"))
+              .join(places.select("bundle", "frame").distinct(), ["bundle", "frame"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, reader, plain = (None, None), None, b""
@@ -257,8 +274,10 @@ def fetch(ids: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
                 if held != (name, frame):
                     plain, held = reader.frame(frame), (name, frame)
                 yield _rows(records(plain[offset:offset + length]))
+        if reader:
+            reader.close()
 
-    return places.mapInArrow(run, _RECORD)
+    return _dealt(places, wanted).mapInArrow(run, _RECORD)
 
 
 _RECORD = ("record_id string, type string, url string, digest string, refers_to string, "

@@ -3,6 +3,7 @@ import random
 
 import zstandard
 from helpers import words
+from pyspark.sql import functions as F
 
 from reelforge.llm import warc
 from reelforge.llm.common import shared_folder
@@ -91,3 +92,16 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert warc.write_bundles(pages(spark, rows).limit(0), folder).collect() == []
     assert warc.read_bundles(spark, folder).collect() == []
     assert warc.fetch(spark.createDataFrame([(1,)], "page_id long"), folder).collect() == []
+
+
+def test_frames_of_one_bundle_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000, raising=False)
+    rows = [(i, "u", words(300, i)) for i in range(200)]
+    folder = shared_folder(spark, "warc")
+    index = warc.write_bundles(pages(spark, rows).coalesce(1), folder, frame_bytes=4000)
+    assert index.select("bundle").distinct().count() == 1
+    ids = spark.createDataFrame([(i,) for i in range(0, 200, 2)], "page_id long")
+    for found, n in ((warc.read_bundles(spark, folder), 200), (warc.fetch(ids, folder), 100)):
+        tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == n and len(tasks) > 8 and max(tasks) < n / 3
+    assert got(warc.read_bundles(spark, folder)) == want(rows)
