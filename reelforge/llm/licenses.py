@@ -1,9 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with templates.
 
 A block is a window of BLOCK words that begins every STRIDE words, so every
-passage of up to BLOCK - STRIDE words lies whole in one block.  A block
-matches a template if it holds at least CONTAINMENT of the template's
-distinct tokens.  Tokens are ordered by their number of places in the whole
+passage of up to BLOCK - STRIDE words lies whole in one block; templates of
+more words have blocks and strides twice, four times ... as long (``stride``),
+so each lies whole in one of its blocks.  A block matches a template if it
+holds at least CONTAINMENT of the template's distinct tokens.  Tokens are ordered by their number of places in the whole
 corpus, rarest first.  Filters, none of which loses a match:
 
 * prefix: a match must hold one of the template's first |T| - need + 1 tokens;
@@ -61,6 +62,14 @@ def need(size: int) -> int:
     return math.ceil(CONTAINMENT * size - 1e-9)
 
 
+def stride(words: int) -> int:
+    """The stride of a template's blocks, which are BLOCK / STRIDE times as long."""
+    out = STRIDE
+    while words > out * (BLOCK // STRIDE - 1):
+        out *= 2
+    return out
+
+
 def words_of(text: Column) -> Column:
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
@@ -95,11 +104,11 @@ def phrase_places(kept: Column, phrases=PHRASES) -> Column:
 
 
 def template_tokens(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, label, token, size, need): a constant table."""
-    rows = [(i, label, token, len(set(text.split())), need(len(set(text.split()))))
+    """(template, label, token, size, need, stride): a constant table."""
+    rows = [(i, label, token, len(set(text.split())), need(len(set(text.split()))), stride(len(text.split())))
             for i, (text, label) in enumerate(templates) for token in sorted(set(text.split()))]
-    values = ", ".join(f"({i}, '{label}', '{token}', {n}, {m})" for i, label, token, n, m in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, token, size, need)")
+    values = ", ".join(f"({i}, '{label}', '{token}', {n}, {m}, {s})" for i, label, token, n, m, s in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, token, size, need, stride)")
 
 
 def ranked(tokens: DataFrame, kept: DataFrame) -> DataFrame:
@@ -109,25 +118,31 @@ def ranked(tokens: DataFrame, kept: DataFrame) -> DataFrame:
     return tokens.join(places, "token", "left").withColumn("rank", F.row_number().over(rarest) - 1).drop("places")
 
 
-def block_matches(kept: DataFrame, order: DataFrame) -> DataFrame:
-    """(row, block, template, label, containment) of every matching block."""
+def block_matches(kept: DataFrame, order: DataFrame, strides: list[int]) -> DataFrame:
+    """(row, stride, block, template, label, containment) of every matching
+    block; ``strides``: those of the templates."""
     prefix = order.where("rank <= size - need")
     rare = prefix.agg(F.collect_set("token").alias("rare"))  # at most all template tokens
     some = kept.join(F.broadcast(rare), F.arrays_overlap(F.col("kept.word"), F.col("rare"))).drop("rare")
-    last = F.floor(F.col("k.at") / STRIDE)
+
+    def blocks(n: int) -> Column:
+        last = F.floor(F.col("k.at") / n)
+        return F.transform(F.sequence(F.greatest(F.lit(0), last - (BLOCK // STRIDE - 1)), last),
+                           lambda b: F.struct(F.lit(n).alias("stride"), b.alias("block")))
+
     places = (some.select("row", F.explode("kept").alias("k"))
-              .select("row", F.col("k.word").alias("token"),
-                      F.explode(F.sequence(F.greatest(F.lit(0), last - (BLOCK // STRIDE - 1)), last)).alias("block"))
-              .distinct())
-    first = (places.join(F.broadcast(prefix), "token").groupBy("row", "block", "template", "size", "need")
+              .select("row", F.col("k.word").alias("token"), F.explode(F.concat(*map(blocks, strides))).alias("b"))
+              .select("row", "token", "b.stride", "b.block").distinct())
+    key = ["row", "stride", "block"]
+    first = (places.join(F.broadcast(prefix), ["token", "stride"]).groupBy(*key, "template", "size", "need")
              .agg(F.min("rank").alias("rank")).where("size - rank >= need").drop("rank"))
-    length = places.groupBy("row", "block").agg(F.count("*").alias("tokens"))
-    candidates = first.join(length, ["row", "block"]).where("tokens >= need").drop("tokens", "size")
+    length = places.groupBy(*key).agg(F.count("*").alias("tokens"))
+    candidates = first.join(length, key).where("tokens >= need").drop("tokens", "size")
     own = F.broadcast(order.select("template", "label", "token", "size"))
-    return (places.join(candidates, ["row", "block"]).join(own, ["template", "token"])
-            .groupBy("row", "block", "template", "label", "size", "need").agg(F.count("*").alias("found"))
+    return (places.join(candidates, key).join(own, ["template", "token"])
+            .groupBy(*key, "template", "label", "size", "need").agg(F.count("*").alias("found"))
             .where("found >= need")
-            .select("row", "block", "template", "label", (F.col("found") / F.col("size")).alias("containment")))
+            .select(*key, "template", "label", (F.col("found") / F.col("size")).alias("containment")))
 
 
 def scan(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
@@ -137,7 +152,8 @@ def scan(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     vocabulary = sorted({w for text, _ in (*phrases, *templates) for w in text.split()})
     kept = stored(kept_words(docs, id_col, text_col, vocabulary), folder, "kept")
     order = ranked(template_tokens(docs.sparkSession, templates), kept)
-    found = (block_matches(kept, order).groupBy("row")
+    strides = sorted({stride(len(text.split())) for text, _ in templates}) or [STRIDE]
+    found = (block_matches(kept, order, strides).groupBy("row")
              .agg(F.collect_set("label").alias("matched"), F.max("containment").alias("containment")))
     return (kept.select("row", "id", "n_words", phrase_places(F.col("kept"), phrases).alias("places"))
             .join(found, "row", "left")

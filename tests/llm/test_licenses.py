@@ -73,3 +73,12 @@ def test_native_plan_repeated_rows_and_empty_table(spark):
     plan = found._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
     assert L.scan(df.limit(0), shared_folder(spark, "t")).collect() == []
+
+
+def test_long_templates_match_at_every_offset(spark):
+    templates = [(" ".join(f"{name}{i}" for i in range(n)), name) for name, n in (("a", 150), ("b", 60), ("c", 5))]
+    all_texts = [f"{words(lead, lead)} {t} {words(40, lead)}" for t, _ in templates for lead in range(257)]
+    all_texts += [words(600, 1), " ".join(templates[0][0].split()[:119])]
+    rows = L.scan(documents(spark, all_texts), shared_folder(spark, "t"), templates=templates).collect()
+    want = {i: ([templates[i // 257][1]], 1.0) if i < 771 else ([], 0.0) for i in range(len(all_texts))}
+    assert {r.id: (r.matched, r.containment) for r in rows} == want
