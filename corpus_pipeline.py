@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelforge.llm import classifier, mixing, neardup, packing, rules
-from reelforge.llm.common import shared_folder, stored
+from reelforge.llm.common import in_file_order, shared_folder, stored
 from reelforge.llm.q_classifier import training_rows
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -45,8 +45,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece with its ids."""
-    return packing.packed_documents(docs)
+    """Training sequences: one row per piece with its ids.  Tasks, so the
+    upper bits of the sequence ids, follow the training order in which the mix
+    was written; inside a task the packer's pool orders the pieces."""
+    return packing.packed_documents(in_file_order(docs, ["doc_id", "text"]))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -43,6 +43,23 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in the order in which the rows were written: by number of
+    the part file and row.  A scan deals files to tasks by size instead.  A
+    frame that is not read from files has its own order and is left so."""
+    try:
+        docs.select("_metadata.row_index").schema
+    except Exception as e:  # not read from files: Spark names the missing column
+        if "_metadata" not in str(e):
+            raise
+        return docs.select(*columns)
+    name = F.col("_metadata.file_name")
+    order = ["_fo_part", "_fo_file", "_fo_row"]
+    return (docs.select(*columns, F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("_fo_part"),
+                        F.col("_metadata.file_path").alias("_fo_file"), F.col("_metadata.row_index").alias("_fo_row"))
+            .repartitionByRange(*order).sortWithinPartitions(*order).select(*columns))
+
+
 def fold(column, mod: int):
     """crc32 of the id as text, modulo ``mod``; a null id counts as ''."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % mod

@@ -114,3 +114,23 @@ def test_empty_documents(spark, scratch):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, scratch), folder, name)
         assert docs.collect() == []
+
+
+def test_sequence_ids_follow_the_training_order(spark, scratch):
+    df = documents(spark, [words(10 + i * 37 % 400, i) for i in range(600)], sources=["a" if i % 2 else "b" for i in range(600)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = corpus_pipeline.mix(spark, df, scratch)
+        order = [r.doc_id for r in mixed.collect()]
+        docs = stored(mixed, shared_folder(spark, "t"), "mixed")
+        assert len(docs.inputFiles()) > 3
+        pieces = corpus_pipeline.pack(spark, docs, scratch).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    once = {d: order.index(d) for d, n in collections.Counter(order).items() if n == 1}
+    tasks = collections.defaultdict(set)
+    for p in pieces:
+        if p.doc_id in once:
+            tasks[p.sequence_id >> 40].add(once[p.doc_id])
+    spans = [(min(x), max(x)) for _, x in sorted(tasks.items())]
+    assert len(spans) > 3 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
