@@ -9,7 +9,7 @@ import pytest
 from reelforge.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages labels".split()
+TABLES = "documents embeddings pages labels conversations".split()
 
 
 def _norm(v):
