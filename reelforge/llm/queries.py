@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelforge.llm import (q_alignment, q_classifier, q_edits, q_hashing, q_licenses, q_mixing, q_neardup, q_packing,
-                           q_ppm, q_repair, q_rules, q_warc)
+                           q_ppm, q_repair, q_rules, q_superkmers, q_warc)
 
 _MODULES = (q_mixing, q_ppm, q_hashing, q_edits, q_neardup, q_packing, q_warc, q_rules, q_licenses, q_classifier,
-            q_alignment, q_repair)
+            q_alignment, q_superkmers, q_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
