@@ -42,12 +42,12 @@ def same(rows, want):
         assert r[5] == pytest.approx(w[5], abs=1e-6) and r[6] == pytest.approx(w[6], abs=1e-6)
 
 
-TEXTS = [t for t in ODD_TEXTS if len(t or "") < 50_000] + [words(5 + 3 * i, i, 80).title() for i in range(60)]
+TEXTS = ODD_TEXTS + [words(9_000, 5), "y" * 70_000 + " z " + "y" * 70_000] + [words(5 + 3 * i, i, 80).title() for i in range(60)]
 
 
-@pytest.mark.parametrize("rows_per_block", [16384, 7])
-def test_scores_match_a_trie(spark, scratch, monkeypatch, rows_per_block):
-    monkeypatch.setattr(ppm, "BLOCK_ROWS", rows_per_block)
+@pytest.mark.parametrize("block_bytes", [48 << 20, 700])
+def test_scores_match_a_trie(spark, scratch, monkeypatch, block_bytes):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", block_bytes)
     df = documents(spark, TEXTS, extra=True).repartition(3)
     ids = list(range(len(TEXTS)))
     write(df, scratch, "documents")
@@ -81,15 +81,57 @@ def test_probabilities_add_up_to_one():
         assert sum(10 ** trie.log10(context, x) for x in range(256)) == pytest.approx(1)
 
 
+def block(texts):
+    import pyarrow as pa
+    return next(ppm._parts(pa.array(texts, pa.string())))[2]
+
+
+def grams(texts):
+    return next(block(texts).grams())[:2]
+
+
+def test_parts_of_long_texts_equal_the_whole(monkeypatch):
+    texts = ["", words(3000, 1), " a\n\nb ", words(900, 2) + " " + "q" * 3000 + " end ", None, "x" * 5000]
+    for t in texts:
+        s = sequence(t)
+        want = [int.from_bytes(s[i:i + ppm.ORDER + 1]) for i in range(len(s) - ppm.ORDER)]
+        tokens = (t or "").encode().lower().split()
+        for size, longest in ((1 << 19, 1 << 16), (100, 50)):
+            monkeypatch.setattr(ppm, "SLICE", size)
+            monkeypatch.setattr(ppm, "LONG_WORD", longest)
+            one = block([t])
+            assert np.concatenate([k for k, _, _ in one.grams()]).tolist() == want
+            keys = np.concatenate([k for k, _, _ in one.words()]).tolist()
+            assert len(keys) == len(tokens) + 1 == one.n_tokens[0]
+            again = {}
+            assert all(again.setdefault(w, k) == k for w, k in zip(tokens, keys))
+            assert len(set(again.values())) == len(again)
+
+
+def test_a_text_of_many_megabytes_stays_within_memory():
+    import resource
+    text = (words(1000, 6) + "\n") * 4000  # some 20 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    counts = ppm.Counts()
+    for keys, _, _ in block([text]).grams():
+        counts.add(keys)
+    assert counts.merged()[1].sum() == len(sequence(text)) - ppm.ORDER
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700 << 10
+
+
 def test_model_predicts_held_out_text_of_its_kind():
-    keys, _ = ppm.Block([(words(400, i, 60)).encode() for i in range(30)]).grams()
-    held, first = ppm.Block([words(300, 77, 60).encode(), words(300, 3, 60).upper()[::-1].encode()]).grams()
+    keys, _ = grams([words(400, i, 60) for i in range(30)])
+    held, first = grams([words(300, 77, 60), words(300, 3, 60).upper()[::-1]])
     u, at = np.unique(np.concatenate([keys, held]), return_inverse=True)
     n = np.bincount(at[:len(keys)], minlength=len(u)).astype(float)
     pairs = np.zeros((256, 256))
     np.add.at(pairs, ((keys >> 8) & 255, keys & 255), 1)
-    value = ppm.log_probabilities(u, n, pairs)[at[len(keys):]]
-    like, unlike = np.add.reduceat(value, first[:-1]) / np.diff(first)
+    two, count = np.unique(keys & 0xFFFFFF, return_counts=True)
+    second = sorted((int(c << 8 | t & 255), int(m)) for c in np.unique((u >> 8) & 0xFFFFFF)
+                    for t, m in zip(two, count) if t >> 8 == c & 0xFFFF)
+    second = np.array([x for x, _ in second]), np.array([m for _, m in second], float)
+    value = ppm.log_probabilities(u, n, second, pairs)[at[len(keys):]]
+    like, unlike = np.add.reduceat(value, first) / np.diff(np.append(first, len(held)))
     assert like > -0.6 and unlike < like - 0.3
 
 
