@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,29 +164,6 @@ def shot_votes(frames: DataFrame, mag: str = "mag_mu", gray: str = "gray_diff",
     return c >= 2
 
 
-def accept_with_gap(candidates: DataFrame, keys: Sequence[str], ts: str, min_gap: int) -> DataFrame:
-    """W11 greedy gap: accept a candidate when it is more than ``min_gap``
-    after the last *accepted* one (the first reference point is 0).
-
-    The rule is sequential, so each key's candidates (only frames that won
-    the vote, a small subset) are scanned by ``applyInPandas``; keys run in
-    parallel."""
-    k = list(keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*k, ts).schema.fields)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        last, keep = 0, []
-        for t in pdf[ts].to_numpy():
-            ok = (t - last) > min_gap
-            keep.append(ok)
-            if ok:
-                last = t
-        return pdf[keep]
-
-    return candidates.select(*k, ts).groupBy(*k).applyInPandas(scan, schema)
-
-
 def shot_durations(frames: DataFrame, keys: Sequence[str], order: str, change: str,
                    step_s: float = 0.2, strategy: str = "window", bucket: Column | None = None) -> DataFrame:
     """Shot id = number of accepted changes in *preceding* frames (the
@@ -230,58 +206,3 @@ def frame_counter(frames: DataFrame, keys: Sequence[str], ts: str, strategy: str
             "count_process", F.col("_p") + 1).drop("_p")
     return frames.withColumn("count_process",
                              F.row_number().over(Window.partitionBy(*keys).orderBy(ts)).cast("long"))
-
-
-def accept_with_gap_doubling(candidates: DataFrame, keys: Sequence[str], ts: str, min_gap: int,
-                             span: int = 1 << 24, max_rounds: int = 64) -> DataFrame:
-    """W11 greedy gap, exact and skew-safe (no key is handled by one task).
-
-    The accepted changes form the chain ``s0, next(s0), next(next(s0)), ...``
-    where ``next(c)`` is the first candidate more than ``min_gap`` after c and
-    ``s0`` the first candidate after ``min_gap`` (the reference point is 0).
-
-    * positions: dense per-key candidate positions (bucketed numbering);
-    * ``next``: the number of candidates at or before ``t + min_gap``, from a
-      running count over candidates and query points per (key, time bucket)
-      with carried bucket totals;
-    * chain: pointer doubling - the accepted set A and jump table J are
-      joined on (key, position) each round (A <- A + J(A), J <- J(J)), so the
-      rounds are log2 of the longest chain.  Lineage is cut every round with
-      ``checkpoint()`` into the session's checkpoint folder.
-    """
-    from reelforge.operators.sequence import sequence_index
-    from reelforge.session import ensure_checkpoint_dir
-    k = list(keys)
-    spark = candidates.sparkSession
-    ensure_checkpoint_dir(spark)
-    c = sequence_index(candidates.select(*k, ts).distinct(), k, [ts], F.floor(F.col(ts) / span), out="_i")
-    n = c.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    vals = c.select(*k, F.col(ts).alias("_t"), F.lit(0).alias("_q"), F.lit(None).cast("long").alias("_from"))
-    qs = c.select(*k, (F.col(ts) + min_gap).alias("_t"), F.lit(1).alias("_q"), F.col("_i").alias("_from"))
-    start = n.select(*k, F.lit(min_gap).cast(c.schema[ts].dataType).alias("_t"), F.lit(1).alias("_q"),
-                     F.lit(-1).cast("long").alias("_from"))
-    u = vals.unionByName(qs).unionByName(start).withColumn("_b", F.floor(F.col("_t") / span))
-    w = Window.partitionBy(*k, "_b").orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = F.sum(F.when(F.col("_q") == 0, 1).otherwise(0)).over(w)
-    tot = u.groupBy(*k, "_b").agg(F.sum(F.when(F.col("_q") == 0, 1).otherwise(0)).alias("_c"))
-    carry = tot.select(*k, "_b", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    nxt = (u.withColumn("_loc", local).filter(F.col("_q") == 1).join(carry, [*k, "_b"]).join(n, k)
-           .select(*k, "_from", F.when(F.col("_off") + F.col("_loc") < F.col("_n"),
-                                        (F.col("_off") + F.col("_loc")).cast("long")).alias("_to")))
-    acc = nxt.filter((F.col("_from") == -1) & F.col("_to").isNotNull()).select(*k, F.col("_to").alias("_i"))
-    jump = nxt.filter(F.col("_from") >= 0).select(*k, F.col("_from").alias("_i"), F.col("_to").alias("_j"))
-    acc, jump = acc.checkpoint(), jump.filter(F.col("_j").isNotNull()).checkpoint()
-    for _ in range(max_rounds):
-        new = acc.join(jump, [*k, "_i"]).select(*k, F.col("_j").alias("_i"))
-        new = new.join(acc, [*k, "_i"], "left_anti").checkpoint()
-        if new.isEmpty():
-            break
-        acc = acc.unionByName(new).checkpoint()
-        j2 = jump.alias("a").join(jump.alias("b"), [*[F.col(f"a.{x}") == F.col(f"b.{x}") for x in k],
-                                                   F.col("a._j") == F.col("b._i")])
-        jump = j2.select(*[F.col(f"a.{x}").alias(x) for x in k], F.col("a._i").alias("_i"),
-                         F.col("b._j").alias("_j")).checkpoint()
-    else:
-        raise RuntimeError("chain longer than 2**max_rounds")
-    return acc.join(c, [*k, "_i"]).select(*k, ts)

@@ -12,6 +12,7 @@ from reelforge.functions.scalar import r6
 from reelforge.functions import scalar as X
 from reelforge.operators import frames as FR
 from reelforge.operators import objects as OB
+from reelforge.operators.chains import accept_with_gap_blocks
 from reelforge.plans.adapters import EVENTS_K_SQL, RECTS_SQL, events_k, rects, with_ctes
 from reelforge.operators.sequence import sequence_index
 from reelforge.plans.registry import register
@@ -236,7 +237,7 @@ _ACC_SQL = """SELECT video_id, min(ts_ms) AS ts_ms FROM cand WHERE ts_ms > 1100
 
 def _accepted(spark, sf):
     fr = _shot_frames(spark, sf)
-    return fr, FR.accept_with_gap_doubling(fr.filter(FR.shot_votes(fr)), ["video_id"], "ts_ms", 1100)
+    return fr, accept_with_gap_blocks(fr.filter(FR.shot_votes(fr)), ["video_id"], "ts_ms", 1100)
 
 
 @register("w11_shot_changes", "WITH RECURSIVE " + ",\n".join([
@@ -250,7 +251,7 @@ def w11_shot_changes(spark, sf):
     f"events_k AS ({EVENTS_K_SQL})", f"seq AS ({SEQ_SQL})", f"shotf AS ({_SHOT_SQL})", f"cand AS ({_CAND_SQL})",
     f"acc(video_id, ts_ms) AS ({_ACC_SQL})"]) + "\nSELECT video_id, ts_ms FROM acc")
 def w11_shot_changes_doubling(spark, sf):
-    """W11 under its second key (the pointer-doubling plan is the only one)."""
+    """W11 under its second key (there is one plan)."""
     return _accepted(spark, sf)[1]
 
 

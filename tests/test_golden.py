@@ -1,5 +1,7 @@
 """Golden cases G1-G7 (FIXTURES.md section 3) on hand-made frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from reelforge.functions import scalar as X
 from reelforge.functions import text as T
 from reelforge.operators import frames as FR
 from reelforge.operators import segments as SEG
+from reelforge.operators.chains import accept_with_gap_blocks
 
 
 def _chunks(spark, ids, offs, video=1):
@@ -48,11 +51,21 @@ def test_all_null_video_has_no_segments(spark):
     assert SEG.segment_timeline(_chunks(spark, [None] * 6, [None] * 6)).count() == 0
 
 
+def greedy_scan(times, gap):
+    """W11's rule, one candidate after the other."""
+    last, kept = 0, []
+    for t in sorted(times):
+        if t - last > gap:
+            kept.append(t)
+            last = t
+    return kept
+
+
 def test_g3_greedy_gap(spark):
     times = [400, 1000, 1200, 2000, 2400, 3400, 3600]
     c = spark.createDataFrame([(1, t) for t in times], "video_id long, ts_ms long")
-    acc = sorted(r.ts_ms for r in FR.accept_with_gap(c, ["video_id"], "ts_ms", 1100).collect())
-    assert acc == [1200, 2400, 3600]
+    acc = sorted(r.ts_ms for r in accept_with_gap_blocks(c, ["video_id"], "ts_ms", 1100).collect())
+    assert acc == greedy_scan(times, 1100) == [1200, 2400, 3600]
 
 
 def test_g4_column_stats(spark):
@@ -112,17 +125,24 @@ def test_prefix_before_underscore(spark):
     assert [r[0] for r in df.select(T.prefix_before("s")).collect()] == ["M1A2", ""]
 
 
-def test_g3_greedy_gap_pointer_doubling(spark):
-    times = [400, 1000, 1200, 2000, 2400, 3400, 3600]
-    c = spark.createDataFrame([(1, t) for t in times] + [(2, 5000)], "video_id long, ts_ms long")
-    acc = sorted(map(tuple, FR.accept_with_gap_doubling(c, ["video_id"], "ts_ms", 1100, span=1000).collect()))
-    assert acc == [(1, 1200), (1, 2400), (1, 3600), (2, 5000)]
-
-
-def test_greedy_gap_doubling_equals_scan_on_a_hot_video(spark):
-    from pyspark.sql import functions as F
-    c = spark.range(3000).select(F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(0).alias("video_id"),
-                                 (F.col("id") * 200 + (F.col("id") * 7919) % 3 * 200).alias("ts_ms")).distinct()
-    a = sorted(map(tuple, FR.accept_with_gap(c, ["video_id"], "ts_ms", 1100).collect()))
-    b = sorted(map(tuple, FR.accept_with_gap_doubling(c, ["video_id"], "ts_ms", 1100, span=5000).collect()))
-    assert a == b and len(a) > 100
+@pytest.mark.parametrize("span, fan, levels", [(1500, 2, 3), (5000, 3, 1), (1101, 2, 2), (None, 64, 2)])
+def test_greedy_gap_blocks_equal_a_scan_on_a_hot_video(spark, span, fan, levels):
+    rnd = random.Random(span)
+    times = {v: sorted({rnd.randrange(-500, 90_000 if v else 900_000) for _ in range(40 if v else 3000)}) for v in range(5)}
+    times[9] = [5000]
+    times[10] = [1100, 1100, 1101]
+    rows = [(v, t) for v, ts in times.items() for t in ts] + [(1, None), (None, 4000), (None, 4500)]
+    rnd.shuffle(rows)
+    c = spark.createDataFrame(rows, "video_id long, ts_ms long")
+    got = accept_with_gap_blocks(c, ["video_id"], "ts_ms", 1100, span, fan, levels).collect()
+    want = [(v, t) for v, ts in [*times.items(), (None, [4000, 4500])] for t in greedy_scan(ts, 1100)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 100
+
+
+def test_greedy_gap_runs_no_job_while_it_is_planned(spark):
+    tracker = spark.sparkContext.statusTracker()
+    c = spark.range(100).select(F.lit(1).alias("video_id"), (F.col("id") * 700).alias("ts_ms"))
+    spark.sparkContext.setJobGroup("planned", "w11")
+    accept_with_gap_blocks(c, ["video_id"], "ts_ms", 1100)
+    assert list(tracker.getJobIdsForGroup("planned")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

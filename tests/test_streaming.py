@@ -7,8 +7,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from reelforge.operators import frames as FR
 from reelforge.operators import segments as SEG
+from reelforge.operators.chains import accept_with_gap_blocks
 from reelforge.plans.adapters import chunks
 from reelforge.streaming import streams as X
 
@@ -53,7 +53,7 @@ def test_x4_shot_changes(spark, scratch):
     spark.createDataFrame(times, "video_id long, ts_ms long").write.parquet(src)
     stream = spark.readStream.schema("video_id long, ts_ms long").parquet(src)
     got = sorted(map(tuple, _run(X.shot_change_stream(stream), scratch, "x4").collect()))
-    batch = sorted(map(tuple, FR.accept_with_gap(spark.read.parquet(src), ["video_id"], "ts_ms", 1100).collect()))
+    batch = sorted(map(tuple, accept_with_gap_blocks(spark.read.parquet(src), ["video_id"], "ts_ms", 1100).collect()))
     assert got == batch == [(1, 1200), (1, 2400), (1, 3600), (2, 1500), (2, 2700)]
 
 
