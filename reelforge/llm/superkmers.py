@@ -40,11 +40,11 @@ from reelforge.llm.common import blank, mix64, span_hash, spans, text_slices, wi
 
 WINDOW, CORE = 13, 3
 #: Text whose super-k-mers are in one bucket on average; buckets at least.
-BUCKET_BYTES, LEAST_BUCKETS = 3 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 64
 #: A bucket with this many times the mean is dealt window by window.
 CROWDED = 4
 #: A task gathers super-k-mers of so much text before it sends them.
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 12 << 20
 #: Words handled at once in a long text.
 STEP = 1 << 17
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
@@ -170,7 +170,7 @@ def super_kmers(texts: DataFrame, window: int, core: int, buckets: int, crowded:
     names = ["bucket", "strings", "docs", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3)
+        pack = zstandard.ZstdCompressor(6)
         strings: list[bytes] = []
         heads: list[tuple[np.ndarray, ...]] = []
         size = 0
