@@ -22,6 +22,7 @@ _MODULES = (
     "reelforge.plans.q_fingerprint",
     "reelforge.plans.q_timeline",
     "reelforge.plans.q_nested",
+    "reelforge.plans.q_streams",
 )
 
 

@@ -1,4 +1,5 @@
-"""Structured Streaming versions of the batch operators.
+"""Structured Streaming versions of the batch operators (X1-X3, and X5 as a
+table that is kept up to date); X4 and X5 with state are in ``stateful``.
 
 Each builder returns a streaming DataFrame (or starts a query for the
 ``foreachBatch`` ones) and is checked against its batch twin with
@@ -8,12 +9,10 @@ caller's (a shared folder on a cluster); nothing is written locally.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelforge.operators import segments as SEG
 from reelforge.sources.files import catalog_from_paths, prune_catalog
@@ -45,17 +44,22 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path) if fs.exists(p) else None
 
 
-def append_new_files(catalog_path: str):
+def append_new_files(catalog_path: str, buckets: int = 256):
     """X1 sink for ``foreachBatch``: append only files (directory and name)
-    not stored yet (J4 anti-join against the catalog table), so a replayed
-    batch appends nothing twice."""
+    not stored yet (J4 anti-join), so a replayed batch appends nothing twice.
+    The catalog is partitioned by a hash of the key; a batch reads the buckets
+    of its own keys and no others."""
+    key = ["directory", "filename"]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        key = ["directory", "filename"]
-        new = batch.dropDuplicates(key)
-        existing = _stored(batch.sparkSession, catalog_path, batch.schema)
+        new = batch.select(*key).dropDuplicates(key).withColumn("_bucket", bucket)
+        existing = _stored(batch.sparkSession, catalog_path, new.schema)
         if existing is not None:
-            new = new.join(existing.select(*key), key, "left_anti")
-        new.write.mode("append").parquet(catalog_path)
+            used = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # at most ``buckets``
+            known = existing.where(F.col("_bucket").isin(used))
+            new = new.join(known.select(*key, "_bucket"), [*key, "_bucket"], "left_anti")
+        new.select(*key, "_bucket").write.mode("append").partitionBy("_bucket").parquet(catalog_path)
     return sink
 
 
@@ -73,41 +77,36 @@ def chunk_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", chunk:
 
 def sliding_stats(events: DataFrame, value: str = "value", key: str = "user_id", ts: str = "ts",
                   size: str = "2 seconds", slide: str = "1 second", watermark: str = "10 seconds") -> DataFrame:
-    """Sliding-window mean and population std (the streaming W16)."""
+    """Sliding-window mean and population std (the streaming W16).
+
+    ``size`` is a multiple of ``slide``: rows are first reduced to one row of
+    moments per pane of ``slide``, and windows merge the few panes they cover,
+    so rows are not copied into every window.  ``n`` counts all rows, mean and
+    std leave null values out."""
     e = events.withColumn("_t", F.col(ts).cast("timestamp"))
     if events.isStreaming:
         e = e.withWatermark("_t", watermark)
-    return (e.groupBy(F.window("_t", size, slide).alias("w"), key)
-            .agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("n"))
-            .select(key, F.col("w.start").alias("start"), "mean", "std", "n"))
-
-
-# ---- X4: stateful greedy shot-gap detector ------------------------------------------------------
-def shot_change_stream(candidates: DataFrame, key: str = "video_id", ts: str = "ts_ms", min_gap: int = 1100) -> DataFrame:
-    """Accept a candidate change when it is more than ``min_gap`` after the
-    last accepted one; the last accepted time per key is the only state.
-    Candidates of one key are assumed to arrive in time order across batches."""
-    out_schema = f"{key} long, {ts} long"
-    state_schema = "last long"
-
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        times = sorted(t for pdf in pdfs for t in pdf[ts].tolist())
-        acc = []
-        for t in times:
-            if t - last > min_gap:
-                acc.append(t)
-                last = t
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(acc), ts: acc})
-
-    return (candidates.select(key, ts).groupBy(key)
-            .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+    panes = (e.groupBy(F.window("_t", slide).alias("p"), key)
+             .agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("c"), F.avg(value).alias("m"),
+                  F.var_pop(value).alias("v"))
+             .withColumn("_p", F.window_time("p")))
+    found = (panes.groupBy(F.window("_p", size, slide).alias("w"), key)
+             .agg(F.sum("n").alias("n"), F.collect_list(F.struct("c", "m", "v")).alias("panes")))
+    return found.select(key, F.col("w.start").alias("start"), *merged_moments("panes"), "n")
+
+
+def merged_moments(panes: str) -> tuple:
+    """Mean and population std over panes of (count ``c``, mean ``m``, variance ``v``)."""
+    some = F.filter(panes, lambda p: p["c"] > 0)
+    n = F.aggregate(some, F.lit(0).cast("long"), lambda acc, p: acc + p["c"])
+    mean = F.aggregate(some, F.lit(0.0), lambda acc, p: acc + p["c"] * p["m"]) / F.nullif(n, F.lit(0))
+    squares = F.aggregate(some, F.lit(0.0), lambda acc, p: acc + p["c"] * (p["v"] + (p["m"] - mean) * (p["m"] - mean)))
+    return mean.alias("mean"), F.sqrt(squares / F.nullif(n, F.lit(0))).alias("std")
 
 
 # ---- X5: exact incremental segmentation ------------------------------------------------------
 def segment_upsert(chunks_path: str, segments_path: str, keys: Sequence[str] = ("video_id",), min_chunks: int = 3,
-                   strategy: str = "window", buckets: int = 64):
+                   strategy: str = "blocked", buckets: int = 64):
     """X5 sink for ``foreachBatch``: store the new chunks, then recompute the
     W8 segments of exactly the videos touched by the batch and replace theirs,
     so the streamed result always equals the batch result, also when late
