@@ -36,10 +36,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
     """Write a table once and read it back: cuts the lineage durably."""
     path = f"{folder}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

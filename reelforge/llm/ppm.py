@@ -53,7 +53,7 @@ from reelforge.llm.common import blank, lower_ascii, span_hash, spans, stored, t
 ORDER = 5
 END = 0xFF  # never a byte of UTF-8
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 40 << 20
 #: Bytes that a worker turns into arrays at once, of one text or of many.
 SLICE = 1 << 19
 #: Grams that a group of contexts has on average.
@@ -171,9 +171,12 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, Block]]:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, training: Column, folder: str) -> DataFrame:
     """(id, text, train, block), stored: a task's rows in the order read, a
-    new block whenever the next text would pass BLOCK_BYTES."""
+    new block whenever the next text would pass BLOCK_BYTES.  Splits of less
+    than a block are read together: what many texts share is then one key."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(training, F.lit(False)).alias("train"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(1, -(-total // BLOCK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
@@ -369,7 +372,8 @@ def pretrained_scores(docs: DataFrame, training: Column, folder: str, id_col: st
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of
     every document; ``training`` marks the documents to learn from."""
     rows = keyed(docs, id_col, text_col, training, folder)
-    keys = stored(block_keys(rows), folder, "keys")
+    # Keys come in order: differences are stored.
+    keys = stored(block_keys(rows), folder, "keys", **{"parquet.writer.version": "v2"})
     totals = stored(keys.groupBy("key").agg(F.sum("n").alias("n")), folder, "totals")
     known = totals.where("key < 0 AND n > 0").agg(F.sum("n"), F.count("*")).first()
     n_train, n_kinds = int(known[0] or 0), int(known[1])
