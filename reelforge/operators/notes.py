@@ -2,8 +2,9 @@
 
 Input: note rows ``(piece_id, part, onset, dur, pitch, ql)``.  Definitions
 follow the published symbolic-feature catalogue; every feature is a grouped
-aggregate per piece (partial, map-side), with a window only for the
-per-part melodic interval ``pitch - lag(pitch)``.
+aggregate per piece (partial, map-side).  What needs the order of notes
+(intervals, arcs, attacks, sounding spans, voices) runs as segmented scans
+over blocks of ``SPAN`` units of onset, so no task holds a piece or a part.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelforge.functions.scalar import r6
+from reelforge.operators.scans import BLOCK, segmented_scan
+
+#: Units of onset in a block.
+SPAN = 256.0
 
 # Fixed values (semitones): interval sets of the melodic features.
 ARPEGGIO_INTERVALS = [0, 3, 4, 7, 10, 11, 12, 15, 16]
@@ -38,8 +43,10 @@ def note_list(df: DataFrame, pitches: str = "pitches") -> DataFrame:
 
 def with_intervals(notes: DataFrame, piece: str = "piece_id", part: str = "part",
                    order: Sequence[str] = ("onset", "note_id")) -> DataFrame:
-    w = Window.partitionBy(piece, part).orderBy(*order)
-    return notes.withColumn("delta", F.col("pitch") - F.lag("pitch").over(w))
+    """Notes with ``delta``, the pitch step from the note before in the part."""
+    n = segmented_scan(notes, [piece, part], order, F.floor(F.col(order[0]) / SPAN),
+                       {"_before": ("last_before", F.col("pitch"))})
+    return n.withColumn("delta", F.col("pitch") - F.col("_before")).drop("_before", BLOCK)
 
 
 def _share(cond: Column, over: Column) -> Column:
@@ -161,12 +168,11 @@ def melodic_arcs(iv: DataFrame, piece: str = "piece_id", part: str = "part",
     between a turning point and the next; DurationOfMelodicArcs = mean
     intervals per arc, SizeOfMelodicArcs = mean semitones spanned."""
     d = iv.filter(F.col("delta").isNotNull() & (F.col("delta") != 0)).withColumn("_sg", F.signum("delta"))
-    w = Window.partitionBy(piece, part).orderBy(*order)
-    turn = F.when(F.lag("_sg").over(w).isNull() | (F.lag("_sg").over(w) != F.col("_sg")), 1).otherwise(0)
-    d = d.withColumn("_arc", F.sum(turn).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    arcs = d.groupBy(piece, part, "_arc").agg(F.count(F.lit(1)).alias("_n"), F.abs(F.sum("delta")).alias("_size"))
-    return arcs.groupBy(piece).agg(r6(F.avg("_n")).alias("DurationOfMelodicArcs"),
-                                   r6(F.avg("_size")).alias("SizeOfMelodicArcs"))
+    d = segmented_scan(d, [piece, part], order, F.floor(F.col(order[0]) / SPAN), {"_was": ("last_before", F.col("_sg"))})
+    # Steps of one arc have one sign: the sizes of its steps add up to its size.
+    begins = F.count(F.when(F.col("_was").isNull() | (F.col("_was") != F.col("_sg")), 1))
+    return d.groupBy(piece).agg(r6(F.count(F.lit(1)) / begins).alias("DurationOfMelodicArcs"),
+                                r6(F.sum(F.abs("delta")) / begins).alias("SizeOfMelodicArcs"))
 
 
 def attack_spacing(notes: DataFrame, piece: str = "piece_id", part: str = "part") -> DataFrame:
@@ -174,8 +180,8 @@ def attack_spacing(notes: DataFrame, piece: str = "piece_id", part: str = "part"
     whole piece and per voice (then averaged over voices)."""
     def gaps(keys):
         o = notes.select(*keys, "onset").distinct()
-        w = Window.partitionBy(*keys).orderBy("onset")
-        return o.select(*keys, (F.col("onset") - F.lag("onset").over(w)).alias("_g")).filter(F.col("_g").isNotNull())
+        o = segmented_scan(o, keys, ["onset"], F.floor(F.col("onset") / SPAN), {"_p": ("last_before", F.col("onset"))})
+        return o.select(*keys, (F.col("onset") - F.col("_p")).alias("_g")).filter(F.col("_g").isNotNull())
     whole = gaps([piece]).groupBy(piece).agg(r6(F.avg("_g")).alias("AverageTimeBetweenAttacks"),
                                              r6(F.stddev_pop("_g")).alias("VariabilityOfTimeBetweenAttacks"))
     voice = (gaps([piece, part]).groupBy(piece, part).agg(F.avg("_g").alias("_a"), F.stddev_pop("_g").alias("_s"))
@@ -185,27 +191,27 @@ def attack_spacing(notes: DataFrame, piece: str = "piece_id", part: str = "part"
 
 
 def voice_counts(notes: DataFrame, piece: str = "piece_id", part: str = "part") -> DataFrame:
-    """Number of parts sounding at once.  Each part's notes are merged
-    into sounding spans (gaps and islands), span starts / ends become +1 / -1
-    events netted per time, and a running sum gives the voice count between
-    events: maximum, time-weighted mean and time-weighted std."""
+    """Number of parts sounding at once.  A part's sounding span begins
+    at a note after the end of all its notes before, which is where the span
+    before ended; spans give +1 / -1 events, netted per time, and a running sum
+    gives the voice count between events: maximum, time-weighted mean and
+    time-weighted std."""
     end = F.col("onset") + F.col("dur")
-    w = Window.partitionBy(piece, part).orderBy("onset", "note_id")
-    prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    n = notes.withColumn("_new", F.when(prev_end.isNull() | (F.col("onset") > prev_end), 1).otherwise(0))
-    n = n.withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = n.groupBy(piece, part, "_isl").agg(F.min("onset").alias("_s"), F.max(end).alias("_e"))
-    ev = spans.select(piece, F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit(1).alias("d")),
-                                               F.struct(F.col("_e").alias("t"), F.lit(-1).alias("d")))).alias("_x"))
-    net = ev.groupBy(piece, F.col("_x.t").alias("t")).agg(F.sum("_x.d").alias("_d"))
-    wt = Window.partitionBy(piece).orderBy("t")
-    steps = net.select(piece, "t", F.sum("_d").over(wt.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                       .alias("_v"), (F.lead("t").over(wt) - F.col("t")).alias("_len"))
+    n = segmented_scan(notes, [piece, part], ["onset", "note_id"], F.floor(F.col("onset") / SPAN),
+                       {"_until": ("max_before", end)})
+    begins = n.filter(F.col("_until").isNull() | (F.col("onset") > F.col("_until")))
+    event = [F.struct(F.col("onset").alias("t"), F.lit(1).alias("d")),
+             F.struct(F.col("_until").alias("t"), F.lit(-1).alias("d"))]
+    ev = begins.select(piece, F.explode(F.array(*event)).alias("_x")).filter(F.col("_x.t").isNotNull())
+    last = notes.groupBy(piece, part).agg(F.max(end).alias("t")).select(
+        piece, F.struct("t", F.lit(-1).alias("d")).alias("_x"))
+    net = ev.unionByName(last).groupBy(piece, F.col("_x.t").alias("t")).agg(F.sum("_x.d").alias("_d"))
+    steps = segmented_scan(net, [piece], ["t"], F.floor(F.col("t") / SPAN),
+                           {"_run": ("sum", F.col("_d")), "_from": ("last_before", F.col("t"))})
+    steps = steps.select(piece, (F.col("_run") - F.col("_d")).alias("_v"), (F.col("t") - F.col("_from")).alias("_len"))
     steps = steps.filter(F.col("_len").isNotNull())
-    mean = F.sum(F.col("_v") * F.col("_len")).over(Window.partitionBy(piece)) / F.sum("_len").over(
-        Window.partitionBy(piece))
-    steps = steps.withColumn("_m", mean)
-    return steps.groupBy(piece).agg(
+    means = steps.groupBy(piece).agg((F.sum(F.col("_v") * F.col("_len")) / F.sum("_len")).alias("_m"))
+    return steps.join(means, piece).groupBy(piece).agg(
         F.max("_v").alias("MaximumNumberOfIndependentVoices"), r6(F.max("_m")).alias("AverageNumberOfIndependentVoices"),
         r6(F.sqrt(F.sum(F.col("_len") * (F.col("_v") - F.col("_m")) ** 2) / F.sum("_len")))
         .alias("VariabilityOfNumberOfIndependentVoices"))
