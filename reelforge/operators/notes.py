@@ -223,17 +223,24 @@ def meter_features(meta: DataFrame, piece: str = "piece_id") -> DataFrame:
     denominator), compound (num >= 6 and divisible by 3), triple (num = 3),
     quintuple (num = 5) and whether the signature ever changes."""
     order = F.struct("onset", "event_id")
-    tempo = meta.filter(F.col("kind") == "tempo").groupBy(piece).agg(F.min_by("bpm", order).alias("InitialTempo"))
-    ts = meta.filter(F.col("kind") == "timesig")
-    first = ts.groupBy(piece).agg(F.min_by(F.struct("num", "den"), order).alias("_f"),
-                                  F.count_distinct("num", "den").alias("_k"))
-    num, den = F.col("_f.num"), F.col("_f.den")
-    sig = first.select(piece, r6(F.try_divide(num.cast("double"), den.cast("double"))).alias("InitialTimeSignature"),
-                       F.when((num >= 6) & (num % 3 == 0), 1).otherwise(0).alias("CompoundOrSimpleMeter"),
-                       F.when(num == 3, 1).otherwise(0).alias("TripleMeter"),
-                       F.when(num == 5, 1).otherwise(0).alias("QuintupleMeter"),
-                       F.when(F.col("_k") > 1, 1).otherwise(0).alias("ChangesOfMeter"))
-    return tempo.join(sig, piece, "full")
+    tempo, sign = F.col("kind") == "tempo", F.col("kind") == "timesig"
+    m = meta.filter(tempo | sign).groupBy(piece, "kind", F.when(sign, F.col("num")).alias("_num"),
+                                          F.when(sign, F.col("den")).alias("_den")).agg(
+        F.min(order).alias("_at"), F.min_by("bpm", order).alias("_bpm"))
+    # One row per piece: its first tempo and, among its distinct signatures, the first.
+    one = m.groupBy(piece).agg(
+        F.min_by("_bpm", F.when(tempo, F.col("_at"))).alias("_bpm"),
+        F.min_by(F.struct("_num", "_den"), F.when(sign, F.col("_at"))).alias("_f"),
+        F.count(F.when(sign & F.col("_num").isNotNull() & F.col("_den").isNotNull(), 1)).alias("_k"),
+        F.count(F.when(sign, 1)).alias("_s"))
+    num, den, some = F.col("_f._num"), F.col("_f._den"), F.col("_s") > 0
+    return one.select(
+        piece, F.col("_bpm").alias("InitialTempo"),
+        r6(F.try_divide(num.cast("double"), den.cast("double"))).alias("InitialTimeSignature"),
+        F.when(some, F.when((num >= 6) & (num % 3 == 0), 1).otherwise(0)).alias("CompoundOrSimpleMeter"),
+        F.when(some, F.when(num == 3, 1).otherwise(0)).alias("TripleMeter"),
+        F.when(some, F.when(num == 5, 1).otherwise(0)).alias("QuintupleMeter"),
+        F.when(some, F.when(F.col("_k") > 1, 1).otherwise(0)).alias("ChangesOfMeter"))
 
 
 def _tclass(pcs: Column) -> Column:
@@ -308,29 +315,3 @@ def feature_source(name: str) -> str | None:
     if name.endswith("Feature") and name != "QualityFeature":
         return name[: -len("Feature")]
     return name
-
-
-def symbolic_feature_table(notes: DataFrame, meta: DataFrame, slice_col: str = "slice", piece: str = "piece_id",
-                           drop: str | None = None) -> DataFrame:
-    """The symbolic feature table: one row per piece, the 73 named features
-    in their fixed order (F9 select list; ``drop`` removes one name), every
-    M operator joined on the piece id (all inputs are one row per piece),
-    null columns for the features that are not built."""
-    from reelforge.functions.names import symbolic_feature_names
-    iv = with_intervals(notes, piece)
-    parts = [melodic_features(iv, piece), interval_features(iv, piece), melodic_arcs(iv, piece),
-             top_two(notes.select(piece, F.col("pitch").alias("v")), piece, "v", "Pitch", "Pitches"),
-             top_two(notes.select(piece, F.pmod("pitch", F.lit(12)).alias("v")), piece, "v", "PitchClass",
-                     "PitchClasses"),
-             register_features(notes, piece), duration_features(notes, piece), attack_spacing(notes, piece),
-             voice_counts(notes, piece), meter_features(meta, piece), quarter_length_features(notes, piece),
-             simultaneity_features(simultaneities(notes, slice_col, piece), piece), key_features(notes, piece)]
-    out = notes.select(piece).distinct()
-    for p in parts:
-        out = out.join(p, piece, "left")
-    cols = []
-    for name in symbolic_feature_names(drop):
-        src = feature_source(name)
-        c = F.col(f"`{src}`").cast("double") if src is not None else F.lit(None).cast("double")
-        cols.append(c.alias(name))
-    return out.select(piece, *cols)

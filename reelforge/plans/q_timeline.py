@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from reelforge.operators import note_table as NT
 from reelforge.operators import notes as N
 from reelforge.operators import timeline as TL
 from reelforge.plans.adapters import EVENTS_K_SQL, events_k, with_ctes
@@ -380,10 +381,24 @@ def _symbolic_sql(drop: str | None = None) -> str:
     return f"SELECT piece_id, {sel} FROM (SELECT DISTINCT user_id AS piece_id FROM events) b {joins}"
 
 
+def _notes_and_meta(spark, sf):
+    """Notes with the meter event of the same row, numbered by slices of a day."""
+    e = _with_first(events_k(spark, sf))
+    k = F.col("k")
+    onset = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("ts")) / 3.6e9
+    dur = 0.05 + F.col("value") / 100
+    return e.select(F.col("user_id").alias("piece_id"), F.col("event_type").alias("part"),
+                    F.col("event_id").alias("note_id"), onset.alias("onset"), dur.alias("dur"),
+                    (36 + k % 60).alias("pitch"), (F.bround(dur * 4, 0) / 4).alias("ql"),
+                    F.floor(onset / 24).alias("slice"),
+                    F.when(F.col("event_type") == "signup", "tempo").when(F.col("event_type") == "purchase", "timesig")
+                    .alias("kind"), (60 + k % 120).alias("bpm"), (2 + k % 6).alias("num"),
+                    F.when(k % 7 == 0, 0).when(k % 2 == 0, 4).otherwise(8).alias("den"))
+
+
 @register("m00_symbolic_feature_table", _symbolic_sql())
 def m00_symbolic_feature_table(spark, sf):
-    n = _notes(spark, sf).withColumn("slice", F.floor(F.col("onset") / 24))
-    return N.symbolic_feature_table(n, _meta(spark, sf), "slice")
+    return NT.symbolic_feature_table(_notes_and_meta(spark, sf))
 
 
 F09_DROP = "TonalCertainty"
@@ -391,5 +406,4 @@ F09_DROP = "TonalCertainty"
 
 @register("f09_allowed_features", _symbolic_sql(F09_DROP))
 def f09_allowed_features(spark, sf):
-    n = _notes(spark, sf).withColumn("slice", F.floor(F.col("onset") / 24))
-    return N.symbolic_feature_table(n, _meta(spark, sf), "slice", drop=F09_DROP)
+    return NT.symbolic_feature_table(_notes_and_meta(spark, sf), drop=F09_DROP)
