@@ -7,10 +7,9 @@
    direction before, the gaps to the attacks before, the end of the sounding
    span before, the pitch-class set of its slice.
 3. Every note becomes measures: (kind, value) with mergeable counters, added up
-   per piece by one aggregate: histograms, moments, arcs per block, set
-   counts, sounding-span events per time.
-4. Voice events go through blocks of time once more (a block leaves its
-   integrals relative to the count it begins with).
+   per piece by one aggregate: histograms, moments, arcs per block, set counts.
+4. Beginnings and ends of sounding spans go through blocks of time (a block
+   leaves its integrals relative to the count it begins with).
 5. All counters of a piece meet and become its row.
 
 Rows that meet per piece in step 5: the values of bounded histograms, distinct
@@ -19,6 +18,8 @@ quarter lengths and pitch-class sets, and one row per block.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from reelforge.operators.notes import (ARPEGGIO_INTERVALS, BASS_BELOW, CHORDS, C
 #: Slices in a block.
 SLICES = 8
 #: Kinds of measures.
-(PITCH, PITCH_CLASS, INTERVAL, LENGTH, DURATION, GAP, PART_GAP, ARC, VOICE, PC_SET, SET_CLASS, VOICES) = range(12)
+(PITCH, PITCH_CLASS, INTERVAL, LENGTH, DURATION, GAP, PART_GAP, ARC, PC_SET, SET_CLASS, VOICES) = range(11)
 META = ["kind", "bpm", "num", "den"]
 
 
@@ -63,6 +64,12 @@ def _chord(name: str) -> int:
     return _transposed(sum(1 << pc for pc in CHORDS[name]))
 
 
+def _tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, named: the work here is in
+    the computation, not in the bytes by which partitions would be put together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 # --- notes completed by what came before ----------------------------------------------
 
 def _completed(notes: DataFrame, slice_col: str) -> DataFrame:
@@ -102,8 +109,7 @@ def _completed(notes: DataFrame, slice_col: str) -> DataFrame:
     return n.withColumns({
         "sign_before": F.last("sign", ignorenulls=True).over(before), "set_class": set_class(F.col("mask")),
         # place in the block and sign as one number
-        "turn": F.row_number().over(inside) * 4 + F.col("sign") + 1,
-        "opens": F.col("until").isNull() | (F.col("onset") > F.col("until"))})
+        "turn": F.row_number().over(inside) * 4 + F.col("sign") + 1})
 
 
 # --- measures ---------------------------------------------------------------------------
@@ -122,7 +128,7 @@ def _measures(n: DataFrame) -> DataFrame:
             (none if turn is None else turn).cast("long").alias("turn"))
         return row if when is None else F.when(when, row)
 
-    delta, sign, opens = F.col("delta"), F.col("sign"), F.col("opens")
+    delta, sign = F.col("delta"), F.col("sign")
     turns = F.col("sign_before").isNotNull() & (sign != F.col("sign_before"))
     rows = F.array(
         m(PITCH, value=F.col("pitch")), m(PITCH_CLASS, value=F.pmod("pitch", F.lit(12)), x=F.col("dur")),
@@ -131,9 +137,6 @@ def _measures(n: DataFrame) -> DataFrame:
         m(GAP, F.col("gap") > 0, x=F.col("gap")), m(PART_GAP, F.col("part_gap") > 0, part=F.col("part"), x=F.col("part_gap")),
         m(ARC, sign.isNotNull(), part=F.col("part"), value=F.col("blk"), x=F.abs(delta), y=turns.cast("int"),
           turn=F.col("turn")),
-        m(VOICE, opens, value=F.col("onset"), x=F.lit(1)),
-        m(VOICE, opens & F.col("until").isNotNull(), value=F.col("until"), x=F.lit(-1)),
-        m(VOICE, F.col("closes").isNotNull(), value=F.col("closes"), x=F.lit(-1)),
         m(PC_SET, F.col("first"), value=F.col("mask")), m(SET_CLASS, F.col("first"), value=F.col("set_class")))
     x = F.col("m.x")
     return (n.select("piece", F.explode(rows).alias("m")).where("m IS NOT NULL")
@@ -143,14 +146,20 @@ def _measures(n: DataFrame) -> DataFrame:
                  F.sum("m.y").alias("y"), F.max("m.y").alias("top"), F.min("m.turn").alias("first"), F.max("m.turn").alias("last")))
 
 
-def _voice_blocks(counters: DataFrame) -> DataFrame:
+def _voice_blocks(n: DataFrame) -> DataFrame:
     """Per (piece, block of time): its first and last event, the net change, and
     integrals of the voice count and its square, relative to the count at the
     block's beginning."""
-    ev = counters.where(F.col("kind") == VOICE).select("piece", F.floor(F.col("value") / SPAN).alias("blk"),
-                                                       F.col("value").alias("t"), F.col("x").cast("long").alias("d"))
+    def event(t: str, d: int, when: Column) -> Column:
+        return F.when(when, F.struct(F.col(t).alias("t"), F.lit(d).alias("d")))
+
+    opens = F.col("until").isNull() | (F.col("onset") > F.col("until"))
+    ev = (n.select("piece", F.explode(F.array(event("onset", 1, opens), event("until", -1, opens & F.col("until").isNotNull()),
+                                              event("closes", -1, F.col("closes").isNotNull()))).alias("e"))
+          .where("e IS NOT NULL").select("piece", F.floor(F.col("e.t") / SPAN).alias("blk"), "e.t", "e.d"))
+    ev = ev.repartition(_tasks(ev), "piece", "blk").groupBy("piece", "blk", "t").agg(F.sum("d").alias("d"))
     w = Window.partitionBy("piece", "blk").orderBy("t")
-    ev = ev.repartition("piece", "blk").withColumns({
+    ev = ev.withColumns({
         "v": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "len": F.lead("t").over(w) - F.col("t")})
     v, length = F.col("v"), F.coalesce("len", F.lit(0.0))
@@ -162,96 +171,123 @@ def _voice_blocks(counters: DataFrame) -> DataFrame:
 
 # --- one row per piece -----------------------------------------------------------------------
 
-def _histogram(kind: int, prefix: str, plural: str) -> dict[str, Column]:
-    """M5 / M6 / M12 pattern from ranked histogram rows."""
-    k, n, rank = F.col("kind") == kind, F.col("n"), F.col("rank")
-
-    def at(r: int, c: Column) -> Column:
-        return F.max(F.when(k & (rank == r), c))
-
-    return {f"MostCommon{prefix}": at(1, F.col("value")),
-            f"MostCommon{prefix}Prevalence": r6(at(1, n / F.col("all"))),
-            f"RelativeStrengthOfTop{plural}": r6(at(2, n) / at(1, n)),
-            f"IntervalBetweenStrongest{plural}": F.abs(at(1, F.col("value")) - at(2, F.col("value"))),
-            f"NumberOfCommon{plural}": F.count(F.when(k & (n / F.col("all") >= COMMON_SHARE), 1)),
-            f"{prefix}Variety": F.count(F.when(k, 1))}
-
-
-def _features() -> dict[str, Column]:
-    n, value = F.col("n"), F.col("value")
-
-    def of(kind: int, c: Column, more: Column | None = None) -> Column:
-        cond = F.col("kind") == kind
-        return F.when(cond if more is None else cond & more, c)
-
-    def share(kind: int, cond: Column) -> Column:
-        return r6(F.coalesce(F.sum(of(kind, n, cond)), F.lit(0)) / F.sum(of(kind, n)))
-
-    def one(kind: int, c: str) -> Column:
-        return F.max(of(kind, F.col(c)))
-
-    out = {"AverageMelodicInterval": r6(F.sum(of(INTERVAL, n * value)) / F.sum(of(INTERVAL, n)))}
-    for name, steps in (("RepeatedNotes", [0]), ("ChromaticMotion", [1]), ("StepwiseMotion", [1, 2]),
-                        ("MelodicThirds", [3, 4]), ("MelodicFifths", [7]), ("MelodicTritones", [6]),
-                        ("MelodicOctaves", [12]), ("AmountOfArpeggiation", ARPEGGIO_INTERVALS)):
-        out[name] = share(INTERVAL, value.isin(*[float(s) for s in steps]))
-    out["DirectionOfMotion"] = r6(F.try_divide(F.sum(of(INTERVAL, F.col("x"))), F.sum(of(INTERVAL, n, value != 0))))
-    h = _histogram(INTERVAL, "Interval", "Intervals")
-    out |= {"MostCommonMelodicInterval": h["MostCommonInterval"],
-            "MostCommonMelodicIntervalPrevalence": h["MostCommonIntervalPrevalence"],
-            "DistanceBetweenMostCommonMelodicIntervals": h["IntervalBetweenStrongestIntervals"],
-            "RelativeStrengthOfMostCommonIntervals": h["RelativeStrengthOfTopIntervals"],
-            "NumberOfCommonMelodicIntervals": F.when(F.count(of(INTERVAL, n)) > 0, h["NumberOfCommonIntervals"])}
-    out |= _histogram(PITCH, "Pitch", "Pitches") | _histogram(PITCH_CLASS, "PitchClass", "PitchClasses")
-    arcs = F.sum(of(ARC, F.col("y"))) + F.count(of(ARC, n, F.col("turned")))
-    out |= {"DurationOfMelodicArcs": r6(F.sum(of(ARC, n)) / arcs), "SizeOfMelodicArcs": r6(F.sum(of(ARC, F.col("x"))) / arcs),
-            "Range": F.max(of(PITCH, value)) - F.min(of(PITCH, value)),
-            "PrimaryRegister": r6(F.sum(of(PITCH, n * value)) / F.sum(of(PITCH, n, value.isNotNull()))),
-            "ImportanceOfBassRegister": share(PITCH, value < BASS_BELOW),
-            "ImportanceOfMiddleRegister": share(PITCH, (value >= BASS_BELOW) & (value <= HIGH_ABOVE)),
-            "ImportanceOfHighRegister": share(PITCH, value > HIGH_ABOVE),
-            "NoteDensity": r6(F.try_divide(one(DURATION, "n"), one(DURATION, "top"))),
-            "AverageNoteDuration": r6(one(DURATION, "mean")), "VariabilityOfNoteDuration": r6(one(DURATION, "std")),
-            "MaximumNoteDuration": r6(one(DURATION, "most")), "MinimumNoteDuration": r6(one(DURATION, "least")),
-            "StaccatoIncidence": r6(one(DURATION, "short") / one(DURATION, "n")), "Duration": r6(one(DURATION, "top")),
-            "AverageTimeBetweenAttacks": r6(one(GAP, "mean")), "VariabilityOfTimeBetweenAttacks": r6(one(GAP, "std")),
-            "AverageTimeBetweenAttacksForEachVoice": r6(F.avg(of(PART_GAP, F.col("mean")))),
-            "AverageVariabilityOfTimeBetweenAttacksForEachVoice": r6(F.avg(of(PART_GAP, F.col("std"))))}
-    ql = _histogram(LENGTH, "NoteQuarterLength", "NoteQuarterLengths")
-    out |= {"UniqueNoteQuarterLengths": ql["NoteQuarterLengthVariety"],
-            "MostCommonNoteQuarterLength": ql["MostCommonNoteQuarterLength"],
-            "MostCommonNoteQuarterLengthPrevalence": ql["MostCommonNoteQuarterLengthPrevalence"],
-            "RangeOfNoteQuarterLengths": F.max(of(LENGTH, value)) - F.min(of(LENGTH, value))}
+#: Conditions on a histogram's values whose shares are features.
+SHARES = {
+    INTERVAL: [("RepeatedNotes", [0]), ("ChromaticMotion", [1]), ("StepwiseMotion", [1, 2]), ("MelodicThirds", [3, 4]),
+               ("MelodicFifths", [7]), ("MelodicTritones", [6]), ("MelodicOctaves", [12]),
+               ("AmountOfArpeggiation", ARPEGGIO_INTERVALS)],
+    PITCH: [("ImportanceOfBassRegister", range(BASS_BELOW)),
+            ("ImportanceOfMiddleRegister", range(BASS_BELOW, HIGH_ABOVE + 1)), ("ImportanceOfHighRegister", None)],
+    PC_SET: [(f"{c}SimultaneityPrevalence", [_chord(c)]) for c in (
+        "MajorTriad", "MinorTriad", "DominantSeventh", "DiminishedTriad", "DiminishedSeventh")]
+    + [("TriadSimultaneityPrevalence", [_chord(c) for c in (
+        "MajorTriad", "MinorTriad", "DiminishedTriad", "AugmentedTriad")])],
+}
+_SLOTS = max(map(len, SHARES.values()))
+
+
+def _statistics() -> list[Column]:
+    """What the counters of one (piece, kind) give; each kind uses some."""
+    kind, n, value = F.col("kind"), F.col("n"), F.col("value")
+
+    def slot(i: int) -> Column:
+        """Notes that meet the i-th condition of the row's kind."""
+        code, case = F.col("code"), F.lit(False)
+        for k, names in SHARES.items():
+            if i < len(names):
+                wanted = names[i][1]
+                meets = (value > HIGH_ABOVE if wanted is None else value < BASS_BELOW if wanted == range(BASS_BELOW)
+                         else (value >= wanted[0]) & (value <= wanted[-1]) if isinstance(wanted, range)
+                         else code.isin(*wanted))
+                case = F.when(kind == k, meets).otherwise(case)
+        return F.sum(F.when(case, n).otherwise(0)).alias(f"s{i}")
+
+    first, second = F.col("rank") == 1, F.col("rank") == 2
+    c, length, wait = F.col("carry"), F.col("len"), F.col("wait")
+    return [F.count(F.lit(1)).alias("rows"), F.sum(n).alias("n"), F.sum(n * value).alias("nv"),
+            F.sum(F.when(value.isNotNull(), n)).alias("known"), F.sum(F.when(value != 0, n)).alias("moves"),
+            F.min(value).alias("low"), F.max(value).alias("high"),
+            F.max(F.when(first, value)).alias("v1"), F.max(F.when(first, n)).alias("n1"),
+            F.max(F.when(second, value)).alias("v2"), F.max(F.when(second, n)).alias("n2"),
+            F.count(F.when(n / F.col("all") >= COMMON_SHARE, 1)).alias("common"),
+            F.sum("x").alias("x"), F.sum("y").alias("y"), F.avg("mean").alias("mean"), F.avg("std").alias("std"),
+            F.max("most").alias("most"), F.min("least").alias("least"), F.sum("short").alias("short"), F.max("top").alias("top"),
+            F.count(F.when(F.col("turned"), 1)).alias("turned"), *[slot(i) for i in range(_SLOTS)],
+            F.collect_list(F.when((kind == PITCH_CLASS) & value.isNotNull(), F.struct(value.cast("int"), "x"))).alias("pcs"),
+            # Voices: from a block's last event to the next block's first the count stays.
+            F.sum(length + wait).alias("whole"), F.sum(F.col("s1") + c * length + c * wait).alias("i1"),
+            F.sum(F.col("s2") + 2 * c * F.col("s1") + c * c * length + c * c * wait).alias("i2"),
+            F.max(F.greatest(c + F.col("vmax"), F.when(wait > 0, c))).alias("voices")]
+
+
+def _features() -> list[Column]:
+    """The features from ``k``, a map from kind to its statistics."""
+    def of(kind: int):
+        row = F.col("k")[kind]
+        return lambda c: row[c]
+
+    interval, pitch, pc, ql = of(INTERVAL), of(PITCH), of(PITCH_CLASS), of(LENGTH)
+    dur, gap, part, arc, voice = of(DURATION), of(GAP), of(PART_GAP), of(ARC), of(VOICES)
+    arcs, mean = arc("y") + arc("turned"), F.try_divide(voice("i1"), voice("whole"))
+    out = {"AverageMelodicInterval": r6(interval("nv") / interval("n")),
+           "DirectionOfMotion": r6(F.try_divide(interval("x"), interval("moves"))),
+           "MostCommonMelodicInterval": interval("v1"),
+           "MostCommonMelodicIntervalPrevalence": r6(interval("n1") / interval("n")),
+           "DistanceBetweenMostCommonMelodicIntervals": F.abs(interval("v1") - interval("v2")),
+           "RelativeStrengthOfMostCommonIntervals": r6(interval("n2") / interval("n1")),
+           "NumberOfCommonMelodicIntervals": interval("common"),
+           "DurationOfMelodicArcs": r6(arc("n") / arcs), "SizeOfMelodicArcs": r6(arc("x") / arcs),
+           "Range": pitch("high") - pitch("low"), "PrimaryRegister": r6(pitch("nv") / pitch("known")),
+           "NoteDensity": r6(F.try_divide(dur("n"), dur("top"))), "AverageNoteDuration": r6(dur("mean")),
+           "VariabilityOfNoteDuration": r6(dur("std")), "MaximumNoteDuration": r6(dur("most")),
+           "MinimumNoteDuration": r6(dur("least")), "StaccatoIncidence": r6(dur("short") / dur("n")),
+           "Duration": r6(dur("top")), "AverageTimeBetweenAttacks": r6(gap("mean")),
+           "VariabilityOfTimeBetweenAttacks": r6(gap("std")), "AverageTimeBetweenAttacksForEachVoice": r6(part("mean")),
+           "AverageVariabilityOfTimeBetweenAttacksForEachVoice": r6(part("std")),
+           "UniqueNoteQuarterLengths": ql("rows"), "MostCommonNoteQuarterLength": ql("v1"),
+           "MostCommonNoteQuarterLengthPrevalence": r6(ql("n1") / ql("n")),
+           "RangeOfNoteQuarterLengths": ql("high") - ql("low"),
+           "MaximumNumberOfIndependentVoices": voice("voices"), "AverageNumberOfIndependentVoices": r6(mean),
+           "VariabilityOfNumberOfIndependentVoices": r6(F.sqrt(F.greatest(
+               F.try_divide(voice("i2"), voice("whole")) - mean * mean, F.lit(0.0))))}
+    for h, prefix, plural in ((pitch, "Pitch", "Pitches"), (pc, "PitchClass", "PitchClasses")):
+        out |= {f"MostCommon{prefix}": h("v1"), f"MostCommon{prefix}Prevalence": r6(h("n1") / h("n")),
+                f"RelativeStrengthOfTop{plural}": r6(h("n2") / h("n1")),
+                f"IntervalBetweenStrongest{plural}": F.abs(h("v1") - h("v2")),
+                f"NumberOfCommon{plural}": h("common"), f"{prefix}Variety": h("rows")}
     for kind, name in ((PC_SET, "PitchClassSet"), (SET_CLASS, "SetClass")):
-        out[f"Unique{name}Simultaneities"] = F.count(of(kind, n))
-        out[f"MostCommon{name}SimultaneityPrevalence"] = r6(F.max(of(kind, n)) / F.sum(of(kind, n)))
-    kept = F.col("t_class")
-    for name in ("MajorTriad", "MinorTriad", "DominantSeventh", "DiminishedTriad", "DiminishedSeventh"):
-        out[f"{name}SimultaneityPrevalence"] = share(PC_SET, kept == _chord(name))
-    triads = [_chord(c) for c in ("MajorTriad", "MinorTriad", "DiminishedTriad", "AugmentedTriad")]
-    out["TriadSimultaneityPrevalence"] = share(PC_SET, kept.isin(*triads))
-    # Voices: between the last event of a block and the first of the next the count is what both agree on.
-    c, length = F.col("carry"), F.col("len")
-    whole = F.sum(length + F.col("wait"))
-    s1 = F.sum(F.col("s1") + c * length + c * F.col("wait"))
-    s2 = F.sum(F.col("s2") + 2 * c * F.col("s1") + c * c * length + c * c * F.col("wait"))
-    mean = F.try_divide(s1, whole)
-    out |= {"MaximumNumberOfIndependentVoices": F.max(F.greatest(c + F.col("vmax"), F.when(F.col("wait") > 0, c))),
-            "AverageNumberOfIndependentVoices": r6(mean),
-            "VariabilityOfNumberOfIndependentVoices": r6(F.sqrt(F.greatest(F.try_divide(s2, whole) - mean * mean, F.lit(0.0))))}
-    return out
-
-
-def _keys(vectors: DataFrame) -> DataFrame:
-    """M15 from (piece, durations of the twelve pitch classes); rows of a piece
-    stay where they are."""
-    profiles = F.array(*[F.array(*[F.lit(float(p[(pc - tonic) % 12])) for pc in range(12)])
-                         for p in (KK_MAJOR, KK_MINOR) for tonic in range(12)])
-    pairs = (vectors.select("piece", "durations", F.posexplode(profiles).alias("key", "profile"))
-             .select("piece", "key", F.explode(F.arrays_zip("durations", "profile")).alias("p")))
-    c = pairs.groupBy("piece", "key").agg(F.corr("p.durations", "p.profile").alias("r")).where("r IS NOT NULL")
-    best = c.groupBy("piece").agg(F.max_by(F.struct("key", "r"), F.struct(F.col("r"), -F.col("key"))).alias("b"))
-    return best.select("piece", F.floor(F.col("b.key") / 12).cast("int").alias("QualityFeature"), r6("b.r").alias("TonalCertainty"))
+        h = of(kind)
+        out |= {f"Unique{name}Simultaneities": h("rows"), f"MostCommon{name}SimultaneityPrevalence": r6(h("n1") / h("n"))}
+    for kind, names in SHARES.items():
+        h = of(kind)
+        total = h("known") if kind == PITCH else h("n")
+        out |= {name: r6(h(f"s{i}") / total) for i, (name, _) in enumerate(names)}
+    return [c.alias(name) for name, c in out.items()]
+
+
+def _profiles() -> str:
+    """The 24 key profiles, centred and of length one, as constant JSON."""
+    out = []
+    for profile in (KK_MAJOR, KK_MINOR):
+        mean = sum(profile) / 12
+        length = sum((x - mean) ** 2 for x in profile) ** 0.5
+        out += [[(profile[(pc - tonic) % 12] - mean) / length for pc in range(12)] for tonic in range(12)]
+    return json.dumps(out)
+
+
+def _key(pcs: Column) -> list[Column]:
+    """M15 from (pitch class, duration) pairs: the key whose profile correlates
+    best with the twelve durations (0 when absent), ties to the lowest key."""
+    by_class = F.map_from_entries(pcs)
+    vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda pc: F.coalesce(by_class[pc], F.lit(0.0)))
+    total = F.aggregate(vector, F.lit(0.0), lambda acc, d: acc + d)
+    spread = F.aggregate(vector, F.lit(0.0), lambda acc, d: acc + (d - total / 12) * (d - total / 12))
+    products = F.transform(F.from_json(F.lit(_profiles()), "array<array<double>>"), lambda p: F.aggregate(
+        F.zip_with(p, vector, lambda x, d: x * d), F.lit(0.0), lambda acc, x: acc + x))
+    best = F.array_max(F.transform(products, lambda x, i: F.struct(F.round(x, 9).alias("near"), (-i).alias("key"), x.alias("x"))))
+    known = spread > 0
+    return [F.when(known, F.floor(-best["key"] / 12)).cast("int").alias("QualityFeature"),
+            F.when(known, r6(best["x"] / F.sqrt(spread))).alias("TonalCertainty")]
 
 
 def symbolic_feature_table(notes: DataFrame, slice_col: str = "slice", piece: str = "piece_id",
@@ -265,34 +301,37 @@ def symbolic_feature_table(notes: DataFrame, slice_col: str = "slice", piece: st
     ('tempo' / 'timesig'), bpm, num, den."""
     from reelforge.functions.names import symbolic_feature_names
     n = (notes.select(F.col(piece).alias("piece"), "part", "note_id", "onset", "dur", "pitch", "ql", slice_col, *META)
-         .withColumn("blk", F.floor(F.col(slice_col) / SLICES)).repartition("piece", "blk"))
+         .withColumn("blk", F.floor(F.col(slice_col) / SLICES)))
+    # The joins below want known keys anyway; said here, all of them read one exchange.
+    n = n.where("piece IS NOT NULL AND blk IS NOT NULL").repartition(_tasks(n), "piece", "blk")
     meter = meter_features(n.where("kind IS NOT NULL").withColumnRenamed("note_id", "event_id"), "piece")
-    counters = _measures(_completed(n, slice_col))
-    voices = _voice_blocks(counters)
+    completed = _completed(n, slice_col)
+    counters, voices = _measures(completed), _voice_blocks(completed)
     shape = {**{c: F.col(c) for c in counters.columns}, **{c: F.lit(None).cast(voices.schema[c].dataType) for c in (
         "t0", "t1", "net", "len", "s1", "s2", "vmax")}}
-    rest = counters.where(F.col("kind") != VOICE).select(*[c.alias(k) for k, c in shape.items()])
+    rest = counters.select(*[c.alias(k) for k, c in shape.items()])
     own = {"piece": F.col("piece"), "kind": F.lit(VOICES), "value": F.col("blk").cast("double")}
     blocks = voices.select(*[
         (own[c] if c in own else F.col(c) if c in voices.columns else F.lit(None).cast(rest.schema[c].dataType)).alias(c)
         for c in rest.columns])
-    u = rest.unionByName(blocks).repartition("piece")
+    u = rest.unionByName(blocks).repartition(_tasks(rest), "piece")
     ranks = Window.partitionBy("piece", "kind", "part").orderBy(F.col("n").desc(), "value")
     order = Window.partitionBy("piece", "kind", "part").orderBy("value")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    voices_row = F.col("kind") == VOICES
     u = u.withColumns({
         "rank": F.row_number().over(ranks), "all": F.sum("n").over(Window.partitionBy("piece", "kind", "part")),
         # arcs: a block goes on with the arc before, or begins one
         "turned": F.coalesce(F.lag(F.col("last") % 4).over(order) != F.col("first") % 4, F.lit(True)),
-        "carry": F.when(F.col("kind") == VOICES, F.coalesce(F.sum("net").over(earlier), F.lit(0))),
-        "wait": F.when(F.col("kind") == VOICES, F.coalesce(F.col("t0") - F.lag("t1").over(order), F.lit(0.0))),
-        "t_class": transposition_class(F.when(F.col("kind") == PC_SET, F.col("value").cast("int")))})
-    pcs = F.map_from_entries(F.collect_list(F.when(
-        (F.col("kind") == PITCH_CLASS) & F.col("value").isNotNull(), F.struct(F.col("value").cast("int"), "x"))))
-    row = u.groupBy("piece").agg(*[c.alias(k) for k, c in _features().items()],
-                                 F.transform(F.sequence(F.lit(0), F.lit(11)),
-                                             lambda pc: F.coalesce(pcs[pc], F.lit(0.0))).alias("durations"))
-    out = row.join(_keys(row.select("piece", "durations")), "piece", "left").join(meter, "piece", "left")
+        "carry": F.when(voices_row, F.coalesce(F.sum("net").over(earlier), F.lit(0))),
+        "wait": F.when(voices_row, F.coalesce(F.col("t0") - F.lag("t1").over(order), F.lit(0.0))),
+        "code": F.when(F.col("kind") == PC_SET, transposition_class(F.col("value").cast("int")))
+        .otherwise(F.col("value").cast("int"))})
+    kinds = u.groupBy("piece", "kind").agg(*_statistics())
+    entry = F.struct(F.col("kind"), F.struct(*[c for c in kinds.columns if c not in ("piece", "kind")]))
+    row = kinds.groupBy("piece").agg(F.map_from_entries(F.collect_list(entry)).alias("k"))
+    row = row.select("piece", *_features(), *_key(F.col("k")[PITCH_CLASS]["pcs"]))
+    out = row.join(meter, "piece", "left")
     cols = []
     for name in symbolic_feature_names(drop):
         src = feature_source(name)

@@ -224,23 +224,20 @@ def meter_features(meta: DataFrame, piece: str = "piece_id") -> DataFrame:
     quintuple (num = 5) and whether the signature ever changes."""
     order = F.struct("onset", "event_id")
     tempo, sign = F.col("kind") == "tempo", F.col("kind") == "timesig"
-    m = meta.filter(tempo | sign).groupBy(piece, "kind", F.when(sign, F.col("num")).alias("_num"),
-                                          F.when(sign, F.col("den")).alias("_den")).agg(
-        F.min(order).alias("_at"), F.min_by("bpm", order).alias("_bpm"))
-    # One row per piece: its first tempo and, among its distinct signatures, the first.
-    one = m.groupBy(piece).agg(
-        F.min_by("_bpm", F.when(tempo, F.col("_at"))).alias("_bpm"),
-        F.min_by(F.struct("_num", "_den"), F.when(sign, F.col("_at"))).alias("_f"),
-        F.count(F.when(sign & F.col("_num").isNotNull() & F.col("_den").isNotNull(), 1)).alias("_k"),
-        F.count(F.when(sign, 1)).alias("_s"))
-    num, den, some = F.col("_f._num"), F.col("_f._den"), F.col("_s") > 0
+    pair = F.when(sign, F.struct("num", "den"))
+    known = F.when(F.col("num").isNotNull() & F.col("den").isNotNull(), pair)
+    one = meta.filter(tempo | sign).groupBy(piece).agg(
+        F.min_by("bpm", F.when(tempo, order)).alias("_bpm"), F.min_by(pair, F.when(sign, order)).alias("_f"),
+        # more than one known signature: the least is not the greatest
+        (F.min(known) != F.max(known)).alias("_k"), F.count(F.when(sign, 1)).alias("_s"))
+    num, den, some = F.col("_f.num"), F.col("_f.den"), F.col("_s") > 0
     return one.select(
         piece, F.col("_bpm").alias("InitialTempo"),
         r6(F.try_divide(num.cast("double"), den.cast("double"))).alias("InitialTimeSignature"),
         F.when(some, F.when((num >= 6) & (num % 3 == 0), 1).otherwise(0)).alias("CompoundOrSimpleMeter"),
         F.when(some, F.when(num == 3, 1).otherwise(0)).alias("TripleMeter"),
         F.when(some, F.when(num == 5, 1).otherwise(0)).alias("QuintupleMeter"),
-        F.when(some, F.when(F.col("_k") > 1, 1).otherwise(0)).alias("ChangesOfMeter"))
+        F.when(some, F.when(F.col("_k"), 1).otherwise(0)).alias("ChangesOfMeter"))
 
 
 def _tclass(pcs: Column) -> Column:
