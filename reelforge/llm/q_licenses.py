@@ -23,14 +23,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    tokens = [(i, label, t, len(set(text.split()))) for i, (text, label) in enumerate(licenses.TEMPLATES)
-              for t in sorted(set(text.split()))]
-    values = ", ".join(f"({i}, '{label}', '{t}', {n}, {licenses.need(n)})" for i, label, t, n in tokens)
+    values = ", ".join(str(r) for r in licenses.template_rows())
     phrases = " UNION ALL ".join(
         f"SELECT r, i - 1 AS pos, '{label}' AS label FROM nb WHERE " + " AND ".join(
             f"w{j} = '{w}'" for j, w in enumerate(text.split())) for text, label in licenses.PHRASES)
     return rf"""
-WITH t(template, label, token, size, need) AS (VALUES {values}),
+WITH t(template, label, token, size, need, stride, counts, must, never, musts) AS (VALUES {values}),
 d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '{licenses.WORD}') AS w FROM documents),
@@ -38,13 +36,14 @@ word AS (SELECT r, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM d),
 nb AS (SELECT r, i, w0, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM word
        WINDOW o AS (PARTITION BY r ORDER BY i)),
 place AS ({phrases}),
-base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM place GROUP BY r),
-blocked AS (
-  SELECT r, w0 AS token, (i - 1) // {licenses.STRIDE} AS block FROM word
-  UNION SELECT r, w0, (i - 1) // {licenses.STRIDE} - 1 FROM word WHERE i > {licenses.STRIDE}),
+pair AS (SELECT r, i - 1 AS pos, w0 || ' ' || w1 AS token FROM nb WHERE w1 IS NOT NULL),
+own AS (SELECT r, pos // stride AS block, t.* FROM pair JOIN t USING (token)
+        UNION SELECT r, pos // stride - 1, t.* FROM pair JOIN t USING (token) WHERE pos >= stride),
 hit AS (
-  SELECT r, block, template, label, size, count(*) AS n FROM blocked JOIN t USING (token)
-  GROUP BY r, block, template, label, size, need HAVING count(*) >= need),
+  SELECT r, block, template, label, size, sum(counts) AS n FROM own
+  GROUP BY r, block, template, label, size, need, musts
+  HAVING sum(counts) >= need AND sum(must) = musts AND sum(never) = 0),
+base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM place GROUP BY r),
 best AS (SELECT r, max(n / size) AS containment FROM hit GROUP BY r),
 both_labels AS (SELECT DISTINCT r, label FROM (SELECT r, label FROM hit UNION ALL SELECT r, label FROM place) q),
 l AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM both_labels GROUP BY r),
