@@ -23,6 +23,8 @@ rows are handled alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -94,6 +96,7 @@ def touched(text: str, chars: list[int], edits: list[tuple[int, int, str]]) -> l
     begins = [0]
     for c in chars:
         begins.append(begins[-1] + c)
+    starts = [e[0] for e in edits]
     runs: list[list[int]] = []
     leaf = 0
     for start, end, _ in edits:
@@ -109,8 +112,9 @@ def touched(text: str, chars: list[int], edits: list[tuple[int, int, str]]) -> l
 
     def new_text(a: int, b: int) -> str:
         out, at = [], begins[a]
-        for start, end, put in edits:
-            if begins[a] <= start and end <= begins[b] and (start < begins[b] or b == len(chars)):
+        for i in range(bisect_left(starts, begins[a]), bisect_right(starts, begins[b])):
+            start, end, put = edits[i]
+            if end <= begins[b] and (start < begins[b] or b == len(chars)):
                 out += [text[at:start], put]
                 at = end
         return "".join(out) + text[at:begins[b]]
@@ -164,10 +168,13 @@ def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     return trees.join(own, "id", "left")
 
 
-def apply_edits(trees: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def apply_edits(trees: DataFrame, vocabulary: str | None = None, mask: tuple[str, str] | None = None) -> DataFrame:
     """(id, text, leaf_chars, tree, tokens_before, tokens_after, n_edits,
-    leaves_encoded) after the column ``edits`` of ``trees``."""
+    leaves_encoded) after the column ``edits`` of ``trees``, or with ``mask``
+    (pattern, replacement) after an edit for every match of the pattern."""
     path = vocabulary or vocabulary_path()
+    if mask:
+        trees = trees.withColumn("edits", F.lit(None).cast(EDIT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -175,6 +182,9 @@ def apply_edits(trees: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for lo, texts in _groups(batch.column(1)):
                 part = batch.slice(lo, len(texts))
                 chars, trees, edits = (part.column(i).to_pylist() for i in (2, 3, 4))
+                if mask:
+                    edits = [[dict(start=m.start(), end=m.end(), replacement=mask[1]) for m in re.finditer(mask[0], t)]
+                             for t in texts]
                 edits = [clean_edits(e, len(t)) for t, e in zip(texts, edits)]
                 runs = [touched(t, c, e) if e else [] for t, c, e in zip(texts, chars, edits)]
                 cut = [[pieces(own, b - a) for a, b, own in r] for r in runs]
@@ -218,20 +228,3 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
             lo, size, out = i + 1, 0, []
     if out:
         yield lo, out
-
-
-def masking_edits(trees: DataFrame, pattern: str, replacement: str) -> DataFrame:
-    """Trees with an edit for every match of a pattern, from the text itself."""
-    between = F.split("text", pattern)
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EDIT).alias("edits"))
-
-    def step(a, x):
-        begin = a["at"] + F.length(x["text"])
-        end = begin + F.length(x["match"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(replacement).alias("replacement")))
-        return F.struct(end.alias("at"), F.concat(a["edits"], one).alias("edits"))
-
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found,
-                       lambda t, m: F.struct(t.alias("text"), m.alias("match")))
-    return trees.withColumn("edits", F.aggregate(pairs, start, step)["edits"])

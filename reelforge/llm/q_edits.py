@@ -11,8 +11,7 @@ EMAIL = r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    trees = edits.masking_edits(edits.build_trees(docs), EMAIL, "<email>")
-    return edits.apply_edits(trees).select(
+    return edits.apply_edits(edits.build_trees(docs), mask=(EMAIL, "<email>")).select(
         F.col("id").alias("doc_id"), F.col("tokens_before").alias("n_tokens"), "n_edits",
         F.col("tokens_after").alias("n_tokens_edited"), F.size("leaf_chars").cast("long").alias("n_leaves"),
         "leaves_encoded")
