@@ -105,7 +105,7 @@ def touched(text: str, chars: list[int], edits: list[tuple[int, int, str]]) -> l
         last = leaf
         while last < len(chars) - 1 and begins[last + 1] <= end:
             last += 1
-        if runs and leaf < runs[-1][1]:
+        if runs and leaf <= runs[-1][1]:  # runs side by side are one
             runs[-1][1] = max(runs[-1][1], last + 1)
         else:
             runs.append([leaf, last + 1])
