@@ -36,7 +36,8 @@ def column_stats(long: DataFrame, group: Sequence[str], value: str = "value") ->
 
     mid = copies(F.floor((n + 1) / 2), F.ceil((n + 1) / 2))
     top = copies(n - k + 1, n)
-    agg = ranked_values(long, g, value).groupBy(*g, "mean", "std").agg(
+    agg = ranked_values(long, g, value).groupBy(*g, "mean").agg(
+        F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(c)).alias("std"),
         (F.sum(v * mid) / F.sum(mid)).alias("median"), (F.sum(v * top) / F.sum(top)).alias("mean_top10"))
     return agg.select(*g, r6("mean").alias("mean"), r6("std").alias("std"),
                       r6(F.col("std") / (F.col("median") + 0.0001)).alias("stdmean"),

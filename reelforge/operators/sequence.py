@@ -10,7 +10,7 @@ work.  These helpers give the same answers with work split below the key:
   around each row, from ``lag`` / ``lead`` over (key, block of positions)
   windows with ``r`` halo rows copied across every block edge.
 * :func:`ranked_values` - exact value ranks inside a group from value counts
-  and prefix sums over cells of the group's range.
+  and prefix sums over cells cut at values of the group.
 * :func:`blocked_running_sum` - running sum over positions per key, computed
   per (key, block) with carried block totals.
 """
@@ -52,31 +52,45 @@ def blocked_running_sum(df: DataFrame, keys: Sequence[str], idx: str, value: Col
             .withColumn(out, (F.col("_c") + F.col("_loc")).cast("long")).drop("_v", "_blk", "_loc", "_c"))
 
 
-def ranked_values(df: DataFrame, group: Sequence[str], value: str, cells: int = 4096) -> DataFrame:
+#: Distinct values that a cell of a group has on average; cells of a group at most.
+CELL_VALUES, MOST_CELLS = 1 << 16, 4096
+
+
+def ranked_values(df: DataFrame, group: Sequence[str], value: str, cell_values: int = CELL_VALUES) -> DataFrame:
     """One row per distinct (group, value) with its count ``_c``, the number
-    of smaller values of the group ``_before`` and the group's statistics
-    (``_n``, ``mean``, ``std``), nulls left out.
-
-    Counting comes first, so a value that fills a group is combined inside
-    the map tasks.  The values of a group are then dealt over ``cells`` equal
-    spans of its range, a function of (value, min, max) that every task
-    computes alike; a running count inside (group, cell) plus the counts of
-    the cells before it ranks each value, and no task holds a group."""
+    of smaller values of the group ``_before``, and the group's number of rows
+    ``_n`` and ``mean``; nulls left out.
+
+    Counting comes first, so a value that fills a group is combined inside the
+    map tasks, and everything else works on the counts: the source is read
+    once.  A group's distinct values are then cut at splitters drawn from
+    themselves, those with the smallest hashes, as many as its number of
+    values asks for; an outlier or an infinity moves no other cut.  A running
+    count inside (group, cell) plus the counts of the cells before it ranks
+    each value, and no task holds a group.  Every task and every run draws the
+    same splitters."""
     g = list(group)
     v = F.col(value)
-    known = df.where(v.isNotNull()).select(*g, value)
-    stats = known.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-                                  F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    counts = known.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    part = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    dealt = (counts.join(stats, g).withColumn("_cell", F.coalesce(
-        F.least(F.floor(part * cells), F.lit(cells - 1)), F.lit(0)).cast("int")))
+    counts = (df.where(v.isNotNull()).select(*g, value).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_h", F.shiftrightunsigned(F.xxhash64(value), 1) / float(1 << 63)))
+    stats = counts.groupBy(*g).agg(F.sum("_c").alias("_n"), (F.sum(v * F.col("_c")) / F.sum("_c")).alias("mean"),
+                                   F.count(F.lit(1)).alias("_d"))
+    known = counts.join(stats, g)
+    wanted = F.least(F.floor(F.col("_d") / cell_values), F.lit(MOST_CELLS - 1))
+    cuts = (known.where(F.col("_h") * F.col("_d") < wanted).groupBy(*g)
+            .agg(F.array_sort(F.collect_list(value)).alias("_cuts")))
+    # The number of cuts at or below the value, by halving steps.
+    steps = F.array(*[F.lit(1 << i) for i in range(MOST_CELLS.bit_length(), -1, -1)])
+    cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get("_cuts", at + step - 1) <= v, F.lit(False)), at + step).otherwise(at))
+    dealt = (known.join(cuts, g, "left").withColumn("_cell", F.when(F.col("_cuts").isNull(), 0).otherwise(cell))
+             .drop("_cuts", "_h", "_d"))
     totals = dealt.groupBy(*g, "_cell").agg(F.sum("_c").alias("_t"))
     upto = Window.partitionBy(*g).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     first = totals.select(*g, "_cell", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_off"))
     local = Window.partitionBy(*g, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (dealt.withColumn("_l", F.coalesce(F.sum("_c").over(local), F.lit(0))).join(first, [*g, "_cell"])
-            .withColumn("_before", F.col("_off") + F.col("_l")).drop("_l", "_off", "_cell", "_lo", "_hi"))
+            .withColumn("_before", F.col("_off") + F.col("_l")).drop("_l", "_off", "_cell"))
 
 
 def neighbour_window(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], radius: int,
@@ -93,10 +107,10 @@ def neighbour_window(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequenc
     k = list(keys)
     pos = F.col(idx)
     blk = F.floor(pos / block_rows)
-    main = df.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
-    lo = df.filter(pos % block_rows < radius).withColumn("_blk", blk - 1).withColumn("_halo", F.lit(True))
-    hi = df.filter(pos % block_rows >= block_rows - radius).withColumn("_blk", blk + 1).withColumn("_halo", F.lit(True))
-    u = main.unionByName(lo).unionByName(hi)
+    # A row goes to its block and, near an edge, to the block beyond it: one projection, one exchange.
+    blocks = F.array_compact(F.array(blk, F.when(pos % block_rows < radius, blk - 1),
+                                     F.when(pos % block_rows >= block_rows - radius, blk + 1)))
+    u = df.withColumn("_blk", F.explode(blocks)).withColumn("_halo", F.col("_blk") != blk)
     w = Window.partitionBy(*k, "_blk").orderBy(idx)
     out = {}
     for c in cols:

@@ -8,12 +8,15 @@ only when their measured size is under the threshold.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reelforge.functions import text as T
+from reelforge.session import ensure_checkpoint_dir
 
 
 def curated_or_fake(vm: DataFrame, cur: DataFrame) -> DataFrame:
@@ -136,34 +139,39 @@ def fk_violations(child: DataFrame, parent: DataFrame, child_key: str, parent_ke
     return child.filter(F.col(child_key).isNotNull()).join(p, child_key, "left_anti")
 
 
-EDGES, COARSE = 1023, 32
+#: Rows that one range of ids has on average.
+RANGE_ROWS = 1 << 20
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], start: Column | int = 1, out: str = "id") -> DataFrame:
+def assign_ids(df: DataFrame, order: Sequence[str], start: Column | int = 1, out: str = "id",
+               range_rows: int = RANGE_ROWS) -> DataFrame:
     """Dense ids ``start, start+1, ...`` in a deterministic order
     (any sortable column types) without a single-partition window.
 
-    The order keys with the smallest hashes are a sample that every run and
-    every partitioning draws alike; sorted, these EDGES keys cut the table
-    into ranges.  Rows are numbered inside their range and get the counts of
-    the ranges before it, a table of at most EDGES + 1 rows."""
-    key = F.struct(*[F.col(c) for c in order])
-    edges = (df.select(key.alias("_e")).orderBy(F.xxhash64("_e"), "_e").limit(EDGES)
-             .agg(F.array_sort(F.array_distinct(F.collect_list("_e"))).alias("_e")))
-    upto = lambda part: F.size(F.filter(part, lambda e: e <= key))
-    coarse = F.filter("_e", lambda e, i: (i + 1) % COARSE == 0)
-    # One row of at most EDGES keys meets every row.
-    d = (df.join(F.broadcast(edges)).withColumn("_i", upto(coarse))
-         .withColumn("_b", F.col("_i") * COARSE + upto(F.slice("_e", F.col("_i") * COARSE + 1, F.lit(COARSE - 1))))
-         .drop("_e", "_i"))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-                         .alias("_off"))
+    The table is cut into ranges of about ``range_rows`` rows, as many as its
+    row count asks for, sorted and numbered inside each range and written once
+    below the session's checkpoint folder: the cuts are sampled, so they must
+    not be drawn again for the counts.  A row's id adds the rows of the ranges
+    before its own, from one count per range.  Equal keys go by a hash of the
+    whole row, so a key that very many rows share is cut, too, and ids are the
+    same in every run (but for equal rows)."""
+    spark = df.sparkSession
+    rows = df.count()
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not f.dataType.simpleString().count("map<")])
+    keyed = df.withColumn("_tie", tie)
+    by = [*[F.col(c) for c in order], F.col("_tie")]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    (keyed.repartitionByRange(max(1, -(-rows // range_rows)), *by).sortWithinPartitions(*by)
+     .withColumn("_at", F.monotonically_increasing_id()).drop("_tie").write.parquet(path))
+    numbered = (spark.read.schema(StructType([*df.schema.fields, StructField("_at", LongType())])).parquet(path)
+                .withColumn("_range", F.shiftright("_at", 33)))
+    counts = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     s = F.lit(start) if isinstance(start, int) else start
-    return (d.withColumn("_l", local).join(offs, "_b")
-            .withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_l") - 1 + s).cast("long"))
-            .drop("_b", "_l", "_off"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return (numbered.join(before, "_range").withColumn(out, (F.col("_off") + place + s).cast("long"))
+            .select(*df.columns, out))
 
 
 def set_equality(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Properties of the operators on the sf0.001 tables."""
 
+import random
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -91,13 +94,58 @@ def test_ranked_values_with_a_dominant_value(spark):
     from reelforge.operators.sequence import ranked_values
     df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("g"),
                                   F.when(F.col("id") % 3 > 0, 5.0).otherwise((F.col("id") * 7919 % 1013).cast("double")).alias("v"))
-    got = {(x.g, x.v): (x._c, x._before, x._n) for x in ranked_values(df, ["g"], "v", cells=16).collect()}
+    got = {(x.g, x.v): (x._c, x._before, x._n) for x in ranked_values(df, ["g"], "v", cell_values=8).collect()}
     by = {}
     for r in df.collect():
         by.setdefault(r.g, []).append(r.v)
     assert got == {(g, v): (vs.count(v), sum(x < v for x in vs), len(vs)) for g, vs in by.items() for v in set(vs)}
 
 
+def test_an_outlier_and_an_infinity_leave_the_cells_small(spark):
+    """Cells are cut at the values themselves: extreme ones move no other cut."""
+    from reelforge.operators.sequence import ranked_values
+    values = [i / 7 for i in range(4000)] + [1e12, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 0.5)], "g int, v double")
+    ranks = ranked_values(df, ["g"], "v", cell_values=100)
+    got = {(r.g, r.v): r._before for r in ranks.collect()}
+    assert got == {**{(1, v): sorted(values).index(v) for v in values}, (2, 0.5): 0}
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cell" in plan
+    text = ranks._jdf.queryExecution().analyzed().toString()
+    assert "max(v" not in text and "min(v" not in text  # no cut follows the range
+
+
+@pytest.mark.parametrize("range_rows", [1 << 20, 50, 7])
+def test_dense_ids_follow_the_order_whatever_the_ranges(spark, range_rows):
+    from reelforge.operators.training import assign_ids
+    rows = [(i % 5 if i % 3 else None, "same" if i < 400 else f"k{i * 7919 % 1000}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "a int, b string, c int").repartition(9)
+    ids = assign_ids(df, ["a", "b"], start=11, range_rows=range_rows).collect()
+    assert sorted(r.id for r in ids) == list(range(11, 911))
+    keys = [(r.a is not None, r.a or 0, r.b) for r in sorted(ids, key=lambda r: r.id)]
+    assert keys == sorted(keys)
+    again = assign_ids(df.repartition(4), ["a", "b"], start=11, range_rows=range_rows).collect()
+    assert {(r.c, r.id) for r in ids} == {(r.c, r.id) for r in again}
+
+
+def test_segmented_scan_equals_a_scan_of_the_whole_key(spark):
+    """One key holds most rows; every kind of scan, nulls and ties of blocks included."""
+    from reelforge.operators.scans import segmented_scan
+    rnd = random.Random(6)
+    rows = [(0 if i % 4 else i % 3, i, rnd.choice([None, rnd.randrange(50)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    v = F.col("v")
+    kinds = ("sum", "max_before", "last_before", "known_before")
+    out = segmented_scan(df, ["k"], ["t"], F.floor(F.col("t") / 64), {f"o_{c}": (c, v) for c in kinds}).collect()
+    seen, want = {}, {}
+    for k, t, x in rows:
+        past = seen.setdefault(k, [])
+        known = [p for p in past if p is not None]
+        want[k, t] = (sum(known) + (x or 0), max(known, default=None), past[-1] if past else None, known[-1] if known else None)
+        past.append(x)
+    assert {(r.k, r.t): tuple(r[f"o_{c}"] for c in kinds) for r in out} == want
+
+
 def test_dominant_value_is_counted_in_more_than_one_task(spark):
     from reelforge.operators.sequence import ranked_values
     df = spark.range(0, 200_000, 1, 16).select(F.lit(1).alias("g"), F.lit(2.0).alias("v"))
