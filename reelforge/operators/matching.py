@@ -145,12 +145,14 @@ def name_join(tracks: DataFrame, catalog: DataFrame, left_on: str, right_on: str
 
 
 def _grams(c: Column) -> Column:
-    """Distinct substrings of length 1, 2 and 3 of a string."""
-    n = F.length(c)
-    out = None
-    for g in (1, 2, 3):
-        arr = F.transform(F.sequence(F.lit(1), F.greatest(n - (g - 1), F.lit(1))), lambda i: F.substring(c, i, g))
-        out = arr if out is None else F.concat(out, arr)
+    """Distinct substrings of length 1, 2 and 3 of a string, in time linear in
+    its length (``substring`` would walk to each place from the beginning)."""
+    one = F.split(c, "")
+    grams, out = one, one
+    for after in (2, 3):
+        grams = F.zip_with(grams, F.slice(one, F.lit(after), F.greatest(F.size(one) - (after - 1), F.lit(0))),
+                           lambda x, y: F.concat(x, y))
+        out = F.concat(out, F.array_compact(grams))
     return F.array_distinct(out)
 
 
@@ -160,22 +162,35 @@ def first_pattern_match(patterns: DataFrame, texts: DataFrame, pat_col: str, tex
     original does) the first text by ``text_order`` matching
     ``.*(<pattern>).*<suffix_regex>``.
 
-    A text can only match a pattern if it contains the pattern's first (up
-    to) three characters.  The distinct beginnings of all patterns (clean
-    names are [a-z0-9 ], so at most 37 + 37^2 + 37^3 of them) are one row that
-    every text meets; only the grams that begin a pattern, in a text that has
-    the suffix, are exploded and joined with the patterns on that key."""
-    pats = (patterns.filter(F.col(pat_col) != "").select(pat_col).distinct()
-            .withColumn("_g", F.substring(F.col(pat_col), 1, 3)))
-    begins = pats.agg(F.collect_set("_g").alias("_b"))
-    some = texts.filter(F.regexp_like(F.col(text_col), F.lit(suffix_regex))).join(F.broadcast(begins))
-    cand = (some.withColumn("_g", F.explode(F.array_intersect(_grams(F.col(text_col)), F.col("_b")))).drop("_b")
-            .join(pats, "_g").drop("_g"))
+    A text can only match a pattern if it holds all of the pattern's grams
+    (three characters, or the whole of a shorter pattern).  Each pattern is
+    keyed by the one that the fewest texts hold, so patterns that all begin
+    alike do not meet all texts that hold that beginning; a pattern with a gram
+    that no text holds is settled.  A text's distinct grams are exploded
+    without the text, which candidates get back by its key; a gram that very
+    many texts and patterns share is one skewed join key (AQE splits it)."""
+    pat, text = F.col(pat_col), F.col(text_col)
+    pats = patterns.filter(pat != "").select(pat_col).distinct()
+    size = F.least(F.length(pat), F.lit(3))
+    own = pats.withColumn("_g", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(pat) - size + 1), lambda i: F.substring(pat, i, size)))))
+    # Texts are dealt once, and all three readers below take them from that exchange; into a named number of
+    # parts, since the work is in the grams and not in the bytes by which parts would be put together.
+    key = F.xxhash64(text_order, text_col)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = texts.filter(F.regexp_like(text, F.lit(suffix_regex))).repartition(parts, key).withColumn("_t", key)
+    grams = (some.select("_t", F.explode(_grams(text)).alias("_g"))
+             .join(own.select("_g").distinct(), "_g", "left_semi"))
+    held = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (own.join(held, "_g", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).groupBy(pat_col)
+              .agg(F.min(F.struct("_n", "_g")).alias("_k")).where("_k._n > 0")
+              .select(pat_col, F.col("_k._g").alias("_g")))
+    cand = grams.join(rarest, "_g").select(pat_col, "_t").distinct().join(some, "_t")
     # ``.*(p).*(suffix)`` holds iff p occurs and the suffix occurs after the
     # end of p's first occurrence: a linear test, no regex backtracking over
     # long texts (clean names are literal [a-z0-9 ] strings).
-    first = F.instr(F.col(text_col), F.col(pat_col))
-    after = F.substring(F.col(text_col), first + F.length(F.col(pat_col)), F.lit(2_147_483_647))
+    first = F.instr(text, pat)
+    after = F.substring(text, first + F.length(pat), F.lit(2_147_483_647))
     hits = cand.filter((first > 0) & F.regexp_like(after, F.lit(suffix_regex)))
     rest = [c for c in texts.columns if c != text_order]
     return first_per_key(hits.select(pat_col, text_order, *rest), pat_col, [text_order])

@@ -101,6 +101,25 @@ def test_ranked_values_with_a_dominant_value(spark):
     assert got == {(g, v): (vs.count(v), sum(x < v for x in vs), len(vs)) for g, vs in by.items() for v in set(vs)}
 
 
+def test_patterns_that_begin_alike_meet_the_texts_of_their_rarest_gram(spark):
+    import re
+    rnd = random.Random(8)
+    letters = "abcdefgh "
+    tails = ["".join(rnd.choice(letters[:8]) for _ in range(rnd.randrange(2, 7))) for _ in range(60)]
+    patterns = [f"the {t}" for t in tails] + ["the", "a", "zz", "no such film", "", None]
+    texts = [(i, f"the {rnd.choice(tails)} and the {''.join(rnd.choice(letters) for _ in range(30))}"
+              + rnd.choice([" soundtrack", " film", "", " soundtrack the end"])) for i in range(400)] + [(7, "the film"), (None, None)]
+    p = spark.createDataFrame([(x,) for x in patterns], "p string")
+    t = spark.createDataFrame(texts, "i int, t string")
+    got = {r.p: r.i for r in M.first_pattern_match(p, t, "p", "t", "i").collect()}
+    want = {}
+    for x in patterns:
+        hit = [i for i, s in texts if x and s and re.search(f".*({x}).*(soundtrack|film)", s)]
+        if hit:
+            want[x] = min(hit)
+    assert got == want and len(want) > 40
+
+
 def test_an_outlier_and_an_infinity_leave_the_cells_small(spark):
     """Cells are cut at the values themselves: extreme ones move no other cut."""
     from reelforge.operators.sequence import ranked_values
