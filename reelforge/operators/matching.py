@@ -144,16 +144,11 @@ def name_join(tracks: DataFrame, catalog: DataFrame, left_on: str, right_on: str
     return tracks.join(catalog, tracks[left_on] == catalog[right_on], "inner")
 
 
-def _grams(c: Column) -> Column:
-    """Distinct substrings of length 1, 2 and 3 of a string, in time linear in
-    its length (``substring`` would walk to each place from the beginning)."""
-    one = F.split(c, "")
-    grams, out = one, one
-    for after in (2, 3):
-        grams = F.zip_with(grams, F.slice(one, F.lit(after), F.greatest(F.size(one) - (after - 1), F.lit(0))),
-                           lambda x, y: F.concat(x, y))
-        out = F.concat(out, F.array_compact(grams))
-    return F.array_distinct(out)
+def _own_grams(word: Column) -> Column:
+    """Grams that key a word of a pattern: its three-character substrings, or
+    the whole of a shorter word."""
+    size = F.least(F.length(word), F.lit(3))
+    return F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(word, i, size))
 
 
 def first_pattern_match(patterns: DataFrame, texts: DataFrame, pat_col: str, text_col: str, text_order: str,
@@ -162,25 +157,33 @@ def first_pattern_match(patterns: DataFrame, texts: DataFrame, pat_col: str, tex
     original does) the first text by ``text_order`` matching
     ``.*(<pattern>).*<suffix_regex>``.
 
-    A text can only match a pattern if it holds all of the pattern's grams
-    (three characters, or the whole of a shorter pattern).  Each pattern is
-    keyed by the one that the fewest texts hold, so patterns that all begin
-    alike do not meet all texts that hold that beginning; a pattern with a gram
-    that no text holds is settled.  A text's distinct grams are exploded
-    without the text, which candidates get back by its key; a gram that very
-    many texts and patterns share is one skewed join key (AQE splits it)."""
+    Both are words with spaces between them, so a text that holds a pattern
+    holds each word of the pattern inside one of its own, and with it all grams
+    of that word (three characters, or the whole of a shorter word).  Each
+    pattern is keyed by its gram that the fewest texts hold, so patterns that
+    all begin alike do not meet all texts that hold that beginning; a pattern
+    with a gram that no text holds is settled.  A text's distinct grams, of the
+    sizes that patterns have, come from one regex pass and are exploded without
+    the text, which candidates get back by its key; a gram that very many texts
+    and patterns share is one skewed join key (AQE splits it)."""
     pat, text = F.col(pat_col), F.col(text_col)
     pats = patterns.filter(pat != "").select(pat_col).distinct()
-    size = F.least(F.length(pat), F.lit(3))
-    own = pats.withColumn("_g", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(pat) - size + 1), lambda i: F.substring(pat, i, size)))))
-    # Texts are dealt once, and all three readers below take them from that exchange; into a named number of
-    # parts, since the work is in the grams and not in the bytes by which parts would be put together.
+    own = (pats.select(pat_col, F.explode(F.split(pat, " ")).alias("_w"))
+           .select(pat_col, F.explode(_own_grams(F.col("_w"))).alias("_g")).distinct())
+    sizes = own.agg(F.collect_set(F.length("_g")).alias("_sizes"))  # one row: at most 0, 1, 2, 3
+    # Texts are dealt once, and both readers below take them from that exchange; into a named number of parts,
+    # since the work is in the grams and not in the bytes by which parts would be put together.
     key = F.xxhash64(text_order, text_col)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = texts.filter(F.regexp_like(text, F.lit(suffix_regex))).repartition(parts, key).withColumn("_t", key)
-    grams = (some.select("_t", F.explode(_grams(text)).alias("_g"))
-             .join(own.select("_g").distinct(), "_g", "left_semi"))
+    some = texts.repartition(parts, key).withColumn("_t", key)
+
+    cut = F.transform("_sizes", lambda n: F.regexp_extract_all(
+        text, F.concat(F.lit("(?=([^ ]{"), n.cast("string"), F.lit("}))")), F.lit(1)))
+    # The suffix is a condition inside the row: as a filter it would be moved below, to make every text twice.
+    inside = F.when(F.regexp_like(text, F.lit(suffix_regex)), F.array_distinct(F.flatten(cut)))
+    grams = (some.crossJoin(F.broadcast(sizes)).select("_t", F.explode(inside).alias("_g"))
+             .join(own.select("_g").distinct(), "_g", "left_semi")
+             .repartition(parts, "_g", "_t"))  # made once, read by the counts and by the candidates
     held = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (own.join(held, "_g", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).groupBy(pat_col)
               .agg(F.min(F.struct("_n", "_g")).alias("_k")).where("_k._n > 0")
@@ -191,9 +194,12 @@ def first_pattern_match(patterns: DataFrame, texts: DataFrame, pat_col: str, tex
     # long texts (clean names are literal [a-z0-9 ] strings).
     first = F.instr(text, pat)
     after = F.substring(text, first + F.length(pat), F.lit(2_147_483_647))
-    hits = cand.filter((first > 0) & F.regexp_like(after, F.lit(suffix_regex)))
-    rest = [c for c in texts.columns if c != text_order]
-    return first_per_key(hits.select(pat_col, text_order, *rest), pat_col, [text_order])
+    found = F.coalesce((first > 0) & F.regexp_like(after, F.lit(suffix_regex)), F.lit(False))  # see above: no filter
+    hits = cand.filter(found)  # on a null text moves below the exchange, so that both readers share it
+    # One aggregate a column: a caller that drops the text does not carry it through the sort by patterns.
+    place = F.struct(text_order)
+    return hits.groupBy(pat_col).agg(*[F.min_by(c, place).alias(c)
+                                       for c in (text_order, *(c for c in texts.columns if c != text_order))])
 
 
 def composite_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
