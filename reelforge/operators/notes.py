@@ -253,32 +253,42 @@ def _set_class(pcs: Column) -> Column:
 
 
 def simultaneities(notes: DataFrame, slice_col: str, piece: str = "piece_id") -> DataFrame:
-    """M13 / M14 input: the sorted pitch-class set of every slice (at most 12
-    values per slice, so the per-slice set is bounded) with its set class and
-    transposition class."""
-    s = notes.groupBy(piece, slice_col).agg(F.array_sort(F.collect_set(F.pmod("pitch", F.lit(12)))).alias("pcs"))
+    """M13 / M14 input: the sorted pitch-class set of every slice with its set
+    class and transposition class.  A set is gathered as bits of a number: a
+    hash aggregate with a fixed-width buffer, combined in the map tasks, where
+    sets as objects would be sorted with all their notes."""
+    n = notes.withColumn("_pc", F.pmod("pitch", F.lit(12)))
+    s = n.groupBy(piece, slice_col).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_pc").cast("int"))).alias("_bits"))
+    bits = F.coalesce("_bits", F.lit(0))
+    pcs = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda p: F.getbit(bits, p) == 1)
+    s = s.select(piece, slice_col, pcs.cast(f"array<{n.schema['_pc'].dataType.simpleString()}>").alias("pcs"))
     return s.withColumn("set_class", _set_class(F.col("pcs"))).withColumn("t_class", _tclass(F.col("pcs")))
 
 
 def simultaneity_features(sl: DataFrame, piece: str = "piece_id") -> DataFrame:
-    """M13 + M14 from :func:`simultaneities`."""
-    def top_share(col):
-        c = sl.groupBy(piece, col).agg(F.count(F.lit(1)).alias("_c"))
-        return c.groupBy(piece).agg(F.count(F.lit(1)).alias("_u"), F.max("_c").alias("_m"), F.sum("_c").alias("_t"))
-    pc, sc = top_share("pcs"), top_share("set_class")
-    base = (pc.select(piece, F.col("_u").alias("UniquePitchClassSetSimultaneities"),
-                      r6(F.col("_m") / F.col("_t")).alias("MostCommonPitchClassSetSimultaneityPrevalence"))
-            .join(sc.select(piece, F.col("_u").alias("UniqueSetClassSimultaneities"),
-                            r6(F.col("_m") / F.col("_t")).alias("MostCommonSetClassSimultaneityPrevalence")), piece))
+    """M13 + M14 from :func:`simultaneities`.  Slices are counted per set
+    first; the classes are made once per set of a piece, and one chain of
+    aggregates on the pieces' partitioning gives all features."""
+    sets = sl.where(F.col(piece).isNotNull()).groupBy(piece, "pcs").agg(F.count(F.lit(1)).alias("_c"))
+    c = F.col("_c")
     # transposition classes of the chord types (constant-folded by Catalyst)
     classes = {name: _tclass(F.array(*[F.lit(x) for x in v])) for name, v in CHORDS.items()}
-    tc = F.col("t_class")
-    aggs = [r6(F.avg(F.when(tc == classes[n], 1.0).otherwise(0.0))).alias(f"{n}SimultaneityPrevalence")
-            for n in ("MajorTriad", "MinorTriad", "DominantSeventh", "DiminishedTriad", "DiminishedSeventh")]
-    triad = F.when(tc.isin(*[classes[n] for n in ("MajorTriad", "MinorTriad", "DiminishedTriad", "AugmentedTriad")]),
-                   1.0).otherwise(0.0)
-    aggs.append(r6(F.avg(triad)).alias("TriadSimultaneityPrevalence"))
-    return base.join(sl.groupBy(piece).agg(*aggs), piece)
+    tc = F.col("_tc")
+    chords = {n: tc == classes[n] for n in ("MajorTriad", "MinorTriad", "DominantSeventh", "DiminishedTriad",
+                                            "DiminishedSeventh")}
+    chords["Triad"] = tc.isin(*[classes[n] for n in ("MajorTriad", "MinorTriad", "DiminishedTriad", "AugmentedTriad")])
+    kinds = (sets.select(piece, "_c", _set_class(F.col("pcs")).alias("_sc"), _tclass(F.col("pcs")).alias("_tc"))
+             .groupBy(piece, "_sc")
+             .agg(F.count(F.lit(1)).alias("_u"), F.max(c).alias("_m"), F.sum(c).alias("_n"),
+                  *[F.sum(F.when(cond, c).otherwise(0)).alias(f"_{n}") for n, cond in chords.items()]))
+    total = F.sum("_n")
+    return kinds.groupBy(piece).agg(
+        F.sum("_u").alias("UniquePitchClassSetSimultaneities"),
+        r6(F.max("_m") / total).alias("MostCommonPitchClassSetSimultaneityPrevalence"),
+        F.count(F.lit(1)).alias("UniqueSetClassSimultaneities"),
+        r6(F.max("_n") / total).alias("MostCommonSetClassSimultaneityPrevalence"),
+        *[r6(F.sum(f"_{n}") / total).alias(f"{n}SimultaneityPrevalence") for n in chords])
 
 
 def key_profile_table(spark) -> DataFrame:
