@@ -199,8 +199,15 @@ def store_segments(segments: DataFrame, keys: Sequence[str] = ("video_id",), vid
     """N9 (the intent of the segment finder's tail): distinct clips of the
     kept segments not stored yet (J4) get surrogate ids after the current
     maximum (Q7); matches are joined back to their clip on (video, start)
-    (J9) with ``real = 1``.  Returns (new_clips, new_matches)."""
+    (J9) with ``real = 1``.  Returns (new_clips, new_matches).
+
+    The segments are written once below the session's checkpoint folder: the
+    clips' count, the cuts of their ids, the ids and the matches read them from
+    there, and none runs the recognition behind them again."""
     k = list(keys)
+    path = f"{ensure_checkpoint_dir(segments.sparkSession).rstrip('/')}/segments-{uuid.uuid4().hex}"
+    segments.write.parquet(path)
+    segments = segments.sparkSession.read.schema(segments.schema).parquet(path)
     vt = video_type if video_type is not None else F.lit("mp4")
     clips = segments.select(*k, "start", "end", vt.alias("video_type")).distinct()
     if existing_clips is not None:
