@@ -217,8 +217,11 @@ def encoded(enc, block: pa.RecordBatch, end_id: int) -> Iterator[tuple[object, n
         own, flags = ids[at:at + n], losses[at:at + n]
         at += n
         sizes = [len(x) for x in own]
-        loss = np.zeros(sum(sizes) + 2, np.int64)
-        np.cumsum(np.repeat([*flags, flags[-1] if flags else True], [*sizes, 1]), out=loss[1:])
+        if all(flags):
+            loss = np.arange(sum(sizes) + 2, dtype=np.int64)
+        else:
+            loss = np.zeros(sum(sizes) + 2, np.int64)
+            np.cumsum(np.repeat([*flags, flags[-1]], [*sizes, 1]), out=loss[1:])
         yield example, np.concatenate([*own, end]), loss
 
 
